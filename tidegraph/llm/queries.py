@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from tidegraph.llm import chat, mixing, topk
+from tidegraph.llm import chat, decontam, langid, mixing, pii, quality, topk, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_pii": pii.op2_pii,
+    "op4_decontaminate": decontam.op4_decontaminate,
     "op6_top_k": topk.op6_top_k,
+    "op7_quality": quality.op7_quality,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_language": langid.op9_language,
     "op10_chat_perspectives": chat.op10_chat_perspectives,
 }
 
