@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
+import pickle
+import sys
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word of the contracts: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+class Shared:
+    """A broadcast object of this package, by value; a Python worker unpacks it once and keeps the last few."""
+
+    def __init__(self, spark: SparkSession, thing):
+        self.bytes, self.key = spark.sparkContext.broadcast(cloudpickle.dumps(thing)), uuid.uuid4().hex
+
+    @property
+    def value(self):
+        kept = vars(sys).setdefault("_tidegraph_shared", {})
+        if self.key not in kept:
+            while len(kept) > 2:
+                kept.pop(next(iter(kept)))
+            kept[self.key] = pickle.loads(self.bytes.value)
+        return kept[self.key]
+
+
 def crc_bucket(column: str, modulus: int) -> Column:
     """crc32 of an id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidegraph.llm.common import per_text, with_row_id
+from tidegraph.llm.common import Shared, per_text, with_row_id
 
 Q, EDIT_RATE = 12, 0.05
 WINDOW, TABLE_BITS = 1 << 20, 24
@@ -190,7 +190,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], q: int = Q, edi
     blocks = [b for b in passage_blocks(benchmark, block_chars) if b] or [[]]
     for block in blocks:
         block.sort()
-        shared = docs.sparkSession.sparkContext.broadcast(Passages([i for i, _ in block], [t for _, t in block], q, edit_rate))
+        shared = Shared(docs.sparkSession, Passages([i for i, _ in block], [t for _, t in block], q, edit_rate))
 
         def work(texts, shared=shared):
             p = shared.value

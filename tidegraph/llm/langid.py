@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidegraph.llm.common import crc_bucket, per_text
+from tidegraph.llm.common import Shared, crc_bucket, per_text
 
 #: Characters the automata tell apart; code 0 pads, 1 is a gap between words, 2 any other letter.
 ALPHABET = 56
@@ -182,7 +182,7 @@ def train(docs: DataFrame, reference: int = 32_768, docs_each: int = 48) -> Cros
 
 def identify(docs: DataFrame, parser: CrossParser, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` with lang_pred and score (how far the runner-up lies behind)."""
-    shared = docs.sparkSession.sparkContext.broadcast(parser)
+    shared = Shared(docs.sparkSession, parser)
 
     def work(texts):
         langs, scores = shared.value.predict(texts)

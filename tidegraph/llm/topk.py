@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidegraph.llm.common import with_row_id
+from tidegraph.llm.common import Shared, with_row_id
 from tidegraph.storage import materialize
 
 SCHEMA = "query_row long, query_id long, row long, vec_id long, score long"
@@ -123,7 +123,7 @@ def top_k(table: DataFrame, is_query: Column, k: int = 5, dim_block: int = 16, q
         # Hashed blocks come out near queries_at_once whatever the ids look like.
         local = asked.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b).toArrow()
         dims = max([1, *local.column("v").combine_chunks().value_lengths().to_pylist()]) if len(local) else 1
-        shared = spark.sparkContext.broadcast((to_matrix(local.column("v").combine_chunks(), dims), np.asarray(local.column("row")), np.asarray(local.column("vec_id"))))
+        shared = Shared(spark, (to_matrix(local.column("v").combine_chunks(), dims), np.asarray(local.column("row")), np.asarray(local.column("vec_id"))))
         found = found.union(vectors.mapInArrow(_searcher(shared, k, dim_block, chunk), SCHEMA))
     better = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(better)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidegraph.llm.common import crc_bucket, per_text
+from tidegraph.llm.common import Shared, crc_bucket, per_text
 from tidegraph.llm.labelled import labelled_sample
 
 FIT_ROWS = 12_000
@@ -98,7 +98,7 @@ class Lexicon:
         for start, weight in found.items():
             word = WORDS.match(folded, start)
             before, after = WORDS.findall(folded, max(0, start - 40), start)[-1:], WORDS.search(folded, word.end())
-            out.append((weight, tuple([f"{before[0]} {word[0]}"] * bool(before) + [f"{word[0]} {after[0]}"] * bool(after))))
+            out.append((weight, tuple([f"{w} {word[0]}" for w in before] + ([f"{word[0]} {after[0]}"] if after else []))))
         return out
 
     def measure(self, texts: list[str]) -> np.ndarray:
@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: in
     weights = learn_lexicon(sample)
     if not weights:
         return None
-    shared = docs.sparkSession.sparkContext.broadcast(Lexicon(weights))
+    shared = Shared(docs.sparkSession, Lexicon(weights))
 
     def look(texts):
         folded = [fold(t) for t in texts]
@@ -180,7 +180,7 @@ def score(docs: DataFrame, model: tuple[Lexicon, np.ndarray] | None, keep: list[
     """The columns ``keep`` of ``docs`` with the probability that a text is toxic as ``score``."""
     if model is None:
         return docs.select(*keep, F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def work(texts):
         lexicon, w = shared.value
