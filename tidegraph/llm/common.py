@@ -42,10 +42,10 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def per_text(df: DataFrame, work: Callable[[list[str]], dict], schema: str, text: str = "text") -> DataFrame:
+def per_text(df: DataFrame, work: Callable[[list[str]], dict], schema: str, text: str = "text", keep_text: bool = False) -> DataFrame:
     """Run ``work`` on lists of whole texts (null: empty) inside Arrow batches.
 
-    The other columns of ``df`` come out as they are, followed by the arrays of ``work``; ``schema`` is the whole result's.
+    The other columns of ``df`` (and the text, if kept) come out as they are, followed by the arrays of ``work``; ``schema`` is the whole result's.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,12 +53,20 @@ def per_text(df: DataFrame, work: Callable[[list[str]], dict], schema: str, text
             for part in pieces(batch, text):
                 texts = ["" if t is None else t for t in part.column(text).to_pylist()]
                 made = work(texts)
-                kept = [n for n in part.schema.names if n != text]
+                kept = [n for n in part.schema.names if keep_text or n != text]
                 yield pa.RecordBatch.from_arrays([part.column(n) for n in kept] + list(made.values()), names=kept + list(made))
 
     return df.mapInArrow(run, schema)
 
 
+def with_results(docs: DataFrame, keep: list[str], work: Callable[[list[str]], dict], made: str) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with what ``work`` makes of its texts (``made``: their DDL)."""
+    whole = "text" in keep
+    kept = docs.select(*keep) if whole else docs.select(*keep, F.col("text").alias("__text"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "__text"), made])
+    return per_text(kept, work, schema, "text" if whole else "__text", whole)
+
+
 def pieces(batch: pa.RecordBatch, text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes of text (one text at least)."""
     start, total = 0, 0

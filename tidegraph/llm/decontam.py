@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidegraph.llm.common import Shared, per_text, with_row_id
+from tidegraph.llm.common import Shared, with_results, with_row_id
 
 Q, EDIT_RATE = 12, 0.05
 WINDOW, TABLE_BITS = 1 << 20, 24
@@ -201,9 +201,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], q: int = Q, edi
                 "spans": pa.array([",".join(f"{p.ids[i]}:{a}:{b}:{e}" for i, a, b, e in f) for f in found], pa.string()),
             }
 
-        kept = with_row_id(docs, "__row").select(*keep, *(["__row"] if len(blocks) > 1 else []), F.col("text").alias("__text"))
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "n_items long, items string, spans string"])
-        part = per_text(kept, work, schema, "__text")
+        numbered = with_row_id(docs, "__row") if len(blocks) > 1 else docs
+        part = with_results(numbered, keep + ["__row"] * (len(blocks) > 1), work, "n_items long, items string, spans string")
         out = part if out is None else out.unionByName(part)
     if len(blocks) == 1:
         return out

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidegraph.llm.common import Shared, crc_bucket, per_text
+from tidegraph.llm.common import Shared, crc_bucket, with_results
 
 #: Characters the automata tell apart; code 0 pads, 1 is a gap between words, 2 any other letter.
 ALPHABET = 56
@@ -188,9 +188,7 @@ def identify(docs: DataFrame, parser: CrossParser, keep: list[str]) -> DataFrame
         langs, scores = shared.value.predict(texts)
         return {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())}
 
-    kept = docs.select(*keep, F.col("text").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "lang_pred string, score double"])
-    return per_text(kept, work, schema, "__text")
+    return with_results(docs, keep, work, "lang_pred string, score double")
 
 
 def op9_language(spark, sf_dir):

@@ -74,10 +74,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats:
     return out.withColumn("target", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = SEED, docs_per_shard: int = 2048, blocks_per_source: int = 200, max_block: int = 2048) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, source, shard) for every row of ``docs``; see the module."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = SEED, docs_per_shard: int = 2048, blocks_per_source: int = 200, max_block: int = 2048, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, source, shard) and the narrow columns ``carry`` for every row of ``docs``; see the module."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    read = materialize(docs.select("doc_id", "source", n_words("text").alias("size"), digest.alias("place")))
+    read = materialize(docs.select("doc_id", "source", n_words("text").alias("size"), digest.alias("place"), *carry))
     shards = F.greatest(F.lit(1), F.ceil(F.lit(read.count()) / docs_per_shard)).cast("long")
     rows = read.withColumn("shard", F.pmod(F.conv(F.substring("place", 1, 8), 16, 10).cast("long"), shards))
 
@@ -114,7 +114,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
     d = d.join(s, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("shard") == F.col("of_shard")))
     upto = F.col("start") + F.col("upto")
     taken = _taken_until(upto) - _taken_until(upto - F.col("size"))
-    return d.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "shard")
+    return d.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "shard", *carry)
 
 
 def _chosen(k):

@@ -24,9 +24,9 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from tidegraph.llm.common import per_text
+from tidegraph.llm.common import with_results
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -247,19 +247,13 @@ def detect(docs: DataFrame, keep: list[str]) -> DataFrame:
         out["spans"] = pa.array([written(e) for _, e in made], pa.string())
         return out
 
-    return _run(docs, keep, work, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return with_results(docs, keep, work, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redacted(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` with the text without its personal data as ``clean`` (null stays null only if the caller keeps it so)."""
     weights = fit_unary()
-    return _run(docs, keep, lambda texts: {"clean": pa.array([redact(t, find(t, weights)[1]) for t in texts], pa.string())}, "clean string")
-
-
-def _run(docs: DataFrame, keep: list[str], work, made: str) -> DataFrame:
-    kept = docs.select(*keep, F.col("text").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), made])
-    return per_text(kept, work, schema, "__text")
+    return with_results(docs, keep, lambda texts: {"clean": pa.array([redact(t, find(t, weights)[1]) for t in texts], pa.string())}, "clean string")
 
 
 def op2_pii(spark, sf_dir):

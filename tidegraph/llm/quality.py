@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidegraph.llm.boosting import Trees, fit
-from tidegraph.llm.common import Shared, crc_bucket, per_text
+from tidegraph.llm.common import Shared, crc_bucket, per_text, with_results
 from tidegraph.llm.labelled import labelled_sample
 
 FIT_ROWS = 12_000
@@ -73,9 +73,7 @@ def score(docs: DataFrame, model: Trees, keep: list[str], into: str = "score") -
     """The columns ``keep`` of ``docs`` with the model's probability of label 1 as ``into``."""
     shared = Shared(docs.sparkSession, (model.feature, model.threshold, model.leaf, model.base))
     work = lambda texts: {into: pa.array(Trees(*shared.value).probability(matrix(texts)), pa.float64())}
-    kept = docs.select(*keep, F.col("text").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), f"`{into}` double"])
-    return per_text(kept, work, schema, "__text")
+    return with_results(docs, keep, work, f"`{into}` double")
 
 
 def op7_quality(spark, sf_dir):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidegraph.llm import chat, decontam, langid, mixing, pii, quality, simhash, topk, toxicity
+from tidegraph.llm import chat, decontam, langid, lm, mixing, pii, quality, simhash, topk, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_pii": pii.op2_pii,
     "op3_simhash": simhash.op3_simhash,
     "op4_decontaminate": decontam.op4_decontaminate,
+    "op5_language_model": lm.op5_language_model,
     "op6_top_k": topk.op6_top_k,
     "op7_quality": quality.op7_quality,
     "op8_toxicity": toxicity.op8_toxicity,

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidegraph.llm.common import Shared, crc_bucket, per_text
+from tidegraph.llm.common import Shared, crc_bucket, per_text, with_results
 from tidegraph.llm.labelled import labelled_sample
 
 FIT_ROWS = 12_000
@@ -187,9 +187,7 @@ def score(docs: DataFrame, model: tuple[Lexicon, np.ndarray] | None, keep: list[
         margin = np.clip(w[0] + lexicon.measure(texts) @ w[1:], -30, 30)
         return {"score": pa.array(1 / (1 + np.exp(-margin)), pa.float64())}
 
-    kept = docs.select(*keep, F.col("text").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "score double"])
-    return per_text(kept, work, schema, "__text")
+    return with_results(docs, keep, work, "score double")
 
 
 def op8_toxicity(spark, sf_dir):
