@@ -8,7 +8,7 @@ Joins on a hub's id are plain shuffled joins, which adaptive execution splits wh
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, functions as F, types as T
 
 from tidegraph.storage import Table
 
@@ -31,10 +31,11 @@ def jump(parents: DataFrame) -> DataFrame:
 
 def _jump_to_roots(parents: Table) -> Table:
     while True:
-        after = Table(jump(parents.df.select("id", "root")))
+        seen = Observation()
+        after = Table(jump(parents.df.select("id", "root")).observe(seen, F.coalesce(F.sum(F.col("moved").cast("int")), F.lit(0)).alias("moved")))
         parents.drop()
         parents = after
-        if after.df.where("moved").isEmpty():
+        if not seen.get["moved"]:
             return after
 
 
@@ -74,3 +75,20 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
     found = labels.df if labels else spark.createDataFrame([], T.StructType([T.StructField("id", kind), T.StructField("root", kind)]))
     everyone = (vertices.select("id").unionByName(known) if vertices is not None else known).where("id is not null").distinct()
     return everyone.join(found, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+
+
+def component_ids(components: DataFrame) -> DataFrame:
+    """(id, root, component_id): dense numbers from 0 in the order of the roots.
+
+    Only the distinct roots are ranked, range-partitioned rather than in one task.
+    """
+    from tidegraph.sources.generate import ranked
+
+    roots = ranked(components.select("root").distinct(), ["root"], "component_id")
+    return components.join(roots, "root").select("id", "root", F.col("component_id").cast("long").alias("component_id"))
+
+
+def singleton_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, root) of the vertices without an edge: each its own component."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return vertices.select("id").join(ends, "id", "left_anti").select("id", F.col("id").alias("root"))
