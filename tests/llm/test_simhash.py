@@ -89,3 +89,15 @@ def test_near_duplicates_match_brute_force(spark):
         sets = [frozenset(s.shingle_hashes(t or "", 5).tolist()) for _, t in rows]
         sim = lambda a, b: len(a & b) >= 0.8 * len(a | b)
         assert [r["group"] for r in got] == [got[w]["row_id"] for w in components(len(rows), lambda a, b: sim(sets[a], sets[b]))]
+
+
+def test_jaccard_test_in_both_forms(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 90)).astype(np.uint32)) for _ in range(40)]
+    want = [[len(set(a) & set(b)) >= 0.6 * len(set(a) | set(b)) for b in sets] for a in map(set, map(np.ndarray.tolist, sets))]
+    for most in (1 << 26, 0):
+        monkeypatch.setattr(s, "MATRIX_BYTES", most)
+        test = s.jaccard_test(sets, 0.6)
+        assert [[bool(x) for x in test(i, list(range(40)))] for i in range(40)] == want

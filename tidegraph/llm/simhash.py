@@ -29,7 +29,7 @@ are null. Empty tables give empty results. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -42,6 +42,8 @@ from tidegraph.operators.components import connected_components
 from tidegraph.storage import materialize
 
 SEED = 42
+#: Candidates that a search verifies at once, and the most bytes of a shard's bit matrix.
+VERIFY, MATRIX_BYTES = 64, 1 << 26
 
 
 def shingle_hashes(text: str, k: int) -> np.ndarray:
@@ -70,7 +72,7 @@ def fingerprint(hashes: np.ndarray) -> int:
 class Tree:
     """A BK-tree over 64-bit fingerprints with a union-find that the search both uses and extends."""
 
-    def __init__(self, radius: int, same: Callable[[int, int], bool] | None = None):
+    def __init__(self, radius: int, same: Callable[[int, list[int]], Iterable[bool]] | None = None):
         self.radius, self.same = radius, same
         self.prints: list[int] = []
         self.children: list[dict[int, int]] = []
@@ -87,19 +89,33 @@ class Tree:
         """Join ``new`` (known, not yet in the tree) with all members within the radius."""
         if new == 0:
             return
-        fp, mine, r = self.prints[new], self.root(new), self.radius
-        stack = [0]
+        fp, r, prints, children, whole, root = self.prints[new], self.radius, self.prints, self.children, self.whole, self.root
+        stack, close, mine = [0], [], root(new)
         while stack:
             node = stack.pop()
-            if self.whole[node] >= 0 and self.root(self.whole[node]) == mine:
+            if whole[node] >= 0 and root(whole[node]) == mine:
                 continue
-            d = (fp ^ self.prints[node]).bit_count()
-            if d <= r and self.root(node) != mine and (self.same is None or self.same(new, node)):
-                a, b = sorted((self.root(node), mine))
-                self.parent[b] = mine = a
-            for distance, child in self.children[node].items():
+            d = (fp ^ prints[node]).bit_count()
+            if d <= r and root(node) != mine:
+                close.append(node)
+                # Verified some at a time, so that a link found early spares the rest of its component.
+                if self.same is None or len(close) == VERIFY:
+                    mine = self.settle(new, close)
+                    close = []
+            for distance, child in children[node].items():
                 if d - r <= distance <= d + r:
                     stack.append(child)
+        self.settle(new, close)
+
+    def settle(self, new: int, close: list[int]) -> int:
+        """Join ``new`` with those of ``close`` that hold up; its root from then on."""
+        if close and self.same is not None:
+            close = [n for n in close if self.root(n) != self.root(new)]
+            close = [n for n, ok in zip(close, self.same(new, close)) if ok] if close else close
+        for node in close:
+            a, b = sorted((self.root(node), self.root(new)))
+            self.parent[b] = a
+        return self.root(new)
 
     def insert(self, new: int) -> None:
         node, mine = 0, self.root(new)
@@ -239,6 +255,41 @@ def minhashes(hashes: np.ndarray, keys: int) -> list[int]:
     return out
 
 
+def jaccard_test(sets: list[np.ndarray], similarity: float) -> Callable[[int, list[int]], np.ndarray]:
+    """Tells which of several sets (sorted, distinct values) are at least so similar to one.
+
+    Only values that two sets share can count, so sets become rows of bits over those; a shard whose matrix would be too
+    large is compared by search.
+    """
+    sizes = np.array([len(x) for x in sets])
+    values, counts = np.unique(np.concatenate([np.zeros(0, np.uint32), *sets]), return_counts=True)
+    common = values[counts > 1]
+    words = -(-len(common) // 64)
+    bits = None
+    if len(sets) * words * 8 <= MATRIX_BYTES and len(common):
+        bits = np.zeros((len(sets), words * 8), np.uint8)
+        row = np.zeros(words * 64, np.uint8)
+        for i, x in enumerate(sets):
+            at = np.minimum(np.searchsorted(common, x), len(common) - 1)
+            row[:] = 0
+            row[at[common[at] == x]] = 1
+            bits[i] = np.packbits(row)
+        bits = bits.view(np.uint64)
+
+    def shared(a: int, b: int) -> int:
+        x, y = sets[a], sets[b]
+        return int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(x) else 0
+
+    def test(one: int, many: list[int]) -> np.ndarray:
+        if bits is not None:
+            both = np.bitwise_count(bits[many] & bits[one]).sum(axis=1, dtype=np.int64)
+        else:
+            both = np.array([shared(one, n) if min(sizes[one], sizes[n]) >= similarity * max(sizes[one], sizes[n]) else 0 for n in many])
+        return both >= similarity * (sizes[one] + sizes[many] - both)
+
+    return test
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, keys: int = 5, radius: int = 26, shard_rows: int = 4096) -> DataFrame:
     """(row_id, doc_id, group): every row with the smallest row_id of its group of near copies.
 
@@ -269,15 +320,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, keys:
 
     def work(shard: pa.Table) -> list[tuple[int, int]]:
         sets = [np.frombuffer(b, np.uint32) for b in shard.column("shingles").to_pylist()]
-
-        def same(a: int, b: int) -> bool:
-            x, y = sets[a], sets[b]
-            if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                return False
-            common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
-            return common >= similarity * (len(x) + len(y) - common)
-
-        return shard_links(shard.column("fp").to_pylist(), radius, same)
+        return shard_links(shard.column("fp").to_pylist(), radius, jaccard_test(sets, similarity))
 
     edges = placed.mapInArrow(by_shard(work, "row_id"), "src long, dst long").distinct()
     linked = connected_components(edges)
