@@ -26,6 +26,7 @@ FIT_ROWS = 12_000
 THRESHOLD = 0.3
 #: Byte classes counted from one histogram of the text.
 CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".,;:", b"!", b"?", b"#$%&*", b"|", b"<>{}[]\\/=_^~`@+", bytes(range(128, 256)), b"\n")
+WIDTH = 2 * len(CLASSES) + 12
 
 
 def class_matrix() -> np.ndarray:
@@ -40,7 +41,7 @@ def statistics(text: str, classes: np.ndarray) -> list[float]:
     words = raw.split()
     n, size = len(words), len(raw)
     if not n:
-        return [0.0] * (2 * len(CLASSES) + 12)
+        return [0.0] * WIDTH
     counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ classes
     seen = Counter(words)
     repeats = sum(map(eq, words, words[1:]))
@@ -56,7 +57,7 @@ def statistics(text: str, classes: np.ndarray) -> list[float]:
 
 def matrix(texts: list[str]) -> np.ndarray:
     classes = class_matrix()
-    return np.array([statistics(t, classes) for t in texts], dtype=float).reshape(len(texts), 2 * len(CLASSES) + 12)
+    return np.array([statistics(t, classes) for t in texts], dtype=float).reshape(len(texts), WIDTH)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: int = FIT_ROWS) -> Trees:
@@ -64,7 +65,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows:
     work = lambda texts: {"x": pa.array(list(matrix(texts)), pa.list_(pa.float64()))}
     rows = per_text(sample.select("text", F.col("label").cast("int").alias("y")), work, "y int, x array<double>").toArrow()
     y = np.asarray(rows.column("y").to_pylist(), dtype=float)
-    x = np.asarray(rows.column("x").to_pylist(), dtype=float).reshape(len(y), -1)
+    x = np.asarray(rows.column("x").to_pylist(), dtype=float).reshape(len(y), WIDTH)
     order = np.lexsort((*x.T, y)) if len(y) else []
     return fit(x[order], y[order])
 
