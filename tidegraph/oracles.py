@@ -27,6 +27,23 @@ v0 AS (
   FROM e JOIN v a ON a.id = src JOIN v b ON b.id = dst
 ), both_ways AS (SELECT src AS id, dst AS nbr, w FROM e UNION ALL SELECT dst, src, w FROM e)"""
 
+#: The dense bipartite graph of parts and suppliers.
+TRADE = f"""
+e AS MATERIALIZED (
+  SELECT least(p, s) AS src, greatest(p, s) AS dst, CAST(least(sum(q) * 10000, 1000000) AS BIGINT) AS w
+  FROM (SELECT l_partkey * 2 AS p, l_suppkey * 2 + 1 AS s, CAST(l_quantity AS BIGINT) AS q FROM lineitem) GROUP BY ALL
+), v0 AS (
+  SELECT id, CAST((id // 2) % 2 AS INTEGER) AS true_label, CAST(CASE WHEN id % 20 = 0 THEN 0 ELSE 1 + id % 4 END AS INTEGER) AS batch_id,
+         id % 20 = 0 OR id % 50 = 7 AS known FROM (SELECT src AS id FROM e UNION SELECT dst FROM e)
+), v AS MATERIALIZED (
+  SELECT id, true_label, batch_id,
+         CAST(CASE WHEN NOT known AND id % 11 = 3 THEN least(batch_id + (id // 11) % 2, {BATCHES - 1}) END AS INTEGER) AS delete_batch,
+         CASE WHEN known THEN true_label END AS gt_class FROM v0
+), lines AS MATERIALIZED (
+  SELECT src, dst, w, greatest(a.batch_id, b.batch_id) AS starts, least(a.delete_batch, b.delete_batch) AS ends
+  FROM e JOIN v a ON a.id = src JOIN v b ON b.id = dst
+)"""
+
 
 def live(b: int, alias: str = "") -> str:
     return f"({alias}batch_id <= {b} AND ({alias}delete_batch IS NULL OR {alias}delete_batch > {b}))"
@@ -98,8 +115,8 @@ MOVED = f"moved AS MATERIALIZED (SELECT o.id FROM one o JOIN start s ON s.id = o
 HALF = f"half AS MATERIALIZED (SELECT id, CAST({LABEL // 2} AS BIGINT) AS f FROM alive)"
 
 
-def sql(select: str, *ctes: str) -> str:
-    return "WITH RECURSIVE " + ",\n".join([GRAPH, *ctes]) + "\n" + select
+def sql(select: str, *ctes: str, graph: str = GRAPH) -> str:
+    return "WITH RECURSIVE " + ",\n".join([graph, *ctes]) + "\n" + select
 
 
 def status(b: int) -> str:
@@ -188,6 +205,8 @@ ORACLES = {
       FROM s{SWEEPS} JOIN v USING (id) WHERE id IN (FROM open)""", *FULL),
     "dynamic_label_propagation": sql(f"SELECT id, f FROM l{LAST}", *ENGINE),
     "engine_metrics": sql(" UNION ALL ".join(METRICS), *ENGINE),
+    "trade_edge_activation": sql("SELECT src, dst, w, starts AS batch_id FROM lines", graph=TRADE),
+    "trade_propagate_step": sql("SELECT id, f FROM one", AT, START, ONE, graph=TRADE),
     "run_summary": """SELECT count(*) AS batches, round(sum(n_nationkey * 10.0::DOUBLE), 6) AS total_ms, round(avg(n_regionkey / 5.0::DOUBLE), 6) AS mean_accuracy,
       round(max_by(n_regionkey / 5.0::DOUBLE, n_nationkey), 6) AS final_accuracy, round(600 / sum(n_nationkey * 10.0::DOUBLE), 6) AS speedup FROM nation""",
 }

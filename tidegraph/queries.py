@@ -167,6 +167,8 @@ QUERIES = {
     "dynamic_label_propagation": lambda spark, sf_dir: engine(spark, sf_dir).all_labels(),
     "engine_metrics": engine_metrics,
     "run_summary": run_summary,
+    "trade_edge_activation": lambda spark, sf_dir: S.edge_activation(X.trade_graph(spark, sf_dir)),
+    "trade_propagate_step": lambda spark, sf_dir: swept(Case(spark, sf_dir, graph=X.trade_graph)),
     "gen_labels": lambda spark, _: G.gen_labels(spark, N),
     "gen_backbone": lambda spark, _: G.gen_backbone(spark, N),
     "gen_edges": lambda spark, _: G.gen_edges(spark, N, DEGREE),
