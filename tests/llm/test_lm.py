@@ -70,3 +70,10 @@ def test_no_training_rows_and_no_rows(spark):
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got] == [(3, 0, 0, 0.0), (1, 0, 0, 0.0)]
     assert all(math.isfinite(r.score) for r in got)
     assert lm.score_texts(docs.limit(0), lm.F.lit(True), ["doc_id"]).count() == 0
+
+
+def test_frequent_words_are_whole_levels_of_counts(spark):
+    counts = spark.createDataFrame([("a", 100), ("b", 50), ("c", 50), ("d", 2), ("e", 1), ("f", 1)], "token string, c long")
+    assert lm.frequent(counts, 9) == [(b"a", 100), (b"b", 50), (b"c", 50), (b"d", 2), (b"e", 1), (b"f", 1)]
+    assert lm.frequent(counts, 5) == [(b"a", 100), (b"b", 50), (b"c", 50), (b"d", 2)]
+    assert lm.frequent(counts, 2) == [(b"a", 100)] and lm.frequent(counts, 0) == [] == lm.frequent(counts.limit(0), 5)

@@ -69,6 +69,26 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
 
+def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The words above the lowest count that at most ``most`` words reach, by falling count.
+
+    Counts are tallied by eighths of a doubling (some five hundred at most), so that no task sends more than
+    its share of the words that are kept; a global top list would have every task send ``most`` candidates.
+    """
+    step = F.floor(F.log2("c") * 8).cast("int")
+    tally = sorted(((r["k"], r["n"]) for r in counts.groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    lowest, total = None, 0
+    for k, n in tally:
+        total += n
+        if total > most:
+            break
+        lowest = k
+    if lowest is None:
+        return []
+    rows = counts.where(step >= lowest).collect()
+    return sorted(((r["token"].encode(), r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 class Vocabulary:
     """The head words: their model id (0 is the start, then the words, then the classes) and count."""
 
@@ -263,8 +283,7 @@ def score_texts(docs: DataFrame, train_where, keep: list[str]) -> DataFrame:
     by_class = counts.where("token != ''").groupBy(last.cast("int").alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect()
     end = counts.where("token = ''").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     total, kinds = end + sum(r["c"] for r in by_class), sum(r["n"] for r in by_class) + (end > 0)
-    head = [(r["token"].encode(), r["c"]) for r in counts.orderBy(F.desc("c"), "token").limit(HEAD).collect()]
-    head = [(END, end), *[x for x in head if x[0] != END]]
+    head = [(END, end), *frequent(counts.where("token != ''"), HEAD)]
     mass = np.full(CLASSES, SMOOTH)
     for r in by_class:
         mass[r["k"]] += r["c"] + SMOOTH * r["n"]
