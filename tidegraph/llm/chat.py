@@ -10,8 +10,7 @@ number have no order: they go to hashed parts numbered below zero. Exact repeats
 (same conversation, turn, role and text) are rendered once, which also merges them before the
 shuffle; different texts under one number are ordered by role, then text, by code point, nulls
 first. A null text renders empty. A null role is an unnamed user and no perspective; a part
-without ``system``-only perspective speakers still appears for each speaker of its
-conversation. Rows with a null conv_id form one conversation. A conversation with system turns
+in which a speaker says nothing is still rendered for that speaker. Rows with a null conv_id form one conversation. A conversation with system turns
 only has no rows, and so has an empty table. Other columns are ignored. Texts are rendered as
 they are: markers inside them are not escaped.
 """
