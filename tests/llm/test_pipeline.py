@@ -2,6 +2,7 @@ import corpus_pipeline as cp
 import pytest
 
 from tidegraph.llm import decontam, pii, simhash
+from tidegraph.llm.common import CUTS, with_row_id
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +54,19 @@ def test_stages_take_effect(spark, folder, tmp_path):
 
 def test_run_is_the_stages(spark, folder):
     assert {"doc_id", "text", "taken"} <= set(cp.run(spark, folder).columns) and cp.ORACLE_SQL is None
+
+
+def test_row_ids_outlive_executors(spark, tmp_path):
+    spark.range(4000).repartition(16).write.parquet(str(tmp_path / "many"))
+    cores, cuts = "spark.sql.leafNodeDefaultParallelism", spark.conf.get(CUTS, None)
+    spark.conf.unset(CUTS)
+    seen, docs = [], spark.read.parquet(str(tmp_path / "many"))
+    try:
+        for n in (8, 2):  # scans are planned for so many cores
+            spark.conf.set(cores, n)
+            seen.append({r.row_id: r.id for r in with_row_id(docs).collect()})
+    finally:
+        spark.conf.unset(cores)
+        if cuts is not None:
+            spark.conf.set(CUTS, cuts)
+    assert seen[0] == seen[1] and len(seen[0]) == 4000

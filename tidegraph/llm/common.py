@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word of the contracts: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: From how many cores on Spark cuts files smaller; see ``with_row_id``.
+CUTS = "spark.sql.files.minPartitionNum"
 
 
 class Shared:
@@ -38,7 +40,14 @@ def crc_bucket(column: str, modulus: int) -> Column:
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """A long that tells repeated rows apart; the same on a re-run of the same scan."""
+    """A long that tells repeated rows apart; the same on a re-run of the same scan.
+
+    Spark cuts files by the number of cores that it has when it plans a scan, so an executor lost or gained between two scans
+    would move the ids. The first call therefore fixes that number for the session, unless it is set.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(CUTS, None) is None:
+        spark.conf.set(CUTS, spark.sparkContext.defaultParallelism)
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
