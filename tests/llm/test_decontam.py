@@ -65,7 +65,7 @@ def test_windows_of_long_texts(monkeypatch):
 def test_edge_rows_and_blocks(spark):
     passage = "one two three four five six seven eight nine ten"
     docs = spark.createDataFrame([(1, None, "q"), (2, "", "q"), (3, "Says: One  two\nthree four five six seven eight nine TEN!", "q"), (3, passage, "q"), (None, "short one", "q"), (9, "clean " * 50, "q")], "doc_id long, text string, items string")
-    bench = spark.createDataFrame([(1, passage), (2, passage), (3, ""), (4, None), (5, "short"), (None, "clean clean clean")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, passage), (1, passage), (2, passage), (2, passage[:-4]), (3, ""), (4, None), (5, "short"), (None, "clean clean clean")], "item_id long, text string")
     for chars in (1 << 20, 60):
         got = sorted((r.doc_id or 0, r.n_items, ",".join(sorted(r["items"].split(",")))) for r in d.scan(docs, bench, ["doc_id"], block_chars=chars).collect())
         assert got == [(0, 1, "5"), (1, 0, ""), (2, 0, ""), (3, 2, "1,2"), (3, 2, "1,2"), (9, 0, "")]

@@ -13,7 +13,7 @@ more than a passage.
 
 Defined cases. Null and empty texts are clean. Passages with under q characters are matched as
 whole strings between word ends; empty and null ones match nothing; repeated passages count each by
-its item_id. Repeated rows are done each. Extra columns are ignored.
+its item_id, rows repeated whole once. Repeated documents are done each. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -178,9 +178,9 @@ def passage_blocks(benchmark: DataFrame, block_chars: int) -> list[list[tuple[in
     size = F.coalesce(F.length("text"), F.lit(0))
     total = benchmark.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     parts = max(1, -(-2 * total // block_chars))
-    rows = with_row_id(benchmark.select("item_id", "text").where("item_id is not null and text is not null"))
+    rows = benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct()
     for p in range(parts):
-        some = rows.where(F.pmod(F.xxhash64("row_id"), F.lit(parts)) == p).collect()
+        some = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).collect()
         yield [(r["item_id"], normal(r["text"])) for r in some]
 
 
@@ -206,8 +206,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], q: int = Q, edi
         out = part if out is None else out.unionByName(part)
     if len(blocks) == 1:
         return out
-    joined = lambda c: F.array_join(F.filter(F.collect_list(c), lambda x: x != ""), ",").alias(c)
-    return out.groupBy("__row", *keep).agg(F.sum("n_items").alias("n_items"), joined("items"), joined("spans")).drop("__row")
+    every = lambda c: F.array_distinct(F.filter(F.flatten(F.collect_list(F.split(c, ","))), lambda x: x != ""))
+    items, spans = every("items"), every("spans")
+    found = [F.size(items).cast("long").alias("n_items"), F.array_join(items, ",").alias("items"), F.array_join(spans, ",").alias("spans")]
+    return out.groupBy("__row", *keep).agg(*found).drop("__row")
 
 
 def op4_decontaminate(spark, sf_dir):
