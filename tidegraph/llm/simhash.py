@@ -313,7 +313,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, keys:
     classes = rows.groupBy("class").agg(F.min("row_id").alias("row_id"))
     first = materialize(rows.select("row_id", "fp", "keys").join(classes.select("row_id"), "row_id", "left_semi"))
     exploded = first.select(F.explode("keys").alias("key"), "row_id", "fp")
-    shared = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # Written first, so that the join reads plain shuffles and a hot key's rows can be split.
+    shared = materialize(exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
     members = materialize(exploded.join(shared, "key", "left_semi"))
     sets = rows.select("row_id", "shingles").join(members.select("row_id").distinct(), "row_id", "left_semi")
     placed = sharded(members, shard_rows).join(sets, "row_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "row_id")
