@@ -73,6 +73,43 @@ def test_oversized_shards_lose_no_link(spark):
         assert sorted(r["count"] for r in got) == sizes
 
 
+def test_scattered_shards_are_keyed_anew_and_lose_no_link(spark):
+    rng = random.Random(3)
+    prints = {rng.getrandbits(40) << 24 for _ in range(150)}  # one hot key: the low bits agree
+    prints = sorted(prints | {p ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for p in list(prints)[:60]})
+    df = spark.createDataFrame([(s.signed(p),) for p in prints], "fp long")
+    root = components(len(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4)
+    want = {frozenset(s.signed(prints[i]) for i in range(len(prints)) if root[i] == r) for r in set(root) if root.count(r) > 1}
+    got = {}
+    for r in s.hamming_components(df, shard_rows=8).collect():
+        got.setdefault(r["root"], set()).add(r["id"])
+    assert {frozenset(v) for v in got.values()} == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**64 - 1), st.lists(st.integers(0, 63), max_size=4), st.integers(0, 14))
+def test_finer_keys_are_exact(fp, flips, band):
+    other = fp
+    for b in flips:
+        other ^= 1 << b
+    mask = s.band_pairs(4)[band]
+    parts = s.finer_masks(mask, 4)
+    assert sum(parts) == ~mask % 2**64 and len(parts) == 5
+    assert any(not (fp ^ other) & m for m in parts)
+
+
+def test_hot_line_shared_by_unlike_texts_loses_no_link(spark):
+    rng = random.Random(4)
+    line, rows = [f"h{i}" for i in range(30)], []
+    for i in range(60):
+        words = line + [f"w{rng.randrange(99999)}" for _ in range(45)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:-1] + ["end"]))] if i % 2 else [(2 * i, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = s.near_duplicates(docs, shard_rows=4).orderBy("row_id").collect()
+    at = {r["doc_id"]: r["row_id"] for r in got}
+    assert [r["group"] for r in got] == [at[d - 1] if d % 2 else at[d] for d, _ in rows]
+
+
 def test_near_duplicates_match_brute_force(spark):
     rng = random.Random(9)
     rows, base = [(None, None), (1, ""), (2, "short text"), (2, "short text")], []

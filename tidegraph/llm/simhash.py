@@ -8,16 +8,20 @@ component, so a dense group costs about one visit a member, and links come out a
 each component's first member, never as all pairs.
 
 Trees live where their shard is instead of being broadcast: all trees together grow with the
-corpus and have no size bound. Shards above ``shard_rows`` members are cut into blocks, and each
-pair of blocks is searched in a task of its own, so no task holds more than twice that many.
+corpus and have no size bound. Shards above ``shard_rows`` members are cut into blocks, first searched each by itself.
+Then only members of different components can gain from meeting, so the blocks outside a shard's largest component are
+paired with all its blocks, those inside never with each other: a group of copies however large
+costs as many tasks as it has blocks. A shard with more than one block outside (unlike rows that share a key)
+is first keyed anew, more finely. No task holds more than twice ``shard_rows``.
 
 Two ways to shards:
 
 * ``hamming_components``: exact within ``radius`` bits. The 64 bits are cut into bands so that close
-  fingerprints agree on at least two whole bands (pigeonhole); every pair of bands is a key.
+  fingerprints agree on at least two whole bands (pigeonhole); every pair of bands is a key. Finer keys add a part of the
+  other bits, exact likewise.
 * ``near_duplicates``: documents whose k-word shingle sets have Jaccard similarity of at
   least ``similarity``. Shards are keyed by single min-hash values of the set (a similar pair shares one of
-  five with probability 0.9997 at 0.8, more above), trees hold the documents' SimHash with a wide radius and each
+  five with probability 0.9997 at 0.8, more above; so with the five further values that finer keys add), trees hold the documents' SimHash with a wide radius and each
   link is verified on the shingle sets themselves.
 
 Defined cases. A null text is empty. Fewer words than a shingle: the whole sequence is the one
@@ -148,17 +152,50 @@ def shard_links(prints: list[int], radius: int, same=None) -> list[tuple[int, in
     return [(tree.root(i), i) for i in range(len(prints)) if tree.root(i) != i]
 
 
-def sharded(members: DataFrame, shard_rows: int) -> DataFrame:
-    """``members`` (key, ...) with block columns i and j: (0, 0), or a row for each pair of blocks of an oversized shard."""
-    rows = members.withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
+def main_components(rows: DataFrame, shard_rows: int) -> DataFrame:
+    """For each key of ``rows`` (key, root, ...): its largest component, all its rows, and the blocks for rows inside and outside of it."""
+    counts = rows.groupBy("key", "root").count()
+    tops = counts.groupBy("key").agg(F.max(F.struct("count", "root")).alias("top"), F.sum("count").alias("n"))
+    blocks = lambda n: F.ceil(n / shard_rows).cast("int")
+    return tops.select("key", F.col("top.root").alias("main"), "n", blocks(F.col("top.count")).alias("inner"), blocks(F.col("n") - F.col("top.count")).alias("outer"))
+
+
+def across(rows: DataFrame, sizes: DataFrame, shard_rows: int, id_column: str) -> DataFrame:
+    """``rows`` with block columns i and j, so that any two of a key meet unless both are in its largest component."""
+    columns = [c for c in rows.columns if c != "root"]
+    whole, inside, inner, outer = F.col("n") <= 2 * shard_rows, F.col("root") == F.col("main"), F.col("inner"), F.col("outer")
+    inside_block, outside_block = F.pmod(F.xxhash64(id_column), inner), inner + F.pmod(F.xxhash64(id_column), outer)
+    cut = rows.join(sizes.where("outer > 0"), "key")
+    cut = cut.withColumn("own", F.when(whole, 0).when(inside, inside_block).otherwise(outside_block).cast("int"))
+    last = inner + outer - 1
+    others = F.when(whole, F.array(F.lit(0))).when(inside, F.sequence(inner, last)).otherwise(F.sequence(F.lit(0), last))
+    cut = cut.withColumn("other", F.explode(others))
+    return cut.select(*columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def linked_shards(members: DataFrame, shard_rows: int, id_column: str, finer: Callable, links: Callable) -> DataFrame:
+    """(id, root) of all that ``links`` finds linked in the shards of ``members`` (key, id, ...).
+
+    ``links`` gives the edges of rows with block columns i and j, within each (key, i, j). ``finer`` gives rows of oversized
+    shards keyed anew, so that any two which share a key and could be linked share one of the new keys.
+    """
+    place = lambda rows, own: rows.withColumn("i", own).withColumn("j", F.col("i"))
     large = materialize(members.groupBy("key").count().where(F.col("count") > shard_rows))
     if large.isEmpty():
-        return rows
-    own = F.pmod(F.xxhash64(*[c for c in members.columns if c != "key"]), F.col("blocks")).cast("int")
-    cut = members.join(large.select("key", F.ceil(F.col("count") / shard_rows).cast("int").alias("blocks")), "key").withColumn("own", own)
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select(*members.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    return rows.join(large.select("key"), "key", "left_anti").select(*cut.columns).unionByName(cut)
+        return connected_components(links(place(members, F.lit(0))).distinct())
+    blocks = large.select("key", F.ceil(F.col("count") / shard_rows).cast("int").alias("blocks"))
+    own = F.coalesce(F.pmod(F.xxhash64(id_column), F.col("blocks")), F.lit(0)).cast("int")
+    edges = materialize(links(place(members.join(blocks, "key", "left"), own).drop("blocks")).distinct())
+    roots = materialize(connected_components(edges).withColumnRenamed("id", id_column))
+    hot = members.join(large.select("key"), "key", "left_semi").join(roots, id_column, "left")
+    hot = materialize(hot.select(*members.columns, F.coalesce("root", id_column).alias("root")))
+    sizes = materialize(main_components(hot, shard_rows))
+    rest = across(hot, sizes.where("outer <= 1"), shard_rows, id_column)
+    scattered = sizes.where("outer > 1").select("key")
+    if not scattered.isEmpty():
+        split = materialize(finer(hot.join(scattered, "key", "left_semi")).select(*hot.columns))
+        rest = rest.unionByName(across(split, materialize(main_components(split, shard_rows)), shard_rows, id_column))
+    return connected_components(edges.union(links(rest)).distinct())
 
 
 def by_shard(work: Callable[[pa.RecordBatch], list[tuple[int, int]]], id_column: str):
@@ -209,19 +246,32 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def finer_masks(mask: int, radius: int) -> list[int]:
+    """Masks of the bits outside ``mask`` in radius + 1 parts: prints within the radius agree on one of them."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    return [sum(1 << b for b in part.tolist()) for part in np.array_split(np.array(free), radius + 1)]
+
+
 def hamming_components(prints: DataFrame, radius: int = 4, shard_rows: int = 4096) -> DataFrame:
     """(id, root) of the fingerprints (column fp, distinct) that have a neighbour within ``radius``."""
     masks = band_pairs(radius)
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks)])
     # A key is a hash of the masked bits; a chance meeting of two keys only shows more prints to the tree.
-    members = prints.select(F.explode(keys).alias("key"), "fp")
-    placed = sharded(members, shard_rows).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
+    members = prints.select(F.posexplode(keys).alias("bands", "key"), "fp")
+    parts = F.array(*[F.array(*[F.lit(signed(m)) for m in finer_masks(mask, radius)]) for mask in masks])
+
+    def finer(rows: DataFrame) -> DataFrame:
+        again = rows.withColumn("part", F.explode(F.get(parts, F.col("bands"))))
+        return again.withColumn("key", F.xxhash64("key", "part", F.col("fp").bitwiseAND(F.col("part"))))
 
     def work(shard: pa.Table) -> list[tuple[int, int]]:
         return shard_links(shard.column("fp").to_pylist(), radius)
 
-    edges = placed.mapInArrow(by_shard(work, "fp"), "src long, dst long").distinct()
-    return connected_components(edges)
+    def links(rows: DataFrame) -> DataFrame:
+        placed = rows.select("key", "i", "j", "fp").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
+        return placed.mapInArrow(by_shard(work, "fp"), "src long, dst long")
+
+    return linked_shards(members, shard_rows, "fp", finer, links)
 
 
 def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
@@ -242,11 +292,11 @@ def simhash_groups(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
     return rows.join(places, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def minhashes(hashes: np.ndarray, keys: int) -> list[int]:
-    """One min-hash value for each of ``keys`` seeded permutations, told apart by its number."""
+def minhashes(hashes: np.ndarray, keys: int, start: int = 0) -> list[int]:
+    """One min-hash value for each of ``keys`` seeded permutations from number ``start`` on, told apart by its number."""
     out = []
     with np.errstate(over="ignore"):
-        for i in range(keys):
+        for i in range(start, start + keys):
             odd = np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) & 0xFFFFFFFFFFFFFFFF)
             mixed = (hashes ^ (hashes >> np.uint64(31)) ^ odd) * np.uint64(0xBF58476D1CE4E5B9)
             mixed ^= mixed >> np.uint64(29)
@@ -317,14 +367,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, keys:
     shared = materialize(exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
     members = materialize(exploded.join(shared, "key", "left_semi"))
     sets = rows.select("row_id", "shingles").join(members.select("row_id").distinct(), "row_id", "left_semi")
-    placed = sharded(members, shard_rows).join(sets, "row_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "row_id")
+
+    def look_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [minhashes(np.frombuffer(b, np.uint32).astype(np.uint64), keys, keys) for b in batch.column("shingles").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(found, pa.list_(pa.int64()))], names=["row_id", "again"])
+
+    def finer(hot: DataFrame) -> DataFrame:
+        again = sets.join(hot.select("row_id").distinct(), "row_id", "left_semi").mapInArrow(look_again, "row_id long, again array<long>")
+        return hot.join(again, "row_id").withColumn("again", F.explode("again")).withColumn("key", F.xxhash64("key", "again"))
 
     def work(shard: pa.Table) -> list[tuple[int, int]]:
         sets = [np.frombuffer(b, np.uint32) for b in shard.column("shingles").to_pylist()]
         return shard_links(shard.column("fp").to_pylist(), radius, jaccard_test(sets, similarity))
 
-    edges = placed.mapInArrow(by_shard(work, "row_id"), "src long, dst long").distinct()
-    linked = connected_components(edges)
+    def links(rows: DataFrame) -> DataFrame:
+        placed = rows.join(sets, "row_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "row_id")
+        return placed.mapInArrow(by_shard(work, "row_id"), "src long, dst long")
+
+    linked = linked_shards(members, shard_rows, "row_id", finer, links)
     groups = classes.join(linked.withColumnRenamed("id", "row_id"), "row_id", "left").select("class", F.coalesce("root", "row_id").alias("group"))
     return rows.select("row_id", "doc_id", "class").join(groups, "class").select("row_id", "doc_id", "group")
 
