@@ -22,7 +22,8 @@ Two ways to shards:
 * ``near_duplicates``: documents whose k-word shingle sets have Jaccard similarity of at
   least ``similarity``. Shards are keyed by single min-hash values of the set (a similar pair shares one of
   five with probability 0.9997 at 0.8, more above; so with the five further values that finer keys add), trees hold the documents' SimHash with a wide radius and each
-  link is verified on the shingle sets themselves.
+  link is verified on the shingle sets themselves. Shards by the first value come first; of the other shards only those
+  that still hold several components are searched.
 
 Defined cases. A null text is empty. Fewer words than a shingle: the whole sequence is the one
 shingle; none: fingerprint 0 (and an empty set, equal to other empty sets). Repeated rows and ids
@@ -173,22 +174,25 @@ def across(rows: DataFrame, sizes: DataFrame, shard_rows: int, id_column: str) -
     return cut.select(*columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
 
-def linked_shards(members: DataFrame, shard_rows: int, id_column: str, finer: Callable, links: Callable) -> DataFrame:
-    """(id, root) of all that ``links`` finds linked in the shards of ``members`` (key, id, ...).
+def linked_shards(members: DataFrame, shard_rows: int, id_column: str, finer: Callable, links: Callable, turns: bool = False) -> DataFrame:
+    """(id, root) of all that ``links`` finds linked in the shards of ``members`` (key, turn, id, ...).
 
     ``links`` gives the edges of rows with block columns i and j, within each (key, i, j). ``finer`` gives rows of oversized
-    shards keyed anew, so that any two which share a key and could be linked share one of the new keys.
+    shards keyed anew, so that any two which share a key and could be linked share one of the new keys. With ``turns``, shards
+    of turn 0 come first, and of the others only those that still hold several components.
     """
-    place = lambda rows, own: rows.withColumn("i", own).withColumn("j", F.col("i"))
-    large = materialize(members.groupBy("key").count().where(F.col("count") > shard_rows))
-    if large.isEmpty():
-        return connected_components(links(place(members, F.lit(0))).distinct())
+    first = F.col("turn") == 0 if turns else F.lit(True)
+    large = materialize(members.where(first).groupBy("key").count().where(F.col("count") > shard_rows))
     blocks = large.select("key", F.ceil(F.col("count") / shard_rows).cast("int").alias("blocks"))
     own = F.coalesce(F.pmod(F.xxhash64(id_column), F.col("blocks")), F.lit(0)).cast("int")
-    edges = materialize(links(place(members.join(blocks, "key", "left"), own).drop("blocks")).distinct())
+    opening = members.where(first).join(blocks, "key", "left").withColumn("i", own).withColumn("j", F.col("i")).drop("blocks")
+    edges = links(opening).distinct()
+    if not turns and large.isEmpty():
+        return connected_components(edges)
+    edges = materialize(edges)
     roots = materialize(connected_components(edges).withColumnRenamed("id", id_column))
-    hot = members.join(large.select("key"), "key", "left_semi").join(roots, id_column, "left")
-    hot = materialize(hot.select(*members.columns, F.coalesce("root", id_column).alias("root")))
+    again = members.join(blocks, "key", "left").where(~first | F.col("blocks").isNotNull())
+    hot = materialize(again.join(roots, id_column, "left").select(*members.columns, F.coalesce("root", id_column).alias("root")))
     sizes = materialize(main_components(hot, shard_rows))
     rest = across(hot, sizes.where("outer <= 1"), shard_rows, id_column)
     scattered = sizes.where("outer > 1").select("key")
@@ -257,11 +261,11 @@ def hamming_components(prints: DataFrame, radius: int = 4, shard_rows: int = 409
     masks = band_pairs(radius)
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks)])
     # A key is a hash of the masked bits; a chance meeting of two keys only shows more prints to the tree.
-    members = prints.select(F.posexplode(keys).alias("bands", "key"), "fp")
+    members = prints.select(F.posexplode(keys).alias("turn", "key"), "fp")
     parts = F.array(*[F.array(*[F.lit(signed(m)) for m in finer_masks(mask, radius)]) for mask in masks])
 
     def finer(rows: DataFrame) -> DataFrame:
-        again = rows.withColumn("part", F.explode(F.get(parts, F.col("bands"))))
+        again = rows.withColumn("part", F.explode(F.get(parts, F.col("turn"))))
         return again.withColumn("key", F.xxhash64("key", "part", F.col("fp").bitwiseAND(F.col("part"))))
 
     def work(shard: pa.Table) -> list[tuple[int, int]]:
@@ -362,11 +366,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, keys:
     rows = materialize(per_text(kept, look, f"row_id long, doc_id {kind}, class long, fp long, keys array<long>, shingles binary", "__text"))
     classes = rows.groupBy("class").agg(F.min("row_id").alias("row_id"))
     first = materialize(rows.select("row_id", "fp", "keys").join(classes.select("row_id"), "row_id", "left_semi"))
-    exploded = first.select(F.explode("keys").alias("key"), "row_id", "fp")
+    exploded = first.select(F.posexplode("keys").alias("turn", "key"), "row_id", "fp")
     # Written first, so that the join reads plain shuffles and a hot key's rows can be split.
     shared = materialize(exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
     members = materialize(exploded.join(shared, "key", "left_semi"))
-    sets = rows.select("row_id", "shingles").join(members.select("row_id").distinct(), "row_id", "left_semi")
+    # Neither side of a join with the sets is bounded: merged at every size, never broadcast.
+    sets = rows.select("row_id", "shingles").hint("merge")
 
     def look_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -382,10 +387,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, keys:
         return shard_links(shard.column("fp").to_pylist(), radius, jaccard_test(sets, similarity))
 
     def links(rows: DataFrame) -> DataFrame:
-        placed = rows.join(sets, "row_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "row_id")
+        placed = rows.select("key", "i", "j", "row_id", "fp").join(sets, "row_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "row_id")
         return placed.mapInArrow(by_shard(work, "row_id"), "src long, dst long")
 
-    linked = linked_shards(members, shard_rows, "row_id", finer, links)
+    linked = linked_shards(members, shard_rows, "row_id", finer, links, turns=True)
     groups = classes.join(linked.withColumnRenamed("id", "row_id"), "row_id", "left").select("class", F.coalesce("root", "row_id").alias("group"))
     return rows.select("row_id", "doc_id", "class").join(groups, "class").select("row_id", "doc_id", "group")
 
