@@ -133,3 +133,16 @@ def test_languages(spark):
     assert all(pred[i] == lang for i, _, lang in rows[4:]) and all(0 <= r.score <= 1 for r in got)
     blank = langid.identify(docs, langid.train(docs.limit(0)), ["doc_id"])
     assert {r.lang_pred for r in blank.collect()} == {"und"}
+
+
+def test_a_short_book_does_not_cut_the_others(spark):
+    rng = random.Random(5)
+    word = lambda letters: "".join(rng.choices(letters, k=6))
+    rows = [(i, " ".join(word("abcdefgh") for _ in range(6)), "short texts") for i in range(3000)]
+    rows += [(10_000 + i, " ".join(word("stuvwxyz") for _ in range(600)), "long texts") for i in range(60)]
+    rows += [(20_000, "klm nop", "rare"), (20_001, "", "empty")]
+    parser = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    # Books by their scale: full ones for all that have the text, its own for the rare one, none without a letter.
+    books = {lang: 2**scale - len(parser.letters) - 2 for lang, scale in zip(parser.languages, parser.scale)}
+    assert {k: round(v) for k, v in books.items()} == {"long texts": 32_768, "short texts": 32_768, "rare": 8}
+    assert parser.predict([rows[0][1], rows[-3][1], "klm nop klm"])[0] == ["short texts", "long texts", "rare"]

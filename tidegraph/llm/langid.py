@@ -3,17 +3,19 @@
 For each language a suffix automaton is built over reference text from labelled documents. A
 text is cross-parsed against it: from each phrase start the longest match is followed and a
 mismatch starts the next phrase, so text of the language needs few phrases. The language with
-the fewest normalised phrases (phrases x log2(reference) / characters) wins.
+the fewest normalised phrases (phrases x log2(reference + letters) / characters) wins.
 
-Reference text is bounded: about ``docs_each`` documents a language, chosen by a hash of the id
-over all labelled rows, up to ``reference`` characters (a whole number of documents but for
-the last). Automata are built once on the driver and travel as edge lists; workers lay them out as dense
+Reference text is bounded: texts are drawn by their hash over all labelled rows (copies count once,
+ids play no part), as many as fill ``reference`` characters by a sum of letters that is taken first, so every
+language that has the text fills its book. A language with less text keeps its own shorter book and
+its own scale; no other book is cut for it. It is recognised less surely, for a short book finds shorter phrases.
+Automata are built once on the driver and travel as edge lists; workers lay them out as dense
 tables and step through all texts of a batch together, cut into ``segment`` characters so that
 long texts are parsed side by side (each cut adds at most one phrase for every language alike).
 
 Defined cases. Null texts and texts without a letter are ``und`` with score 0. A text whose
-letters all languages parse equally badly goes to the first language by code point. Without
-labelled rows every text is ``und``. Extra columns are ignored; repeated rows are scored each.
+letters all languages parse equally badly goes to the first language by code point. A language
+without a labelled letter is never predicted. Without labelled rows every text is ``und``. Extra columns are ignored; repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidegraph.llm.common import Shared, crc_bucket, with_results
 
@@ -160,24 +162,46 @@ class CrossParser:
 def train(docs: DataFrame, reference: int = 32_768, docs_each: int = 48) -> CrossParser:
     """Learn from rows whose lang is not null and whose id's crc32 modulo 4 is not 2."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_bucket("doc_id", 4) != 2))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    limit = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(int(min(1.0, docs_each / n) * (1 << 30))))]) if sizes else None
-    rows = known.where(draw < limit[F.col("lang")]).select("lang", draw.alias("draw"), F.substring("text", 1, reference).alias("text")).collect() if sizes else []
+    draw = F.shiftrightunsigned(F.xxhash64("text"), 4)
+    known = known.select("lang", draw.alias("draw"), F.substring("text", 1, reference).alias("text"))
+    size = F.length(F.trim(F.regexp_replace("text", r"[^\p{L}]+", " ")))
+    # The texts of level j and above are about one in 2^j; copies of a text count once.
+    level = F.floor(F.lit(60) - F.log2(F.col("draw") + 1)).cast("int")
+    pool = known.select("lang", "draw", size.alias("size")).groupBy("lang", "draw").agg(F.max("size").alias("size"))
+    tally = pool.groupBy("lang", level.alias("level")).agg(F.count_if(F.col("size") > 0).alias("n"), F.sum("size").alias("chars")).collect()
+    least: dict[str, int] = {}
+    n, chars = Counter(), Counter()
+    for r in sorted(tally, key=lambda r: -r["level"]):
+        lang = r["lang"]
+        if n[lang] < docs_each or chars[lang] < 2 * reference:
+            least[lang] = r["level"]
+        n[lang] += r["n"]
+        chars[lang] += r["chars"]
+    rows = []
+    if least:
+        levels = docs.sparkSession.createDataFrame(sorted(least.items()), "lang string, least int")
+        drawn = known.join(F.broadcast(levels), "lang").where(level >= F.col("least")).groupBy("lang", "draw").agg(F.min("text").alias("text"))
+        before = F.sum("size").over(Window.partitionBy("lang").orderBy("draw").rowsBetween(Window.unboundedPreceding, -1))
+        drawn = drawn.withColumn("size", size).where("size > 0").withColumn("before", F.coalesce(before, F.lit(0)))
+        rows = drawn.where(F.col("before") < 2 * reference).select("lang", "draw", "text").collect()
     texts: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["draw"], r["text"])):
+    for r in sorted(rows, key=lambda r: (r["lang"], r["draw"])):
         if len(texts.get(r["lang"], "")) < reference:
-            texts[r["lang"]] = (texts.get(r["lang"], "") + " " + clean(r["text"]))[:reference]
-    # The same characters from each, so that none has the larger book.
-    common = min(map(len, texts.values()), default=0)
-    texts = {k: v[: max(common, 2048)] for k, v in sorted(texts.items())}
+            texts[r["lang"]] = f"{texts.get(r['lang'], '')} {clean(r['text'])}"[:reference]
+    return parser_of(texts)
+
+
+def parser_of(texts: dict[str, str]) -> CrossParser:
+    """The parser of cleaned reference texts, each used whole."""
+    texts = {k: v for k, v in sorted(texts.items()) if v.strip()}
     letters = "".join(c for c, _ in sorted(Counter("".join(texts.values()).replace(" ", "")).items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 3])
     code = {c: i + 3 for i, c in enumerate(letters)} | {" ": 1}
     edges = []
     for v in texts.values():
         steps = suffix_automaton([code.get(c, 2) for c in v])
         edges.append(np.array([(s, c, t) for s, to in enumerate(steps) for c, t in to.items()], np.int32).reshape(-1, 3))
-    return CrossParser(list(texts), letters, edges, [math.log2(len(v) + 2) for v in texts.values()])
+    # A phrase points into the book or spells a letter, so a short book is no cheaper than spelling.
+    return CrossParser(list(texts), letters, edges, [math.log2(len(v) + len(letters) + 2) for v in texts.values()])
 
 
 def identify(docs: DataFrame, parser: CrossParser, keep: list[str]) -> DataFrame:
