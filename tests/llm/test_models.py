@@ -146,3 +146,19 @@ def test_a_short_book_does_not_cut_the_others(spark):
     books = {lang: 2**scale - len(parser.letters) - 2 for lang, scale in zip(parser.languages, parser.scale)}
     assert {k: round(v) for k, v in books.items()} == {"long texts": 32_768, "short texts": 32_768, "rare": 8}
     assert parser.predict([rows[0][1], rows[-3][1], "klm nop klm"])[0] == ["short texts", "long texts", "rare"]
+
+
+def test_languages_of_many_scripts_are_told_apart():
+    rng = random.Random(6)
+    han = [chr(0x4E00 + i) for i in range(1500)]
+    scripts = {"aa": "abcdefghijklmnopqrstuvwxyz", "el": "αβγδεζηθικλμνξοπρστυφχψω", "ru": "абвгдежзийклмнопрстуфхцчшщыьэюя", "ka": "აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ"}
+    scripts |= {"zh": han[:750], "zi": han[750:], "ext": [chr(0x20000 + i) for i in range(40)]}
+    words = {k: ["".join(rng.choices(v, k=3)) for _ in range(300)] for k, v in scripts.items()}
+    made = {k: " ".join(rng.choices(v, k=3000)) for k, v in words.items()}
+    parser = langid.parser_of(made)
+    assert set(parser.letters) == {c for v in made.values() for c in v} - {" "}
+    parser.lay_out()
+    coded = {c: tuple(parser.encode(c).tolist()) for c in parser.letters}
+    assert len(set(coded.values())) == len(parser.letters)
+    texts = [(k, " ".join(rng.choices(v, k=12))) for k, v in words.items() for _ in range(20)]
+    assert parser.predict([t for _, t in texts])[0] == [k for k, _ in texts]

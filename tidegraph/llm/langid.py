@@ -9,6 +9,8 @@ Reference text is bounded: texts are drawn by their hash over all labelled rows
 ids play no part), as many as fill ``reference`` characters by a sum of letters that is taken first, so every
 language that has the text fills its book. A language with less text keeps its own shorter book and
 its own scale; no other book is cut for it. It is recognised less surely, for a short book finds shorter phrases.
+Every letter of the books keeps a code: the most frequent ones a symbol, the others a short fixed sequence of symbols,
+so tables stay narrow however many scripts there are; only letters that no book has share one.
 Automata are built once on the driver and travel as edge lists; workers lay them out as dense
 tables and step through all texts of a batch together, cut into ``segment`` characters so that
 long texts are parsed side by side (each cut adds at most one phrase for every language alike).
@@ -30,8 +32,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidegraph.llm.common import Shared, crc_bucket, with_results
 
-#: Characters the automata tell apart; code 0 pads, 1 is a gap between words, 2 any other letter.
+#: Codes of one symbol; code 0 pads, 1 is a gap between words, 2 a letter of no book.
 ALPHABET = 56
+#: Letters of the books beyond the ``ALPHABET`` are written as a leading digit and further digits of this base.
+BASE = 32
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -76,6 +80,14 @@ class CrossParser:
         self.languages, self.letters, self.edges, self.scale = languages, letters, edges, scale
         self.table = self.code = None
 
+    @property
+    def digits(self) -> int:
+        """Symbols of a letter beyond the alphabet; 0 if there is none."""
+        rest, n = len(self.letters) - (ALPHABET - 3), 2
+        while BASE**n < rest:
+            n += 1
+        return n if rest > 0 else 0
+
     def __getstate__(self):
         return self.languages, self.letters, self.edges, self.scale
 
@@ -83,7 +95,7 @@ class CrossParser:
         self.__init__(*state)
 
     def lay_out(self):
-        width = len(self.letters) + 3
+        width = ALPHABET + 2 * BASE if self.digits else len(self.letters) + 3
         starts, tables = [], []
         at = 1  # state 0 is the dead one
         for e in self.edges:
@@ -96,7 +108,10 @@ class CrossParser:
         self.starts = np.array(starts, np.int32)
         self.table = np.concatenate([np.zeros((1, width), np.int32), *tables]).reshape(-1)
         self.width = width
-        self.code = np.full(0x110000, 2, np.int8)
+        self.assign_codes()
+
+    def assign_codes(self):
+        self.code = np.full(0x110000, 2, np.int32)
         # Whatever is no letter is a gap; tables are made for the basic plane, other letters count as such.
         self.code[:0x10000] = [2 if chr(i).isalpha() else 1 for i in range(0x10000)]
         for i, c in enumerate(self.letters):
@@ -108,7 +123,20 @@ class CrossParser:
         if len(codes):
             keep[0] = codes[0] != 1
             keep[1:] = (codes[1:] != 1) | (codes[:-1] != 1)
-        return codes[keep]
+        return self.spell(codes[keep])
+
+    def spell(self, codes: np.ndarray) -> np.ndarray:
+        """Letters beyond the alphabet (codes from ``ALPHABET`` on) as digits, the leading one apart from the others."""
+        n = self.digits
+        if not n or not (far := codes >= ALPHABET).any():
+            return codes.astype(np.int8)
+        out = np.repeat(codes, np.where(far, n, 1))
+        first = (np.cumsum(np.where(far, n, 1)) - np.where(far, n, 1))[far]
+        rest = codes[far] - ALPHABET
+        for i in range(n):
+            digit = rest // BASE ** (n - 1 - i) % BASE
+            out[first + i] = ALPHABET + digit + (BASE if i else 0)
+        return out.astype(np.int8)
 
     def phrases(self, texts: list[str], segment: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrases (texts, languages), characters and whether there is a letter."""
@@ -194,14 +222,17 @@ def train(docs: DataFrame, reference: int = 32_768, docs_each: int = 48) -> Cros
 def parser_of(texts: dict[str, str]) -> CrossParser:
     """The parser of cleaned reference texts, each used whole."""
     texts = {k: v for k, v in sorted(texts.items()) if v.strip()}
-    letters = "".join(c for c, _ in sorted(Counter("".join(texts.values()).replace(" ", "")).items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 3])
-    code = {c: i + 3 for i, c in enumerate(letters)} | {" ": 1}
-    edges = []
+    ranked = [c for c, _ in sorted(Counter("".join(texts.values()).replace(" ", "")).items(), key=lambda x: (-x[1], x[0]))]
+    # Those beyond the alphabet by code point, so that letters of a script share their leading digits.
+    letters = "".join(ranked[: ALPHABET - 3] + sorted(ranked[ALPHABET - 3 :]))
+    parser = CrossParser(list(texts), letters, [], [])
+    parser.assign_codes()
     for v in texts.values():
-        steps = suffix_automaton([code.get(c, 2) for c in v])
-        edges.append(np.array([(s, c, t) for s, to in enumerate(steps) for c, t in to.items()], np.int32).reshape(-1, 3))
+        steps = suffix_automaton(parser.encode(v).tolist())
+        parser.edges.append(np.array([(s, c, t) for s, to in enumerate(steps) for c, t in to.items()], np.int32).reshape(-1, 3))
     # A phrase points into the book or spells a letter, so a short book is no cheaper than spelling.
-    return CrossParser(list(texts), letters, edges, [math.log2(len(v) + len(letters) + 2) for v in texts.values()])
+    parser.scale = [math.log2(len(v) + len(letters) + 2) for v in texts.values()]
+    return CrossParser(parser.languages, letters, parser.edges, parser.scale)
 
 
 def identify(docs: DataFrame, parser: CrossParser, keep: list[str]) -> DataFrame:
