@@ -76,3 +76,10 @@ def test_edge_rows(spark):
     assert none.base_sha256 == hashlib.sha256(b"").hexdigest() and none.spans == ""
     assert [r.spans for r in got if r.doc_id == 2] == ["email:0:6"] * 2
     assert pii.detect(docs.limit(0), ["doc_id"]).count() == 0
+
+
+def test_addresses_of_very_many_zeros():
+    zeros = "0" * 4301
+    text = f"{zeros}.1.1.1 and {zeros}9.1.1.255 but {zeros}256.1.1.1 and {'9' * 5000}.1.1.1"
+    a = text.index("and") + 4
+    assert pii.base_spans(text)["ip"] == [(0, 4307), (a, a + 4310)]

@@ -76,7 +76,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
         if b - a < 7:
             continue
         for m in IP.finditer(text, a, b):
-            if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p) < 4 and int(p or "0") <= 255 for p in (d.lstrip("0") for d in m[0].split("."))):
                 found["ip"].append(m.span())
         for m in CARD.finditer(text, a, b):
             digits = DIGIT.sub("", m[0])
