@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from tidegraph.llm import boosting, langid, quality, topk, toxicity
+from tidegraph.llm.labelled import labelled_sample
 
 
 def test_top_k_is_exact(spark):
@@ -162,3 +163,23 @@ def test_languages_of_many_scripts_are_told_apart():
     assert len(set(coded.values())) == len(parser.letters)
     texts = [(k, " ".join(rng.choices(v, k=12))) for k, v in words.items() for _ in range(20)]
     assert parser.predict([t for _, t in texts])[0] == [k for k, _ in texts]
+
+
+def test_rows_of_one_or_no_id_do_not_pile_up(spark, monkeypatch):
+    rows = [(None, f"abcd{'efgh'[i % 4]} words {'ijklmnop'[i % 8]}{'qrstuvwxyz'[i // 8 % 10]}{'abcdefgh'[i // 80 % 8]} of a text " * 40, "en") for i in range(640)]
+    rows += [(77, "the same text again " * 40, "en")] * 500 + [(78, f"other text {i}", "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got, collect = [], type(docs).collect
+
+    def counted(self):
+        out = collect(self)
+        got.extend(r["text"] for r in out if "text" in self.columns)
+        return out
+
+    monkeypatch.setattr(type(docs), "collect", counted)
+    parser = langid.train(docs)
+    monkeypatch.undo()
+    assert parser.languages == ["en"] and len(got) == len(set(got)) and sum(map(len, got)) < 3 * 32_768
+    labels = spark.createDataFrame([(77, 1), (78, 0), (79, 0)], "doc_id long, quality int")
+    ids = [i for i in (77, 78) if zlib.crc32(str(i).encode()) % 1000]
+    assert len(labelled_sample(docs, labels, "quality", 1000, folds=1000).collect()) == len(ids) > 0
