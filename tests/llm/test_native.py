@@ -86,3 +86,14 @@ def test_perspectives(spark):
     loose = spark.createDataFrame([(1, None, "a", "x")] * 3 + [(1, None, "b", "y")], df.select("conv_id", "turn", "role", "text").schema)
     assert sum(r.n_turns for r in chat.rotate_perspectives(loose, unordered_parts=1).collect()) == 4
     assert chat.rotate_perspectives(df.limit(0)).count() == 0
+
+
+def test_turns_without_a_number_stay_together_in_bounded_parts(spark):
+    rows = [(1, None, "ab"[i % 2], f"turn {i}") for i in range(8)] + [(2, None, "a", f"t{i}") for i in range(1300)] + [(None, None, "c", "x"), (None, None, None, None), (1, 3, "a", "numbered")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.rotate_perspectives(df).collect()
+    ours = {r.perspective: r for r in got if r.conv_id == 1 and r.part == -1}
+    assert {k: (r.n_turns, r.n_masked) for k, r in ours.items()} == {"a": (8, 4), "b": (8, 4)}
+    assert re.findall(r"turn \d", ours["a"].text) == [f"turn {i}" for i in (0, 2, 4, 6, 1, 3, 5, 7)]
+    assert sorted((r.part, r.n_turns) for r in got if r.conv_id == 2) == [(-3, 276), (-2, 512), (-1, 512)]
+    assert [(r.part, r.n_turns) for r in got if r.conv_id is None] == [(-1, 2)] and len(got) == 8

@@ -6,7 +6,8 @@ One row per conversation, perspective and part. The perspective's own turns are
 
 Defined cases. A part covers ``turns_per_part`` consecutive turn numbers, so one huge
 conversation is spread over many rows; ordinary ones have the single part 0. Turns without a
-number have no order: they go to hashed parts numbered below zero. Exact repeats of a turn
+number come in parts -1, -2, ... of at most ``turns_per_part`` turns by a running rank, so an ordinary
+conversation's are together in part -1; within a part they are ordered by role, then text. Exact repeats of a turn
 (same conversation, turn, role and text) are rendered once, which also merges them before the
 shuffle; different texts under one number are ordered by role, then text, by code point, nulls
 first. A null text renders empty. A null role is an unnamed user and no perspective; a part
@@ -17,23 +18,37 @@ they are: markers inside them are not escaped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
+def unnumbered_parts(turns: DataFrame, turns_per_part: int, salts: int) -> DataFrame:
+    """(conv_id, part, turn, role, text) of the distinct turns without a number, ranked by a hash, then role and text.
+
+    Ranks are counted within ``salts`` hashed shares of a conversation and moved by the sizes of the shares before.
+    """
+    salt = F.pmod(F.xxhash64("role", "text"), F.lit(salts))
+    loose = turns.where("turn is null").select("conv_id", "turn", "role", "text").distinct().withColumn("salt", salt)
+    ranked = loose.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id", "salt").orderBy("role", "text")))
+    before = F.sum("n").over(Window.partitionBy("of_id").orderBy("of_salt").rowsBetween(Window.unboundedPreceding, -1))
+    shares = loose.groupBy(F.col("conv_id").alias("of_id"), F.col("salt").alias("of_salt")).agg(F.count(F.lit(1)).alias("n"))
+    shares = shares.select("of_id", "of_salt", F.coalesce(before, F.lit(0)).alias("before"))
+    placed = ranked.join(shares, F.col("conv_id").eqNullSafe(F.col("of_id")) & (F.col("salt") == F.col("of_salt")))
+    part = -1 - F.floor((F.col("before") + F.col("rank") - 1) / F.lit(turns_per_part))
+    return placed.select("conv_id", part.cast("long").alias("part"), "turn", "role", "text")
+
+
 def rotate_perspectives(turns: DataFrame, turns_per_part: int = 512, unordered_parts: int = 1024) -> DataFrame:
     """(conv_id, perspective, part, n_turns, n_masked, text, mask) of a table (conv_id, turn, role, text).
 
     mask: code-point spans ``start:end`` of ``text`` (end exclusive, comma-joined) that count for
     the loss: the assistant's words with the closing marker.
     """
-    part = F.coalesce(
-        F.floor(F.col("turn") / F.lit(turns_per_part)).cast("long"),
-        -1 - F.pmod(F.xxhash64("role", "text"), F.lit(unordered_parts)),
-    )
-    rows = turns.select("conv_id", part.alias("part"), "turn", "role", "text")
-    speakers = rows.where("role is not null and role != 'system'").select(F.col("conv_id").alias("of_id"), F.col("role").alias("perspective")).distinct()
+    part = F.floor(F.col("turn") / F.lit(turns_per_part)).cast("long")
+    numbered = turns.where("turn is not null").select("conv_id", part.alias("part"), "turn", "role", "text")
+    rows = numbered.unionByName(unnumbered_parts(turns, turns_per_part, unordered_parts))
+    speakers = turns.where("role is not null and role != 'system'").select(F.col("conv_id").alias("of_id"), F.col("role").alias("perspective")).distinct()
     parts = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
     both = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("of_id")))
     mine = lambda t: F.coalesce(t["role"] == F.col("perspective"), F.lit(False))
