@@ -72,3 +72,22 @@ def test_edge_rows_and_blocks(spark):
     assert d.scan(docs.limit(0), bench, ["doc_id"]).count() == 0
     assert {r.n_items for r in d.scan(docs, bench.limit(0), ["doc_id"]).collect()} == {0}
     assert np.array_equal(d.codes_of("aé"), [97, 233])
+
+
+def test_a_block_is_written_before_those_after_the_next_are_collected(spark, monkeypatch):
+    bench = spark.createDataFrame([(i, f"passage {i} of the benchmark with words enough") for i in range(40)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"Says: passage {i} of the benchmark with words enough.") for i in range(3)], "doc_id long, text string")
+    events, blocks = [], d.passage_blocks
+
+    def watched(*args):
+        for block in blocks(*args):
+            events.extend(["collected"] * bool(block))
+            yield block
+
+    write = d.materialize
+    monkeypatch.setattr(d, "passage_blocks", watched)
+    monkeypatch.setattr(d, "materialize", lambda df: events.append("written") or write(df))
+    got = {r.doc_id: r["items"].split(",") for r in d.scan(docs, bench, ["doc_id"], block_chars=600).collect()}
+    assert all(str(i) in got[i] for i in range(3))
+    ahead = [events[: k + 1].count("collected") - events[: k + 1].count("written") for k in range(len(events))]
+    assert events.count("written") == events.count("collected") > 3 and max(ahead) == 2

@@ -8,7 +8,8 @@ bound are regions to verify by banded alignment of the whole passage against the
 
 Scale: each text is read once and on its own; no join. The passages go to the tasks in blocks of at
 most ``block_chars`` characters (a size that is summed before), one pass over the texts a block, so the
-broadcast is bounded however large the benchmark is. Very long texts go through in windows that overlap by
+broadcast is bounded however large the benchmark is. With several blocks the result of each is written before the
+next is collected, so the driver holds two blocks at most. Very long texts go through in windows that overlap by
 more than a passage.
 
 Defined cases. Null and empty texts are clean. Passages with under q characters are matched as
@@ -18,11 +19,14 @@ its item_id, rows repeated whole once. Repeated documents are done each. Extra c
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidegraph.llm.common import Shared, with_results, with_row_id
+from tidegraph.storage import materialize
 
 Q, EDIT_RATE = 12, 0.05
 WINDOW, TABLE_BITS = 1 << 20, 24
@@ -173,7 +177,7 @@ def align(passage: str, region: str, k: int) -> tuple[int, int, int] | None:
     return (int(start[end]), end, int(cost[end])) if cost[end] <= k else None
 
 
-def passage_blocks(benchmark: DataFrame, block_chars: int) -> list[list[tuple[int, str]]]:
+def passage_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     """Yields the passages in lists of at most ``block_chars`` characters in all (one passage at least)."""
     size = F.coalesce(F.length("text"), F.lit(0))
     total = benchmark.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
@@ -187,8 +191,10 @@ def passage_blocks(benchmark: DataFrame, block_chars: int) -> list[list[tuple[in
 def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], q: int = Q, edit_rate: float = EDIT_RATE, block_chars: int = 4 << 20) -> DataFrame:
     """The columns ``keep`` of ``docs`` with n_items (long), items (ids, comma-joined) and spans (item:start:end:edits in the normal text)."""
     out = None
-    blocks = [b for b in passage_blocks(benchmark, block_chars) if b] or [[]]
-    for block in blocks:
+    blocks = filter(None, passage_blocks(benchmark, block_chars))
+    block, after = next(blocks, []), next(blocks, None)
+    several = after is not None
+    while block is not None:
         block.sort()
         shared = Shared(docs.sparkSession, Passages([i for i, _ in block], [t for _, t in block], q, edit_rate))
 
@@ -201,10 +207,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], q: int = Q, edi
                 "spans": pa.array([",".join(f"{p.ids[i]}:{a}:{b}:{e}" for i, a, b, e in f) for f in found], pa.string()),
             }
 
-        numbered = with_row_id(docs, "__row") if len(blocks) > 1 else docs
-        part = with_results(numbered, keep + ["__row"] * (len(blocks) > 1), work, "n_items long, items string, spans string")
+        numbered = with_row_id(docs, "__row") if several else docs
+        part = with_results(numbered, keep + ["__row"] * several, work, "n_items long, items string, spans string")
+        if several:
+            part = materialize(part)
+            shared.bytes.destroy()
         out = part if out is None else out.unionByName(part)
-    if len(blocks) == 1:
+        block, after = after, next(blocks, None) if after is not None else None
+    if not several:
         return out
     every = lambda c: F.array_distinct(F.filter(F.flatten(F.collect_list(F.split(c, ","))), lambda x: x != ""))
     items, spans = every("items"), every("spans")
