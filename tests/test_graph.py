@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidegraph.config import RunConfig, parse
 from tidegraph.functions.numeric import DOUBLE, FIXED, LABEL, WEIGHT
 from tidegraph.operators import components as C, propagate as R, sparsify as P, state as S
+from tidegraph import queries as Q
 from tidegraph.plans.engine import Engine
 from tidegraph.plans.evaluate import recompute
 from tidegraph.schemas import EDGES, VERTICES, Graph, violations
@@ -216,3 +217,16 @@ def test_streaming_feed(spark, tmp_path, gold):
     assert labels(spark.read.parquet(f"{state}/batch=2"))[4] == 0.636372
     feed.process(spark, log.limit(0), gold.edges, state, 2)  # a replayed batch changes nothing
     assert labels(spark.read.parquet(f"{state}/batch=2"))[4] == 0.636372
+
+
+def test_settled_queries_run_to_the_stop_rule(spark, monkeypatch):
+    v, e = random_graph(3, n=24, m=60)
+    fixed = Graph(spark.createDataFrame(v, VERTICES), spark.createDataFrame([(a, b, round(w * 1_000_000)) for a, b, w in e], "src long, dst long, w long"))
+    monkeypatch.setattr(Q.X, "similarity_graph", lambda s, d: fixed)
+    engine = Q.settled_engine(spark, "")
+    want = plain_engine(v, e, Q.TAU / 1e6, Q.DELTA, 200, Q.X.BATCHES)
+    got = {r.id: r.f / 1e8 for r in engine.all_labels().collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-5
+    assert all(m[4] for m in engine.metrics) and max(m[3] for m in engine.metrics) > Q.SWEEPS
+    case = Q.Case(spark, "", 2, lambda s, d: fixed)
+    assert Q.settled_accuracy(case).first()["converged"] and Q.converged(case).first()["converged"]

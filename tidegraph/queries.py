@@ -98,6 +98,34 @@ def engine(spark, sf_dir, sweeps: int = SWEEPS, graph=X.similarity_graph) -> Eng
     return out
 
 
+def settled_engine(spark, sf_dir) -> Engine:
+    """The engine run to its stop rule, with the default cap; SQL follows only the fixed sweeps of ``engine``."""
+    return engine(spark, sf_dir, Engine.max_iterations, X.similarity_graph)
+
+
+def settled_full(c: Case):
+    return R.full_propagation(c.adj, c.v.where(S.live(c.at)), DELTA, numeric=FIXED)
+
+
+def converged(c: Case):
+    out = R.propagate(c.adj, c.start(), c.known, seeds(c), DELTA, numeric=FIXED)
+    return out.labels.select("id", "f", F.lit(out.converged).alias("converged"))
+
+
+def settled_predictions(c: Case):
+    out = settled_full(c)
+    return E.predictions(out.labels, FIXED).withColumn("converged", F.lit(out.converged))
+
+
+def settled_accuracy(c: Case):
+    out = settled_full(c)
+    return E.accuracy(out.labels, c.v, c.at, FIXED).select("scored", "correct", F.round("accuracy", 6).alias("accuracy"), F.lit(out.iterations).alias("iterations"), F.lit(out.converged).alias("converged"))
+
+
+def settled_metrics(spark, sf_dir):
+    return settled_engine(spark, sf_dir).metrics_table().select("batch_id", F.round("accuracy", 6).alias("accuracy"), "iterations", "converged", "num_components", "num_sub_edges")
+
+
 def engine_metrics(spark, sf_dir):
     return engine(spark, sf_dir).metrics_table().select("batch_id", F.round("accuracy", 6).alias("accuracy"), "iterations", "num_components", "num_sub_edges")
 
@@ -158,7 +186,7 @@ QUERIES = {
     "frontier_next": over(lambda c: R.frontier_next(changed(c), c.adj, c.open)),
     "enforce_gt": over(lambda c: R.enforce_gt(c.start().select("id", F.lit(7).cast("long").alias("f")), c.known, FIXED)),
     "propagate_k": over(lambda c: propagated(c, SWEEPS).labels),
-    "propagate_converged": over(lambda c: R.propagate(c.adj, c.start(), c.known, seeds(c), 0.05, 40, FIXED).labels),
+    "propagate_converged": over(converged),
     "full_propagate_step": over(lambda c: R.full_propagate_step(c.adj, c.start(), c.known, FIXED)),
     "full_propagation_k": over(lambda c: full(c, SWEEPS).labels),
     "final_status": over(lambda c: unknown_as_minus(E.final_status(c.v, LAST))),
@@ -166,6 +194,10 @@ QUERIES = {
     "accuracy": over(accuracy),
     "dynamic_label_propagation": lambda spark, sf_dir: engine(spark, sf_dir).all_labels(),
     "engine_metrics": engine_metrics,
+    "settled_predictions": over(settled_predictions),
+    "settled_accuracy": over(settled_accuracy),
+    "settled_label_propagation": lambda spark, sf_dir: settled_engine(spark, sf_dir).all_labels(),
+    "settled_engine_metrics": settled_metrics,
     "run_summary": run_summary,
     "trade_edge_activation": lambda spark, sf_dir: S.edge_activation(X.trade_graph(spark, sf_dir)),
     "trade_propagate_step": lambda spark, sf_dir: swept(Case(spark, sf_dir, graph=X.trade_graph)),
