@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, functions as F, types as T
 
-from tidegraph.storage import Table
+from tidegraph.storage import Table, settled
 
 
 def _symmetric(edges: DataFrame) -> DataFrame:
@@ -39,18 +39,20 @@ def _jump_to_roots(parents: Table) -> Table:
             return after
 
 
+@settled
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """(id, root): every vertex with the smallest id of its component.
 
     ``edges`` has columns ``src`` and ``dst`` of one orderable type; direction, repeats,
     self-loops and edges with a null end do not matter. ``vertices`` (column ``id``) adds
     vertices without edges; without it only endpoints are returned. No edges: each vertex
-    is its own component.
+    is its own component. The work is done by the call; the result is a table in the shared folder.
     """
     kind = edges.schema["src"].dataType
-    known = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id")))
-    rest = Table(edges.select("src", "dst").where("src != dst").distinct())
-    labels: Table | None = None
+    # Whatever made the edges runs once: everything below reads them from here.
+    given = Table(edges.select("src", "dst").distinct())
+    known = given.df.select(F.explode(F.array("src", "dst")).alias("id"))
+    rest, labels = Table(given.df.where("src != dst")), None
     while not rest.df.isEmpty():
         roots = _jump_to_roots(Table(hook(rest.df)))
         step = roots.df.select("id", "root")

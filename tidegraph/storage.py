@@ -2,14 +2,23 @@
 
 Iterative operators cut their lineage by writing Parquet to ``spark.checkpoint.dir``: one job
 writes and the next reads, so a lost executor costs a re-run of tasks and never a result.
+
+Tables made inside ``with scratch():`` are dropped at its end. A function marked ``settled`` returns its
+result as a table and drops every other table made on the way; what it returns belongs to the caller's scope.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open: ContextVar[list | None] = ContextVar("tidegraph_tables", default=None)
+
 #: Used only by a local session (tests) that names no folder itself.
 LOCAL_DIR = "/tmp/checkpoints"
 
@@ -35,6 +44,11 @@ class Table:
         self.path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
+        self.register()
+
+    def register(self) -> None:
+        if (scope := _open.get()) is not None:
+            scope.append(self)
 
     def drop(self) -> None:
         spark = self.df.sparkSession
@@ -42,6 +56,33 @@ class Table:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch() -> Iterator[list[Table]]:
+    """Collects the tables made inside; those still in the list at the end are dropped."""
+    mine: list[Table] = []
+    token = _open.set(mine)
+    try:
+        yield mine
+    finally:
+        _open.reset(token)
+        for table in mine:
+            table.drop()
+
+
+def settled(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``work`` with its result written, and nothing else left in the shared folder."""
+
+    @wraps(work)
+    def run(*args, **options) -> DataFrame:
+        with scratch() as mine:
+            out = Table(work(*args, **options))
+            mine.remove(out)
+        out.register()
+        return out.df
+
+    return run
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back, without its lineage."""
     return Table(df).df
