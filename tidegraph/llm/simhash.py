@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidegraph.llm.common import per_text, with_row_id
 from tidegraph.operators.components import connected_components
-from tidegraph.storage import materialize
+from tidegraph.storage import Table, materialize, settled
 
 SEED = 42
 #: Candidates that a search verifies at once, and the most bytes of a shard's bit matrix.
@@ -186,10 +186,10 @@ def linked_shards(members: DataFrame, shard_rows: int, id_column: str, finer: Ca
     blocks = large.select("key", F.ceil(F.col("count") / shard_rows).cast("int").alias("blocks"))
     own = F.coalesce(F.pmod(F.xxhash64(id_column), F.col("blocks")), F.lit(0)).cast("int")
     opening = members.where(first).join(blocks, "key", "left").withColumn("i", own).withColumn("j", F.col("i")).drop("blocks")
-    edges = links(opening).distinct()
+    # Searches are costly: each is run once, by the job that writes its edges.
+    edges = materialize(links(opening).distinct())
     if not turns and large.isEmpty():
         return connected_components(edges)
-    edges = materialize(edges)
     roots = materialize(connected_components(edges).withColumnRenamed("id", id_column))
     again = members.join(blocks, "key", "left").where(~first | F.col("blocks").isNotNull())
     hot = materialize(again.join(roots, id_column, "left").select(*members.columns, F.coalesce("root", id_column).alias("root")))
@@ -199,7 +199,7 @@ def linked_shards(members: DataFrame, shard_rows: int, id_column: str, finer: Ca
     if not scattered.isEmpty():
         split = materialize(finer(hot.join(scattered, "key", "left_semi")).select(*hot.columns))
         rest = rest.unionByName(across(split, materialize(main_components(split, shard_rows)), shard_rows, id_column))
-    return connected_components(edges.union(links(rest)).distinct())
+    return connected_components(edges.union(links(rest)))
 
 
 def by_shard(work: Callable[[pa.RecordBatch], list[tuple[int, int]]], id_column: str):
@@ -285,6 +285,7 @@ def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
     return per_text(kept, work, f"doc_id {kept.schema[0].dataType.simpleString()}, fp long", "__text")
 
 
+@settled
 def simhash_groups(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row."""
     rows = materialize(fingerprints(docs, k))
@@ -344,6 +345,7 @@ def jaccard_test(sets: list[np.ndarray], similarity: float) -> Callable[[int, li
     return test
 
 
+@settled
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, keys: int = 5, radius: int = 26, shard_rows: int = 4096) -> DataFrame:
     """(row_id, doc_id, group): every row with the smallest row_id of its group of near copies.
 
@@ -363,15 +365,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, keys:
 
     kept = with_row_id(docs.select("doc_id", F.col("text").alias("__text"))).select("row_id", "doc_id", "__text")
     kind = kept.schema["doc_id"].dataType.simpleString()
-    rows = materialize(per_text(kept, look, f"row_id long, doc_id {kind}, class long, fp long, keys array<long>, shingles binary", "__text"))
+    whole = Table(per_text(kept, look, f"row_id long, doc_id {kind}, class long, fp long, keys array<long>, shingles binary", "__text"))
+    rows = materialize(whole.df.drop("shingles"))
     classes = rows.groupBy("class").agg(F.min("row_id").alias("row_id"))
     first = materialize(rows.select("row_id", "fp", "keys").join(classes.select("row_id"), "row_id", "left_semi"))
     exploded = first.select(F.posexplode("keys").alias("turn", "key"), "row_id", "fp")
     # Written first, so that the join reads plain shuffles and a hot key's rows can be split.
     shared = materialize(exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
     members = materialize(exploded.join(shared, "key", "left_semi"))
-    # Neither side of a join with the sets is bounded: merged at every size, never broadcast.
-    sets = rows.select("row_id", "shingles").hint("merge")
+    # All sets are shuffled once, to keep those of members; neither side of a join with sets is bounded, so it is merged at every size.
+    sets = whole.df.select("row_id", "shingles").hint("merge").join(members.select("row_id").distinct(), "row_id", "left_semi")
+    sets = materialize(sets).hint("merge")
+    whole.drop()
 
     def look_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
