@@ -1,16 +1,18 @@
 """Personal data by a skip-chain conditional random field.
 
 Candidates are the matches of the base patterns (whose label is fixed) and weaker look-alikes:
-runs with seven or more digits and words with an at sign that the patterns pass over. Neighbours
-in a document form the chain; candidates that repeat or resemble each other (same last seven
-digits, same e-mail name) are linked across any distance, each to the one before it, and share a
-consistency potential. Loopy sum-product over that graph lets "+44 20 7946 0958" at the top
-label a bare "020 7946 0958" pages later. Look-alikes that end up with a probability
-over one half are added to the base spans.
+runs with seven or more digits (longer ones than a card cut at their separators into numbers of up to
+``LONGEST`` digits) and words with an at sign that the patterns pass over. Neighbours
+in a document form the chain; candidates that repeat or resemble each other (``keys``: all digits,
+the last seven, the e-mail name or address) are linked across any distance, each to the one before it, and
+share a consistency potential. Loopy sum-product over that graph lets "+44 20 7946 0958" at the top
+label a bare "020 7946 0958" pages later, and a card number that stands by itself label its repeat that
+runs into another number. Look-alikes that end up with a probability over one half are added to the base spans.
 
 Unary potentials are a softmax regression fitted (in milliseconds, seeded) on generated numbers and
-addresses; no corpus text is learned from. Work is linear in the text: each pattern is scanned once, and
-links grow with candidates, not with their pairs.
+addresses; no corpus text is learned from. Link strengths are set so that one clamped repeat outweighs the
+doubt of the unary model and a mere resemblance does only where the number could well be of that kind. Work is
+linear in the text: each pattern is scanned once, and links grow with candidates, not with their pairs.
 
 Defined cases. A null text is empty: no spans, the digest of the empty string. Repeated rows are done
 each. Spans of one kind do not overlap; spans of different kinds may. Extra columns are ignored.
@@ -36,12 +38,15 @@ ZONE = re.compile(r"[+0-9][0-9 ().+-]*")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-WEAK = re.compile(r"[0-9(](?:[ ().-]{0,2}[0-9])+")
+WEAK = re.compile(r"\+?[0-9(](?:[ ().-]{0,2}[0-9])+")
+GROUP = re.compile(r"[0-9]+")
 DIGIT = re.compile(r"[^0-9]+")
-EMAILISH = re.compile(r"[^\s@]*@[^\s@]*")
+WORD_END = re.compile(r"[\s@]")
 SOME = re.compile(r"[0-9@]")
 CUES = (("tel", "phone", "call", "fax", "mobile"), ("card", "visa", "credit"), ("ip", "host", "server", "address"), ("mail", "contact", "write"))
-COUPLING, CHAIN, CLAMP, SWEEPS = 2.2, 0.15, 12.0, 15
+#: Link strengths of a repeat, a resemblance and a neighbour; the clamp of base spans; message sweeps.
+REPEAT, COUPLING, CHAIN, CLAMP, SWEEPS = 6.0, 2.2, 0.15, 12.0, 15
+LONGEST = 19
 
 
 def luhn(digits: str) -> bool:
@@ -89,12 +94,47 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return found
 
 
+def numbers(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """The run of digits and separators as it is, or, with over ``LONGEST`` digits, cut at separators into numbers.
+
+    Groups of digits are put together from the left while at most 16 digits result.
+    """
+    groups = [m.span() for m in GROUP.finditer(text, a, b)]
+    groups[0] = (a, groups[0][1])
+    if len(groups) < 2 or sum(y - x for x, y in groups) <= LONGEST:
+        return [(a, b)]
+    out, total = [groups[0]], groups[0][1] - groups[0][0]
+    for x, y in groups[1:]:
+        total += y - x
+        if total <= 16:
+            out[-1] = (out[-1][0], y)
+        else:
+            out.append((x, y))
+            total = y - x
+    return out
+
+
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Runs without white space around each at sign, up to the next one; every character is looked at twice at most."""
+    out, done, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and not text[start - 1].isspace():
+            start -= 1
+        end = WORD_END.search(text, at + 1)
+        done = end.start() if end else len(text)
+        if done - start > 2:
+            out.append((start, done))
+        at = text.find("@", done)
+    return out
+
+
 def weak_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int]]:
     """Look-alikes outside every base span."""
     taken = sorted(s for spans in base.values() for s in spans)
-    out = [m.span() for zone in ZONE.finditer(text) if zone.end() - zone.start() >= 7 for m in WEAK.finditer(text, *zone.span()) if sum(map(str.isdigit, m[0])) >= 7]
-    if "@" in text:
-        out += [m.span() for m in EMAILISH.finditer(text) if m.end() - m.start() > 2]
+    runs = (m.span() for zone in ZONE.finditer(text) if zone.end() - zone.start() >= 7 for m in WEAK.finditer(text, *zone.span()))
+    out = [s for run in runs for s in numbers(text, *run) if sum(map(str.isdigit, text[slice(*s)])) >= 7]
+    out += addresses(text)
     kept, k = [], 0
     for a, b in sorted(out):
         while k < len(taken) and taken[k][1] <= a:
@@ -113,7 +153,7 @@ def features(text: str, a: int, b: int) -> list[float]:
         1.0, "@" in s, "@" in s and "." in s.partition("@")[2], len(s) > n + 2 and "@" in s, "+" in s or text[max(0, a - 1) : a] == "+", "(" in s,
         7 <= n <= 9, 9 < n <= 11, 11 < n <= 13, 13 < n < 16, 16 <= n <= 19, n > 19, 16 <= n <= 19 and luhn(digits),
         len(quad) == 4 and s.count(".") == 3, len(quad) == 4 and all(len(p) < 4 for p in quad), min(3, len(re.findall(r"[ .-]+", s))) / 3, n == len(s),
-        *(any(c in before for c in group) for group in CUES),
+        *(any(c in before for c in group) for group in CUES), before[-1:].isalpha() or text[b : b + 1].isalpha(),
     ]
 
 
@@ -140,7 +180,7 @@ def generated(rows: int = 1500, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
         elif label == 4:
             before, s = cue(0), r.choice(("+", "", "")) + r.choice((num(11), f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)} {num(3)} {num(4)}", f"{num(3)}-{num(4)}", f"{num(2)} {num(4)} {num(4)}"))
         else:
-            before, s = r.choice(("no. ", "and ", "isbn ", "in ", "id ")), r.choice((f"{num(4)}-{num(2)}-{num(2)}", num(8), num(13), num(24), num(16), f"{num(4)}.{num(3)}.{num(4)}.{num(3)}", f"{num(3)} {num(3)} {num(3)} {num(3)}", num(10), "@" + num(3), "x@", f"{num(4)} {num(4)}"))
+            before, s = r.choice(("no. ", "token e5c", "and ", "isbn ", "in ", "id ")), r.choice((f"{num(4)}-{num(2)}-{num(2)}", num(8), num(13), num(24), num(16), f"{num(4)}.{num(3)}.{num(4)}.{num(3)}", f"{num(3)} {num(3)} {num(3)} {num(3)}", num(10), "@" + num(3), "x@", f"{num(4)} {num(4)}"))
         text = before + s
         x.append(features(text, len(before), len(text)))
         y.append(label)
@@ -159,12 +199,13 @@ def fit_unary(steps: int = 300, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def keys(s: str) -> list[str]:
+def keys(s: str) -> list[tuple[str, float]]:
+    """What a candidate shares with those it is linked to, and how strong the link is."""
     if "@" in s:
-        name, _, host = s.lower().partition("@")
-        return [f"n{name}"] * bool(name) + [f"h{name}@{host}"]
+        name, _, host = s.lower().rstrip(".,;:!?").partition("@")
+        return [(f"n{name}", COUPLING)] * bool(name) + [(f"h{name}@{host}", REPEAT)]
     digits = DIGIT.sub("", s)
-    return [f"d{digits[-7:]}"] if len(digits) >= 7 else [f"i{s}"]
+    return [(f"d{digits[-7:]}", COUPLING), (f"w{digits}", REPEAT)] if len(digits) >= 7 else [(f"i{s}", REPEAT)]
 
 
 def beliefs(unary: np.ndarray, edges: np.ndarray, strength: np.ndarray) -> np.ndarray:
@@ -198,6 +239,17 @@ def find(text: str, weights: np.ndarray) -> tuple[dict[str, list[tuple[int, int]
     weak = weak_spans(text, base)
     if not weak:
         return base, base
+    nodes, unary, edges, strength = field(text, base, weak, weights)
+    p = beliefs(unary, edges, strength)
+    every = {k: list(v) for k, v in base.items()}
+    for (a, b, label), q in zip(nodes, p):
+        if not label and q.argmax() and q.max() > 0.5:
+            every[KINDS[q.argmax() - 1]].append((a, b))
+    return base, {k: sorted(v) for k, v in every.items()}
+
+
+def field(text: str, base: dict[str, list[tuple[int, int]]], weak: list[tuple[int, int]], weights: np.ndarray):
+    """The random field of a text: nodes (start, end, label or 0 if open), unary potentials, edges and their strengths."""
     nodes = sorted([(a, b, 1 + k) for k, kind in enumerate(KINDS) for a, b in base[kind]] + [(a, b, 0) for a, b in weak])
     unary = np.array([features(text, a, b) for a, b, _ in nodes]) @ weights
     for i, (_, _, label) in enumerate(nodes):
@@ -209,17 +261,12 @@ def find(text: str, weights: np.ndarray) -> tuple[dict[str, list[tuple[int, int]
         if i and a - nodes[i - 1][1] < 80:
             edges.append((i - 1, i))
             strength.append(CHAIN)
-        for k in keys(text[a:b]):
+        for k, strong in keys(text[a:b]):
             if k in last:
                 edges.append((last[k], i))
-                strength.append(COUPLING)
+                strength.append(strong)
             last[k] = i
-    p = beliefs(unary, np.array(edges, np.int64).reshape(-1, 2), np.array(strength, float))
-    every = {k: list(v) for k, v in base.items()}
-    for (a, b, label), q in zip(nodes, p):
-        if not label and q.argmax() and q.max() > 0.5:
-            every[KINDS[q.argmax() - 1]].append((a, b))
-    return base, {k: sorted(v) for k, v in every.items()}
+    return nodes, unary, np.array(edges, np.int64).reshape(-1, 2), np.array(strength, float)
 
 
 def written(spans: dict[str, list[tuple[int, int]]]) -> str:
