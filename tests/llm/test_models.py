@@ -104,20 +104,36 @@ def test_cross_parsing_is_the_greedy_one(reference, text):
     steps = langid.suffix_automaton([codes[c] for c in reference])
     edges = np.array([(s, c, t) for s, to in enumerate(steps) for c, t in to.items()], np.int32).reshape(-1, 3)
     parser = langid.CrossParser(["x"], "abc", [edges], [1.0])
-    parser.width, parser.starts = 6, np.array([1], np.int32)
-    table = np.zeros((len(steps), 6), np.int32)
-    table[edges[:, 0], edges[:, 1]] = edges[:, 2] + 1
-    parser.table = np.concatenate([np.zeros((1, 6), np.int32), table]).reshape(-1)
-    parser.code = np.full(0x110000, 2, np.int8)
-    for c, k in codes.items():
-        parser.code[ord(c)] = k
+    for segment in (512, 3, 1):
+        assert parser.phrases([text, "", text + text], segment)[0][:, 0].tolist() == [greedy(reference, text), 0, greedy(reference, text + text)]
+
+
+def greedy(reference, text):
+    """Phrases of the plain parse: each the longest match, or a character that the reference lacks."""
     n, at = 0, 0
-    while at < len(text):  # each phrase is the longest match; a character the reference lacks ends one of its own
-        size = max((k for k in range(len(text) - at + 1) if text[at : at + k] in reference), default=0)
-        n, at = n + 1, at + max(1, size)
-    total, _, _ = parser.phrases([text])
-    lacking = sum(c not in reference for c in text)
-    assert (total[0, 0] == n) if text and not lacking else abs(total[0, 0] - n) <= lacking + 1
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in reference:
+            size += 1
+        n, at = n + 1, at + size
+    return n
+
+
+def test_long_texts_parse_as_a_whole():
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(300)]
+    books = {"aa": " ".join(rng.choices(words[:200], k=700)), "bb": " ".join(rng.choices(words[100:], k=700))}
+    parser = langid.parser_of(books)
+    texts = [" ".join(rng.choices(words, k=n)) for n in (1, 90, 900)] + [books["aa"] + " xyz " + books["bb"] * 2, "q" * 1500]
+    want = [[greedy(books[k], t) for k in books] for t in texts]
+    for segment in (512, 61):
+        assert parser.phrases(texts, segment)[0].tolist() == want
+
+
+def test_letters_beyond_the_basic_plane():
+    parser = langid.parser_of({"en": "the quick brown fox", "gothic": "\U00010330\U00010331\U00010332 " * 20})
+    langs, scores = parser.predict(["\U0001F600", "\U0001F600 123", "\U00010330\U00010331\U00010332", "fox \U0001F600"])
+    assert langs == ["und", "und", "gothic", "en"] and scores[:2] == [0.0, 0.0]
 
 
 def test_languages(spark):

@@ -12,8 +12,9 @@ its own scale; no other book is cut for it. It is recognised less surely, for a
 Every letter of the books keeps a code: the most frequent ones a symbol, the others a short fixed sequence of symbols,
 so tables stay narrow however many scripts there are; only letters that no book has share one.
 Automata are built once on the driver and travel as edge lists; workers lay them out as dense
-tables and step through all texts of a batch together, cut into ``segment`` characters so that
-long texts are parsed side by side (each cut adds at most one phrase for every language alike).
+tables and step through all texts of a batch together. Long texts are parsed side by side in pieces of ``segment``
+characters; each piece is then entered again in the state that the piece before it ended in, until both
+parses agree (some tens of characters as a rule), so phrases are those of one parse of the whole text.
 
 Defined cases. Null texts and texts without a letter are ``und`` with score 0. A text whose
 letters all languages parse equally badly goes to the first language by code point. A language
@@ -111,9 +112,8 @@ class CrossParser:
         self.assign_codes()
 
     def assign_codes(self):
-        self.code = np.full(0x110000, 2, np.int32)
-        # Whatever is no letter is a gap; tables are made for the basic plane, other letters count as such.
-        self.code[:0x10000] = [2 if chr(i).isalpha() else 1 for i in range(0x10000)]
+        # Whatever is no letter is a gap.
+        self.code = np.array([2 if chr(i).isalpha() else 1 for i in range(0x110000)], np.int32)
         for i, c in enumerate(self.letters):
             self.code[ord(c)] = i + 3
 
@@ -138,6 +138,13 @@ class CrossParser:
             out[first + i] = ALPHABET + digit + (BASE if i else 0)
         return out.astype(np.int8)
 
+    def advance(self, state: np.ndarray, c: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state, ended phrases) after character ``c``: a mismatch ends the phrase, the next one starts with the
+        character; one that the book lacks is a phrase of its own."""
+        to, first = self.table[state * self.width + c], self.table[start * self.width + c]
+        dead, lacks = to == 0, first == 0
+        return np.where(dead, np.where(lacks, start, first), to), dead.astype(np.int32) + (lacks & (state != start))
+
     def phrases(self, texts: list[str], segment: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrases (texts, languages), characters and whether there is a letter."""
         if self.table is None:
@@ -151,30 +158,59 @@ class CrossParser:
         size = np.minimum(segment, lengths[of] - k * segment)
         flat = np.concatenate([*coded, np.zeros(segment, np.int8)])
         begin = (np.cumsum(lengths) - lengths)[of] + k * segment
-        order = np.argsort(-size, kind="stable")
-        begin, size, of = begin[order], size[order], of[order]
-        m, n = len(of), len(self.languages)
-        counts = np.zeros((n, m), np.int32)
-        state = np.repeat(self.starts[:, None], m, axis=1)
-        live = np.searchsorted(-size, -np.arange(segment), side="left")  # segments longer than t
-        for t in range(segment if m else 0):
-            a = int(live[t])
-            if not a:
-                break
-            c = flat[begin[:a] + t].astype(np.int32)
-            s = state[:, :a]
-            to = self.table[s * self.width + c]
-            dead = to == 0
-            counts[:, :a] += dead
-            # A mismatch ends the phrase; the next one starts with this character, if the language has it.
-            again = self.table[self.starts[:, None] * self.width + c]
-            again = np.where(again == 0, self.starts[:, None], again)
-            state[:, :a] = np.where(dead, again, to)
-        total = np.zeros((len(texts), n))
-        for j in range(n):
-            total[:, j] = np.bincount(of, counts[j] + 1, len(texts))
+        counts, end = self.alone(flat, begin, size)
+        # Pieces that one before them enters in the middle of a phrase: (language, piece).
+        lang, piece = np.nonzero((k[1:] > 0) & (end[:, :-1] != self.starts[:, None])) if len(of) else (of, of)
+        piece = piece + 1
+        own, fix = end.copy(), np.zeros(counts.shape, np.int32)
+        while len(piece):
+            moved = self.enter(flat, begin, size, lang, piece, own, end, fix)
+            last = piece == len(of) - 1
+            on = moved & ~last
+            lang, piece = lang[on], piece[on] + 1
+            lang, piece = lang[k[piece] > 0], piece[k[piece] > 0]
+        total = np.zeros((len(texts), len(self.languages)))
+        final = np.flatnonzero(k == parts[of] - 1)
+        for j, start in enumerate(self.starts):
+            total[:, j] = np.bincount(of, counts[j] + fix[j], len(texts))
+            total[of[final], j] += end[j, final] != start
         return total, lengths, lettered
 
+    def alone(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ended phrases and last state (languages, pieces), each piece parsed from the start."""
+        order = np.argsort(-size, kind="stable")
+        at, long = begin[order], size[order]
+        n, m = len(self.languages), len(at)
+        counts, state = np.zeros((n, m), np.int32), np.repeat(self.starts[:, None], m, axis=1)
+        steps = int(size.max(initial=0))
+        live = np.searchsorted(-long, -np.arange(steps), side="left")  # pieces longer than t
+        for t, a in enumerate(live.tolist()):
+            state[:, :a], ended = self.advance(state[:, :a], flat[at[:a] + t].astype(np.int32)[None, :], self.starts[:, None])
+            counts[:, :a] += ended
+        back = np.argsort(order)
+        return counts[:, back], state[:, back]
+
+    def enter(self, flat, begin, size, lang, piece, own, end, fix) -> np.ndarray:
+        """Parse pieces from where the one before them ended, beside the parse from the start, until both are in one state.
+
+        ``fix`` gets what that changes in the count of each and ``end`` the last state (``own`` if they agreed); the result says where it moved.
+        """
+        start, state = self.starts[lang], end[lang, piece - 1]
+        alone, more = start.copy(), np.zeros(len(piece), np.int32)
+        last, on, t = own[lang, piece], np.arange(len(piece)), 0
+        while len(on):
+            over = size[piece[on]] == t
+            last[on[over]] = state[on[over]]
+            on = on[~over]
+            c = flat[begin[piece[on]] + t].astype(np.int32)
+            state[on], true = self.advance(state[on], c, start[on])
+            alone[on], guess = self.advance(alone[on], c, start[on])
+            more[on] += true - guess
+            on, t = on[state[on] != alone[on]], t + 1
+        moved = last != end[lang, piece]
+        fix[lang, piece], end[lang, piece] = more, last
+        return moved
+
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         if not self.languages:
             return ["und"] * len(texts), [0.0] * len(texts)
