@@ -1,8 +1,11 @@
+import os
+
 import corpus_pipeline as cp
 import pytest
 
 from tidegraph.llm import decontam, pii, simhash
-from tidegraph.llm.common import CUTS, with_row_id
+from tidegraph.llm.common import PLACE, with_place
+from tidegraph.storage import scratch, shared_dir
 
 
 @pytest.fixture(scope="module")
@@ -56,17 +59,35 @@ def test_run_is_the_stages(spark, folder):
     assert {"doc_id", "text", "taken"} <= set(cp.run(spark, folder).columns) and cp.ORACLE_SQL is None
 
 
-def test_row_ids_outlive_executors(spark, tmp_path):
+def test_places_outlive_executors(spark, tmp_path):
     spark.range(4000).repartition(16).write.parquet(str(tmp_path / "many"))
-    cores, cuts = "spark.sql.leafNodeDefaultParallelism", spark.conf.get(CUTS, None)
-    spark.conf.unset(CUTS)
-    seen, docs = [], spark.read.parquet(str(tmp_path / "many"))
+    cores, seen, docs = "spark.sql.leafNodeDefaultParallelism", [], spark.read.parquet(str(tmp_path / "many"))
     try:
         for n in (8, 2):  # scans are planned for so many cores
             spark.conf.set(cores, n)
-            seen.append({r.row_id: r.id for r in with_row_id(docs).collect()})
+            seen.append({(r[PLACE[0]], r[PLACE[1]]): r.id for r in with_place(docs.select("id")).collect()})
     finally:
         spark.conf.unset(cores)
-        if cuts is not None:
-            spark.conf.set(CUTS, cuts)
     assert seen[0] == seen[1] and len(seen[0]) == 4000
+    assert len({tuple(r) for r in with_place(spark.range(50, numPartitions=7)).select(*PLACE).collect()}) == 50
+
+
+def test_run_on_odd_rows(spark, folder, tmp_path):
+    rng = __import__("random").Random(8)
+    long = " ".join("".join(rng.choices("etaoinshr", k=6)) for _ in range(60_000))
+    rows = [(1, long, "en", "a", None), (1, long, "en", "a", None), (None, long[:900], None, None, 3), (None, None, None, "b", 0), (4, "", "en", "", 0), (4, "  ", "en", "b", 2)]
+    path = str(tmp_path / "odd")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'q' as size", "7 as row_id", "'z' as taken", "8 as group", "9 as clean")
+    docs.write.parquet(f"{path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{path}/{name}.parquet")
+    shared = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(shared))
+    with scratch():
+        got = cp.run(spark, path).collect()
+        assert len(set(os.listdir(shared)) - before) == 1  # the result's table
+    assert set(os.listdir(shared)) == before
+    assert sum(r.text == long for r in got) <= 1 and all(r.size > 0 and 0 < r.taken <= 3 * r.size for r in got)
+    docs.limit(0).write.mode("overwrite").parquet(f"{path}/documents.parquet")
+    with scratch():
+        assert cp.run(spark, path).count() == 0

@@ -10,12 +10,13 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word of the contracts: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: From how many cores on Spark cuts files smaller; see ``with_row_id``.
-CUTS = "spark.sql.files.minPartitionNum"
+#: Where a row is stored; see ``with_place``.
+PLACE = ["__file", "__at"]
 
 
 class Shared:
@@ -40,15 +41,23 @@ def crc_bucket(column: str, modulus: int) -> Column:
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """A long that tells repeated rows apart; the same on a re-run of the same scan.
+    """A long that tells repeated rows apart, for one scan or for a table that is written with it; see ``with_place`` for several scans."""
+    return df.withColumn(name, F.monotonically_increasing_id())
+
 
-    Spark cuts files by the number of cores that it has when it plans a scan, so an executor lost or gained between two scans
-    would move the ids. The first call therefore fixes that number for the session, unless it is set.
+def with_place(df: DataFrame) -> DataFrame:
+    """``df`` with the columns ``PLACE``: the file of each row and its number in it.
+
+    They belong to the stored row, so any scan, however it is cut and on however many executors, finds the same. A DataFrame
+    that doesn't come straight from Parquet files gets numbers of its scan instead; write it first if it is to be read twice.
     """
-    spark = df.sparkSession
-    if spark.conf.get(CUTS, None) is None:
-        spark.conf.set(CUTS, spark.sparkContext.defaultParallelism)
-    return df.withColumn(name, F.monotonically_increasing_id())
+    file, at = (F.col(f"_metadata.{c}").alias(n) for c, n in zip(("file_path", "row_index"), PLACE))
+    try:
+        placed = df.select("*", file, at)
+        placed.schema  # resolves the columns
+        return placed
+    except AnalysisException:
+        return df.select("*", F.lit("").alias(PLACE[0]), F.monotonically_increasing_id().alias(PLACE[1]))
 
 
 def per_text(df: DataFrame, work: Callable[[list[str]], dict], schema: str, text: str = "text", keep_text: bool = False) -> DataFrame:

@@ -8,13 +8,14 @@ bound are regions to verify by banded alignment of the whole passage against the
 
 Scale: each text is read once and on its own; no join. The passages go to the tasks in blocks of at
 most ``block_chars`` characters (a size that is summed before), one pass over the texts a block, so the
-broadcast is bounded however large the benchmark is. With several blocks the result of each is written before the
-next is collected, so the driver holds two blocks at most. Very long texts go through in windows that overlap by
-more than a passage.
+broadcast is bounded however large the benchmark is. With several blocks the documents that one of them finds something in are
+written (narrowly, without their text) before the next is collected, so the driver holds two blocks at most; what all found is joined to the
+documents once. Very long texts go through in windows that overlap by more than a passage.
 
 Defined cases. Null and empty texts are clean. Passages with under q characters are matched as
 whole strings between word ends; empty and null ones match nothing; repeated passages count each by
-its item_id, rows repeated whole once. Repeated documents are done each. Extra columns are ignored.
+its item_id, rows repeated whole once. Repeated documents are done each. Extra columns are ignored. ``items`` and ``spans`` are in
+the order of ids, then places, however many blocks there are.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidegraph.llm.common import Shared, with_results, with_row_id
+from tidegraph.llm.common import PLACE, Shared, with_place, with_results
 from tidegraph.storage import materialize
 
 Q, EDIT_RATE = 12, 0.05
@@ -150,31 +151,36 @@ def codes_of(text: str) -> np.ndarray:
 def align(passage: str, region: str, k: int) -> tuple[int, int, int] | None:
     """(start, end, edits) of the best place of the whole passage in the region, or None beyond k edits.
 
-    Semi-global dynamic programming by row; cells that need more than k edits are out of the band.
+    Semi-global dynamic programming by row over the band of diagonals that k edits can reach: from k before the region's
+    first to k after the last on which the passage fits. Cells that need more than k edits count as k + 1.
     """
     at = region.find(passage)
     if at >= 0:
         return at, at + len(passage), 0
-    if not k:
+    m, n, far = len(passage), len(region), k + 1
+    width = n - m + 2 * k + 1
+    if not k or width <= 0:
         return None
-    n, far = len(region), k + 1
-    column = codes_of(region)
-    index = np.arange(n + 1)
-    cost, start = np.zeros(n + 1, np.int64), index.copy()
-    for i, c in enumerate(codes_of(passage), 1):
-        diagonal, above = np.concatenate([[far], cost[:-1] + (column != c)]), cost + 1
+    # Place b of row i is column i + b - k; characters beyond the region match nothing.
+    column = np.full(n + 2 * k, -1, np.int64)
+    column[k : k + n] = codes_of(region)
+    index = np.arange(width)
+    start = index - k
+    cost = np.where((start < 0) | (start > n), far, 0)
+    for i, c in enumerate(codes_of(passage).tolist(), 1):
+        diagonal, above = cost + (column[i - 1 : i - 1 + width] != c), np.append(cost[1:] + 1, far)
         new = np.minimum(diagonal, above)
-        origin = np.where(diagonal <= above, np.concatenate([[0], start[:-1]]), start)
-        new[0] = i
-        # Insertions run to the right: the least of new[j'] + (j - j') over j' <= j.
+        origin = np.where(diagonal <= above, start, np.append(start[1:], 0))
+        # Insertions run to the right: the least of new[b'] + (b - b') over b' <= b.
         slope = new - index
         least = np.minimum.accumulate(slope)
         from_ = np.maximum.accumulate(np.where(slope == least, index, 0))
         cost, start = np.minimum(least + index, far), origin[from_]
+        cost[max(0, n - i + k + 1) :] = far
         if cost.min() > k:
             return None
     end = int(cost.argmin())
-    return (int(start[end]), end, int(cost[end])) if cost[end] <= k else None
+    return int(start[end]), m + end - k, int(cost[end])
 
 
 def passage_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
@@ -194,32 +200,35 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], q: int = Q, edi
     blocks = filter(None, passage_blocks(benchmark, block_chars))
     block, after = next(blocks, []), next(blocks, None)
     several = after is not None
+    placed = with_place(docs) if several else docs
     while block is not None:
         block.sort()
         shared = Shared(docs.sparkSession, Passages([i for i, _ in block], [t for _, t in block], q, edit_rate))
 
         def work(texts, shared=shared):
             p = shared.value
-            found = [p.matches(normal(t)) for t in texts]
+            found = [sorted({(p.ids[i], a, b, e) for i, a, b, e in p.matches(normal(t))}) for t in texts]
             return {
-                "n_items": pa.array([len({p.ids[m[0]] for m in f}) for f in found], pa.int64()),
-                "items": pa.array([",".join(map(str, sorted({p.ids[m[0]] for m in f}))) for f in found], pa.string()),
-                "spans": pa.array([",".join(f"{p.ids[i]}:{a}:{b}:{e}" for i, a, b, e in f) for f in found], pa.string()),
+                "n_items": pa.array([len({m[0] for m in f}) for f in found], pa.int64()),
+                "items": pa.array([",".join(map(str, sorted({m[0] for m in f}))) for f in found], pa.string()),
+                "spans": pa.array([",".join(":".join(map(str, m)) for m in f) for f in found], pa.string()),
             }
 
-        numbered = with_row_id(docs, "__row") if several else docs
-        part = with_results(numbered, keep + ["__row"] * several, work, "n_items long, items string, spans string")
-        if several:
-            part = materialize(part)
-            shared.bytes.destroy()
+        if not several:
+            return with_results(docs, keep, work, "n_items long, items string, spans string")
+        part = materialize(with_results(placed, PLACE, work, "n_items long, items string, spans string").where("n_items > 0"))
+        shared.bytes.destroy()
         out = part if out is None else out.unionByName(part)
         block, after = after, next(blocks, None) if after is not None else None
-    if not several:
-        return out
-    every = lambda c: F.array_distinct(F.filter(F.flatten(F.collect_list(F.split(c, ","))), lambda x: x != ""))
-    items, spans = every("items"), every("spans")
-    found = [F.size(items).cast("long").alias("n_items"), F.array_join(items, ",").alias("items"), F.array_join(spans, ",").alias("spans")]
-    return out.groupBy("__row", *keep).agg(*found).drop("__row")
+    every = lambda c: F.array_distinct(F.flatten(F.collect_list(F.split(c, ","))))
+    kind = benchmark.schema["item_id"].dataType
+    fields = lambda x: F.struct(*[F.element_at(x, i).cast(t).alias(f"f{i}") for i, t in ((-4, kind), (-3, "long"), (-2, "long"), (-1, "long"))])
+    items = F.array_sort(F.transform(every("items"), lambda x: x.cast(kind)))
+    spans = F.array_sort(F.transform(every("spans"), lambda x: F.struct(fields(F.split(x, ":")).alias("by"), x.alias("span"))))
+    found = out.groupBy(*PLACE).agg(items.alias("items"), spans.alias("spans"))
+    found = found.select(*PLACE, F.size("items").cast("long").alias("n_items"), F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"), F.array_join(F.transform("spans", lambda x: x["span"]), ",").alias("spans"))
+    none = {"n_items": F.lit(0).cast("long"), "items": F.lit(""), "spans": F.lit("")}
+    return placed.select(*keep, *PLACE).join(found.withColumnsRenamed({c: f"__{c}" for c in none}), PLACE, "left").select(*keep, *[F.coalesce(f"__{c}", v).alias(c) for c, v in none.items()])
 
 
 def op4_decontaminate(spark, sf_dir):

@@ -42,7 +42,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidegraph.llm.common import per_text, with_row_id
+from tidegraph.llm.common import PLACE, per_text, with_place, with_row_id
 from tidegraph.operators.components import connected_components
 from tidegraph.storage import Table, materialize, settled
 
@@ -347,9 +347,9 @@ def jaccard_test(sets: list[np.ndarray], similarity: float) -> Callable[[int, li
 
 @settled
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, keys: int = 5, radius: int = 26, shard_rows: int = 4096) -> DataFrame:
-    """(row_id, doc_id, group): every row with the smallest row_id of its group of near copies.
+    """(row_id, doc_id, group) and ``PLACE``: every row with the smallest row_id of its group of near copies.
 
-    row_id is ``with_row_id`` of ``docs`` ordered as scanned. The radius is far beyond what a similarity of 0.8 can differ by
+    row_id numbers the rows as they are scanned here; ``PLACE`` tells them in another scan of ``docs``. The radius is far beyond what a similarity of 0.8 can differ by
     (about ten bits of 64, sixteen at most in practice), so the tree only spares hopeless comparisons.
     """
 
@@ -363,9 +363,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, keys:
             "shingles": pa.array([np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets], pa.binary()),
         }
 
-    kept = with_row_id(docs.select("doc_id", F.col("text").alias("__text"))).select("row_id", "doc_id", "__text")
+    kept = with_row_id(with_place(docs.select("doc_id", F.col("text").alias("__text")))).select("row_id", "doc_id", *PLACE, "__text")
     kind = kept.schema["doc_id"].dataType.simpleString()
-    whole = Table(per_text(kept, look, f"row_id long, doc_id {kind}, class long, fp long, keys array<long>, shingles binary", "__text"))
+    whole = Table(per_text(kept, look, f"row_id long, doc_id {kind}, {PLACE[0]} string, {PLACE[1]} long, class long, fp long, keys array<long>, shingles binary", "__text"))
     rows = materialize(whole.df.drop("shingles"))
     classes = rows.groupBy("class").agg(F.min("row_id").alias("row_id"))
     first = materialize(rows.select("row_id", "fp", "keys").join(classes.select("row_id"), "row_id", "left_semi"))
@@ -397,7 +397,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, keys:
 
     linked = linked_shards(members, shard_rows, "row_id", finer, links, turns=True)
     groups = classes.join(linked.withColumnRenamed("id", "row_id"), "row_id", "left").select("class", F.coalesce("root", "row_id").alias("group"))
-    return rows.select("row_id", "doc_id", "class").join(groups, "class").select("row_id", "doc_id", "group")
+    return rows.select("row_id", "doc_id", *PLACE, "class").join(groups, "class").select("row_id", "doc_id", "group", *PLACE)
 
 
 def op3_simhash(spark, sf_dir):
