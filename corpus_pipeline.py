@@ -1,7 +1,11 @@
 """From raw documents to a training mix: five stages, each on all that the one before it kept.
 
-Every stage is written as Parquet and read again as the next one's documents. No stage broadcasts or collects
-anything that grows with the documents.
+Every stage is written as Parquet and read again as the next one's documents; the table before it goes then. No stage
+broadcasts or collects anything that grows with the documents.
+
+Defined cases. Null and empty texts pass the stages as empty ones do: the quality model scores them, empty texts are copies of one another,
+they hold no benchmark passage and no personal data, and the mix takes no words from them. Repeated rows are copies: one stays. Null ids, sources and
+languages are kept as they are. An empty table gives no rows. Columns other than ``COLUMNS`` are left out by the first stage.
 """
 
 from __future__ import annotations
@@ -9,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegraph.llm import decontam, mixing, pii, quality, simhash
-from tidegraph.llm.common import with_row_id
-from tidegraph.storage import materialize
+from tidegraph.llm.common import PLACE, with_place
+from tidegraph.storage import Table, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,8 +28,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
     rows = simhash.near_duplicates(docs)
-    copies = rows.where("row_id != group").select("row_id")
-    return with_row_id(docs.select(*COLUMNS)).join(copies, "row_id", "left_anti").select(*COLUMNS)
+    copies = rows.where("row_id != group").select(*PLACE)
+    return with_place(docs.select(*COLUMNS)).join(copies, PLACE, "left_anti").select(*COLUMNS)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +50,9 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes words from, with size, source_size, target and taken."""
-    numbered = with_row_id(docs.select(*COLUMNS))
-    taken = mixing.mix(numbered, carry=("row_id",)).where("taken > 0").select("row_id", "size", "source_size", "target", "taken")
-    return numbered.join(taken, "row_id").select(*COLUMNS, "size", "source_size", "target", "taken")
+    placed = with_place(docs.select(*COLUMNS))
+    taken = mixing.mix(placed, carry=tuple(PLACE)).where("taken > 0").select(*PLACE, "size", "source_size", "target", "taken")
+    return placed.join(taken, PLACE).select(*COLUMNS, "size", "source_size", "target", "taken")
 
 
 STAGES = [
@@ -64,7 +68,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES:
+        with scratch() as made:
+            after = Table(stage(spark, docs, sf_dir))
+            made.remove(after)
+        if before:
+            before.drop()
+        docs, before = after.df, after
+    after.register()
+    return docs
