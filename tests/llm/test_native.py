@@ -26,7 +26,7 @@ def plain_targets(sizes):
 
 def test_mix(spark):
     rng = random.Random(4)
-    rows = [(None, None, "tiny"), (1, "", "b"), (2, "one two\tthree\x85four", "tiny"), (7, "x y z " * 9, None), (7, "x y z " * 9, None), (8, "", "wordless")]
+    rows = [(None, None, "tiny"), (3, "w " * 20_000, "hot"), (1, "", "b"), (2, "one two\tthree\x85four", "tiny"), (7, "x y z " * 9, None), (7, "x y z " * 9, None), (8, "", "wordless")]
     for i in range(300):
         rows.append((100 + i, " ".join(["w"] * rng.randrange(1, 90)), rng.choice(["a", "é", "hot", "hot", "hot", "b"])))
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as size", "2 as shard")
@@ -45,6 +45,13 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_are_spread(spark):
+    docs = spark.range(4000).selectExpr("cast(null as long) as doc_id", "concat('text ', id) as text", "'s' as source")
+    sizes = [r["count"] for r in mixing.mix(docs, docs_per_shard=100).groupBy("shard").count().collect()]
+    assert len(sizes) == 40 and max(sizes) < 160
+    assert mixing.mix(docs, docs_per_shard=100, most_shards=8).select("shard").distinct().count() == 8
+
+
 def test_seats_are_sainte_lague(spark):
     rng = random.Random(2)
     for seats in (0, 1, 7, 100, 1001):
@@ -56,16 +63,18 @@ def test_seats_are_sainte_lague(spark):
         assert got == {p: sum(q == p for _, q in quotients) for p in votes}
 
 
-def plain_perspectives(rows):
+def plain_perspectives(rows, size=512):
     out = []
-    by = defaultdict(set)
+    by = defaultdict(list)
     for c, turn, role, text in rows:
-        by[c].add((turn, role, text))
+        by[c].append((turn, role, text))
+    order = lambda t: (t[0] or 0, t[1] is not None, t[1] or "", t[2] is not None, t[2] or "")
     for c, turns in by.items():
+        numbered, loose = (sorted((t for t in turns if (t[0] is None) == none), key=order) for none in (False, True))
+        parts = {k // size: numbered[k : k + size] for k in range(0, len(numbered), size)} | {-1 - k // size: loose[k : k + size] for k in range(0, len(loose), size)}
         for who in {r for _, r, _ in turns if r not in (None, "system")}:
-            for part in {t // 512 for t, _, _ in turns}:
+            for part, some in parts.items():
                 text, mask, n = "", [], 0
-                some = sorted((t for t in turns if t[0] // 512 == part), key=lambda t: (t[0], t[1] is not None, t[1] or "", t[2] is not None, t[2] or ""))
                 for _, role, said in some:
                     name = "assistant" if role == who else "system" if role == "system" else "user" + ("" if role is None else f" name={role}")
                     text += f"<|im_start|>{name}\n"
@@ -78,16 +87,27 @@ def plain_perspectives(rows):
     return sorted(out)
 
 
+def perspectives(df, **options):
+    return sorted((r.conv_id or -1, r.perspective, r.part, r.n_turns, r.n_masked, r.text, r["mask"]) for r in chat.rotate_perspectives(df, **options).collect())
+
+
 def test_perspectives(spark):
-    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hé"), (1, 2, "bob", None), (1, 2, "bob", "later"), (1, 2, None, "who"), (1, 600, "ann", "far"), (1, 1, "ann", "hé"), (2, 0, "system", "alone"), (None, 5, "", "x"), (3, -1, "user", "neg"), (3, 0, "assistant", "ok")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'z' as perspective", "1 as part")
-    got = sorted((r.conv_id or -1, r.perspective, r.part, r.n_turns, r.n_masked, r.text, r["mask"]) for r in chat.rotate_perspectives(df).collect())
-    assert got == plain_perspectives(rows)
-    loose = spark.createDataFrame([(1, None, "a", "x")] * 3 + [(1, None, "b", "y")], df.select("conv_id", "turn", "role", "text").schema)
-    assert sum(r.n_turns for r in chat.rotate_perspectives(loose, unordered_parts=1).collect()) == 4
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hé"), (1, 2, "bob", None), (1, 2, "bob", "later"), (1, 2, None, "who"), (1, 600, "ann", "far"), (1, 1, "ann", "hé"), (2, 0, "system", "alone"), (None, 5, "", "x"), (3, -1, "user", "neg"), (3, 0, "assistant", "ok"), (4, None, "a", "x")]
+    rows += [(4, None, "a", "x")] * 2 + [(4, None, "b", "y"), (4, 7, "b", "long " * 50_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'z' as perspective", "1 as part", "2 as n", "true as loose", "3 as at")
+    assert perspectives(df) == plain_perspectives(rows)
     assert chat.rotate_perspectives(df.limit(0)).count() == 0
 
 
+def test_large_conversations_are_cut_by_rows_and_keep_copies(spark):
+    rng = random.Random(3)
+    rows = [(c, rng.choice((None, 1, 1, 2, rng.randrange(9))), rng.choice("abc"), rng.choice(("x", "y", None))) for c in (1, 1, 1, None, None, 2) for _ in range(40)]
+    rows += [(5, 3, "a", "the same")] * 100 + [(5, 3, "b", "z"), (6, 1, "a", "m"), (6, 1, "b", "n")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for d in (df, df.repartition(5)):
+        assert perspectives(d, turns_per_part=7) == plain_perspectives(rows, 7)
+
+
 def test_turns_without_a_number_stay_together_in_bounded_parts(spark):
     rows = [(1, None, "ab"[i % 2], f"turn {i}") for i in range(8)] + [(2, None, "a", f"t{i}") for i in range(1300)] + [(None, None, "c", "x"), (None, None, None, None), (1, 3, "a", "numbered")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

@@ -4,52 +4,64 @@ One row per conversation, perspective and part. The perspective's own turns are
 ``assistant`` and carry the loss mask; ``system`` turns stay system; every other speaker is a
 ``user`` with a name. DataFrame functions only.
 
-Defined cases. A part covers ``turns_per_part`` consecutive turn numbers, so one huge
-conversation is spread over many rows; ordinary ones have the single part 0. Turns without a
-number come in parts -1, -2, ... of at most ``turns_per_part`` turns by a running rank, so an ordinary
-conversation's are together in part -1; within a part they are ordered by role, then text. Exact repeats of a turn
-(same conversation, turn, role and text) are rendered once, which also merges them before the
-shuffle; different texts under one number are ordered by role, then text, by code point, nulls
-first. A null text renders empty. A null role is an unnamed user and no perspective; a part
-in which a speaker says nothing is still rendered for that speaker. Rows with a null conv_id form one conversation. A conversation with system turns
-only has no rows, and so has an empty table. Other columns are ignored. Texts are rendered as
+Defined cases. A conversation's turns are ordered by number, role and text (by code point, nulls first) and cut by
+that running order into parts of ``turns_per_part``, so one huge conversation is spread over many rows whatever its numbers;
+ordinary ones have the single part 0. Turns without a number come in parts of their own, -1, -2, ..., likewise. Repeated
+turns are all rendered; in conversations of several parts copies are counted before the shuffle and dealt to parts by their
+count, so no number of them meets in one group. A null text renders empty. A null role is an unnamed user and no perspective; a part
+in which a speaker says nothing is still rendered for that speaker. Rows with a null conv_id form one conversation. A
+conversation with system turns only has no rows, and so has an empty table. Other columns are ignored. Texts are rendered as
 they are: markers inside them are not escaped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+from tidegraph.storage import materialize
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
-def unnumbered_parts(turns: DataFrame, turns_per_part: int, salts: int) -> DataFrame:
-    """(conv_id, part, turn, role, text) of the distinct turns without a number, ranked by a hash, then role and text.
+def in_parts(turns: DataFrame, turns_per_part: int) -> DataFrame:
+    """(conv_id, part, turn, role, text, n): the different turns of each part, with their number of copies in it.
 
-    Ranks are counted within ``salts`` hashed shares of a conversation and moved by the sizes of the shares before.
+    The running order comes from a range partitioning by conversation and turn, counts within its partitions and sums of
+    the partitions before: no task sees a whole conversation.
     """
-    salt = F.pmod(F.xxhash64("role", "text"), F.lit(salts))
-    loose = turns.where("turn is null").select("conv_id", "turn", "role", "text").distinct().withColumn("salt", salt)
-    ranked = loose.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id", "salt").orderBy("role", "text")))
-    before = F.sum("n").over(Window.partitionBy("of_id").orderBy("of_salt").rowsBetween(Window.unboundedPreceding, -1))
-    shares = loose.groupBy(F.col("conv_id").alias("of_id"), F.col("salt").alias("of_salt")).agg(F.count(F.lit(1)).alias("n"))
-    shares = shares.select("of_id", "of_salt", F.coalesce(before, F.lit(0)).alias("before"))
-    placed = ranked.join(shares, F.col("conv_id").eqNullSafe(F.col("of_id")) & (F.col("salt") == F.col("of_salt")))
-    part = -1 - F.floor((F.col("before") + F.col("rank") - 1) / F.lit(turns_per_part))
-    return placed.select("conv_id", part.cast("long").alias("part"), "turn", "role", "text")
-
-
-def rotate_perspectives(turns: DataFrame, turns_per_part: int = 512, unordered_parts: int = 1024) -> DataFrame:
+    order = ["conv_id", "loose", "turn", "role", "text"]
+    kinds = turns.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n")).withColumn("loose", F.col("turn").isNull())
+    placed = materialize(kinds.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("slice", F.shiftright("at", 33))
+    inner = F.sum("n").over(W.partitionBy("slice", "conv_id", "loose").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow))
+    slices = placed.groupBy(F.col("slice").alias("s"), F.col("conv_id").alias("c"), F.col("loose").alias("l")).agg(F.sum("n").alias("many"))
+    before = F.sum("many").over(W.partitionBy("c", "l").orderBy("s")) - F.col("many")
+    slices = slices.withColumn("before", before)
+    placed = placed.withColumn("upto", inner).join(slices, (F.col("slice") == F.col("s")) & F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("loose") == F.col("l")))
+    placed = placed.withColumn("to", F.col("before") + F.col("upto")).withColumn("from", F.col("to") - F.col("n"))
+    number = lambda x: F.floor(x / F.lit(turns_per_part)).cast("long")
+    cut = placed.withColumn("k", F.explode(F.sequence(number(F.col("from")), number(F.col("to") - 1))))
+    copies = F.least("to", (F.col("k") + 1) * turns_per_part) - F.greatest("from", F.col("k") * turns_per_part)
+    return cut.select("conv_id", F.when(F.col("loose"), -1 - F.col("k")).otherwise(F.col("k")).alias("part"), "turn", "role", "text", copies.cast("int").alias("n"))
+
+
+def rotate_perspectives(turns: DataFrame, turns_per_part: int = 512) -> DataFrame:
     """(conv_id, perspective, part, n_turns, n_masked, text, mask) of a table (conv_id, turn, role, text).
 
     mask: code-point spans ``start:end`` of ``text`` (end exclusive, comma-joined) that count for
     the loss: the assistant's words with the closing marker.
     """
-    part = F.floor(F.col("turn") / F.lit(turns_per_part)).cast("long")
-    numbered = turns.where("turn is not null").select("conv_id", part.alias("part"), "turn", "role", "text")
-    rows = numbered.unionByName(unnumbered_parts(turns, turns_per_part, unordered_parts))
     speakers = turns.where("role is not null and role != 'system'").select(F.col("conv_id").alias("of_id"), F.col("role").alias("perspective")).distinct()
-    parts = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
+    turns = turns.select("conv_id", "turn", "role", "text", F.col("turn").isNull().alias("loose"))
+    # Only conversations of more than one part need the running order; they are found by counts.
+    sizes = turns.groupBy(F.col("conv_id").alias("c"), F.col("loose").alias("l")).agg(F.count(F.lit(1)).alias("many"))
+    large = materialize(sizes.where(F.col("many") > turns_per_part).select("c", "l", F.lit(True).alias("large")))
+    marked = turns.join(large, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("loose") == F.col("l")), "left")
+    rows = marked.where("large is null").select("conv_id", F.when(F.col("loose"), -1).otherwise(0).cast("long").alias("part"), "turn", "role", "text", F.lit(1).alias("n"))
+    if not large.isEmpty():
+        rows = rows.unionByName(in_parts(marked.where("large"), turns_per_part))
+    each = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "n"))), lambda t: F.array_repeat(t, t["n"])))
+    parts = rows.groupBy("conv_id", "part").agg(each.alias("turns"))
     both = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("of_id")))
     mine = lambda t: F.coalesce(t["role"] == F.col("perspective"), F.lit(False))
     head = lambda t: F.concat(
@@ -81,25 +93,26 @@ def op10_chat_perspectives(spark, sf_dir):
 
 
 ORACLE = """
-WITH rows AS (
-  SELECT DISTINCT conv_id, turn, role, text, CAST(floor(turn / 512.0) AS BIGINT) AS part FROM conversations
+WITH ranked AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (
+    PARTITION BY conv_id, turn IS NULL ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS rank FROM conversations
+), rows AS (
+  SELECT conv_id, turn, role, text, rank, CASE WHEN turn IS NULL THEN -1 - (rank - 1) // 512 ELSE (rank - 1) // 512 END AS part FROM ranked
 ), speakers AS (
   SELECT DISTINCT conv_id, role AS perspective FROM rows WHERE role <> 'system'
 ), said AS (
-  SELECT r.conv_id, s.perspective, r.part, r.turn, r.role, r.text, r.role = s.perspective AS mine,
-         '<|im_start|>' || CASE WHEN r.role = s.perspective THEN 'assistant' WHEN r.role = 'system' THEN 'system'
+  SELECT r.conv_id, s.perspective, r.part, r.rank, r.text, coalesce(r.role = s.perspective, false) AS mine,
+         '<|im_start|>' || CASE WHEN coalesce(r.role = s.perspective, false) THEN 'assistant' WHEN r.role = 'system' THEN 'system'
                            ELSE 'user' || coalesce(' name=' || r.role, '') END || chr(10) AS head,
          coalesce(r.text, '') || '<|im_end|>' || chr(10) AS body
-  FROM rows r JOIN speakers s USING (conv_id)
+  FROM rows r JOIN speakers s ON r.conv_id IS NOT DISTINCT FROM s.conv_id
 ), placed AS (
   SELECT *, sum(length(head) + length(body)) OVER (
-    PARTITION BY conv_id, perspective, part ORDER BY turn, role NULLS FIRST, text NULLS FIRST
-    ROWS UNBOUNDED PRECEDING) AS until
+    PARTITION BY conv_id, perspective, part ORDER BY rank ROWS UNBOUNDED PRECEDING) AS until
   FROM said
 )
 SELECT conv_id, perspective, part, count(*) AS n_turns, count(*) FILTER (mine) AS n_masked,
-       string_agg(head || body, '' ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS text,
-       coalesce(string_agg(CASE WHEN mine THEN CAST(CAST(until - length(body) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(until AS BIGINT) AS VARCHAR) END, ','
-                ORDER BY turn, role NULLS FIRST, text NULLS FIRST), '') AS mask
+       string_agg(head || body, '' ORDER BY rank) AS text,
+       coalesce(string_agg(CASE WHEN mine THEN CAST(CAST(until - length(body) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(until AS BIGINT) AS VARCHAR) END, ',' ORDER BY rank), '') AS mask
 FROM placed GROUP BY conv_id, perspective, part
 """

@@ -9,13 +9,14 @@ a seeded start for the rest. A document's share of the taken blocks has a closed
 blocks are never listed and no document is moved. DataFrame functions only.
 
 Scale: texts are read once, for their sizes. The one shuffle of documents carries (id, source,
-size) by (source, shard); a shard holds about ``docs_per_shard`` documents of all sources
-together, so a source with a third of all rows is spread over every shard. Windows over sources
-see one row a source, those over shards one row a shard.
+size) by (source, shard). Documents go to shards by a hash of id and text, so a source with a third of all rows, or
+as many rows without an id, are spread over every shard. A shard holds about ``docs_per_shard`` documents of all
+sources together, more where there would be over ``most_shards``. Windows over sources see one row a source, those
+over shards at most ``most_shards`` rows a source.
 
 Defined cases. Null or wordless texts have size 0 and take 0. A null source is a source of its
-own and sorts last; the empty one sorts first. Repeated rows each take part. Null ids share one
-place in the order. An empty table gives no rows. Columns of the table are kept out of the way:
+own and sorts last; the empty one sorts first. Repeated rows each take part, next to one another. Null ids count as empty
+ones. Very long texts are one document like any other. An empty table gives no rows. Columns of the table are kept out of the way:
 only doc_id, text and source are read. B is the smallest positive target over
 ``blocks_per_source``, between 1 and ``max_block`` words, so each source can come near its
 target.
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidegraph.llm.common import WORD
-from tidegraph.storage import materialize
+from tidegraph.storage import materialize, settled
 
 SEED = 20
 
@@ -74,11 +75,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats:
     return out.withColumn("target", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = SEED, docs_per_shard: int = 2048, blocks_per_source: int = 200, max_block: int = 2048, carry: tuple[str, ...] = ()) -> DataFrame:
+@settled
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = SEED, docs_per_shard: int = 2048, most_shards: int = 1 << 16, blocks_per_source: int = 200, max_block: int = 2048, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, source_size, target, taken, source, shard) and the narrow columns ``carry`` for every row of ``docs``; see the module."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary"))
     read = materialize(docs.select("doc_id", "source", n_words("text").alias("size"), digest.alias("place"), *carry))
-    shards = F.greatest(F.lit(1), F.ceil(F.lit(read.count()) / docs_per_shard)).cast("long")
+    shards = F.lit(max(1, min(most_shards, -(-read.count() // docs_per_shard)))).cast("long")
     rows = read.withColumn("shard", F.pmod(F.conv(F.substring("place", 1, 8), 16, 10).cast("long"), shards))
 
     by_shard = rows.groupBy("source", "shard").agg(F.sum("size").alias("words"))
@@ -141,8 +143,8 @@ def op1_mix_sources(spark, sf_dir):
 MIX_SQL = """
 rows_ AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         md5('20:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place,
-         CAST(greatest(1, ceil((SELECT count(*) FROM {docs}) / 2048.0)) AS BIGINT) AS shards
+         md5('20:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS place,
+         CAST(least(65536, greatest(1, ceil((SELECT count(*) FROM {docs}) / 2048.0))) AS BIGINT) AS shards
   FROM {docs}
 ), rows1 AS (
   SELECT *, CAST('0x' || substr(place, 1, 8) AS BIGINT) % shards AS shard FROM rows_
