@@ -23,10 +23,10 @@ def test_top_k_is_exact(spark):
         if i % 50 == 0:
             best = sorted((-sum(x * y for x, y in zip(v, w)), j) for b, (j, w) in enumerate(vec) if b != a)[:5]
             want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
-    for many in (4096, 2):
-        got = topk.top_k(df, topk.F.col("vec_id") % 50 == 0, dim_block=2, queries_at_once=many, chunk=16).collect()
+    for many, wide in ((4096, 4096), (2, 4096), (2, 20)):
+        got = topk.top_k(df, topk.F.col("vec_id") % 50 == 0, dim_block=2, queries_at_once=many, rows_at_once=wide, least_rows=16, chunk=16).collect()
         assert sorted(map(tuple, got)) == sorted(want)
-    assert topk.top_k(df.limit(0), topk.F.lit(True)).count() == 0
+    assert topk.top_k(df.limit(0), topk.F.lit(True)).count() == 0 == topk.top_k(df, topk.F.lit(None).cast("boolean")).count()
     assert len(topk.top_k(df.where("vec_id in (0, 1)"), topk.F.lit(True)).collect()) == 2
 
 

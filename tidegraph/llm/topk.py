@@ -3,9 +3,12 @@
 Vectors lie in vertical layout (one row a dimension). Scores grow by blocks of dimensions; after
 each block a candidate goes for good if its partial score plus the largest product its
 remaining mass allows (Cauchy-Schwarz on the norms still to come) is under the query's k-th score so far.
-Once few pairs survive they are kept as a compact list. Queries are broadcast in blocks of
-``queries_at_once``, whatever the table's size, and each block is a pass over all rows; a task
-returns k rows for each query, and only those are shuffled.
+Once few pairs survive they are kept as a compact list.
+
+Scale: queries are hashed into blocks of about ``queries_at_once``, candidates into blocks of at most ``rows_at_once``, and
+every pair of blocks is a cell of its own: a shuffle brings a copy of each block to each of its cells, where the queries
+come first and the candidates stream past them. Nothing goes through the driver or is broadcast, a task holds one block of
+queries at a time, and a cell returns k rows for each query, of which the best are kept.
 
 Defined cases. Vectors that are null or hold null or non-finite components, and rows without
 an id, take no part. Shorter vectors count as padded with zeros; an empty one scores 0 with
@@ -22,8 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidegraph.llm.common import Shared, with_row_id
-from tidegraph.storage import materialize
+from tidegraph.llm.common import with_row_id
+from tidegraph.storage import materialize, settled
 
 SCHEMA = "query_row long, query_id long, row long, vec_id long, score long"
 EXACT = float(1 << 53)
@@ -112,36 +115,71 @@ def search_chunk(queries: np.ndarray, query_rows: np.ndarray, x: np.ndarray, ids
     best.add(q, part[own].astype(np.int64), ids[c], rows[c])
 
 
-def top_k(table: DataFrame, is_query: Column, k: int = 5, dim_block: int = 16, queries_at_once: int = 4096, chunk: int = 1024) -> DataFrame:
+@settled
+def top_k(table: DataFrame, is_query: Column, k: int = 5, dim_block: int = 16, queries_at_once: int = 1 << 14, rows_at_once: int = 1 << 16, least_rows: int = 1024, chunk: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows of ``table`` by integer inner product for each query row."""
-    vectors = materialize(integer_vectors(table))
-    spark = table.sparkSession
-    asked = vectors.where(is_query)
-    blocks = -(-asked.count() // queries_at_once)
-    found = spark.createDataFrame([], SCHEMA)
-    for b in range(blocks):
-        # Hashed blocks come out near queries_at_once whatever the ids look like.
-        local = asked.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b).toArrow()
-        dims = max([1, *local.column("v").combine_chunks().value_lengths().to_pylist()]) if len(local) else 1
-        shared = Shared(spark, (to_matrix(local.column("v").combine_chunks(), dims), np.asarray(local.column("row")), np.asarray(local.column("vec_id"))))
-        found = found.union(vectors.mapInArrow(_searcher(shared, k, dim_block, chunk), SCHEMA))
+    vectors = materialize(integer_vectors(table).withColumn("asked", F.coalesce(is_query, F.lit(False))))
+    rows, asked = vectors.agg(F.count(F.lit(1)), F.count_if("asked")).first()
+    # Smaller tables are cut finer, so that every core has a cell.
+    size = max(least_rows, min(rows_at_once, rows // (4 * table.sparkSession.sparkContext.defaultParallelism)))
+    across, down = -(-asked // queries_at_once), max(1, -(-rows // size))
+    block = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    if not asked:
+        return table.sparkSession.createDataFrame([], SCHEMA).select("query_id", F.lit(0).alias("rank"), "vec_id", "score")
+    ours = vectors.where("asked").select(block(across).alias("i"), every(down).alias("j"), F.lit(0).alias("side"), "row", "vec_id", "v")
+    theirs = vectors.select(every(across).alias("i"), block(down).alias("j"), F.lit(1).alias("side"), "row", "vec_id", "v")
+    cells = ours.unionByName(theirs).repartition("i", "j").sortWithinPartitions("i", "j", "side")
+    found = cells.mapInArrow(_searcher(k, dim_block, chunk), SCHEMA)
     better = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(better)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _searcher(shared, k: int, dim_block: int, chunk: int):
+class Cell:
+    """A block of queries and the best candidates that it has met."""
+
+    def __init__(self, k: int):
+        self.k, self.held, self.best = k, [], None
+
+    def ask(self, part: pa.RecordBatch) -> None:
+        self.held.append(part)
+
+    def meet(self, part: pa.RecordBatch, dim_block: int, chunk: int) -> None:
+        if not self.held:
+            return
+        if self.best is None:
+            queries = pa.Table.from_batches(self.held).combine_chunks()
+            lists = queries.column("v").combine_chunks()
+            self.queries = to_matrix(lists, max([1, *lists.value_lengths().to_pylist()]))
+            self.rows, self.ids = np.asarray(queries.column("row")), np.asarray(queries.column("vec_id"))
+            self.best = Best(len(self.rows), self.k)
+        x, ids, rows = to_matrix(part.column("v"), len(self.queries)), np.asarray(part.column("vec_id")), np.asarray(part.column("row"))
+        at, step = 0, 64
+        while at < len(ids):
+            search_chunk(self.queries, self.rows, x[:, at : at + step], ids[at : at + step], rows[at : at + step], self.best, dim_block)
+            at, step = at + step, min(chunk, step * 4)
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        if self.best is not None:
+            b = self.best
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in (self.rows[b.q], self.ids[b.q], b.rows, b.ids, b.score)], names=["query_row", "query_id", "row", "vec_id", "score"])
+
+
+def _searcher(k: int, dim_block: int, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, query_rows, query_ids = shared.value
-        best = Best(queries.shape[1], k)
+        cell, at = Cell(k), None
         for batch in batches:
-            x = to_matrix(batch.column("v"), len(queries))
-            ids, rows = np.asarray(batch.column("vec_id")), np.asarray(batch.column("row"))
-            at, step = 0, 64
-            while at < len(ids):
-                to = at + step
-                search_chunk(queries, query_rows, x[:, at:to], ids[at:to], rows[at:to], best, dim_block)
-                at, step = to, min(chunk, step * 4)
-        yield pa.RecordBatch.from_arrays([pa.array(a) for a in (query_rows[best.q], query_ids[best.q], best.rows, best.ids, best.score)], names=["query_row", "query_id", "row", "vec_id", "score"])
+            keys = np.stack([np.asarray(batch.column(c)) for c in ("i", "j", "side")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if at != (keys[0, a], keys[1, a]):
+                    yield from cell.found()
+                    cell, at = Cell(k), (keys[0, a], keys[1, a])
+                part = batch.slice(a, b - a)
+                cell.meet(part, dim_block, chunk) if keys[2, a] else cell.ask(part)
+        yield from cell.found()
 
     return run
 
