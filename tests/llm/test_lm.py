@@ -17,10 +17,22 @@ def rows_for_test():
     return rows
 
 
+KEPT = {}
+
+
 @pytest.fixture(scope="module")
 def scored(spark):
     docs = spark.createDataFrame(rows_for_test(), "doc_id long, text string").withColumn("held_out", lm.crc_bucket("doc_id", 10) == 0)
-    return lm.score_texts(docs, ~docs.held_out, ["doc_id", "held_out"]).collect()
+    docs = docs.selectExpr("*", "1 as n", "'z' as token", "2 as c", "3 as base", "4 as __row")
+    train = lm.train_model
+
+    def kept(texts, vocabulary, unigram):
+        KEPT["model"], KEPT["vocabulary"] = train(texts, vocabulary, unigram), vocabulary.value
+        return KEPT["model"]
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(lm, "train_model", kept)
+        return lm.score_texts(docs, ~docs.held_out, ["doc_id", "held_out"]).collect()
 
 
 def test_base_scores_are_the_plain_ones(scored):
@@ -33,6 +45,33 @@ def test_base_scores_are_the_plain_ones(scored):
     assert got == want
 
 
+def test_scores_are_the_plain_softmax(scored):
+    m, v = KEPT["model"], KEPT["vocabulary"]
+    toks = lambda t: (t or "").encode().lower().split() + [b""]
+    held = lambda d: zlib.crc32(str("" if d is None else d).encode()) % 10 == 0
+    c = Counter(w for d, t in rows_for_test() if not held(d) for w in toks(t))
+    own = [b"", *[w for w, _ in sorted(((w, n) for w, n in c.items() if w), key=lambda x: (-x[1], x[0]))][: lm.WORDS - 1]]
+    ids = {w: 1 + i for i, w in enumerate(own)}
+    mass = np.full(lm.CLASSES, 0.1)
+    for w, n in c.items():
+        if w not in ids:
+            mass[lm.word_class(w)] += n + 0.1
+    want = []
+    for d, t in rows_for_test():
+        one = two = lm.BOS
+        total = 0.0
+        for w in toks(t):
+            k = ids.get(w) or 1 + lm.WORDS + lm.word_class(w)
+            logits = np.where(v.unigram > 0, (m.c[0] * m.r[one] + m.c[1] * m.r[two]) @ m.q.T.astype(float) + m.b, -np.inf)
+            total += (logits[k] - np.log(np.exp(logits - logits.max()).sum()) - logits.max()) / np.log(10)
+            if k > lm.WORDS:
+                total += math.log10((c[w] + 0.1) / mass[lm.word_class(w)])
+            one, two = k, one
+        want.append((d if d is not None else -1, total))
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.score) for r in scored)
+    assert np.allclose([x for _, x in got], [x for _, x in sorted(want)], rtol=1e-4, atol=1e-3)
+
+
 def test_model_beats_the_base(scored):
     assert all(r.score <= 1e-9 and math.isfinite(r.score) for r in scored)
     some = [r for r in scored if r.held_out and r.n_tokens > 20]

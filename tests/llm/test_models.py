@@ -88,6 +88,60 @@ def test_toxicity(spark):
     assert len(rows) == 403 and all(0 <= r.score <= 1 for r in rows) and accuracy(rows, texts) == 1.0
     assert toxicity.train(docs, labels.limit(0)) is None
     assert {r.score for r in toxicity.score(docs, None, ["doc_id"]).collect()} == {0.0}
+    every = toxicity.score(docs, toxicity.train(docs, labels.where("toxic = 1")), ["doc_id"]).collect()
+    n = sum(y == 1 and zlib.crc32(str(i).encode()) % 5 != 0 for i, (_, y) in enumerate(texts))
+    assert {round(r.score, 9) for r in every} == {round((n + 1) / (n + 2), 9)}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.text(alphabet="abc", min_size=1, max_size=4), st.tuples(st.booleans(), st.integers(1, 9)), min_size=1, max_size=8), st.text(alphabet="abc _0", max_size=40))
+def test_matcher_is_the_plain_one(patterns, text):
+    weights = {p + "$" * whole: float(w) for p, (whole, w) in patterns.items()}
+    folded, want = toxicity.fold(text), []
+    for i in range(len(folded)):
+        fits = [w for p, w in weights.items() if folded.startswith(p.rstrip("$"), i) and not (i and folded[i - 1].isalnum()) and not (p[-1] == "$" and folded[i + len(p) - 1 : i + len(p)].isalnum())]
+        want += [max(fits)] if fits else []
+    assert sorted(w for w, _ in toxicity.Lexicon(weights).hits(folded)) == sorted(want)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="aB1.!é# \n", max_size=60))
+def test_statistics_are_the_plain_ones(text):
+    raw, got = text.encode(), quality.statistics(text, quality.class_matrix())
+    words = raw.split()
+    if not words:
+        assert not any(got)
+        return
+    counts = [sum(b in members for b in raw) for members in quality.CLASSES]
+    repeats, lines = sum(a == b for a, b in zip(words, words[1:])), raw.split(b"\n")
+    want = [c / len(raw) for c in counts] + [math.log1p(c) for c in counts]
+    want += [math.log1p(len(words)), math.log1p(len(raw)), sum(map(len, words)) / len(words), max(map(len, words)), len(set(words)) / len(words), max(words.count(w) for w in words) / len(words)]
+    want += [repeats / len(words), math.log1p(repeats), len(lines) / len(words), 1 - len(set(lines)) / len(lines), max(map(len, lines)) / len(raw), sum(w.isupper() for w in words) / len(words)]
+    assert np.allclose(got, want)
+
+
+def test_a_stump_is_the_best_of_all_splits():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 12, (60, 3)).astype(float)
+    y = ((x[:, 1] > 6) ^ (rng.random(60) < 0.2)).astype(float)
+    model = boosting.fit(x, y, trees=1, depth=1, rate=1.0, least=5, ridge=1.0)
+    p = (y.sum() + 1) / (len(y) + 2)
+    g, h = y - p, np.full(len(y), p * (1 - p))
+    score = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+    gains = {(f, c): score(x[:, f] <= c) + score(x[:, f] > c) for f in range(3) for c in np.unique(x[:, f]) if 5 <= (x[:, f] <= c).sum() <= 55}
+    left = x[:, model.feature[0, 0]] <= model.threshold[0, 0]
+    assert score(left) + score(~left) == pytest.approx(max(gains.values()))
+    assert np.allclose(model.leaf[0], [g[m].sum() / (h[m].sum() + 1) for m in (left, ~left)])
+
+
+def test_very_long_texts_are_scored_whole(spark):
+    long = "word " * 200_000
+    docs = spark.createDataFrame([(1, long + "zonker"), (2, long)], "doc_id long, text string")
+    model = toxicity.Lexicon({"zonker$": 5.0}), np.array([-3.0, 9.0, 0.0])
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, model, ["doc_id"]).collect()}
+    assert scores[1] > 0.9 and scores[2] < 0.1
+    x = quality.matrix([long])
+    assert x[0, 2 * len(quality.CLASSES)] == math.log1p(200_000)
 
 
 def test_lexicon_boundaries_and_exceptions():

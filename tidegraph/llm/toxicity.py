@@ -12,8 +12,8 @@ Scale: the lexicon and its fit see ``fit_rows`` labelled rows; each document is
 itself in one pass.
 
 Defined cases. Null and empty texts have no hits and get the score of a clean text. Repeated
-rows are scored each. Without labels or with one class only there is no lexicon and the score
-is 0. Extra columns are ignored.
+rows are scored each. Where the labels are of one class only, or no pattern passes, the lexicon is empty and the score is the
+smoothed share of toxic rows, (toxic + 1) / (rows + 2); without labels it is 0. Very long texts are scored whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -112,7 +112,9 @@ class Lexicon:
         return out
 
 
-def learn_lexicon(sample: DataFrame) -> dict[str, float]:
+def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], int, int]:
+    """Weights by pattern, and how many rows are clean and toxic."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -127,7 +129,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     every = {r["pattern"]: (r["clean"], r["toxic"]) for r in some}
     clean, toxic = every.pop("", (0, 0))
     if not clean or not toxic:
-        return {}
+        return {}, clean, toxic
     rate, tried = toxic / (clean + toxic), 500.0 * (clean + toxic)
     out = {}
     for p, (c, t) in every.items():
@@ -135,7 +137,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
         surprise = t * math.log(share / rate) + (c * math.log((1 - share) / (1 - rate)) if c else 0.0)
         if surprise > math.log(tried):
             out[p] = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
-    return out
+    return out, clean, toxic
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50) -> np.ndarray:
@@ -153,9 +155,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50)
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int = FIT_ROWS) -> tuple[Lexicon, np.ndarray] | None:
     sample = labelled_sample(docs, labels, label, fit_rows)
-    weights = learn_lexicon(sample)
-    if not weights:
+    weights, clean, toxic = learn_lexicon(sample)
+    if not clean + toxic:
         return None
+    if not weights:
+        return Lexicon({}), np.array([math.log((toxic + 1) / (clean + 1)), 0.0, 0.0])
     shared = Shared(docs.sparkSession, Lexicon(weights))
 
     def look(texts):
