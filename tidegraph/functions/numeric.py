@@ -53,6 +53,16 @@ class Numeric:
 DOUBLE, FIXED = Numeric(False), Numeric(True)
 
 
+#: Hashes have 13 hexadecimal digits, 52 bits.
+HASHES = 1 << 52
+
+
+def hashed(*parts: Column | int | str) -> Column:
+    """A long under ``HASHES`` from the parts, the same whatever the partitioning and in any engine that has md5."""
+    text = F.concat_ws(":", *[F.lit(str(p)) if isinstance(p, (int, str)) else p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
+
+
 def uniform(*parts: Column | int | str) -> Column:
-    """A double in [0, 1) from a hash, the same whatever the partitioning."""
-    return F.pmod(F.xxhash64(*[F.lit(p) if isinstance(p, (int, str)) else p for p in parts]), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    """A double in [0, 1) from a hash."""
+    return hashed(*parts).cast("double") / float(HASHES)

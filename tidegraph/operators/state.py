@@ -86,11 +86,6 @@ def degrees(edges: DataFrame) -> DataFrame:
     return adjacency(edges).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def csr(edges: DataFrame) -> DataFrame:
-    """(id, nbrs): neighbours with weights as an array ordered by neighbour; for exports."""
-    return adjacency(edges).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("nbr", "w"))).alias("nbrs"))
-
-
 def auto_tau(edges: DataFrame) -> float:
     """Mean weight, 0.5 without edges."""
     return edges.agg(F.coalesce(F.avg("w"), F.lit(0.5)).alias("tau")).first()["tau"]

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidegraph.functions.numeric import LABEL
-from tidegraph.queries import BATCH, LAST, SWEEPS, TAU
+from tidegraph.functions.numeric import HASHES, LABEL
+from tidegraph.queries import BATCH, DEGREE, LAST, N, SWEEPS, TAU
 from tidegraph.sources.fixtures import BATCHES, LEAST
 
 STEP = LABEL // 10_000
@@ -15,7 +15,7 @@ v0 AS (
          vec_id % 20 = 0 OR vec_id % 50 = 7 AS known FROM embeddings
 ), v AS MATERIALIZED (
   SELECT id, true_label, batch_id,
-         CAST(CASE WHEN NOT known AND id % 11 = 3 THEN least(batch_id + (id // 11) % 2, {BATCHES - 1}) END AS INTEGER) AS delete_batch,
+         CAST(CASE WHEN NOT known AND id % 11 = 3 THEN least(batch_id + (id // 22) % 2, {BATCHES - 1}) END AS INTEGER) AS delete_batch,
          CASE WHEN known THEN true_label END AS gt_class FROM v0
 ), e AS MATERIALIZED (
   SELECT * FROM (
@@ -37,7 +37,7 @@ e AS MATERIALIZED (
          id % 20 = 0 OR id % 50 = 7 AS known FROM (SELECT src AS id FROM e UNION SELECT dst FROM e)
 ), v AS MATERIALIZED (
   SELECT id, true_label, batch_id,
-         CAST(CASE WHEN NOT known AND id % 11 = 3 THEN least(batch_id + (id // 11) % 2, {BATCHES - 1}) END AS INTEGER) AS delete_batch,
+         CAST(CASE WHEN NOT known AND id % 11 = 3 THEN least(batch_id + (id // 22) % 2, {BATCHES - 1}) END AS INTEGER) AS delete_batch,
          CASE WHEN known THEN true_label END AS gt_class FROM v0
 ), lines AS MATERIALIZED (
   SELECT src, dst, w, greatest(a.batch_id, b.batch_id) AS starts, least(a.delete_batch, b.delete_batch) AS ends
@@ -154,16 +154,84 @@ def deletions() -> str:
     return sql(gone, *ctes)
 
 
+def hashed(*parts) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', {', '.join(map(str, parts))})), 1, 13) AS BIGINT)"
+
+
+SEED = 42
+MISSING = max(N * DEGREE // 2, N - 1) - (N - 1)
+
+#: The generated graph: one round of draws is enough for N and DEGREE.
+MADE = f"""
+labels AS MATERIALIZED (SELECT id, CAST(row_number() OVER (ORDER BY {hashed('id', SEED)}, id) > {N // 2} AS INTEGER) AS true_label FROM (SELECT range AS id FROM range({N}))),
+backbone AS MATERIALIZED (
+  SELECT least(id, other) AS src, greatest(id, other) AS dst FROM (SELECT id, lead(id) OVER (ORDER BY {hashed('id', SEED + 1)}, id) AS other FROM labels) WHERE other IS NOT NULL
+), draws AS (
+  SELECT {hashed('range', SEED + 2, "'a'")} % {N} AS a, {hashed('range', SEED + 2, "'b'")} % {N} AS b FROM range({int(MISSING * 1.3) + 64})
+), drawn AS (
+  SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM draws WHERE a <> b
+), fresh AS MATERIALIZED (
+  SELECT src, dst, row_number() OVER (ORDER BY {hashed('src', 'dst', SEED)}, src, dst) AS place FROM drawn ANTI JOIN backbone USING (src, dst)
+), e0 AS MATERIALIZED (SELECT src, dst FROM backbone UNION ALL SELECT src, dst FROM fresh WHERE place <= {MISSING}),
+e AS MATERIALIZED (
+  SELECT src, dst, CASE WHEN a.true_label = b.true_label THEN 0.5::DOUBLE + 0.5::DOUBLE * u ELSE 0.01::DOUBLE + 0.49::DOUBLE * u END AS w
+  FROM (SELECT src, dst, CAST({hashed('src', 'dst', SEED, "'w'")} AS DOUBLE) / {HASHES}::DOUBLE AS u FROM e0) JOIN labels a ON a.id = src JOIN labels b ON b.id = dst
+)"""
+
+
+def batches() -> str:
+    """The vertices of the generated graph with their batches."""
+    by = lambda what: f"{hashed('id', SEED + 12345, what)}, id"
+    word = lambda what: by(f"'{what}'")
+    ctes = [MADE, f"""
+first AS MATERIALIZED (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY true_label ORDER BY {word('start')}) AS place FROM labels) WHERE place <= {max(2, N // 100) // 2}),
+placed AS MATERIALIZED (SELECT id, CAST(ntile({BATCHES - 1}) OVER (ORDER BY {word('batch')}) AS INTEGER) AS batch_id FROM labels WHERE id NOT IN (FROM first)),
+chosen AS (SELECT id, row_number() OVER (PARTITION BY batch_id ORDER BY {word('known')}) AS place, count(*) OVER (PARTITION BY batch_id) AS n FROM placed),
+vertices AS MATERIALIZED (
+  SELECT id, true_label, coalesce(batch_id, 0) AS batch_id,
+         CASE WHEN batch_id IS NULL OR id IN (SELECT id FROM chosen WHERE place <= greatest(1, floor(n * 0.01))) THEN true_label END AS gt_class
+  FROM labels LEFT JOIN placed USING (id)
+), d0 AS (SELECT id, CAST(0 AS INTEGER) AS delete_batch FROM vertices WHERE false)"""]
+    gone = "SELECT id, delete_batch FROM d0"
+    for b in range(1, BATCHES):
+        ctes.append(f"""d{b} AS MATERIALIZED (SELECT id, CAST({b} AS INTEGER) AS delete_batch FROM (
+          SELECT id, row_number() OVER (ORDER BY {by(b)}) AS place FROM vertices WHERE batch_id <= {b} AND gt_class IS NULL AND id NOT IN (SELECT id FROM ({gone})))
+          WHERE place <= (SELECT CAST(floor(count(*) * 0.09) AS BIGINT) FROM vertices WHERE batch_id = {b}))""")
+        gone += f" UNION ALL SELECT id, delete_batch FROM d{b}"
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT id, true_label, CAST(batch_id AS INTEGER) AS batch_id, CAST(coalesce(delete_batch, -1) AS INTEGER) AS delete_batch, CAST(coalesce(gt_class, -1) AS INTEGER) AS gt_class
+FROM vertices LEFT JOIN ({gone}) USING (id)"""
+
+
+def lines(value: str, order: str, rows: str) -> str:
+    return f"SELECT row_number() OVER (ORDER BY {order}) - 1 AS place, {value} AS value FROM ({rows})"
+
+
 B = BATCH
 AT = state(B)
+POINTERS = """SELECT CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS pointer UNION ALL
+      SELECT row_number() OVER (ORDER BY id), CAST(sum(n) OVER (ORDER BY id) AS BIGINT) FROM (SELECT v.id, count(nbr) AS n FROM v LEFT JOIN both_ways b ON b.id = v.id GROUP BY v.id)"""
 FULL = (AT, HALF, sweeps("", "half", SWEEPS, full=True))
 ENGINE, METRICS = engine()
 
 ORACLES = {
     "adjacency": sql("SELECT id, nbr, w FROM both_ways"),
     "degrees": sql("SELECT id, count(*) AS degree FROM both_ways GROUP BY id"),
-    "csr_row_pointers": sql("""SELECT CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS pointer UNION ALL
-      SELECT row_number() OVER (ORDER BY id), CAST(sum(n) OVER (ORDER BY id) AS BIGINT) FROM (SELECT v.id, count(nbr) AS n FROM v LEFT JOIN both_ways b ON b.id = v.id GROUP BY v.id)"""),
+    "csr_row_pointers": sql(POINTERS),
+    "export_row_pointers": sql(f"SELECT place, CAST(pointer AS VARCHAR) AS value FROM ({POINTERS})"),
+    "export_columns": sql(lines("CAST(nbr AS VARCHAR)", "id, nbr", "FROM both_ways")),
+    "export_values": sql(lines("format('{:.6f}', CAST(w AS DOUBLE) / 1000000)", "id, nbr", "FROM both_ways")),
+    "export_true_labels": sql(lines("id || ' ' || true_label", "id", "FROM v")),
+    "export_predicted": sql(lines(f"id || ' ' || format('{{:.6f}}', CAST(f AS DOUBLE) / {LABEL})", "id", "FROM start"), AT, START),
+    "export_metrics": sql("SELECT 0 AS place, 'batch,time_ms,accuracy' AS value UNION ALL SELECT row_number() OVER (ORDER BY batch_id), batch_id || ',' || format('{:.2f}', CAST(n AS DOUBLE)) || ',' || format('{:.6f}', batch_id / 8.0::DOUBLE) FROM (SELECT batch_id, count(*) AS n FROM v GROUP BY batch_id)"),
+    "gen_labels": f"WITH {MADE} SELECT id, true_label FROM labels",
+    "gen_backbone": f"WITH {MADE} SELECT src, dst FROM backbone",
+    "gen_edges": f"WITH {MADE} SELECT src, dst FROM e0",
+    "gen_weights": f"WITH {MADE} SELECT src, dst, w FROM e",
+    "gen_graph": f"WITH {MADE} SELECT src, dst, w FROM e",
+    "gen_batches": batches(),
+    "new_vertices": sql("SELECT id FROM newv", AT),
+    "vertex_batches": sql("SELECT id, batch_id FROM v"),
     "initial_gt": sql("SELECT id, true_label AS gt_class FROM (SELECT *, row_number() OVER (PARTITION BY true_label ORDER BY id % 97, id) AS place FROM v) WHERE place <= greatest(2, (SELECT count(*) FROM v) // 50) // 2"),
     "batch_assign": sql(f"SELECT id, CAST(ntile({BATCHES - 1}) OVER (ORDER BY id % 97, id) AS INTEGER) AS batch_id FROM v WHERE id % 20 <> 0"),
     "batch_gt": sql("SELECT id, batch_id FROM (SELECT id, batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY id % 89, id) AS place, count(*) OVER (PARTITION BY batch_id) AS n FROM v WHERE batch_id > 0) WHERE place <= greatest(1, floor(n * 0.05))"),
@@ -174,7 +242,7 @@ ORACLES = {
       UNION ALL SELECT delete_batch, 0, 0, 1, 0 FROM v WHERE delete_batch IS NOT NULL
       UNION ALL SELECT starts, 0, 0, 0, 1 FROM lines) GROUP BY batch_id"""),
     "vertex_status": sql(status(B)),
-    "gt_class": sql("SELECT id, CAST(coalesce(gt_class, -1) AS INTEGER) AS gt_class FROM v"),
+    "gt_class": sql("SELECT id, CAST(CASE WHEN id % 5 = 0 THEN -1 WHEN (id % 7) / 6.0 < 0.5 THEN 0 ELSE 1 END AS INTEGER) AS gt_class FROM v"),
     "active_edges": sql("SELECT * FROM act", AT),
     "auto_tau": sql("SELECT CAST(sum(w) AS BIGINT) AS weight, count(*) AS edges, coalesce(round(avg(w), 3), 0.5) AS tau FROM e"),
     "deletion_affected": sql("SELECT id FROM gone", AT),
@@ -207,6 +275,6 @@ ORACLES = {
     "engine_metrics": sql(" UNION ALL ".join(METRICS), *ENGINE),
     "trade_edge_activation": sql("SELECT src, dst, w, starts AS batch_id FROM lines", graph=TRADE),
     "trade_propagate_step": sql("SELECT id, f FROM one", AT, START, ONE, graph=TRADE),
-    "run_summary": """SELECT count(*) AS batches, round(sum(n_nationkey * 10.0::DOUBLE), 6) AS total_ms, round(avg(n_regionkey / 5.0::DOUBLE), 6) AS mean_accuracy,
-      round(max_by(n_regionkey / 5.0::DOUBLE, n_nationkey), 6) AS final_accuracy, round(600 / sum(n_nationkey * 10.0::DOUBLE), 6) AS speedup FROM nation""",
+    "run_summary": sql(f"""SELECT count(*) AS batches, round(CAST(sum((batch_id + 1) * 10) AS DOUBLE), 6) AS total_ms, round(avg(accuracy), 6) AS mean_accuracy,
+      round(max_by(accuracy, batch_id), 6) AS final_accuracy, round(600.0::DOUBLE / sum((batch_id + 1) * 10), 6) AS speedup FROM ({" UNION ALL ".join(METRICS)})""", *ENGINE),
 }

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegraph.config import RunConfig
-from tidegraph.functions.numeric import FIXED
+from tidegraph.functions.numeric import FIXED, LABEL, WEIGHT
 from tidegraph.operators import components as C, initialize as I, propagate as R, sparsify as P, state as S
 from tidegraph.plans import evaluate as E
 from tidegraph.plans.engine import Engine
 from tidegraph.sources import batches as B, fixtures as X, generate as G, text as K
-from tidegraph.storage import materialize
+from tidegraph.storage import materialize, shared_dir
 
 BATCH, LAST, TAU, DELTA, SWEEPS = 3, 4, 660_000, 1e-4, 5
 
@@ -131,9 +133,8 @@ def engine_metrics(spark, sf_dir):
 
 
 def run_summary(spark, sf_dir):
-    """Summary of metrics taken from the ``region`` and ``nation`` keys: a given table, since times differ by run."""
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    metrics = n.select(F.col("n_nationkey").cast("int").alias("batch_id"), (F.col("n_nationkey") * 10.0).alias("time_ms"), (F.col("n_regionkey") / 5.0).alias("accuracy"))
+    """Summary of an engine's run; times differ by run, so batch b counts as 10 (b + 1) ms and the recompute as 600."""
+    metrics = engine_metrics(spark, sf_dir).withColumn("time_ms", (F.col("batch_id") + 1) * 10.0)
     out = E.run_summary(metrics, 600.0)
     return out.select("batches", *[F.round(c, 6).alias(c) for c in ("total_ms", "mean_accuracy", "final_accuracy", "speedup")])
 
@@ -144,7 +145,32 @@ def unknown_as_minus(df: DataFrame) -> DataFrame:
 
 
 def tau_parts(c: Case):
-    return c.e.agg(F.sum("w").alias("weight"), F.count(F.lit(1)).alias("edges"), F.coalesce(F.round(F.avg("w"), 3), F.lit(0.5)).alias("tau"))
+    return c.e.agg(F.sum("w").alias("weight"), F.count(F.lit(1)).alias("edges"), F.lit(round(S.auto_tau(c.e), 3)).alias("tau"))
+
+
+def exported(write, name: str):
+    """The lines (place, value) of the export ``name`` that ``write`` makes under a new folder, in the order of its files."""
+
+    def query(c: Case):
+        path = f"{shared_dir(c.v.sparkSession)}/export-{uuid.uuid4().hex}"
+        write(c, path)
+        return K.numbered(c.v.sparkSession, f"{path}/{name}", "string", "value")
+
+    return query
+
+
+def export_graph(c: Case, path: str) -> None:
+    K.write_graph(c.e.select("src", "dst", (F.col("w") / WEIGHT).alias("w")), c.v, path)
+
+
+def export_predicted(c: Case, path: str) -> None:
+    K.write_labels(c.start().select("id", (F.col("f") / LABEL).alias("f")), f"{path}/predicted")
+
+
+def export_metrics(c: Case, path: str) -> None:
+    """A row for each batch that vertices arrive in; their number stands for the time."""
+    metrics = c.v.groupBy("batch_id").agg(F.count(F.lit(1)).cast("double").alias("time_ms"), (F.first("batch_id") / 8).alias("accuracy"))
+    K.write_metrics(metrics, f"{path}/results")
 
 
 def accuracy(c: Case):
@@ -153,6 +179,11 @@ def accuracy(c: Case):
 
 N, DEGREE = 2_000, 5
 
+
+def gen_batches(spark, _):
+    v = B.gen_batches(*G.gen_graph(spark, N, DEGREE), RunConfig(total_nodes=N, num_batches=X.BATCHES)).vertices
+    return unknown_as_minus(v).withColumn("delete_batch", F.coalesce("delete_batch", F.lit(-1)))
+
 QUERIES = {
     "adjacency": over(lambda c: S.adjacency(c.e)),
     "degrees": over(lambda c: S.degrees(c.e)),
@@ -164,7 +195,9 @@ QUERIES = {
     "edge_activation": over(lambda c: S.edge_activation(c.graph)),
     "batch_summary": over(lambda c: B.batch_summary(c.graph)),
     "vertex_status": over(lambda c: unknown_as_minus(S.vertex_status(S.change_log(c.v), c.at))),
-    "gt_class": over(lambda c: unknown_as_minus(c.v.select("id", S.gt_class(F.col("gt_class")).alias("gt_class")))),
+    "gt_class": over(lambda c: unknown_as_minus(c.v.select("id", S.gt_class(F.when(F.col("id") % 5 > 0, (F.col("id") % 7) / 6)).alias("gt_class")))),
+    "new_vertices": over(lambda c: P.new_vertices(c.v, c.at)),
+    "vertex_batches": over(lambda c: c.v.select("id", "batch_id")),
     "active_edges": over(lambda c: S.active_edges(c.lines, c.at)),
     "auto_tau": over(tau_parts),
     "deletion_affected": over(lambda c: S.deletion_affected(c.lines, c.v, c.at)),
@@ -199,6 +232,12 @@ QUERIES = {
     "settled_label_propagation": lambda spark, sf_dir: settled_engine(spark, sf_dir).all_labels(),
     "settled_engine_metrics": settled_metrics,
     "run_summary": run_summary,
+    "export_row_pointers": over(exported(export_graph, "RowPtr")),
+    "export_columns": over(exported(export_graph, "ColInd")),
+    "export_values": over(exported(export_graph, "Values")),
+    "export_true_labels": over(exported(export_graph, "TrueLabels")),
+    "export_predicted": over(exported(export_predicted, "predicted")),
+    "export_metrics": over(exported(export_metrics, "results")),
     "trade_edge_activation": lambda spark, sf_dir: S.edge_activation(X.trade_graph(spark, sf_dir)),
     "trade_propagate_step": lambda spark, sf_dir: swept(Case(spark, sf_dir, graph=X.trade_graph)),
     "gen_labels": lambda spark, _: G.gen_labels(spark, N),
@@ -206,5 +245,5 @@ QUERIES = {
     "gen_edges": lambda spark, _: G.gen_edges(spark, N, DEGREE),
     "gen_weights": lambda spark, _: G.gen_weights(G.gen_edges(spark, N, DEGREE), G.gen_labels(spark, N)),
     "gen_graph": lambda spark, _: G.gen_graph(spark, N, DEGREE)[1],
-    "gen_batches": lambda spark, _: B.gen_batches(*G.gen_graph(spark, N, DEGREE), RunConfig(total_nodes=N, num_batches=5)).vertices,
+    "gen_batches": gen_batches,
 }

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidegraph.config import RunConfig
+from tidegraph.functions.numeric import hashed
 from tidegraph.schemas import Graph
-from tidegraph.sources.generate import ranked
+from tidegraph.sources.generate import ranked, ranked_within
 from tidegraph.storage import materialize
 
 
 def initial_gt(labels: DataFrame, total: int, order: list) -> DataFrame:
     """(id, gt_class): total div 2 vertices of each class, the first in ``order`` (stratified)."""
-    in_class = W.partitionBy("true_label").orderBy(*order)
-    return labels.withColumn("__rank", F.row_number().over(in_class)).where(F.col("__rank") <= total // 2).select("id", F.col("true_label").alias("gt_class"))
+    return ranked_within(labels, "true_label", order, "__rank").where(F.col("__rank") < total // 2).select("id", F.col("true_label").alias("gt_class"))
 
 
 def batch_assign(rest: DataFrame, n: int, num_batches: int, order: list) -> DataFrame:
@@ -31,8 +31,7 @@ def batch_assign(rest: DataFrame, n: int, num_batches: int, order: list) -> Data
 def batch_gt(assigned: DataFrame, fraction: float, order: list) -> DataFrame:
     """(id, batch_id): max(1, size x fraction) vertices of each batch, the first in ``order``."""
     sizes = assigned.groupBy("batch_id").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * fraction)).alias("__k"))
-    place = F.row_number().over(W.partitionBy("batch_id").orderBy(*order))
-    return assigned.join(F.broadcast(sizes), "batch_id").withColumn("__rank", place).where("__rank <= __k").select("id", "batch_id")
+    return ranked_within(assigned, "batch_id", order, "__rank").join(sizes, "batch_id").where("__rank < __k").select("id", "batch_id")
 
 
 def deletions(vertices: DataFrame, fraction: float, num_batches: int, order: list) -> DataFrame:
@@ -49,7 +48,7 @@ def deletions(vertices: DataFrame, fraction: float, num_batches: int, order: lis
         pool = vertices.where((F.col("batch_id") <= b) & F.col("gt_class").isNull()).select("id", F.lit(b).alias("__b"))
         if gone is not None:
             pool = pool.join(gone, "id", "left_anti")
-        now = pool.orderBy(*order).limit(k).select("id", F.lit(b).cast("int").alias("delete_batch"))
+        now = ranked(pool, order, "__place").where(F.col("__place") < k).select("id", F.lit(b).cast("int").alias("delete_batch"))
         gone = materialize(now if gone is None else gone.unionByName(now))
     return gone if gone is not None else vertices.select("id", F.lit(0).alias("delete_batch")).limit(0)
 
@@ -59,7 +58,7 @@ def gen_batches(labels: DataFrame, edges: DataFrame, config: RunConfig) -> Graph
     if config.num_batches < 1:
         raise ValueError("num_batches must be over 0")
     seed = config.seed + 12345
-    by = lambda what: [F.xxhash64(F.col("id"), F.lit(seed), F.lit(what)), F.col("id")]
+    by = lambda what: [hashed(F.col("id"), seed, what), F.col("id")]
     n = labels.count()
     first = materialize(initial_gt(labels, max(2, int(n * config.ground_truth_fraction)), by("start")))
     rest = labels.join(first, "id", "left_anti").select("id").withColumn("__h", by("batch")[0])
@@ -68,7 +67,7 @@ def gen_batches(labels: DataFrame, edges: DataFrame, config: RunConfig) -> Graph
     placed = assigned.join(known, "id", "left").join(labels, "id").select("id", "true_label", "batch_id", F.when(F.col("__known"), F.col("true_label")).alias("gt_class"))
     start = first.join(labels, "id").select("id", "true_label", F.lit(0).alias("batch_id"), "gt_class")
     vertices = materialize(start.unionByName(placed))
-    gone = deletions(vertices, config.deleted_fraction, config.num_batches, [F.xxhash64(F.col("id"), F.lit(seed), F.col("__b")), F.col("id")])
+    gone = deletions(vertices, config.deleted_fraction, config.num_batches, [hashed(F.col("id"), seed, F.col("__b")), F.col("id")])
     out = vertices.join(gone, "id", "left").select("id", "true_label", F.col("batch_id").cast("int").alias("batch_id"), "delete_batch", "gt_class")
     return Graph(materialize(out), edges)
 

@@ -1,13 +1,11 @@
 """Changing graphs derived from the test tables by arithmetic rules that SQL shares.
 
-The similarity graph compares every pair of vectors, so it is for small tables; its right side is broadcast
-by the planner only under the usual threshold.
+The similarity graph compares every pair of vectors, so it is for small tables. Vectors are hashed into blocks, and every pair of
+blocks is one matrix product in a task of its own.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidegraph.functions.numeric import WEIGHT
@@ -16,13 +14,15 @@ from tidegraph.storage import materialize
 
 LEAST = 650_000
 BATCHES = 5
+#: Vectors of a block, about.
+BLOCK = 1024
 
 
 def schedule(id_: Column, true_label: Column) -> list[Column]:
     """true_label, batch_id, delete_batch and gt_class of an id; see the oracles for the same rules in SQL."""
     arrives = F.when(id_ % 20 == 0, 0).otherwise(1 + id_ % 4).cast("int")
     known = (id_ % 20 == 0) | (id_ % 50 == 7)
-    gone = F.when(~known & (id_ % 11 == 3), F.least(arrives + F.floor(id_ / 11) % 2, F.lit(BATCHES - 1)))
+    gone = F.when(~known & (id_ % 11 == 3), F.least(arrives + F.floor(id_ / 22) % 2, F.lit(BATCHES - 1)))
     return [true_label.cast("int").alias("true_label"), arrives.alias("batch_id"), gone.cast("int").alias("delete_batch"), F.when(known, true_label).cast("int").alias("gt_class")]
 
 
@@ -34,11 +34,30 @@ def similarity_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def similarity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, w): pairs with (1 + cosine) / 2 x 1e6, rounded, of at least LEAST."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    dims = e.select(F.max(F.size("v"))).first()[0] or 0
-    side = lambda name: e.select(F.col("vec_id").alias(name), *[F.col("v")[i].alias(f"{name}{i}") for i in range(dims)])
-    dot = reduce(lambda x, y: x + y, [F.col(f"src{i}") * F.col(f"dst{i}") for i in range(dims)], F.lit(0.0))
-    pairs = side("src").repartition(16).join(side("dst"), F.col("src") < F.col("dst"))
-    return pairs.select("src", "dst", F.round((1 + dot) / 2 * WEIGHT).cast("long").alias("w")).where(F.col("w") >= LEAST)
+    blocks = max(1, -(-e.count() // BLOCK))
+    own = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
+    cells = e.withColumn("own", own).withColumn("cell", F.explode(pairs)).select("cell.i", "cell.j", "own", "vec_id", "v")
+    dots = cells.groupBy("i", "j").applyInPandas(_products, "src long, dst long, dot double")
+    return dots.select("src", "dst", F.round((1 + F.col("dot")) / 2 * WEIGHT).cast("long").alias("w")).where(F.col("w") >= LEAST)
+
+
+def _products(key, rows):
+    """Inner products of the pairs of two blocks (or of one with itself) that could reach LEAST."""
+    import numpy as np
+    import pandas as pd
+
+    i, j = key
+    near, far = rows[rows.own == i], rows[rows.own == j]
+    if not len(near) or not len(far):
+        return pd.DataFrame({"src": [], "dst": [], "dot": []})
+    a, b = near.vec_id.to_numpy(), far.vec_id.to_numpy()
+    dot = np.stack(near.v.to_list()) @ np.stack(far.v.to_list()).T
+    wanted = dot >= 2 * (LEAST - 1) / WEIGHT - 1
+    if i == j:
+        wanted &= a[:, None] < b[None, :]
+    x, y = np.nonzero(wanted)
+    return pd.DataFrame({"src": np.minimum(a[x], b[y]), "dst": np.maximum(a[x], b[y]), "dot": dot[x, y]})
 
 
 def similarity_graph(spark: SparkSession, sf_dir: str) -> Graph:

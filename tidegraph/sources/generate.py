@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tidegraph.functions.numeric import uniform
+from tidegraph.functions.numeric import hashed, uniform
 from tidegraph.storage import materialize
 
 
@@ -20,15 +20,22 @@ def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
     return placed.withColumn("__p", part).join(F.broadcast(starts), "__p").withColumn(name, F.col("__start") + inner).drop("__p", "__at", "__start")
 
 
+def ranked_within(df: DataFrame, group: str, order: list, name: str) -> DataFrame:
+    """``df`` with the 0-based rank of each row within its ``group`` (of which there are few) as ``name``, by one range partitioning."""
+    placed = ranked(df, [F.col(group), *order], name)
+    first = placed.groupBy(F.col(group).alias("__g")).agg(F.min(name).alias("__first"))
+    return placed.join(first, F.col(group).eqNullSafe(F.col("__g"))).withColumn(name, F.col(name) - F.col("__first")).drop("__g", "__first")
+
+
 def gen_labels(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
     """(id, true_label): half of the vertices 0 (rounded down), the rest 1, by a shuffled order."""
-    ids = spark.range(n).withColumn("h", F.xxhash64("id", F.lit(seed)))
+    ids = spark.range(n).withColumn("h", hashed(F.col("id"), seed))
     return ranked(ids, ["h", "id"], "place").select("id", (F.col("place") >= n // 2).cast("int").alias("true_label"))
 
 
 def gen_backbone(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
     """(src, dst): n - 1 edges of a random path through all vertices."""
-    ids = spark.range(n).withColumn("h", F.xxhash64("id", F.lit(seed + 1)))
+    ids = spark.range(n).withColumn("h", hashed(F.col("id"), seed + 1))
     order = materialize(ranked(ids, ["h", "id"], "place").select("id", "place"))
     following = order.select(F.col("id").alias("other"), (F.col("place") - 1).alias("place"))
     return order.join(following, "place").select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst"))
@@ -46,9 +53,9 @@ def gen_edges(spark: SparkSession, n: int, degree: int, seed: int = 42, tries: i
         if have >= target:
             break
         draws = spark.range(int((target - have) * 1.3) + 64 * (1 + round_))
-        a, b = (F.pmod(F.xxhash64("id", F.lit(seed + 2 + round_), F.lit(end)), F.lit(n)) for end in ("a", "b"))
+        a, b = (hashed(F.col("id"), seed + 2 + round_, end) % n for end in ("a", "b"))
         fresh = draws.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")).where("src < dst").distinct()
-        fresh = fresh.join(edges, ["src", "dst"], "left_anti").withColumn("h", F.xxhash64("src", "dst", F.lit(seed)))
+        fresh = fresh.join(edges, ["src", "dst"], "left_anti").withColumn("h", hashed(F.col("src"), F.col("dst"), seed))
         chosen = ranked(fresh, ["h", "src", "dst"], "place").where(F.col("place") < target - have)
         edges = materialize(edges.unionByName(chosen.select("src", "dst")))
         have = edges.count()
