@@ -16,7 +16,7 @@ class RunConfig:
     seed: int = 42
     tau: float = -1.0
     delta: float = 1e-4
-    max_iterations: int = 200
+    max_iterations: int = 100_000
     ground_truth_fraction: float = 0.01
     unlabeled_fraction: float = 0.90
     deleted_fraction: float = 0.09

@@ -30,9 +30,11 @@ def jump(parents: DataFrame) -> DataFrame:
 
 
 def _jump_to_roots(parents: Table) -> Table:
+    """Pointers doubled twice a job until all reach a root."""
     while True:
         seen = Observation()
-        after = Table(jump(parents.df.select("id", "root")).observe(seen, F.coalesce(F.sum(F.col("moved").cast("int")), F.lit(0)).alias("moved")))
+        twice = jump(jump(parents.df.select("id", "root")).select("id", "root"))
+        after = Table(twice.observe(seen, F.coalesce(F.sum(F.col("moved").cast("int")), F.lit(0)).alias("moved")))
         parents.drop()
         parents = after
         if not seen.get["moved"]:
@@ -50,31 +52,33 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
     """
     kind = edges.schema["src"].dataType
     # Whatever made the edges runs once: everything below reads them from here.
-    given = Table(edges.select("src", "dst").distinct())
+    seen = Observation()
+    given = Table(edges.select("src", "dst").distinct().observe(seen, F.count_if(F.col("src") != F.col("dst")).alias("open")))
     known = given.df.select(F.explode(F.array("src", "dst")).alias("id"))
-    rest, labels = Table(given.df.where("src != dst")), None
-    while not rest.df.isEmpty():
-        roots = _jump_to_roots(Table(hook(rest.df)))
+    rest, labels, contracted = given.df.where("src != dst"), None, None
+    while seen.get["open"]:
+        roots = _jump_to_roots(Table(hook(rest)))
         step = roots.df.select("id", "root")
-        if labels is None:
-            labels = Table(step)
-        else:
-            up = step.select(F.col("id").alias("root"), F.col("root").alias("up"))
-            after = Table(labels.df.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root")))
-            labels.drop()
-            labels = after
         src = step.select(F.col("id").alias("src"), F.col("root").alias("a"))
         dst = step.select(F.col("id").alias("dst"), F.col("root").alias("b"))
+        seen, before = Observation(), contracted
         contracted = Table(
-            rest.df.join(src, "src").join(dst, "dst").where("a != b")
-            .select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+            rest.join(src, "src").join(dst, "dst").where("a != b")
+            .select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct().observe(seen, F.count(F.lit(1)).alias("open"))
         )
-        rest.drop()
+        rest = contracted.df
+        if before:
+            before.drop()
+        if labels is None:
+            labels = roots
+            continue
+        up = step.select(F.col("id").alias("root"), F.col("root").alias("up"))
+        after = Table(labels.df.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root")))
+        labels.drop()
         roots.drop()
-        rest = contracted
-    rest.drop()
+        labels = after
     spark = edges.sparkSession
-    found = labels.df if labels else spark.createDataFrame([], T.StructType([T.StructField("id", kind), T.StructField("root", kind)]))
+    found = labels.df.select("id", "root") if labels else spark.createDataFrame([], T.StructType([T.StructField("id", kind), T.StructField("root", kind)]))
     everyone = (vertices.select("id").unionByName(known) if vertices is not None else known).where("id is not null").distinct()
     return everyone.join(found, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 

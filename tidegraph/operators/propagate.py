@@ -6,7 +6,11 @@ under ``BROADCAST_ROWS`` (counted, not guessed) and by a shuffled join beyond, a
 aggregation by id reuses the partitioning. While much of the graph moves, every vertex pulls and
 those outside the frontier keep their label; once the movers are few, only their
 neighbourhood pulls. Both give the same rows. Each sweep is written to the shared folder, which
-cuts the lineage, and its movers are counted from there.
+cuts the lineage, and its movers are counted by the same job.
+
+A component without a known class may swing between two states for ever. Once all that moves is back where it was two sweeps
+before (within a thousandth of delta), the sweeps to come bring nothing new: with ``stop_swings`` the run then stops at a sweep that lies an
+even number before the cap, with the labels it would have there, and is not converged.
 """
 
 from __future__ import annotations
@@ -21,8 +25,12 @@ from tidegraph.storage import Table
 BROADCAST_ROWS = 1_000_000
 #: Directed edges that one task pulls over.
 ROWS_PER_TASK = 1 << 16
+#: Vertices of a file of the state, at least while there are so many.
+ROWS_PER_FILE = 1 << 17
 #: Share of movers under which only their neighbourhood is pulled.
 SPARSE = 0.05
+#: Cap of sweeps, the fixed default of the command line.
+MAX_SWEEPS = 100_000
 
 
 @dataclass
@@ -72,11 +80,11 @@ def enforce_gt(labels: DataFrame, known: DataFrame, numeric: Numeric = DOUBLE) -
     return labels.join(known.select("id", "gt_class"), "id", "left").select("id", F.coalesce(numeric.class_label(F.col("gt_class")), F.col("f")).alias("f"))
 
 
-def propagate(adj: DataFrame, labels: DataFrame, known: DataFrame, seeds: DataFrame | None, delta: float = 1e-4, max_iterations: int = 200, numeric: Numeric = DOUBLE) -> Propagated:
+def propagate(adj: DataFrame, labels: DataFrame, known: DataFrame, seeds: DataFrame | None, delta: float = 1e-4, max_iterations: int = MAX_SWEEPS, numeric: Numeric = DOUBLE, stop_swings: bool = False, placed: bool = False) -> Propagated:
     """Sweeps until nothing moves by more than delta or the cap is reached.
 
     labels: (id, f) of the live vertices; known: (id, gt_class), which never move; seeds: the first
-    frontier (id), or None for every vertex in every sweep (the full recompute).
+    frontier (id), or None for every vertex in every sweep (the full recompute); placed: ``adj`` lies partitioned by id already.
     """
     full, step = seeds is None, numeric.delta(delta)
     start = enforce_gt(labels, known, numeric).join(known.select("id", "gt_class"), "id", "left")
@@ -84,36 +92,43 @@ def propagate(adj: DataFrame, labels: DataFrame, known: DataFrame, seeds: DataFr
         start = start.withColumn("on", F.col("gt_class").isNull())
     else:
         start = start.join(seeds.select("id", F.lit(True).alias("on")).distinct(), "id", "left").withColumn("on", F.coalesce("on", F.lit(False)) & F.col("gt_class").isNull())
-    state = Table(start.select("id", "f", "gt_class", "on", F.lit(False).alias("moved")))
-    rows, on = state.df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("on").cast("int")), F.lit(0))).first()
-    small = rows <= BROADCAST_ROWS
-    adj = Table(adj)
-    parts = -(-adj.df.count() // ROWS_PER_TASK) or 1
-    pulled_by = adj.df.repartition(parts, "id").persist()
-    done, first, movers = 0, True, on
-    while movers and done < max_iterations:
+    seen, none = Observation(), F.lit(None).cast(start.schema["f"].dataType)
+    begin = start.select("id", "f", none.alias("old"), "gt_class", "on", F.lit(False).alias("moved"))
+    state = Table(begin.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if("on").alias("on")))
+    rows, on = seen.get["rows"], seen.get["on"]
+    small, stored, files = rows <= BROADCAST_ROWS, None, -(-rows // ROWS_PER_FILE) or 1
+    if not placed and on and max_iterations:
+        stored = Table(adj)
+        adj = stored.df.repartition(-(-stored.df.count() // ROWS_PER_TASK) or 1, "id")
+    pulled_by = adj.persist()
+    done, first, movers, restless = 0, True, on, on
+    while movers and done < max_iterations and (restless or not stop_swings or (max_iterations - done) % 2):
         s = state.df
         near = None
         if not first and not full and movers < SPARSE * rows:
             movers_df = s.where("moved").select("id")
             near = movers_df.union(pulled_by.join(_near(movers_df.withColumnRenamed("id", "nbr"), small), "nbr", "left_semi").select("id")).distinct()
         source = pulled_by if near is None else pulled_by.join(_near(near, small), "id", "left_semi")
-        pulled = pull(source, s, numeric, small)
+        pulled = pull(source, s.select("id", "f", "moved"), numeric, small)
         joined = s.join(_near(pulled, small), "id", "left")
         if full or first:
             active = F.col("on")
         else:
             active = F.col("gt_class").isNull() & (F.col("moved") | F.coalesce("nudged", F.lit(False)))
         new = F.when(active, numeric.ratio(F.col("part"), F.col("whole"), F.col("f"))).otherwise(F.col("f"))
-        after = joined.select("id", F.col("f").alias("old"), new.alias("f"), "gt_class", "on").select("id", "f", "gt_class", "on", (F.abs(F.col("f") - F.col("old")) > F.lit(step)).alias("moved"))
+        after = joined.select("id", new.alias("f"), F.col("f").alias("old"), F.col("old").alias("older"), "gt_class", "on")
+        moved = F.abs(F.col("f") - F.col("old")) > F.lit(step)
+        back = F.coalesce(F.abs(F.col("f") - F.col("older")) <= F.lit(step) / 1000, F.lit(False))
         # Movers are counted by the job that writes the sweep; a full sweep keeps every vertex in, and nothing moving ends either kind.
         seen = Observation()
-        written = Table(after.observe(seen, F.coalesce(F.sum(F.col("moved").cast("int")), F.lit(0)).alias("movers")))
+        after = after.withColumn("moved", moved).withColumn("back", back).observe(seen, F.count_if("moved").alias("movers"), F.count_if(F.col("moved") & ~F.col("back")).alias("restless"))
+        written = Table(after.select("id", "f", "old", "gt_class", "on", "moved").coalesce(files))
         state.drop()
         state = written
-        done, first, movers = done + 1, False, seen.get["movers"]
+        done, first, movers, restless = done + 1, False, seen.get["movers"], seen.get["restless"]
     pulled_by.unpersist()
-    adj.drop()
+    if stored:
+        stored.drop()
     return Propagated(state.df.select("id", "f"), done, not movers)
 
 
@@ -122,8 +137,8 @@ def full_propagate_step(adj: DataFrame, labels: DataFrame, known: DataFrame, num
     return enforce_gt(propagate_step(adj, labels, labels.select("id"), numeric), known, numeric)
 
 
-def full_propagation(adj: DataFrame, vertices: DataFrame, delta: float = 1e-4, max_iterations: int = 200, numeric: Numeric = DOUBLE) -> Propagated:
+def full_propagation(adj: DataFrame, vertices: DataFrame, delta: float = 1e-4, max_iterations: int = MAX_SWEEPS, numeric: Numeric = DOUBLE, stop_swings: bool = False) -> Propagated:
     """The full recompute over ``vertices`` (id, gt_class; all live): unknown labels start at one half."""
     known = vertices.where("gt_class is not null").select("id", "gt_class")
     start = vertices.select("id", F.coalesce(numeric.class_label(F.col("gt_class")), numeric.lit(numeric.half)).alias("f"))
-    return propagate(adj, start, known, None, delta, max_iterations, numeric)
+    return propagate(adj, start, known, None, delta, max_iterations, numeric, stop_swings)

@@ -55,9 +55,14 @@ def edge_activation(graph: Graph) -> DataFrame:
     return timeline(graph).where("starts is not null").select("src", "dst", "w", F.col("starts").alias("batch_id"))
 
 
+def active(batch: int) -> Column:
+    """Of edges: both ends live in ``batch``."""
+    return (F.col("starts") <= batch) & (F.col("ends").isNull() | (F.col("ends") > batch))
+
+
 def active_edges(lines: DataFrame, batch: int) -> DataFrame:
     """(src, dst, w) with both ends live in ``batch``."""
-    return lines.where((F.col("starts") <= batch) & (F.col("ends").isNull() | (F.col("ends") > batch))).select("src", "dst", "w")
+    return lines.where(active(batch)).select("src", "dst", "w")
 
 
 def new_edges(lines: DataFrame, batch: int) -> DataFrame:
@@ -75,10 +80,10 @@ def cleaned_edges(edges: DataFrame, deleted: DataFrame) -> DataFrame:
     return edges.join(deleted.select("id"), "id", "left_anti").join(deleted.select(F.col("id").alias("nbr")), "nbr", "left_anti").select("id", "nbr", "w")
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """(id, nbr, w): every edge in both directions, from one pass over the edges."""
+def adjacency(edges: DataFrame, *carry: str) -> DataFrame:
+    """(id, nbr, w) and the columns ``carry``: every edge in both directions, from one pass over the edges."""
     ways = F.array(F.struct(F.col("src").alias("id"), F.col("dst").alias("nbr")), F.struct(F.col("dst").alias("id"), F.col("src").alias("nbr")))
-    return edges.select(F.explode(ways).alias("way"), "w").select("way.id", "way.nbr", "w")
+    return edges.select(F.explode(ways).alias("way"), "w", *carry).select("way.id", "way.nbr", "w", *carry)
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from tidegraph.functions.numeric import HASHES, LABEL
+from tidegraph.operators.propagate import MAX_SWEEPS
 from tidegraph.queries import BATCH, DEGREE, LAST, N, SWEEPS, TAU
 from tidegraph.sources.fixtures import BATCHES, LEAST
 
-STEP = LABEL // 10_000
+STEP, CAP = LABEL // 10_000, MAX_SWEEPS
 
 GRAPH = f"""
 v0 AS (
@@ -109,6 +110,26 @@ def sweeps(p: str, labels: str, k: int, full: bool = False) -> str:
     return ",\n".join(out)
 
 
+def settled(p: str, labels: str, full: bool = False) -> str:
+    """CTEs {p}run (every sweep to the stop rule) and {p}end (the last: i, id, f, movers)."""
+    hot = "k.gt_class IS NULL" if full else f"k.gt_class IS NULL AND l.id IN (FROM {p}seeds)"
+    following = "gt_class IS NULL" if full else f"gt_class IS NULL AND (id IN (FROM moved_) OR id IN (SELECT a.id FROM {p}adj a WHERE a.nbr IN (FROM moved_)))"
+    return f"""
+{p}run0 AS MATERIALIZED (
+  SELECT l.id, CAST(coalesce(k.gt_class * {LABEL}, l.f) AS BIGINT) AS f, k.gt_class, {hot} AS hot FROM {labels} l LEFT JOIN {p}known k ON k.id = l.id
+), {p}run(i, id, f, old, gt_class, hot, movers, restless) AS (
+  SELECT 0, id, f, CAST(NULL AS BIGINT), gt_class, hot, (SELECT count(*) FROM {p}run0 WHERE hot), (SELECT count(*) FROM {p}run0 WHERE hot) FROM {p}run0
+  UNION ALL (
+  WITH s AS MATERIALIZED (FROM {p}run),
+  n AS MATERIALIZED (
+    SELECT s.i + 1 AS i, s.id, s.old AS older, s.f AS old, s.gt_class, CASE WHEN s.hot THEN coalesce(m.f, s.f) ELSE s.f END AS f
+    FROM s LEFT JOIN {averages(p + 'adj', 's')} m ON m.id = s.id WHERE s.i < {CAP} AND s.movers > 0 AND (s.restless > 0 OR ({CAP} - s.i) % 2 = 1)
+  ), moved_ AS MATERIALIZED (SELECT id FROM n WHERE abs(f - old) > {STEP})
+  SELECT i, id, f, old, gt_class, {following}, (SELECT count(*) FROM moved_),
+         (SELECT count(*) FROM n WHERE abs(f - old) > {STEP} AND NOT coalesce(abs(f - older) <= {STEP // 1000}, false)) FROM n)
+), "{p}end" AS MATERIALIZED (SELECT i, id, f, movers FROM {p}run WHERE i = (SELECT max(i) FROM {p}run))"""
+
+
 START = f"start AS MATERIALIZED (SELECT id, CAST(coalesce(gt_class * {LABEL}, (id % 101) * 1000000) AS BIGINT) AS f FROM alive)"
 ONE = f"one AS MATERIALIZED (SELECT s.id, CASE WHEN k.gt_class IS NULL THEN coalesce(m.f, s.f) ELSE s.f END AS f FROM start s LEFT JOIN known k ON k.id = s.id LEFT JOIN {averages('adj', 'start')} m ON m.id = s.id)"
 MOVED = f"moved AS MATERIALIZED (SELECT o.id FROM one o JOIN start s ON s.id = o.id WHERE abs(o.f - s.f) > {STEP * 100})"
@@ -124,8 +145,8 @@ def status(b: int) -> str:
   CAST(CASE WHEN delete_batch <= {b} THEN -1 ELSE coalesce(gt_class, -1) END AS INTEGER) AS gt_class FROM v WHERE batch_id <= {b}"""
 
 
-def engine() -> tuple[list[str], list[str]]:
-    """CTEs of all batches, the labels after batch b as l{b}; and a metrics row for each."""
+def engine(settle: bool = False) -> tuple[list[str], list[str]]:
+    """CTEs of all batches, the labels after batch b as l{b}; and a metrics row for each. The sweeps are fixed in number or go to the stop rule."""
     ctes, metrics = [], []
     for b in range(BATCHES):
         p = f"b{b}"
@@ -134,12 +155,15 @@ def engine() -> tuple[list[str], list[str]]:
         before = f"SELECT id, f FROM l{b - 1} UNION ALL " if b else ""
         ctes.append(f"{p}all AS MATERIALIZED ({before}SELECT id, f FROM {p}init UNION ALL {passing})")
         ctes.append(f"{p}in AS MATERIALIZED (SELECT id, f FROM {p}all WHERE id IN (SELECT id FROM {p}alive))")
-        ctes.append(sweeps(p, f"{p}in", SWEEPS))
-        ctes.append(f"l{b} AS MATERIALIZED (SELECT id, f FROM {p}s{SWEEPS} UNION ALL SELECT id, f FROM {p}all WHERE id NOT IN (SELECT id FROM {p}alive))")
+        ctes.append(settled(p, f"{p}in") if settle else sweeps(p, f"{p}in", SWEEPS))
+        ctes.append(f"l{b} AS MATERIALIZED (SELECT id, f FROM {p}{'end' if settle else f's{SWEEPS}'} UNION ALL SELECT id, f FROM {p}all WHERE id NOT IN (SELECT id FROM {p}alive))")
         ran = " + ".join(f"CAST((SELECT count(*) FROM {p}s{i} WHERE hot) > 0 AS INTEGER)" for i in range(SWEEPS))
+        if settle:
+            ran = f"(SELECT max(i) FROM {p}end)"
+        converged = f"(SELECT coalesce(max(movers), 0) = 0 FROM {p}end) AS converged, " if settle else ""
         metrics.append(f"""SELECT CAST({b} AS INTEGER) AS batch_id,
           round(coalesce((SELECT avg(CAST((f >= {LABEL // 2}) = (true_label = 1) AS INTEGER)) FROM l{b} JOIN v USING (id) WHERE id IN (FROM {p}open)), 1.0), 6) AS accuracy,
-          CAST({ran} AS INTEGER) AS iterations, (SELECT count(DISTINCT root) FROM {p}comp) AS num_components, (SELECT count(*) FROM {p}strong) AS num_sub_edges""")
+          CAST({ran} AS INTEGER) AS iterations, {converged}(SELECT count(DISTINCT root) FROM {p}comp) AS num_components, (SELECT count(*) FROM {p}strong) AS num_sub_edges""")
     return ctes, metrics
 
 
@@ -213,6 +237,8 @@ POINTERS = """SELECT CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS pointer UN
       SELECT row_number() OVER (ORDER BY id), CAST(sum(n) OVER (ORDER BY id) AS BIGINT) FROM (SELECT v.id, count(nbr) AS n FROM v LEFT JOIN both_ways b ON b.id = v.id GROUP BY v.id)"""
 FULL = (AT, HALF, sweeps("", "half", SWEEPS, full=True))
 ENGINE, METRICS = engine()
+SETTLED, SETTLED_METRICS = engine(settle=True)
+REST = (AT, HALF, settled("", "half", full=True))
 
 ORACLES = {
     "adjacency": sql("SELECT id, nbr, w FROM both_ways"),
@@ -271,6 +297,13 @@ ORACLES = {
     "accuracy": sql(f"""SELECT count(*) AS scored, CAST(coalesce(sum(CAST((f >= {LABEL // 2}) = (true_label = 1) AS INTEGER)), 0) AS BIGINT) AS correct,
       round(coalesce(avg(CAST((f >= {LABEL // 2}) = (true_label = 1) AS INTEGER)), 1.0), 6) AS accuracy
       FROM s{SWEEPS} JOIN v USING (id) WHERE id IN (FROM open)""", *FULL),
+    "propagate_converged": sql("SELECT id, f, movers = 0 AS converged FROM \"end\"", AT, START, settled("", "start")),
+    "settled_predictions": sql(f"SELECT id, CAST(f >= {LABEL // 2} AS INTEGER) AS predicted, movers = 0 AS converged FROM \"end\"", *REST),
+    "settled_accuracy": sql(f"""SELECT count(*) AS scored, CAST(coalesce(sum(CAST((f >= {LABEL // 2}) = (true_label = 1) AS INTEGER)), 0) AS BIGINT) AS correct,
+      round(coalesce(avg(CAST((f >= {LABEL // 2}) = (true_label = 1) AS INTEGER)), 1.0), 6) AS accuracy, CAST(max(i) AS INTEGER) AS iterations, max(movers) = 0 AS converged
+      FROM "end" JOIN v USING (id) WHERE id IN (FROM open)""", *REST),
+    "settled_label_propagation": sql(f"SELECT id, f FROM l{LAST}", *SETTLED),
+    "settled_engine_metrics": sql(" UNION ALL ".join(SETTLED_METRICS), *SETTLED),
     "dynamic_label_propagation": sql(f"SELECT id, f FROM l{LAST}", *ENGINE),
     "engine_metrics": sql(" UNION ALL ".join(METRICS), *ENGINE),
     "trade_edge_activation": sql("SELECT src, dst, w, starts AS batch_id FROM lines", graph=TRADE),

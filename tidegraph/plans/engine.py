@@ -11,11 +11,11 @@ from tidegraph.functions.numeric import DOUBLE, Numeric
 from tidegraph.operators import state as S
 from tidegraph.operators.components import connected_components
 from tidegraph.operators.initialize import label_init, supernode_weights
-from tidegraph.operators.propagate import propagate
+from tidegraph.operators.propagate import MAX_SWEEPS, ROWS_PER_TASK, propagate
 from tidegraph.operators.sparsify import insertion_affected, new_vertices, strong_new_edges
 from tidegraph.plans.evaluate import accuracy
 from tidegraph.schemas import Graph
-from tidegraph.storage import materialize
+from tidegraph.storage import Buckets, materialize
 
 METRICS = "batch_id int, time_ms double, accuracy double, iterations int, converged boolean, num_components long, num_sub_edges long"
 
@@ -26,7 +26,8 @@ class Engine:
 
     tau None or negative: the mean weight over all edges (``tau_scope`` 'full') or over those active in the batch ('active').
     Labels of deleted vertices stay as they were. With ``freeze_gt_free`` vertices of components without a known
-    class take no part in sweeps: they carry no class and may swing for ever.
+    class take no part in sweeps: they carry no class and may swing for ever. The directed edges are written once, in buckets by their
+    pulling end and with the batches they live in; the adjacency of a batch is a filter on them that no shuffle moves.
     """
 
     graph: Graph
@@ -34,14 +35,17 @@ class Engine:
     tau: float | None = None
     tau_scope: str = "full"
     seed_mode: str = "strong"
-    max_iterations: int = 200
+    max_iterations: int = MAX_SWEEPS
     numeric: Numeric = DOUBLE
+    stop_swings: bool = True
     freeze_gt_free: bool = False
     labels: DataFrame | None = None
     metrics: list[tuple] = field(default_factory=list)
 
     def __post_init__(self):
         self.lines = materialize(S.timeline(self.graph))
+        ways = S.adjacency(self.lines, "starts", "ends")
+        self.ways = Buckets(ways, -(-2 * self.lines.count() // ROWS_PER_TASK) or 1, "id")
         self.vertices = self.graph.vertices
         self.full_tau = S.auto_tau(self.graph.edges) if self.tau is None or self.tau < 0 else self.tau
 
@@ -54,11 +58,11 @@ class Engine:
         began = time.perf_counter()
         tau, n = self.batch_tau(batch), self.numeric
         v = self.vertices
-        adj = S.adjacency(S.active_edges(self.lines, batch))
+        adj = self.ways.df.where(S.active(batch)).select("id", "nbr", "w")
         known = v.where(S.live(batch) & F.col("gt_class").isNotNull()).select("id", "gt_class")
         fresh = new_vertices(v, batch)
         strong = materialize(strong_new_edges(self.lines, v, batch, tau))
-        components = materialize(connected_components(strong, fresh))
+        components = connected_components(strong, fresh)
         initial = label_init(components, supernode_weights(components, adj, known), known, n)
         # Vertices that come and go within the batch still get a row, at one half.
         passing = v.where((F.col("batch_id") == batch) & ~S.live(batch)).select("id", n.lit(n.half).alias("f"))
@@ -66,16 +70,17 @@ class Engine:
         labels = materialize(arrived if self.labels is None else self.labels.unionByName(arrived))
         seeds = insertion_affected(self.lines, v, batch, tau, self.seed_mode).union(S.deletion_affected(self.lines, v, batch)).distinct()
         if self.freeze_gt_free:
-            regions = materialize(connected_components(S.active_edges(self.lines, batch)))
+            regions = connected_components(S.active_edges(self.lines, batch))
             with_known = regions.join(known, "id").select("root").distinct()
             seeds = seeds.join(regions.join(with_known, "root", "left_semi"), "id", "left_semi")
         alive = labels.join(v.where(S.live(batch)).select("id"), "id", "left_semi")
-        result = propagate(adj, alive, known, seeds, self.delta, self.max_iterations, n)
+        result = propagate(adj, alive, known, seeds, self.delta, self.max_iterations, n, self.stop_swings, placed=True)
         rest = labels.join(result.labels.select("id"), "id", "left_anti")
         self.labels = materialize(result.labels.unionByName(rest))
-        sizes = components.agg(F.countDistinct("root")).first()[0], strong.count()
-        correct = accuracy(self.labels, v, batch, n).first()["accuracy"]
-        self.metrics.append((batch, (time.perf_counter() - began) * 1000, correct, result.iterations, result.converged, *sizes))
+        one = lambda name, value: F.struct(F.lit(name).alias("name"), value.cast("double").alias("value"))
+        sizes = components.agg(one("parts", F.countDistinct("root")).alias("x")).union(strong.agg(one("strong", F.count(F.lit(1))).alias("x")))
+        found = {r.x["name"]: r.x["value"] for r in sizes.union(accuracy(self.labels, v, batch, n).select(one("correct", F.col("accuracy")).alias("x"))).collect()}
+        self.metrics.append((batch, (time.perf_counter() - began) * 1000, found["correct"], result.iterations, result.converged, int(found["parts"]), int(found["strong"])))
         return self.labels
 
     def run(self, batches: int) -> DataFrame:

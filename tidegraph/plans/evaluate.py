@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidegraph.functions.numeric import DOUBLE, Numeric
 from tidegraph.operators import state as S
-from tidegraph.operators.propagate import Propagated, full_propagation
+from tidegraph.operators.propagate import MAX_SWEEPS, Propagated, full_propagation
 from tidegraph.schemas import Graph
 
 
@@ -31,11 +31,11 @@ def final_status(vertices: DataFrame, last_batch: int) -> DataFrame:
     return S.vertex_status(S.change_log(vertices), last_batch)
 
 
-def recompute(graph: Graph, batch: int, delta: float = 1e-4, max_iterations: int = 200, numeric: Numeric = DOUBLE) -> tuple[Propagated, float]:
+def recompute(graph: Graph, batch: int, delta: float = 1e-4, max_iterations: int = MAX_SWEEPS, numeric: Numeric = DOUBLE) -> tuple[Propagated, float]:
     """The full recompute on the graph of ``batch`` and its time in ms."""
     began = time.perf_counter()
     adj = S.adjacency(S.active_edges(S.timeline(graph), batch))
-    result = full_propagation(adj, graph.vertices.where(S.live(batch)), delta, max_iterations, numeric)
+    result = full_propagation(adj, graph.vertices.where(S.live(batch)), delta, max_iterations, numeric, stop_swings=True)
     return result, (time.perf_counter() - began) * 1000
 
 

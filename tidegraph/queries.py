@@ -87,30 +87,30 @@ def changed(c: Case):
 
 
 def propagated(c: Case, sweeps: int):
-    return R.propagate(c.adj, c.start(), c.known, seeds(c), DELTA, sweeps, FIXED)
+    return R.propagate(c.adj, c.start(), c.known, seeds(c), DELTA, sweeps, FIXED, stop_swings=False)
 
 
 def full(c: Case, sweeps: int):
-    return R.full_propagation(c.adj, c.v.where(S.live(c.at)), DELTA, sweeps, FIXED)
+    return R.full_propagation(c.adj, c.v.where(S.live(c.at)), DELTA, sweeps, FIXED, stop_swings=False)
 
 
 def engine(spark, sf_dir, sweeps: int = SWEEPS, graph=X.similarity_graph) -> Engine:
-    out = Engine(graph(spark, sf_dir), DELTA, TAU, max_iterations=sweeps, numeric=FIXED)
+    out = Engine(graph(spark, sf_dir), DELTA, TAU, max_iterations=sweeps, numeric=FIXED, stop_swings=sweeps != SWEEPS)
     out.run(X.BATCHES)
     return out
 
 
 def settled_engine(spark, sf_dir) -> Engine:
-    """The engine run to its stop rule, with the default cap; SQL follows only the fixed sweeps of ``engine``."""
+    """The engine run to its stop rule, with the default cap."""
     return engine(spark, sf_dir, Engine.max_iterations, X.similarity_graph)
 
 
 def settled_full(c: Case):
-    return R.full_propagation(c.adj, c.v.where(S.live(c.at)), DELTA, numeric=FIXED)
+    return R.full_propagation(c.adj, c.v.where(S.live(c.at)), DELTA, numeric=FIXED, stop_swings=True)
 
 
 def converged(c: Case):
-    out = R.propagate(c.adj, c.start(), c.known, seeds(c), DELTA, numeric=FIXED)
+    out = R.propagate(c.adj, c.start(), c.known, seeds(c), DELTA, numeric=FIXED, stop_swings=True)
     return out.labels.select("id", "f", F.lit(out.converged).alias("converged"))
 
 

@@ -56,6 +56,22 @@ class Table:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Buckets(Table):
+    """A table in the shared folder whose rows lie hashed by ``columns`` in ``n`` buckets: joins and groups by them need no shuffle of it."""
+
+    def __init__(self, df: DataFrame, n: int, *columns: str):
+        spark = df.sparkSession
+        self.name = f"tidegraph_{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(spark)}/table-{self.name}"
+        df.repartition(n, *columns).write.bucketBy(n, *columns).option("path", self.path).saveAsTable(self.name)
+        self.df = spark.table(self.name)
+        self.register()
+
+    def drop(self) -> None:
+        self.df.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
+        super().drop()
+
+
 @contextmanager
 def scratch() -> Iterator[list[Table]]:
     """Collects the tables made inside; those still in the list at the end are dropped."""
