@@ -219,6 +219,45 @@ def test_streaming_feed(spark, tmp_path, gold):
     assert labels(spark.read.parquet(f"{state}/batch=2"))[4] == 0.636372
 
 
+def test_streaming_takes_files_gaps_and_late_batches(spark, tmp_path, gold):
+    from tidegraph.streaming import feed
+
+    log = S.change_log(gold.vertices).join(gold.vertices.select("id", "true_label"), "id").select("batch_id", "id", "op", "gt_label", "true_label")
+    incoming, state, ran = str(tmp_path / "in"), str(tmp_path / "state"), []
+    pieces = ["batch_id = 0 and id = 0", "batch_id = 0 and id = 1", "batch_id = 2", "batch_id = 1 and id < 4", "batch_id = 1 and id >= 4"]
+    for piece in pieces:
+        log.where(piece).coalesce(1).write.mode("append").parquet(incoming)
+    apply = feed.apply
+    feed.apply = lambda *a, **k: ran.append(apply(*a, **k))
+    try:
+        feed.follow(spark, incoming, gold.edges, state, delta=1e-4, tau=0.5).awaitTermination()
+    finally:
+        feed.apply = apply
+    assert ran == [[0], [0], [2], [1, 2], [1, 2]]  # two files of a batch, a gap, and the late batch in two files
+    engine = Engine(gold, delta=1e-4, tau=0.5)
+    for b in range(3):
+        assert labels(engine.process_batch(b)) == labels(spark.read.parquet(f"{state}/batch={b}"))
+    assert apply(spark, log.where(pieces[2]), gold.edges, state, "epoch-2") == []  # replayed
+
+
+def test_swings_stop_where_the_cap_would_leave_them(spark):
+    adj = S.adjacency(spark.createDataFrame([(0, 1, 1.0), (2, 3, 0.4), (3, 4, 0.6)], EDGES))
+    start = spark.createDataFrame([(0, 0.0), (1, 1.0), (2, 0.0), (3, 0.9), (4, 0.4)], "id long, f double")
+    known = spark.createDataFrame([(2, 0)], "id long, gt_class int")
+    for cap in (40, 41):
+        whole = R.propagate(adj, start, known, start.select("id"), 1e-4, cap)
+        short = R.propagate(adj, start, known, start.select("id"), 1e-4, cap, stop_swings=True)
+        assert whole.iterations == cap and short.iterations < cap and (cap - short.iterations) % 2 == 0
+        assert not short.converged and all(abs(x - y) < 1e-2 for x, y in zip(*[[r.f for r in o.labels.orderBy("id").collect()] for o in (whole, short)]))
+
+
+def test_adjacency_of_the_engine_is_not_shuffled(spark, gold):
+    engine = Engine(gold, delta=1e-4, tau=0.5)
+    adj = engine.ways.df.where(S.active(1)).select("id", "nbr", "w")
+    plan = R.pull(adj, spark.createDataFrame([(0, 0.0)], "id long, f double"), DOUBLE, small=True)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+
+
 def test_settled_queries_run_to_the_stop_rule(spark, monkeypatch):
     v, e = random_graph(3, n=24, m=60)
     fixed = Graph(spark.createDataFrame(v, VERTICES), spark.createDataFrame([(a, b, round(w * 1_000_000)) for a, b, w in e], "src long, dst long, w long"))

@@ -1,8 +1,10 @@
-"""Batches as files of a stream: each arriving file of vertex changes is one batch.
+"""Batches as files of a stream: changes may come in any number of files, in any order of their batches.
 
-State lives in versioned Parquet under ``state``: batch=b holds the labels after b. A
-micro-batch that is replayed finds its version complete and does nothing, so a restart is safe.
-Edges lie in a table of their own; one whose other end has not arrived simply activates later.
+Every arriving piece is kept in a log, and state lives in versioned Parquet: batch=b holds the labels after b. A piece brings up to
+date every version from its first batch on, starting from the newest version before it, so a batch that comes in several files, late or
+after a gap ends in the same labels as all changes at once. A piece that is replayed overwrites itself and, once its versions are
+complete, does nothing; so a restart is safe. Edges lie in a table of their own; one whose other end has not arrived simply activates later.
+The log is read and the edges' life spans are made anew for each piece: pieces should be worth a job.
 """
 
 from __future__ import annotations
@@ -12,13 +14,19 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidegraph.plans.engine import Engine
 from tidegraph.schemas import Graph
+from tidegraph.storage import scratch
 
 CHANGES = "batch_id int, id long, op string, gt_label int, true_label int"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _path(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, where = _path(spark, path)
+    return files.exists(where)
 
 
 def vertices_of(changes: DataFrame) -> DataFrame:
@@ -28,27 +36,44 @@ def vertices_of(changes: DataFrame) -> DataFrame:
     return changes.groupBy("id").agg(F.max("true_label").alias("true_label"), at("insert").alias("batch_id"), at("delete").alias("delete_batch"), known.alias("gt_class")).where("batch_id is not null")
 
 
+def apply(spark: SparkSession, changes: DataFrame, edges: DataFrame, state: str, piece: str, **options) -> list[int]:
+    """Take in the changes of ``piece``; returns the batches whose versions were written, none if it was taken in before."""
+    done = f"{state}/done/{piece}"
+    if _exists(spark, done):
+        return []
+    changes.select(*[c.split()[0] for c in CHANGES.split(", ")]).write.mode("overwrite").parquet(f"{state}/changes/piece={piece}")
+    log = spark.read.schema(CHANGES).parquet(f"{state}/changes").drop("piece")
+    first = spark.read.schema(CHANGES).parquet(f"{state}/changes/piece={piece}").agg(F.min("batch_id")).first()[0]
+    # One row a batch.
+    numbers = [] if first is None else sorted(r["batch_id"] for r in log.where("batch_id is not null").select("batch_id").distinct().collect())
+    with scratch():
+        before = [b for b in numbers if b < first and _exists(spark, f"{state}/batch={b}/_SUCCESS")]
+        after = [b for b in numbers if b >= first]
+        engine = Engine(Graph(vertices_of(log), edges), **options) if after else None
+        if before:
+            engine.labels = spark.read.parquet(f"{state}/batch={before[-1]}")
+        for b in after:
+            engine.process_batch(b).write.mode("overwrite").parquet(f"{state}/batch={b}")
+    files, where = _path(spark, done)
+    files.create(where).close()
+    return after
+
+
 def process(spark: SparkSession, changes: DataFrame, edges: DataFrame, state: str, batch: int, **options) -> None:
-    """Bring ``state`` from batch - 1 to ``batch``; nothing to do if it is there already."""
-    target = f"{state}/batch={batch}"
-    if _exists(spark, f"{target}/_SUCCESS"):
-        return
-    log = f"{state}/changes/batch={batch}"
-    changes.write.mode("overwrite").parquet(log)
-    seen = spark.read.schema(CHANGES).parquet(*[f"{state}/changes/batch={b}" for b in range(batch + 1) if _exists(spark, f"{state}/changes/batch={b}")])
-    engine = Engine(Graph(vertices_of(seen), edges), **options)
-    if batch and _exists(spark, f"{state}/batch={batch - 1}/_SUCCESS"):
-        engine.labels = spark.read.parquet(f"{state}/batch={batch - 1}")
-    engine.process_batch(batch).write.mode("overwrite").parquet(target)
+    """Take in the changes of ``batch`` as one piece; nothing to do if there are none or they were taken in before."""
+    rows = changes.where(F.col("batch_id") == batch)
+    if not rows.isEmpty():
+        apply(spark, rows, edges, state, f"batch-{batch}", **options)
 
 
 def follow(spark: SparkSession, incoming: str, edges: DataFrame, state: str, **options) -> StreamingQuery:
-    """Process every change file now in ``incoming`` (one file a batch, oldest first), then end; start again for later ones."""
+    """Take in every change file now in ``incoming`` (oldest first), then end; start again for later ones.
+
+    The stream's progress is part of ``state``: pieces are named by its micro-batches, so both are kept or removed together.
+    """
     stream = spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", 1).parquet(incoming)
 
-    def each(rows: DataFrame, _: int) -> None:
-        numbers = sorted(r["batch_id"] for r in rows.select("batch_id").distinct().collect())
-        for b in numbers:
-            process(spark, rows.where(F.col("batch_id") == b), edges, state, b, **options)
+    def each(rows: DataFrame, epoch: int) -> None:
+        apply(spark, rows, edges, state, f"epoch-{epoch}", **options)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{state}/progress").trigger(availableNow=True).start()
