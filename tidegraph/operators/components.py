@@ -29,16 +29,18 @@ def jump(parents: DataFrame) -> DataFrame:
     return parents.join(grand, "root").select("id", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved"))
 
 
-def _jump_to_roots(parents: Table) -> Table:
-    """Pointers doubled twice a job until all reach a root."""
+def _jump_to_roots(parents: DataFrame) -> Table:
+    """(id, root): pointers doubled twice a job until all reach a root."""
+    before = None
     while True:
         seen = Observation()
-        twice = jump(jump(parents.df.select("id", "root")).select("id", "root"))
+        twice = jump(jump(parents).select("id", "root"))
         after = Table(twice.observe(seen, F.coalesce(F.sum(F.col("moved").cast("int")), F.lit(0)).alias("moved")))
-        parents.drop()
-        parents = after
+        if before:
+            before.drop()
         if not seen.get["moved"]:
             return after
+        before, parents = after, after.df.select("id", "root")
 
 
 @settled
@@ -57,7 +59,7 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
     known = given.df.select(F.explode(F.array("src", "dst")).alias("id"))
     rest, labels, contracted = given.df.where("src != dst"), None, None
     while seen.get["open"]:
-        roots = _jump_to_roots(Table(hook(rest)))
+        roots = _jump_to_roots(hook(rest))
         step = roots.df.select("id", "root")
         src = step.select(F.col("id").alias("src"), F.col("root").alias("a"))
         dst = step.select(F.col("id").alias("dst"), F.col("root").alias("b"))
