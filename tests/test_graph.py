@@ -251,10 +251,20 @@ def test_swings_stop_where_the_cap_would_leave_them(spark):
         assert not short.converged and all(abs(x - y) < 1e-2 for x, y in zip(*[[r.f for r in o.labels.orderBy("id").collect()] for o in (whole, short)]))
 
 
+def test_large_graphs_sweep_as_small_ones(spark, monkeypatch):
+    v, e = random_graph(5)
+    run = lambda: {r.id: r.f for r in Engine(graph(spark, v, e), delta=1e-3, tau=0.45, max_iterations=8).run(3).collect()}
+    want = run()
+    monkeypatch.setattr(R, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(R, "SPARSE", 1.1)
+    got = run()
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-9
+
+
 def test_adjacency_of_the_engine_is_not_shuffled(spark, gold):
     engine = Engine(gold, delta=1e-4, tau=0.5)
     adj = engine.ways.df.where(S.active(1)).select("id", "nbr", "w")
-    plan = R.pull(adj, spark.createDataFrame([(0, 0.0)], "id long, f double"), DOUBLE, small=True)._jdf.queryExecution().executedPlan().toString()
+    plan = R.dense(adj, spark.createDataFrame([(0, 0.0, True)], "id long, f double, moved boolean"), DOUBLE)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan
 
 

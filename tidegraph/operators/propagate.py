@@ -4,8 +4,9 @@ State is (id, f, gt_class, moved). A sweep is one pass over the adjacency, which
 hash-partitioned by the pulling id: labels come to it by broadcast while the vertex table is
 under ``BROADCAST_ROWS`` (counted, not guessed) and by a shuffled join beyond, and the
 aggregation by id reuses the partitioning. While much of the graph moves, every vertex pulls and
-those outside the frontier keep their label; once the movers are few, only their
-neighbourhood pulls. Both give the same rows. Each sweep is written to the shared folder, which
+those outside the frontier keep their label; once the movers are few, a large graph has only their
+neighbourhood pull. The adjacency holds a row of no weight from each vertex to itself, so that where labels are broadcast a sweep is
+one join and one aggregation. All ways give the same rows. Each sweep is written to the shared folder, which
 cuts the lineage, and its movers are counted by the same job.
 
 A component without a known class may swing between two states for ever. Once all that moves is back where it was two sweeps
@@ -40,18 +41,28 @@ class Propagated:
     converged: bool
 
 
-def _near(df: DataFrame, small: bool) -> DataFrame:
-    return F.broadcast(df) if small else df
-
-
-def pull(adj: DataFrame, labels: DataFrame, numeric: Numeric, small: bool = False) -> DataFrame:
+def pull(adj: DataFrame, labels: DataFrame, numeric: Numeric) -> DataFrame:
     """(id, part, whole, nudged): sums of w f and w over the neighbours, and whether one of them moved."""
     moved = F.col("moved") if "moved" in labels.columns else F.lit(True)
     source = labels.select(F.col("id").alias("nbr"), F.col("f").alias("nbr_f"), moved.alias("nbr_moved"))
-    joined = adj.join(_near(source, small), "nbr")
+    joined = adj.join(source, "nbr")
     return joined.groupBy("id").agg(numeric.products(F.col("w"), F.col("nbr_f")).alias("part"), F.sum("w").alias("whole"), F.max("nbr_moved").alias("nudged"))
 
 
+def loops(vertices: DataFrame, adj: DataFrame) -> DataFrame:
+    """(id, nbr, w): a row of no weight from each of ``vertices`` to itself."""
+    return vertices.select("id", F.col("id").alias("nbr"), F.lit(0).cast(adj.schema["w"].dataType).alias("w"))
+
+
+def dense(adj: DataFrame, state: DataFrame, numeric: Numeric) -> DataFrame:
+    """``state`` with part, whole and nudged (see ``pull``); ``adj`` holds the ``loops`` of its vertices."""
+    own, columns = F.col("id") == F.col("nbr"), [c for c in state.columns if c != "id"]
+    near = adj.join(F.broadcast(state.withColumnRenamed("id", "nbr")), "nbr")
+    mine = [F.max(F.when(own, F.col(c))).alias(c) for c in columns]
+    sums = [numeric.products(F.col("w"), F.col("f")).alias("part"), F.sum("w").alias("whole"), F.max(F.when(~own, F.col("moved"))).alias("nudged")]
+    return near.groupBy("id").agg(*sums, *mine).where(F.col("f").isNotNull())
+
+
 def propagate_step(adj: DataFrame, labels: DataFrame, frontier: DataFrame, numeric: Numeric = DOUBLE) -> DataFrame:
     """(id, f): ``labels`` after one synchronous sweep over ``frontier`` (id)."""
     pulled = pull(adj.join(frontier.select("id"), "id", "left_semi"), labels.select("id", "f"), numeric)
@@ -84,7 +95,8 @@ def propagate(adj: DataFrame, labels: DataFrame, known: DataFrame, seeds: DataFr
     """Sweeps until nothing moves by more than delta or the cap is reached.
 
     labels: (id, f) of the live vertices; known: (id, gt_class), which never move; seeds: the first
-    frontier (id), or None for every vertex in every sweep (the full recompute); placed: ``adj`` lies partitioned by id already.
+    frontier (id), or None for every vertex in every sweep (the full recompute); placed: ``adj`` lies partitioned by id already, each
+    vertex's row to itself (see ``loops``) with it.
     """
     full, step = seeds is None, numeric.delta(delta)
     start = enforce_gt(labels, known, numeric).join(known.select("id", "gt_class"), "id", "left")
@@ -98,19 +110,21 @@ def propagate(adj: DataFrame, labels: DataFrame, known: DataFrame, seeds: DataFr
     rows, on = seen.get["rows"], seen.get["on"]
     small, stored, files = rows <= BROADCAST_ROWS, None, -(-rows // ROWS_PER_FILE) or 1
     if not placed and on and max_iterations:
-        stored = Table(adj)
+        stored = Table(adj.unionByName(loops(state.df, adj)))
         adj = stored.df.repartition(-(-stored.df.count() // ROWS_PER_TASK) or 1, "id")
     pulled_by = adj.persist()
     done, first, movers, restless = 0, True, on, on
     while movers and done < max_iterations and (restless or not stop_swings or (max_iterations - done) % 2):
         s = state.df
-        near = None
-        if not first and not full and movers < SPARSE * rows:
-            movers_df = s.where("moved").select("id")
-            near = movers_df.union(pulled_by.join(_near(movers_df.withColumnRenamed("id", "nbr"), small), "nbr", "left_semi").select("id")).distinct()
-        source = pulled_by if near is None else pulled_by.join(_near(near, small), "id", "left_semi")
-        pulled = pull(source, s.select("id", "f", "moved"), numeric, small)
-        joined = s.join(_near(pulled, small), "id", "left")
+        if small:
+            joined = dense(pulled_by, s, numeric)
+        else:
+            source = pulled_by
+            if not first and not full and movers < SPARSE * rows:
+                moving = s.where("moved").select("id")
+                near = moving.union(pulled_by.join(moving.withColumnRenamed("id", "nbr"), "nbr", "left_semi").select("id")).distinct()
+                source = pulled_by.join(near, "id", "left_semi")
+            joined = s.join(pull(source, s.select("id", "f", "moved"), numeric), "id", "left")
         if full or first:
             active = F.col("on")
         else:

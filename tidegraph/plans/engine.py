@@ -11,7 +11,7 @@ from tidegraph.functions.numeric import DOUBLE, Numeric
 from tidegraph.operators import state as S
 from tidegraph.operators.components import connected_components
 from tidegraph.operators.initialize import label_init, supernode_weights
-from tidegraph.operators.propagate import MAX_SWEEPS, ROWS_PER_TASK, propagate
+from tidegraph.operators.propagate import MAX_SWEEPS, ROWS_PER_TASK, loops, propagate
 from tidegraph.operators.sparsify import insertion_affected, new_vertices, strong_new_edges
 from tidegraph.plans.evaluate import accuracy
 from tidegraph.schemas import Graph
@@ -43,10 +43,12 @@ class Engine:
     metrics: list[tuple] = field(default_factory=list)
 
     def __post_init__(self):
+        self.vertices = self.graph.vertices
         self.lines = materialize(S.timeline(self.graph))
+        spans = self.vertices.select("id", F.col("batch_id").alias("starts"), F.col("delete_batch").alias("ends"))
         ways = S.adjacency(self.lines, "starts", "ends")
+        ways = ways.unionByName(loops(spans, ways).join(spans, "id"))
         self.ways = Buckets(ways, -(-2 * self.lines.count() // ROWS_PER_TASK) or 1, "id")
-        self.vertices = self.graph.vertices
         self.full_tau = S.auto_tau(self.graph.edges) if self.tau is None or self.tau < 0 else self.tau
 
     def batch_tau(self, batch: int):
@@ -63,7 +65,7 @@ class Engine:
         fresh = new_vertices(v, batch)
         strong = materialize(strong_new_edges(self.lines, v, batch, tau))
         components = connected_components(strong, fresh)
-        initial = label_init(components, supernode_weights(components, adj, known), known, n)
+        initial = label_init(components, supernode_weights(components, adj.where("id != nbr"), known), known, n)
         # Vertices that come and go within the batch still get a row, at one half.
         passing = v.where((F.col("batch_id") == batch) & ~S.live(batch)).select("id", n.lit(n.half).alias("f"))
         arrived = initial.unionByName(passing)
