@@ -116,3 +116,75 @@ def test_frequent_words_are_whole_levels_of_counts(spark):
     assert lm.frequent(counts, 9) == [(b"a", 100), (b"b", 50), (b"c", 50), (b"d", 2), (b"e", 1), (b"f", 1)]
     assert lm.frequent(counts, 5) == [(b"a", 100), (b"b", 50), (b"c", 50), (b"d", 2)]
     assert lm.frequent(counts, 2) == [(b"a", 100)] and lm.frequent(counts, 0) == [] == lm.frequent(counts.limit(0), 5)
+
+
+def test_words_within_a_class_are_the_plain_softmax(spark):
+    # 1,500 words by falling count: the first 767 stand for themselves, the next have slots, the others share the rest of their class.
+    rng = np.random.default_rng(3)
+    words = [f"w{i:04d}{'ab'[i % 2]}{'cde'[i % 3]}" for i in range(1500)]
+    rows = [(i, " ".join(words[j] for j in np.minimum(rng.exponential(400, 300).astype(int), 1499))) for i in range(200)] + [(200, "neverseenac " + words[900]), (201, None)]
+    train = lm.train_model
+    kept = {}
+
+    def keep(texts, vocabulary, unigram):
+        kept["m"], kept["v"] = train(texts, vocabulary, unigram), vocabulary.value
+        return kept["m"]
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(lm, "train_model", keep)
+        got = {r.doc_id: r.score for r in lm.score_texts(docs, lm.F.col("doc_id") < 180, ["doc_id"]).collect()}
+    m, v = kept["m"], kept["v"]
+    toks = lambda t: (t or "").encode().split() + [b""]
+    c = Counter(w for d, t in rows if d < 180 for w in toks(t))
+    ranked = [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0])) if w]
+    own = {w: 1 + i for i, w in enumerate([b"", *ranked[: lm.WORDS - 1]])}
+    second = int(lm.GROWTH * len(c) ** 0.5)
+    members = {}
+    for w in ranked[lm.WORDS - 1 :][:second]:
+        members.setdefault(lm.word_class(w), []).append(w)
+    rest = Counter({k: 0.1 for k in range(lm.CLASSES)})
+    for w in ranked[lm.WORDS - 1 :][second:]:
+        rest[lm.word_class(w)] += c[w] + 0.1
+    assert sum(map(len, members.values())) == second > 100 and len(v.starts) == lm.CLASSES + 1 and v.starts[-1] == lm.CLASSES + second
+
+    def log_softmax(x):
+        return x - np.log(np.exp(x - x.max()).sum()) - x.max()
+
+    seen = Counter()
+    for d, t in rows[::9] + rows[-2:]:
+        one = two = lm.BOS
+        total = 0.0
+        for w in toks(t):
+            context = (m.c[0] * m.r[one] + m.c[1] * m.r[two]).astype(float)
+            k = own.get(w) or 1 + lm.WORDS + lm.word_class(w)
+            total += log_softmax(np.where(v.unigram > 0, context @ m.q.T + m.b, -np.inf))[k]
+            if w not in own:
+                of = lm.word_class(w)
+                low = v.starts[of]
+                inner = log_softmax(context @ m.inner_q[low : v.starts[of + 1]].T + m.inner_b[low : v.starts[of + 1]])
+                assert len(inner) == 1 + len(members.get(of, []))
+                if w in members.get(of, []):
+                    total += inner[1 + members[of].index(w)]
+                    seen["member"] += 1
+                else:
+                    total += inner[0] + math.log((c[w] + 0.1) / rest[of])
+                    seen["rest"] += 1
+            one, two = k, one
+        assert abs(got[d] - total / math.log(10)) < 1e-3 + 1e-5 * abs(got[d]), d
+    assert seen["member"] > 100 and seen["rest"] > 20 and np.abs(m.inner_q).max() > 0
+
+
+def test_inner_probabilities_sum_to_one_in_every_block_size():
+    v = lm.Vocabulary([(b"", 9), *[(f"{i}zz".encode(), 3000 - i) for i in range(1200)]], 10**6, 5000, np.full(lm.CLASSES, 10**6.0), 300)
+    m = lm.LogBilinear(v.unigram, slot_log=v.slot_log)
+    m.inner_q = np.random.default_rng(1).normal(0, 1, m.inner_q.shape).astype(np.float32)
+    k = lm.word_class(b"zz")
+    slots = np.arange(v.starts[k], v.starts[k + 1])
+    assert len(slots) == 301
+    one = np.full(len(slots), 7)
+    for most in (1, 1000, 1 << 22):
+        assert abs(np.exp(m.inner_log(slots, one, one + 1, v.starts, most)).sum() - 1) < 1e-5
+    # Untrained, the second level is the share by count.
+    m.inner_q[:] = 0
+    assert np.allclose(np.exp(m.inner_log(slots, one, one, v.starts)), v.slot_mass[slots] / v.slot_mass[slots].sum(), rtol=1e-4)

@@ -1,17 +1,18 @@
 """Language-model scores: a log-bilinear model trained with noise-contrastive estimation.
 
 The model predicts a word from the two before it: the context vector is c1 * r(w1) + c2 * r(w2), a word's
-score its product with q(w) plus a bias. Its vocabulary is the ``words`` most frequent training words, the end of a
-text, and ``classes`` of all other words by their last two bytes; a word of a class has its smoothed share
-(c + 0.1) / (mass of the class), where the mass has a slot of 0.1 for a word never seen. So probabilities
-are normalised over every word there is. With a context of two words the normaliser of every context is one
-matrix product, exp(A) diag(exp(b)) exp(B)', made once; scoring a token is then a lookup.
+score its product with q(w) plus a bias. It has two levels. The first predicts one of the ``words`` most frequent training words, the end
+of a text, or one of ``classes`` of all other words by their last two bytes. The second predicts, from the same context vector, the word within its
+class: the next most frequent words, as many as ``GROWTH`` times the root of the number of distinct words, have vectors and biases of their own, and
+so has the rest of each class, which a word takes a smoothed share (c + 0.1) / (mass of the rest) of; that mass has a slot of 0.1
+for a word never seen. So probabilities are normalised over every word there is. With a context of two words the first level's normaliser of every
+context is one matrix product, exp(A) diag(exp(b)) exp(B)', made once; the second's is a batched product over the words of the token's class.
 
 Scale. Words are counted over all training texts with partial counts in the tasks. Counts of the ``head`` most
 frequent words travel as a broadcast of fixed size; all other words of a text are joined to
 the full table of counts, after they have been merged within their text. Training goes once over every training
-text: each task runs noise-contrastive steps on all of its texts from the same start, and the parameters (a fixed few
-hundred KB) are averaged by tokens in a tree of tasks, of which the driver sees the last sixteen.
+text: each task runs noise-contrastive steps on all of its texts from the same start, and the parameters (about 200 KB, and 100 bytes for
+each word of the second level: 10 MB for 600 million distinct words) are averaged by tokens in a tree of tasks, of which the driver sees the last sixteen.
 
 Defined cases. A null or wordless text is the end token alone. Words are cut and lower-cased as bytes.
 Without training rows c, N and V are 0, the base score is 0 and the model is its untrained start.
@@ -35,6 +36,8 @@ from tidegraph.storage import materialize
 END = b""
 WORDS, CLASSES, DIMS, HEAD = 768, 255, 24, 1 << 17
 NOISE, BATCH, RATE, SMOOTH = 32, 2048, 0.15, 0.1
+#: Words of the second level for each root of the number of distinct words; noise words of a token there.
+GROWTH, INNER_NOISE = 4, 1
 BOS = 0
 
 
@@ -92,8 +95,8 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
 class Vocabulary:
     """The head words: their model id (0 is the start, then the words, then the classes) and count."""
 
-    def __init__(self, head: list[tuple[bytes, int]], total: int, kinds: int, mass: np.ndarray):
-        """head: with the end, by falling count; mass: of each class, its words' c + 0.1 and the slot of an unseen one."""
+    def __init__(self, head: list[tuple[bytes, int]], total: int, kinds: int, mass: np.ndarray, second: int = 0):
+        """head: with the end, by falling count; mass: of each class, its words' c + 0.1 and the slot of an unseen one; second: so many words have slots in their class."""
         self.total, self.kinds, self.mass = total, kinds, mass
         self.place = {w: i for i, (w, _) in enumerate(head)}
         self.counts = np.array([c for _, c in head], float)
@@ -107,6 +110,23 @@ class Vocabulary:
         p[BOS] = 0
         p[1 + len(own) : 1 + WORDS] = 0
         self.unigram = p / p.sum()
+        # Slots lie by class, in each the rest of its words first.
+        at = np.flatnonzero(self.ids > WORDS)[:second]
+        of = self.ids[at] - 1 - WORDS
+        order = np.argsort(of, kind="stable")
+        self.starts = np.concatenate([[0], np.cumsum(1 + np.bincount(of, minlength=CLASSES))])
+        self.slots = np.full(len(head), -1)
+        self.slots[at[order]] = np.arange(len(at)) + of[order] + 1
+        self.slot_mass = np.empty(self.starts[-1])
+        self.slot_mass[self.slots[at]] = self.counts[at] + SMOOTH
+        self.slot_mass[self.starts[:-1]] = np.maximum(mass - np.bincount(of, self.counts[at] + SMOOTH, CLASSES), SMOOTH)
+        self.slot_log = np.log(self.slot_mass / np.repeat(np.add.reduceat(self.slot_mass, self.starts[:-1]), np.diff(self.starts)))
+
+    def inner(self, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The slot of each token in its class; -1 for words of the first level."""
+        slot = np.where(place < 0, -1, self.slots[place]) if len(self.slots) else np.full(len(ids), -1)
+        rest = self.starts[np.maximum(ids - 1 - WORDS, 0)]
+        return np.where(ids > WORDS, np.where(slot < 0, rest, slot), -1)
 
     def encode(self, texts: list[str | None]):
         """(model ids, head places, text numbers, tail tokens by position) of all tokens of the texts."""
@@ -133,22 +153,26 @@ class Vocabulary:
 
 
 class LogBilinear:
-    """r, q: (size, dims) context and word vectors; c: (2, dims) context weights; b: biases."""
+    """r, q: (size, dims) context and word vectors; c: (2, dims) context weights; b: biases; inner_q, inner_b: of the slots in classes."""
 
-    def __init__(self, unigram: np.ndarray, dims: int = DIMS, seed: int = 5):
+    NAMES = "r", "q", "c", "b", "inner_q", "inner_b"
+
+    def __init__(self, unigram: np.ndarray, dims: int = DIMS, seed: int = 5, slot_log: np.ndarray | None = None):
         rng = np.random.default_rng(seed)
         n = len(unigram)
         self.r, self.q = (rng.normal(0, 0.1, (n, dims)).astype(np.float32) for _ in range(2))
         self.c = np.array([np.full(dims, 1.0), np.full(dims, 0.5)], np.float32)
         self.b = np.log(np.maximum(unigram, 1e-12)).astype(np.float32)
         self.usable = unigram > 0
+        self.inner_b = np.zeros(CLASSES, np.float32) if slot_log is None else slot_log.astype(np.float32)
+        self.inner_q = np.zeros((len(self.inner_b), dims), np.float32)
 
     def vector(self) -> np.ndarray:
-        return np.concatenate([self.r.ravel(), self.q.ravel(), self.c.ravel(), self.b])
+        return np.concatenate([getattr(self, name).ravel() for name in self.NAMES])
 
     def load(self, v: np.ndarray) -> LogBilinear:
         at = 0
-        for name in ("r", "q", "c", "b"):
+        for name in self.NAMES:
             old = getattr(self, name)
             setattr(self, name, v[at : at + old.size].reshape(old.shape).astype(np.float32))
             at += old.size
@@ -163,6 +187,20 @@ class LogBilinear:
             z = np.log(np.exp((a - top_a[:, None]).astype(np.float64)) @ np.exp((b - top_b[:, None]).astype(np.float64)).T)
         return a, b, (z + top_a[:, None] + top_b[None, :]).astype(np.float32)
 
+    def inner_log(self, slot: np.ndarray, one: np.ndarray, two: np.ndarray, starts: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+        """Log probability of each slot in its class after the context, by one product a class (of ``most`` cells at a time)."""
+        out, order = np.zeros(len(slot)), np.argsort(slot, kind="stable")
+        cuts = np.searchsorted(slot[order], starts)
+        for lo, hi, first, end in zip(starts[:-1], starts[1:], cuts[:-1], cuts[1:]):
+            step = max(1, most // (hi - lo))
+            # A class of one slot is certain.
+            for at in range(first, end if hi - lo > 1 else first, step):
+                some = order[at : min(at + step, end)]
+                x = (self.c[0] * self.r[one[some]] + self.c[1] * self.r[two[some]]) @ self.inner_q[lo:hi].T + self.inner_b[lo:hi]
+                own, top = x[np.arange(len(some)), slot[some] - lo], x.max(axis=1)
+                out[some] = own - top - np.log(np.exp(x - top[:, None]).sum(axis=1, dtype=np.float64))
+        return out
+
 
 def scatter(grad: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct ids, sums of their rows)."""
@@ -173,20 +211,42 @@ def scatter(grad: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Trainer:
-    """Noise-contrastive steps with Adagrad; each minibatch shares its noise words."""
+    """Noise-contrastive steps with Adagrad; each minibatch shares its noise words, those within a class are each token's own."""
 
-    def __init__(self, model: LogBilinear, unigram: np.ndarray, seed: int = 11):
+    def __init__(self, model: LogBilinear, vocabulary: Vocabulary, seed: int = 11):
+        unigram = vocabulary.unigram
         self.m, self.rng = model, np.random.default_rng(seed)
         self.noise = np.cumsum(unigram)
         self.log_noise = np.log(np.maximum(unigram, 1e-12)).astype(np.float32)
-        self.sums = {n: np.full(getattr(model, n).shape, 1e-2, np.float32) for n in ("r", "q", "c", "b")}
+        self.sums = {n: np.full(getattr(model, n).shape, 1e-2, np.float32) for n in model.NAMES}
+        self.starts, self.slot_log = vocabulary.starts, vocabulary.slot_log.astype(np.float32)
+        self.slot_noise = np.concatenate([[0], np.cumsum(vocabulary.slot_mass)])
+        self.several = np.diff(vocabulary.starts) > 1
+
 
     def move(self, name: str, ids, grad) -> None:
         table, sums = getattr(self.m, name), self.sums[name]
         sums[ids] += grad * grad
         table[ids] += RATE * grad / np.sqrt(sums[ids])
 
-    def step(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+    def inner_step(self, ctx: np.ndarray, k: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Move the slots of tokens of classes ``k``; the gradient of their contexts."""
+        m, n = self.m, len(k)
+        low, high = self.slot_noise[self.starts[k]][:, None], self.slot_noise[self.starts[k + 1]][:, None]
+        z = np.searchsorted(self.slot_noise, low + self.rng.random((n, INNER_NOISE)) * (high - low), "right") - 1
+        z = np.clip(z, self.starts[k][:, None], self.starts[k + 1][:, None] - 1)
+        ids = np.concatenate([slot[:, None], z], axis=1)
+        q = m.inner_q[ids]
+        x = (q @ ctx[:, :, None])[:, :, 0] + m.inner_b[ids] - self.slot_log[ids] - np.float32(np.log(INNER_NOISE))
+        g = -1 / (1 + np.exp(np.clip(-x, -30, 30)))
+        g[:, 0] += 1
+        out = (g[:, None, :] @ q)[:, 0, :]
+        self.move("inner_q", *scatter((g[:, :, None] * ctx[:, None, :]).reshape(-1, ctx.shape[1]), ids.ravel()))
+        some, g_b = scatter(g.reshape(-1, 1), ids.ravel())
+        self.move("inner_b", some, g_b[:, 0])
+        return out
+
+    def step(self, w: np.ndarray, one: np.ndarray, two: np.ndarray, slot: np.ndarray) -> None:
         m, n = self.m, len(w)
         z = np.minimum(np.searchsorted(self.noise, self.rng.random(NOISE) * self.noise[-1], "right"), len(self.noise) - 1)
         r1, r2 = m.r[one], m.r[two]
@@ -198,6 +258,10 @@ class Trainer:
         up = 1 / (1 + np.exp(np.clip(good, -30, 30)))
         down = 1 / (1 + np.exp(np.clip(-bad, -30, 30)))
         g_ctx = up[:, None] * qw - down @ qz
+        inside = np.flatnonzero(slot >= 0)
+        inside = inside[self.several[w[inside] - 1 - WORDS]]
+        if len(inside):
+            g_ctx[inside] += self.inner_step(ctx[inside], w[inside] - 1 - WORDS, slot[inside])
         self.move("q", *scatter(np.concatenate([up[:, None] * ctx, -(down.T @ ctx)]), np.concatenate([w, z])))
         ids, g = scatter(np.concatenate([up, -down.sum(axis=0)])[:, None], np.concatenate([w, z]))
         self.move("b", ids, g[:, 0])
@@ -210,17 +274,18 @@ def train_model(texts: DataFrame, vocabulary: Shared, unigram: np.ndarray) -> Lo
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
-        model = LogBilinear(v.unigram)
-        trainer, done = Trainer(model, v.unigram), 0
+        model = LogBilinear(v.unigram, slot_log=v.slot_log)
+        trainer, done = Trainer(model, v), 0
         for batch in batches:
             for part in pieces(batch, "text"):
-                ids, _, of, _, _ = v.encode(part.column("text").to_pylist())
+                ids, place, of, _, _ = v.encode(part.column("text").to_pylist())
                 one, two = v.contexts(ids, of)
+                slot = v.inner(ids, place)
                 # Tokens of a piece in a seeded order, so that a step sees many texts.
                 order = np.random.default_rng(len(ids)).permutation(len(ids))
                 for at in range(0, len(ids), BATCH):
                     some = order[at : at + BATCH]
-                    trainer.step(ids[some], one[some], two[some])
+                    trainer.step(ids[some], one[some], two[some], slot[some])
                 done += len(ids)
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64()), pa.array([model.vector().tobytes()], pa.binary())], names=["tokens", "model"])
@@ -242,7 +307,7 @@ def train_model(texts: DataFrame, vocabulary: Shared, unigram: np.ndarray) -> Lo
         if parts == 16:
             break
     rows = models.collect()
-    model = LogBilinear(unigram)
+    model = LogBilinear(unigram, slot_log=vocabulary.value.slot_log)
     if rows:
         tokens_ = np.array([r["tokens"] for r in rows], float)
         model.load(np.average([np.frombuffer(r["model"], np.float32) for r in rows], axis=0, weights=tokens_))
@@ -261,17 +326,22 @@ class Scorer:
         if self.tables is None:
             a, b, z = self.model.log_tables()
             logs = np.log10(v.counts + SMOOTH)
-            inner = np.where(v.ids > WORDS, logs, 0.0)
-            with np.errstate(divide="ignore"):
-                share = np.concatenate([np.zeros(1 + WORDS), -np.log10(v.mass)])
-            self.tables = a, b, z, np.append(logs, 0.0), np.append(inner, 0.0), share, np.append(v.counts > 0, False)
-        a, b, z, logs, inner, share, known = self.tables
+            # Of words that share the rest of their class.
+            rest = np.where((v.ids > WORDS) & (v.slots < 0), logs, 0.0)
+            share = np.zeros(v.starts[-1] + 1)
+            share[v.starts[:-1]] = -np.log10(v.slot_mass[v.starts[:-1]])
+            self.tables = a, b, z, np.append(logs, 0.0), np.append(rest, 0.0), share, np.append(v.counts > 0, False)
+        a, b, z, logs, rest, share, known = self.tables
         ids, place, of, tail, words = v.encode(texts)
         one, two = v.contexts(ids, of)
         n = len(texts)
-        model = (a[one, ids] + b[two, ids] - z[one, two]) / np.log(10.0)
+        model = a[one, ids] + b[two, ids] - z[one, two].astype(np.float64)
+        slot = v.inner(ids, place)
+        inside = np.flatnonzero(slot >= 0)
+        model[inside] += self.model.inner_log(slot[inside], one[inside], two[inside], v.starts)
+        model = model / np.log(10.0) + share[slot] + rest[place]
         total = lambda x: np.bincount(of, x, n)
-        return total(None), total(known[place]), total(logs[place]), total(model + share[ids] + inner[place]), of[tail], words
+        return total(None), total(known[place]), total(logs[place]), total(model), of[tail], words
 
 
 def score_texts(docs: DataFrame, train_where, keep: list[str]) -> DataFrame:
@@ -283,13 +353,14 @@ def score_texts(docs: DataFrame, train_where, keep: list[str]) -> DataFrame:
     by_class = counts.where("token != ''").groupBy(last.cast("int").alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect()
     end = counts.where("token = ''").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     total, kinds = end + sum(r["c"] for r in by_class), sum(r["n"] for r in by_class) + (end > 0)
-    head = [(END, end), *frequent(counts.where("token != ''"), HEAD)]
+    second = int(GROWTH * kinds**0.5)
+    head = [(END, end), *frequent(counts.where("token != ''"), max(HEAD, WORDS + second))]
     mass = np.full(CLASSES, SMOOTH)
     for r in by_class:
         mass[r["k"]] += r["c"] + SMOOTH * r["n"]
     for w, c in head[1:WORDS]:
         mass[word_class(w)] -= c + SMOOTH
-    vocabulary = Vocabulary(head, total, kinds, np.maximum(mass, SMOOTH))
+    vocabulary = Vocabulary(head, total, kinds, np.maximum(mass, SMOOTH), second)
     model = train_model(training, Shared(spark, vocabulary), vocabulary.unigram)
     shared = Shared(spark, Scorer(vocabulary, model))
 
