@@ -12,7 +12,7 @@ Scale. Words are counted over all training texts with partial counts in the task
 frequent words travel as a broadcast of fixed size; all other words of a text are joined to
 the full table of counts, after they have been merged within their text. Training goes once over every training
 text: each task runs noise-contrastive steps on all of its texts from the same start, and the parameters (about 200 KB, and 100 bytes for
-each word of the second level: 10 MB for 600 million distinct words) are averaged by tokens in a tree of tasks, of which the driver sees the last sixteen.
+each word of the second level: 10 MB for 600 million distinct words) are averaged by tokens in a tree of tasks, sixteen to one; the driver sees the last one.
 
 Defined cases. A null or wordless text is the end token alone. Words are cut and lower-cased as bytes.
 Without training rows c, N and V are 0, the base score is 0 and the model is its untrained start.
@@ -302,16 +302,12 @@ def train_model(texts: DataFrame, vocabulary: Shared, unigram: np.ndarray) -> Lo
     schema = "tokens long, model binary"
     models, parts = texts.select("text").mapInArrow(learn, schema), texts.rdd.getNumPartitions()
     while True:
-        parts = max(16, -(-parts // 16))
+        parts = max(1, -(-parts // 16))
         models = models.repartition(parts).mapInArrow(average, schema)
-        if parts == 16:
+        if parts == 1:
             break
-    rows = models.collect()
-    model = LogBilinear(unigram, slot_log=vocabulary.value.slot_log)
-    if rows:
-        tokens_ = np.array([r["tokens"] for r in rows], float)
-        model.load(np.average([np.frombuffer(r["model"], np.float32) for r in rows], axis=0, weights=tokens_))
-    return model
+    row, model = models.first(), LogBilinear(unigram, slot_log=vocabulary.value.slot_log)
+    return model.load(np.frombuffer(row["model"], np.float32)) if row else model
 
 
 class Scorer:
