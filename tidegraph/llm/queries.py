@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegraph.llm import chat, decontam, langid, lm, mixing, pii, quality, simhash, topk, toxicity
+from tidegraph.llm import chat, decontam, divergence, langid, lexical, lm, mixing, pii, quality, simhash, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_language": langid.op9_language,
     "op10_chat_perspectives": chat.op10_chat_perspectives,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_lexical_search": lexical.op12_lexical_search,
+    "op13_url_filter": urlfilter.op13_url_filter,
 }
 
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE,
     "op6_top_k": topk.ORACLE,
     "op10_chat_perspectives": chat.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
+    "op12_lexical_search": lexical.ORACLE,
 }
