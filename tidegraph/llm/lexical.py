@@ -20,6 +20,7 @@ go to the smaller document id. Other columns are ignored. Products are 64-bit in
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -34,7 +35,7 @@ from tidegraph.storage import materialize, settled
 
 #: A posting's impact is under a million; 255 steps cover that.
 STEP = 3922
-SEGMENT_DOCS, SEGMENT_BYTES = 4096, 8 << 20
+SEGMENT_DOCS, SEGMENT_BYTES = 4096, 4 << 20
 #: Stands for a missing document id inside tasks, and sorts last.
 NO_ID = (1 << 63) - 1
 INDEX = "ids array<long>, lengths array<long>, terms array<binary>, starts array<long>, docs array<int>, seen array<long>, bytes binary"
@@ -66,7 +67,8 @@ class Segment:
 
     def __init__(self):
         self.numbers = defaultdict(count().__next__)
-        self.ids, self.lengths, self.distinct, self.terms, self.seen, self.size = [], [], [], [], [], 0
+        self.ids, self.lengths, self.distinct, self.terms, self.seen = (array("q") for _ in range(5))
+        self.size = 0
 
     def add(self, id_: int | None, text: bytes) -> None:
         found = term_counts(text, WORDS)
@@ -81,13 +83,13 @@ class Segment:
 
     def row(self, n_docs: int, n_terms: int) -> pa.RecordBatch:
         """Postings by term, then document."""
-        terms, seen, lengths = np.array(self.terms), np.array(self.seen, np.int64), np.array(self.lengths, np.int64)
+        terms, seen, lengths = (np.frombuffer(a, np.int64) for a in (self.terms, self.seen, self.lengths))
         docs = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.distinct)
         order = np.argsort(terms, kind="stable")
         docs, seen = docs[order], seen[order]
         starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(self.numbers)))])
         packed = (-(-impacts(seen, lengths[docs], n_docs, n_terms) // STEP)).astype(np.uint8).tobytes()
-        lists = [pa.array([x], pa.list_(t)) for x, t in ((self.ids, pa.int64()), (lengths, pa.int64()), (list(self.numbers), pa.binary()), (starts, pa.int64()), (docs, pa.int32()), (seen, pa.int64()))]
+        lists = [pa.array([x], pa.list_(t)) for x, t in ((np.frombuffer(self.ids, np.int64), pa.int64()), (lengths, pa.int64()), (list(self.numbers), pa.binary()), (starts, pa.int64()), (docs, pa.int32()), (seen, pa.int64()))]
         return pa.RecordBatch.from_arrays([*lists, pa.array([packed])], names=["ids", "lengths", "terms", "starts", "docs", "seen", "bytes"])
 
 
