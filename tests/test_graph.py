@@ -240,31 +240,192 @@ def test_streaming_takes_files_gaps_and_late_batches(spark, tmp_path, gold):
     assert apply(spark, log.where(pieces[2]), gold.edges, state, "epoch-2") == []  # replayed
 
 
-def test_swings_stop_where_the_cap_would_leave_them(spark):
-    adj = S.adjacency(spark.createDataFrame([(0, 1, 1.0), (2, 3, 0.4), (3, 4, 0.6)], EDGES))
-    start = spark.createDataFrame([(0, 0.0), (1, 1.0), (2, 0.0), (3, 0.9), (4, 0.4)], "id long, f double")
-    known = spark.createDataFrame([(2, 0)], "id long, gt_class int")
-    for cap in (40, 41):
-        whole = R.propagate(adj, start, known, start.select("id"), 1e-4, cap)
-        short = R.propagate(adj, start, known, start.select("id"), 1e-4, cap, stop_swings=True)
-        assert whole.iterations == cap and short.iterations < cap and (cap - short.iterations) % 2 == 0
-        assert not short.converged and all(abs(x - y) < 1e-2 for x, y in zip(*[[r.f for r in o.labels.orderBy("id").collect()] for o in (whole, short)]))
+def plain_sweeps(edges, start, known, delta, cap):
+    """Labels, sweeps and whether nothing moves any more, of the plain iteration."""
+    nb = {i: [] for i in start}
+    for a, b, w in edges:
+        nb[a].append((b, w))
+        nb[b].append((a, w))
+    f = {i: float(known.get(i, x)) for i, x in start.items()}
+    hot, done = set(start) - known.keys(), 0
+    while hot and done < cap:
+        after = f | {i: min(1.0, max(0.0, sum(w * f[j] for j, w in nb[i]) / sum(w for _, w in nb[i]))) for i in hot if sum(w for _, w in nb[i]) > 1e-10}
+        moved = {i for i in hot if abs(after[i] - f[i]) > delta}
+        hot = {j for i in moved for j in [i, *(x for x, _ in nb[i])]} - known.keys()
+        f, done = after, done + 1
+    return f, done, not hot
+
+
+def swept(spark, edges, start, known, delta, cap):
+    adj = S.adjacency(spark.createDataFrame(edges, EDGES))
+    labels_ = spark.createDataFrame(list(start.items()), "id long, f double")
+    return R.propagate(adj, labels_, spark.createDataFrame(list(known.items()), "id long, gt_class int"), labels_.select("id"), delta, cap)
+
+
+def test_streaming_edges_come_early_and_late(spark, tmp_path, gold):
+    """Vertices and edges in files of their own: edges wait for their ends, come after them, and come again."""
+    from tidegraph.streaming import feed
+
+    log = S.change_log(gold.vertices).join(gold.vertices.select("id", "true_label"), "id")
+    when = {(0, 2): 0, (4, 6): 1, (1, 7): 2, (3, 4): 2, (4, 5): 2}  # others are known from the start
+    came = [(b, "edge", s, d, w) for (s, d, w) in GOLD_E if (b := when.get((s, d))) is not None]
+    came[0] = (came[0][0], "edge", came[0][3], came[0][2], came[0][4])  # the other way round
+    from_start = spark.createDataFrame([e for e in GOLD_E if (e[0], e[1]) not in when], EDGES)
+    rows = feed.in_form(log).unionByName(feed.in_form(spark.createDataFrame(came, "batch_id int, op string, src long, dst long, w double")))
+    again = feed.in_form(spark.createDataFrame([(2, "edge", 4, 4, 1.0), (2, "edge", 4, 5, 0.7)], "batch_id int, op string, src long, dst long, w double"))
+    state = str(tmp_path / "state")
+    for k, piece in enumerate([rows.where("batch_id = 0 and op = 'edge'"), rows.where("batch_id = 0 and op != 'edge'"), rows.where("batch_id = 2 and op = 'edge'").unionByName(again), rows.where("batch_id = 1"), rows.where("batch_id = 2 and op != 'edge'")]):
+        feed.apply(spark, piece, from_start, state, f"p{k}", delta=1e-4, tau=0.5)
+    since = F.create_map(*[F.lit(x) for (a, b), n in when.items() for x in (a * 10 + b, n)])[F.col("src") * 10 + F.col("dst")]
+    engine = Engine(Graph(gold.vertices, gold.edges.withColumn("since", since)), delta=1e-4, tau=0.5)
+    for b in range(3):
+        assert labels(engine.process_batch(b)) == labels(spark.read.parquet(f"{state}/batch={b}"))
+    assert feed.Kept.at(spark, state).current("pending").count() == 0
+    assert feed.apply(spark, rows.where("batch_id = 1"), from_start, state, "p3") == []
+
+
+def test_small_pieces_write_few_rows(spark, tmp_path):
+    """100 changes on a million edges; and the kept ways are those of a graph made at once, also after runs were merged."""
+    from tidegraph.streaming import feed, kept
+
+    n, m, state = 100_000, 1_000_000, str(tmp_path / "state")
+    edges = spark.range(m).select((F.col("id") % n).alias("src"), ((F.col("id") % n + 1 + F.floor(F.col("id") / n) * 7) % n).alias("dst"), F.lit(0.5).alias("w"))
+    edges = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w").distinct()
+    every = feed.in_form(spark.range(n).select(F.lit(0).alias("batch_id"), "id", F.lit("insert").alias("op"), F.lit(None).cast("int").alias("gt_label"), F.lit(1).alias("true_label")))
+    store, _ = kept.taken_in(spark, state, "first", every, edges)
+    store.commit()
+    base = store.manifest["tables"]["ways"][0][1]
+    for k in range(2):
+        gone = feed.in_form(spark.range(100).select(F.lit(k + 1).alias("batch_id"), (F.col("id") * 991 + k).alias("id"), F.lit("delete").alias("op")))
+        store, first = kept.taken_in(spark, state, f"next{k}", gone, edges)
+        assert first == k + 1 and not store.merge(f"next{k}")
+        store.commit()
+        (_, rows) = store.manifest["tables"]["ways"][-1]
+        assert 1000 < rows < 0.05 * base
+    changes = spark.read.parquet(f"{state}/kept/spans/next0", f"{state}/kept/spans/next1").select("id", F.col("delete_batch").alias("d"))
+    v = spark.range(n).join(changes, "id", "left").select("id", F.lit(1).alias("true_label"), F.lit(0).alias("batch_id"), F.col("d").alias("delete_batch"), F.lit(None).cast("int").alias("gt_class"))
+    want = S.timeline(Graph(v, edges))
+    got = store.current("ways").where("id < nbr").select(F.col("id").alias("src"), F.col("nbr").alias("dst"), "w", "starts", "ends")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    store.settle("ways", store.current("ways"), "merged", base)
+    got = store.current("ways").where("id < nbr").select(F.col("id").alias("src"), F.col("nbr").alias("dst"), "w", "starts", "ends")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+@pytest.mark.parametrize("share", [R.ROWS_PER_TASK, 0])
+def test_swings_end_with_the_labels_of_the_cap(spark, monkeypatch, share):
+    monkeypatch.setattr(R, "ROWS_PER_TASK", share or 1)
+    monkeypatch.setattr(R, "bucket_count", lambda rows, most: 2)
+    edges, start, known = [(0, 1, 1.0), (2, 3, 0.4), (3, 4, 0.6)], {0: 0.0, 1: 1.0, 2: 0.0, 3: 0.9, 4: 0.4}, {2: 0}
+    for cap in (10_000, 10_001):
+        out = swept(spark, edges, start, known, 1e-4, cap)
+        want, done, settled = plain_sweeps(edges, start, known, 1e-4, cap)
+        got = {r.id: r.f for r in out.labels.collect()}
+        assert (out.iterations, out.converged) == (done, settled) == (cap, False) and out.swept < 200
+        assert all(abs(got[i] - want[i]) < 1e-9 for i in want) and got[0] == want[0]
+
+
+@pytest.mark.parametrize("r", [1e-4, 2e-4])
+def test_slow_swings_that_die_are_followed_to_their_end(spark, r):
+    """Two vertices swing; each is tied a little to a known one, so that the swing dies over tens of thousands of sweeps."""
+    edges, start, known = [(0, 1, 1.0), (0, 2, r), (1, 3, r)], {0: 0.0, 1: 1.0, 2: 0.0, 3: 1.0}, {2: 0, 3: 1}
+    want, done, settled = plain_sweeps(edges, start, known, 1e-4, 100_000)
+    assert settled and 40_000 < done
+    out = swept(spark, edges, start, known, 1e-4, 100_000)
+    assert (out.iterations, out.converged, out.swept) == (done, True, done)
+    assert all(abs(x.f - want[x.id]) < 1e-9 for x in out.labels.collect())
+
+
+def test_distributed_sweeps_follow_swings_that_die(spark, monkeypatch):
+    monkeypatch.setattr(R, "ROWS_PER_TASK", 1)
+    monkeypatch.setattr(R, "bucket_count", lambda rows, most: 2)
+    r, delta = 0.02, 0.5
+    edges, start, known = [(0, 1, 1.0), (0, 2, r), (1, 3, r)], {0: 0.0, 1: 1.0, 2: 0.0, 3: 1.0}, {2: 0, 3: 1}
+    want, done, settled = plain_sweeps(edges, start, known, delta, 1000)
+    out = swept(spark, edges, start, known, delta, 1000)
+    assert settled and done > 10 and (out.iterations, out.converged, out.swept) == (done, True, done)
+    assert all(abs(x.f - want[x.id]) < 1e-9 for x in out.labels.collect())
 
 
 def test_large_graphs_sweep_as_small_ones(spark, monkeypatch):
     v, e = random_graph(5)
-    run = lambda: {r.id: r.f for r in Engine(graph(spark, v, e), delta=1e-3, tau=0.45, max_iterations=8).run(3).collect()}
+    run = lambda: {r.id: r.f for r in Engine(graph(spark, v, e), delta=1e-3, tau=0.45, max_iterations=6).run(3).collect()}
     want = run()
+    monkeypatch.setattr(R, "ROWS_PER_TASK", 1)
+    monkeypatch.setattr(R, "bucket_count", lambda rows, most: 3)
+    same = lambda got: got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-9
+    monkeypatch.setattr(R, "HUB_ROWS", 4)
+    assert same(run())  # hubs in pieces, labels by broadcast
     monkeypatch.setattr(R, "BROADCAST_ROWS", 0)
+    assert same(run())  # and by shuffle
     monkeypatch.setattr(R, "SPARSE", 1.1)
-    got = run()
-    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-9
+    monkeypatch.setattr(R, "ROWS_PER_FILE", 1)
+    monkeypatch.setattr(R, "MERGE", 3)
+    assert same(run())  # by runs of a log, which are merged
+    monkeypatch.setattr(R, "HUB_ROWS", 1 << 11)
+    assert same(run())
+
+
+def test_few_movers_write_few_rows(spark, monkeypatch):
+    """A path of 20,000 vertices, of which one end moves; the log's rows follow the movers."""
+    n = 20_000
+    edges = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("w"))
+    start = spark.range(n).select("id", F.when(F.col("id") < 100, (F.col("id") * 37 % 101) / 101).otherwise(0.5).alias("f"))
+    none = spark.createDataFrame([], "id long, gt_class int")
+    go = lambda: R.propagate(S.adjacency(edges), start, none, start.where("id < 100").select("id"), 1e-3, 16)
+    want = go()
+    monkeypatch.setattr(R, "ROWS_PER_TASK", 1 << 12)
+    monkeypatch.setattr(R, "ROWS_PER_FILE", 1000)
+    got = go()
+    assert got.iterations == want.iterations and labels(got.labels) == labels(want.labels)
+    assert got.written[0] == n and len(got.written) == 13 and max(got.written[1:]) < 0.05 * n
+
+
+def test_a_hub_is_no_hot_task(spark):
+    """A vertex with half of all edges; 30 buckets and more for two million directed edges, each a task of a sweep."""
+    n, m = 2_000, 500_000
+    ids = spark.range(m)
+    far = ids.select(F.lit(-1).cast("long").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w"))
+    near = ids.select((F.col("id") % n).alias("src"), (F.col("id") + n).alias("dst"), F.lit(1.0).alias("w"))
+    adj = S.adjacency(far.unionByName(near))
+    everyone = adj.select("id").distinct()
+    placed = R.place(adj.unionByName(R.loops(everyone, adj)))
+    assert placed.pieces.count() == 1
+    kept = placed.df.persist()  # as sweeps read it: a task a bucket
+    sizes = sorted(r["count"] for r in kept.groupBy(F.spark_partition_id()).count().collect())
+    assert len(sizes) >= 30 and sizes[-1] < 2 * sizes[len(sizes) // 2]
+    assert sum(sizes) == 4 * m + everyone.count()
+    state = everyone.select("id", F.lit(True).alias("open"), (F.col("id") % 2).cast("double").alias("f0"), F.lit(True).alias("m0"))
+    pulled = R.spread(placed, state, DOUBLE, "f0", "m0", True)
+    hub = pulled.where("id = -1").first()
+    assert abs(hub.part - m / 2) < 1e-6 and hub.whole == m
+    plan = pulled._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("InMemoryTableScan")[0].count("hashpartitioning") == 1  # of rows a piece, not of edges
+    kept.unpersist()
+
+
+def test_bucket_numbers_are_bounded():
+    assert R.bucket_count(0, 100_000) == 1 and R.bucket_count(2_000_000, 100_000) == 31
+    assert R.bucket_count(2 * 10**11, 100_000) == 100_000
+
+
+def test_sweeps_have_the_tasks_of_the_adjacency(spark):
+    n = 2_000
+    edges = spark.range(1_000_000).select((F.col("id") % n).alias("src"), ((F.col("id") % n + 1 + F.floor(F.col("id") / n)) % n).alias("dst"), F.lit(1.0).alias("w"))
+    adj = S.adjacency(edges)
+    vertices = spark.range(n).select("id")
+    placed = R.place(adj.unionByName(R.loops(vertices, adj)))
+    state = vertices.select("id", F.lit(True).alias("open"), F.lit(0.5).alias("f0"), F.lit(True).alias("m0"))
+    for i in (1, 2, 3):
+        state = R.sweep(placed, state, i, 1e-4, DOUBLE, False, i == 1, True)
+    plan = state._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SelectedBucketsCount: 31 out of 31" in plan
 
 
 def test_adjacency_of_the_engine_is_not_shuffled(spark, gold):
     engine = Engine(gold, delta=1e-4, tau=0.5)
-    adj = engine.ways.df.where(S.active(1)).select("id", "nbr", "w")
-    plan = R.dense(adj, spark.createDataFrame([(0, 0.0, True)], "id long, f double, moved boolean"), DOUBLE)._jdf.queryExecution().executedPlan().toString()
+    state = spark.createDataFrame([(0, True, 0.0, True)], "id long, open boolean, f0 double, m0 boolean")
+    plan = R.sweep(engine.ways.where(S.active(1)), state, 1, 1e-4, DOUBLE, False, True, True)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan
 
 

@@ -8,6 +8,9 @@ Joins on a hub's id are plain shuffled joins, which adaptive execution splits wh
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, functions as F, types as T
 
 from tidegraph.storage import Table, settled
@@ -85,6 +88,30 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
     return everyone.join(found, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, root) of the ends of all edges of a task, by union-find."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            up.setdefault(a, a)
+            up.setdefault(b, b)
+            low, high = sorted((find(a), find(b)))
+            up[high] = low
+    yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([find(x) for x in up], pa.int64())], names=["id", "root"])
+
+
+def components_of_few(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """``connected_components`` of ``edges`` (src, dst long, no nulls) that are no more than one task's share, by that task; part of the plan that asks for it."""
+    found = edges.select("src", "dst").coalesce(1).mapInArrow(_joined, "id long, root long")
+    return vertices.select("id").join(found, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+
+
 def component_ids(components: DataFrame) -> DataFrame:
     """(id, root, component_id): dense numbers from 0 in the order of the roots.
 

@@ -42,12 +42,18 @@ def gt_class(label: Column) -> Column:
     return F.when(label.isNull(), None).when(label < 0.5, 0).otherwise(1)
 
 
+def lifetime(since: Column) -> tuple[Column, Column]:
+    """The batch that activates an edge and the one that ends it (null: none), from its ends' life spans (src_in, src_out, dst_in, dst_out) and the batch it came with itself."""
+    starts = F.when(F.col("src_in").isNotNull() & F.col("dst_in").isNotNull(), F.greatest("src_in", "dst_in", since))
+    return starts, F.least("src_out", "dst_out")
+
+
 def timeline(graph: Graph) -> DataFrame:
     """(src, dst, w, starts, ends): edges with the batch that activates them and the one that ends them (null: none)."""
     span = lambda end: graph.vertices.select(F.col("id").alias(end), F.col("batch_id").alias(f"{end}_in"), F.col("delete_batch").alias(f"{end}_out"))
     both = graph.edges.join(span("src"), "src").join(span("dst"), "dst")
-    starts = F.when(F.col("src_in").isNotNull() & F.col("dst_in").isNotNull(), F.greatest("src_in", "dst_in"))
-    return both.select("src", "dst", "w", starts.alias("starts"), F.least("src_out", "dst_out").alias("ends"))
+    starts, ends = lifetime(F.col("since") if "since" in graph.edges.columns else F.lit(None).cast("int"))
+    return both.select("src", "dst", "w", starts.alias("starts"), ends.alias("ends"))
 
 
 def edge_activation(graph: Graph) -> DataFrame:

@@ -117,16 +117,15 @@ def settled(p: str, labels: str, full: bool = False) -> str:
     return f"""
 {p}run0 AS MATERIALIZED (
   SELECT l.id, CAST(coalesce(k.gt_class * {LABEL}, l.f) AS BIGINT) AS f, k.gt_class, {hot} AS hot FROM {labels} l LEFT JOIN {p}known k ON k.id = l.id
-), {p}run(i, id, f, old, gt_class, hot, movers, restless) AS (
-  SELECT 0, id, f, CAST(NULL AS BIGINT), gt_class, hot, (SELECT count(*) FROM {p}run0 WHERE hot), (SELECT count(*) FROM {p}run0 WHERE hot) FROM {p}run0
+), {p}run(i, id, f, gt_class, hot, movers) AS (
+  SELECT 0, id, f, gt_class, hot, (SELECT count(*) FROM {p}run0 WHERE hot) FROM {p}run0
   UNION ALL (
   WITH s AS MATERIALIZED (FROM {p}run),
   n AS MATERIALIZED (
-    SELECT s.i + 1 AS i, s.id, s.old AS older, s.f AS old, s.gt_class, CASE WHEN s.hot THEN coalesce(m.f, s.f) ELSE s.f END AS f
-    FROM s LEFT JOIN {averages(p + 'adj', 's')} m ON m.id = s.id WHERE s.i < {CAP} AND s.movers > 0 AND (s.restless > 0 OR ({CAP} - s.i) % 2 = 1)
+    SELECT s.i + 1 AS i, s.id, s.f AS old, s.gt_class, CASE WHEN s.hot THEN coalesce(m.f, s.f) ELSE s.f END AS f
+    FROM s LEFT JOIN {averages(p + 'adj', 's')} m ON m.id = s.id WHERE s.i < {CAP} AND s.movers > 0
   ), moved_ AS MATERIALIZED (SELECT id FROM n WHERE abs(f - old) > {STEP})
-  SELECT i, id, f, old, gt_class, {following}, (SELECT count(*) FROM moved_),
-         (SELECT count(*) FROM n WHERE abs(f - old) > {STEP} AND NOT coalesce(abs(f - older) <= {STEP // 1000}, false)) FROM n)
+  SELECT i, id, f, gt_class, {following}, (SELECT count(*) FROM moved_) FROM n)
 ), "{p}end" AS MATERIALIZED (SELECT i, id, f, movers FROM {p}run WHERE i = (SELECT max(i) FROM {p}run))"""
 
 

@@ -5,17 +5,17 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from tidegraph.functions.numeric import DOUBLE, Numeric
 from tidegraph.operators import state as S
-from tidegraph.operators.components import connected_components
+from tidegraph.operators.components import components_of_few, connected_components
 from tidegraph.operators.initialize import label_init, supernode_weights
-from tidegraph.operators.propagate import MAX_SWEEPS, ROWS_PER_TASK, loops, propagate
+from tidegraph.operators.propagate import MAX_SWEEPS, ROWS_PER_TASK, Placed, loops, place, propagate
 from tidegraph.operators.sparsify import insertion_affected, new_vertices, strong_new_edges
 from tidegraph.plans.evaluate import accuracy
 from tidegraph.schemas import Graph
-from tidegraph.storage import Buckets, materialize
+from tidegraph.storage import Table, materialize
 
 METRICS = "batch_id int, time_ms double, accuracy double, iterations int, converged boolean, num_components long, num_sub_edges long"
 
@@ -27,7 +27,7 @@ class Engine:
     tau None or negative: the mean weight over all edges (``tau_scope`` 'full') or over those active in the batch ('active').
     Labels of deleted vertices stay as they were. With ``freeze_gt_free`` vertices of components without a known
     class take no part in sweeps: they carry no class and may swing for ever. The directed edges are written once, in buckets by their
-    pulling end and with the batches they live in; the adjacency of a batch is a filter on them that no shuffle moves.
+    pulling end (a hub's in several) and with the batches they live in; the adjacency of a batch is a filter on them that no shuffle moves.
     """
 
     graph: Graph
@@ -37,19 +37,25 @@ class Engine:
     seed_mode: str = "strong"
     max_iterations: int = MAX_SWEEPS
     numeric: Numeric = DOUBLE
-    stop_swings: bool = True
     freeze_gt_free: bool = False
     labels: DataFrame | None = None
+    #: The directed edges with loops (id, nbr, w, starts, ends), if they are kept already.
+    ways: Placed | None = None
     metrics: list[tuple] = field(default_factory=list)
 
     def __post_init__(self):
         self.vertices = self.graph.vertices
+        if self.ways is not None:
+            self.lines = self.ways.df.where("id < nbr").select(F.col("id").alias("src"), F.col("nbr").alias("dst"), "w", "starts", "ends")
+        else:
+            self.lay_out()
+        self.full_tau = S.auto_tau(self.graph.edges) if self.tau is None or self.tau < 0 else self.tau
+
+    def lay_out(self) -> None:
         self.lines = materialize(S.timeline(self.graph))
         spans = self.vertices.select("id", F.col("batch_id").alias("starts"), F.col("delete_batch").alias("ends"))
         ways = S.adjacency(self.lines, "starts", "ends")
-        ways = ways.unionByName(loops(spans, ways).join(spans, "id"))
-        self.ways = Buckets(ways, -(-2 * self.lines.count() // ROWS_PER_TASK) or 1, "id")
-        self.full_tau = S.auto_tau(self.graph.edges) if self.tau is None or self.tau < 0 else self.tau
+        self.ways = place(ways.unionByName(loops(spans, ways).join(spans, "id")))
 
     def batch_tau(self, batch: int):
         automatic = self.tau is None or self.tau < 0
@@ -60,12 +66,14 @@ class Engine:
         began = time.perf_counter()
         tau, n = self.batch_tau(batch), self.numeric
         v = self.vertices
-        adj = self.ways.df.where(S.active(batch)).select("id", "nbr", "w")
+        adj = self.ways.where(S.active(batch))
         known = v.where(S.live(batch) & F.col("gt_class").isNotNull()).select("id", "gt_class")
         fresh = new_vertices(v, batch)
-        strong = materialize(strong_new_edges(self.lines, v, batch, tau))
-        components = connected_components(strong, fresh)
-        initial = label_init(components, supernode_weights(components, adj.where("id != nbr"), known), known, n)
+        seen = Observation()
+        strong = Table(strong_new_edges(self.lines, v, batch, tau).observe(seen, F.count(F.lit(1)).alias("n"))).df
+        few = seen.get["n"] <= ROWS_PER_TASK
+        components = materialize(components_of_few(strong, fresh)) if few else connected_components(strong, fresh)
+        initial = label_init(components, supernode_weights(components, adj.df.where("id != nbr"), known), known, n)
         # Vertices that come and go within the batch still get a row, at one half.
         passing = v.where((F.col("batch_id") == batch) & ~S.live(batch)).select("id", n.lit(n.half).alias("f"))
         arrived = initial.unionByName(passing)
@@ -76,13 +84,13 @@ class Engine:
             with_known = regions.join(known, "id").select("root").distinct()
             seeds = seeds.join(regions.join(with_known, "root", "left_semi"), "id", "left_semi")
         alive = labels.join(v.where(S.live(batch)).select("id"), "id", "left_semi")
-        result = propagate(adj, alive, known, seeds, self.delta, self.max_iterations, n, self.stop_swings, placed=True)
+        result = propagate(adj, alive, known, seeds, self.delta, self.max_iterations, n)
         rest = labels.join(result.labels.select("id"), "id", "left_anti")
         self.labels = materialize(result.labels.unionByName(rest))
         one = lambda name, value: F.struct(F.lit(name).alias("name"), value.cast("double").alias("value"))
-        sizes = components.agg(one("parts", F.countDistinct("root")).alias("x")).union(strong.agg(one("strong", F.count(F.lit(1))).alias("x")))
+        sizes = components.agg(one("parts", F.countDistinct("root")).alias("x"))
         found = {r.x["name"]: r.x["value"] for r in sizes.union(accuracy(self.labels, v, batch, n).select(one("correct", F.col("accuracy")).alias("x"))).collect()}
-        self.metrics.append((batch, (time.perf_counter() - began) * 1000, found["correct"], result.iterations, result.converged, int(found["parts"]), int(found["strong"])))
+        self.metrics.append((batch, (time.perf_counter() - began) * 1000, found["correct"], result.iterations, result.converged, int(found["parts"]), seen.get["n"]))
         return self.labels
 
     def run(self, batches: int) -> DataFrame:

@@ -14,7 +14,8 @@ EDGES = "src long, dst long, w double"
 class Graph:
     """vertices (VERTICES) and undirected edges (src < dst, one row each; w double, or long in fixed point).
 
-    A vertex without a batch_id never arrives; gt_class counts from its arrival on.
+    A vertex without a batch_id never arrives; gt_class counts from its arrival on. Edges may have a column ``since`` (int): an edge that comes
+    in a later batch than both its ends is active from that batch on; null: it was always known.
     """
 
     vertices: DataFrame

@@ -16,6 +16,7 @@ from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _open: ContextVar[list | None] = ContextVar("tidegraph_tables", default=None)
 
@@ -37,14 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Table:
-    """A Parquet table in the shared folder; ``drop`` removes it once nothing reads it."""
+    """A Parquet table in the shared folder; ``drop`` removes it once nothing reads it. One with a ``path`` of its own stays."""
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, path: str | None = None):
         spark = df.sparkSession
-        self.path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        self.path = path or f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+        df.write.mode("overwrite" if path else "error").parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
-        self.register()
+        if not path:
+            self.register()
 
     def register(self) -> None:
         if (scope := _open.get()) is not None:
@@ -57,21 +59,30 @@ class Table:
 
 
 class Buckets(Table):
-    """A table in the shared folder whose rows lie hashed by ``columns`` in ``n`` buckets: joins and groups by them need no shuffle of it."""
+    """A table in the shared folder whose rows lie hashed by ``columns`` in ``n`` buckets: joins and groups by them need no shuffle of it. One with a ``path`` of its own stays; ``buckets_at`` reads it again."""
 
-    def __init__(self, df: DataFrame, n: int, *columns: str):
+    def __init__(self, df: DataFrame, n: int, *columns: str, path: str | None = None):
         spark = df.sparkSession
         self.name = f"tidegraph_{uuid.uuid4().hex}"
-        self.path = f"{shared_dir(spark)}/table-{self.name}"
-        df.repartition(n, *columns).write.bucketBy(n, *columns).option("path", self.path).saveAsTable(self.name)
+        self.path = path or f"{shared_dir(spark)}/table-{self.name}"
+        df.repartition(n, *columns).write.mode("overwrite").bucketBy(n, *columns).option("path", self.path).saveAsTable(self.name)
         self.df = spark.table(self.name)
-        self.register()
+        if not path:
+            self.register()
 
     def drop(self) -> None:
         self.df.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
         super().drop()
 
 
+def buckets_at(spark: SparkSession, path: str, n: int, columns: list[str], schema: StructType) -> DataFrame:
+    """The table that a ``Buckets`` wrote under ``path``, maybe in another session."""
+    name = f"tidegraph_{uuid.uuid4().hex}"
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY ({', '.join(columns)}) INTO {n} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 @contextmanager
 def scratch() -> Iterator[list[Table]]:
     """Collects the tables made inside; those still in the list at the end are dropped."""

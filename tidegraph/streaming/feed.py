@@ -1,10 +1,10 @@
-"""Batches as files of a stream: changes may come in any number of files, in any order of their batches.
+"""Batches as files of a stream: changes of vertices and edges may come in any number of files, in any order of their batches.
 
-Every arriving piece is kept in a log, and state lives in versioned Parquet: batch=b holds the labels after b. A piece brings up to
+Every arriving piece is upserted into what is kept of vertices and edges (``kept``), and labels live in versioned Parquet: batch=b holds the labels after b. A piece brings up to
 date every version from its first batch on, starting from the newest version before it, so a batch that comes in several files, late or
-after a gap ends in the same labels as all changes at once. A piece that is replayed overwrites itself and, once its versions are
-complete, does nothing; so a restart is safe. Edges lie in a table of their own; one whose other end has not arrived simply activates later.
-The log is read and the edges' life spans are made anew for each piece: pieces should be worth a job.
+after a gap ends in the same labels as all changes at once. An edge may come before its ends, which it then waits for, or after them. A piece
+that is replayed overwrites itself and, once its versions are complete, does nothing; so a restart is safe. A piece costs what it changes, its neighbourhood
+and the batches it redoes, not the log. ``changes/`` keeps the pieces as they came; nothing reads them again.
 """
 
 from __future__ import annotations
@@ -15,58 +15,55 @@ from pyspark.sql.streaming import StreamingQuery
 from tidegraph.plans.engine import Engine
 from tidegraph.schemas import Graph
 from tidegraph.storage import scratch
+from tidegraph.streaming.kept import Kept, exists, file_at, taken_in
 
-CHANGES = "batch_id int, id long, op string, gt_label int, true_label int"
+#: Rows of vertices (op insert or delete, with id) and of edges (op edge, with src, dst and w).
+CHANGES = "batch_id int, id long, op string, gt_label int, true_label int, src long, dst long, w double"
 
 
-def _path(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+def in_form(changes: DataFrame) -> DataFrame:
+    """``changes`` with all columns of CHANGES, missing ones null."""
+    fields = [c.split() for c in CHANGES.split(", ")]
+    return changes.select(*[(F.col(c) if c in changes.columns else F.lit(None)).cast(kind).alias(c) for c, kind in fields])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    files, where = _path(spark, path)
-    return files.exists(where)
-
-
-def vertices_of(changes: DataFrame) -> DataFrame:
-    """Vertex table of a change log; deletions win over insertions of the same batch."""
-    at = lambda op: F.min(F.when(F.col("op") == op, F.col("batch_id")))
-    known = F.max(F.when(F.col("op") == "insert", F.col("gt_label")))
-    return changes.groupBy("id").agg(F.max("true_label").alias("true_label"), at("insert").alias("batch_id"), at("delete").alias("delete_batch"), known.alias("gt_class")).where("batch_id is not null")
-
-
-def apply(spark: SparkSession, changes: DataFrame, edges: DataFrame, state: str, piece: str, **options) -> list[int]:
-    """Take in the changes of ``piece``; returns the batches whose versions were written, none if it was taken in before."""
+def apply(spark: SparkSession, changes: DataFrame, edges: DataFrame | None, state: str, piece: str, **options) -> list[int]:
+    """Take in the changes of ``piece``; returns the batches whose versions were written, none if it was taken in before. ``edges``: those known from the start."""
     done = f"{state}/done/{piece}"
-    if _exists(spark, done):
+    if exists(spark, done):
         return []
-    changes.select(*[c.split()[0] for c in CHANGES.split(", ")]).write.mode("overwrite").parquet(f"{state}/changes/piece={piece}")
-    log = spark.read.schema(CHANGES).parquet(f"{state}/changes").drop("piece")
-    first = spark.read.schema(CHANGES).parquet(f"{state}/changes/piece={piece}").agg(F.min("batch_id")).first()[0]
-    # One row a batch.
-    numbers = [] if first is None else sorted(r["batch_id"] for r in log.where("batch_id is not null").select("batch_id").distinct().collect())
+    in_form(changes).write.mode("overwrite").parquet(f"{state}/changes/piece={piece}")
+    rows = spark.read.schema(CHANGES).parquet(f"{state}/changes/piece={piece}")
     with scratch():
-        before = [b for b in numbers if b < first and _exists(spark, f"{state}/batch={b}/_SUCCESS")]
-        after = [b for b in numbers if b >= first]
-        engine = Engine(Graph(vertices_of(log), edges), **options) if after else None
+        kept, first = Kept.at(spark, state), rows.agg(F.min("batch_id")).first()[0]
+        if piece not in kept.manifest["pieces"]:
+            kept, first = taken_in(spark, state, piece, rows, edges)
+            old = kept.merge(piece)
+            kept.commit()
+            for path in old:
+                files, where = file_at(spark, path)
+                files.delete(where, True)
+        numbers = kept.manifest["batches"]
+        before = [b for b in numbers if first is not None and b < first and exists(spark, f"{state}/batch={b}/_SUCCESS")]
+        after = [b for b in numbers if first is not None and b >= first]
+        engine = Engine(Graph(kept.vertices(), kept.edges()), ways=kept.ways(), **options) if after else None
         if before:
             engine.labels = spark.read.parquet(f"{state}/batch={before[-1]}")
         for b in after:
             engine.process_batch(b).write.mode("overwrite").parquet(f"{state}/batch={b}")
-    files, where = _path(spark, done)
+    files, where = file_at(spark, done)
     files.create(where).close()
     return after
 
 
-def process(spark: SparkSession, changes: DataFrame, edges: DataFrame, state: str, batch: int, **options) -> None:
+def process(spark: SparkSession, changes: DataFrame, edges: DataFrame | None, state: str, batch: int, **options) -> None:
     """Take in the changes of ``batch`` as one piece; nothing to do if there are none or they were taken in before."""
     rows = changes.where(F.col("batch_id") == batch)
     if not rows.isEmpty():
         apply(spark, rows, edges, state, f"batch-{batch}", **options)
 
 
-def follow(spark: SparkSession, incoming: str, edges: DataFrame, state: str, **options) -> StreamingQuery:
+def follow(spark: SparkSession, incoming: str, edges: DataFrame | None, state: str, **options) -> StreamingQuery:
     """Take in every change file now in ``incoming`` (oldest first), then end; start again for later ones.
 
     The stream's progress is part of ``state``: pieces are named by its micro-batches, so both are kept or removed together.
