@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tidegraph.llm.common import Shared
+from tidegraph.llm.common import Shared, pieces
 from tidegraph.llm.terms import WORDS, term_counts
 from tidegraph.storage import materialize, settled
 
@@ -38,7 +38,7 @@ STEP = 3922
 SEGMENT_DOCS, SEGMENT_BYTES = 4096, 4 << 20
 #: Stands for a missing document id inside tasks, and sorts last.
 NO_ID = (1 << 63) - 1
-INDEX = "ids array<long>, lengths array<long>, terms array<binary>, starts array<long>, docs array<int>, seen array<long>, bytes binary"
+INDEX = "ids array<long>, lengths array<long>, terms array<binary>, starts array<int>, docs array<int>, seen array<int>, bytes binary"
 
 
 def impacts(seen: np.ndarray, lengths: np.ndarray, n_docs: int, n_terms: int) -> np.ndarray:
@@ -53,7 +53,7 @@ def corpus_size(docs: DataFrame) -> tuple[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = total = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in (t for part in pieces(batch, "text") for t in part.column(0).to_pylist()):
                 here = term_counts(text, WORDS).total()
                 n, total = n + (here > 0), total + here
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total])], names=["n", "total"])
@@ -67,7 +67,9 @@ class Segment:
 
     def __init__(self):
         self.numbers = defaultdict(count().__next__)
-        self.ids, self.lengths, self.distinct, self.terms, self.seen = (array("q") for _ in range(5))
+        self.ids, self.lengths, self.distinct = (array("q") for _ in range(3))
+        # A text has under 2^31 bytes, so its counts fit.
+        self.terms, self.seen = array("i"), array("i")
         self.size = 0
 
     def add(self, id_: int | None, text: bytes) -> None:
@@ -83,13 +85,13 @@ class Segment:
 
     def row(self, n_docs: int, n_terms: int) -> pa.RecordBatch:
         """Postings by term, then document."""
-        terms, seen, lengths = (np.frombuffer(a, np.int64) for a in (self.terms, self.seen, self.lengths))
+        terms, seen, lengths = (np.frombuffer(a, a.typecode) for a in (self.terms, self.seen, self.lengths))
         docs = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.distinct)
         order = np.argsort(terms, kind="stable")
         docs, seen = docs[order], seen[order]
         starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(self.numbers)))])
-        packed = (-(-impacts(seen, lengths[docs], n_docs, n_terms) // STEP)).astype(np.uint8).tobytes()
-        lists = [pa.array([x], pa.list_(t)) for x, t in ((np.frombuffer(self.ids, np.int64), pa.int64()), (lengths, pa.int64()), (list(self.numbers), pa.binary()), (starts, pa.int64()), (docs, pa.int32()), (seen, pa.int64()))]
+        packed = (-(-impacts(seen.astype(np.int64), lengths[docs], n_docs, n_terms) // STEP)).astype(np.uint8).tobytes()
+        lists = [pa.array([x], pa.list_(t)) for x, t in ((np.frombuffer(self.ids, np.int64), pa.int64()), (lengths, pa.int64()), (list(self.numbers), pa.binary()), (starts.astype(np.int32), pa.int32()), (docs, pa.int32()), (seen, pa.int32()))]
         return pa.RecordBatch.from_arrays([*lists, pa.array([packed])], names=["ids", "lengths", "terms", "starts", "docs", "seen", "bytes"])
 
 
@@ -99,7 +101,7 @@ def build_index(docs: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = Segment()
         for batch in batches:
-            for id_, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for id_, text in (row for part in pieces(batch, "text") for row in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text")))):
                 now.add(id_, text or b"")
                 if len(now.ids) >= SEGMENT_DOCS or now.size >= SEGMENT_BYTES:
                     yield now.row(n_docs, n_terms)
@@ -171,7 +173,7 @@ class Query:
             if not near.any():
                 continue
             open_ = near[at]
-            at, w, tf = at[open_], w[open_], np.concatenate([seen[s] for s in spans])[open_]
+            at, w, tf = at[open_], w[open_], np.concatenate([seen[s] for s in spans])[open_].astype(np.int64)
             score = np.zeros(len(ids), np.int64)
             np.add.at(score, at, w * impacts(tf, lengths[at], n_docs, n_terms))
             chosen = np.flatnonzero(near & (score > 0))
