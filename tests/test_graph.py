@@ -197,6 +197,49 @@ def test_generators(spark, tmp_path):
     assert [r.value for r in spark.read.text(f"{path}/results").collect()] == ["batch,time_ms,accuracy", "0,1.00,1.000000", "1,2.35,0.500000"]
 
 
+def test_dense_graphs_get_every_edge_they_ask_for(spark):
+    for n, degree, want in ((40, 39, 780), (40, 50, 780), (30, 20, 300), (2, 1, 1), (12, 1, 11)):
+        edges = [(r.src, r.dst) for r in G.gen_edges(spark, n, degree).collect()]
+        assert len(set(edges)) == len(edges) == want and all(0 <= a < b < n for a, b in edges)
+
+
+@pytest.mark.parametrize("block", [1 << 16, 7])
+def test_deletions_are_those_of_a_queue(spark, monkeypatch, block):
+    """Each batch takes the first of all who live; blocks of seven deal the same."""
+    monkeypatch.setattr(B, "DELETION_BLOCK", block)
+    rng = random.Random(block)
+    v = [(i, 0, rng.choice([0, 1, 1, 2, 3, 3, None]), None, 1 if rng.random() < 0.2 else None) for i in range(300)]
+    for fraction in (0.3, 0.9, 0.0):
+        got = {r.id: r.delete_batch for r in B.deletions(spark.createDataFrame(v, VERTICES), fraction, 4, [F.col("id") * 37 % 101, F.col("id")]).collect()}
+        want = {}
+        for b in range(1, 4):
+            pool = sorted((i * 37 % 101, i) for i, _, a, _, k in v if a is not None and a <= b and k is None and i not in want)
+            want |= {i: b for _, i in pool[: int(sum(a == b for _, _, a, _, _ in v) * fraction)]}
+        assert got == want
+
+
+def test_mean_weights_and_labels_over_time(spark, monkeypatch):
+    from tidegraph.plans import evaluate as E
+
+    v, e = random_graph(4)
+    g = graph(spark, v, e)
+    lines = S.timeline(g)
+    taus = {r.batch_id: (r.edges, r.tau) for r in S.batch_taus(lines, 4).collect()}
+    for b in range(4):
+        active = S.active_edges(lines, b)
+        assert taus[b][0] == active.count() and abs(taus[b][1] - S.auto_tau(active)) < 1e-12
+    assert [r.tau for r in S.batch_taus(lines.limit(0), 2).collect()] == [0.5, 0.5]
+    engine = Engine(g, delta=1e-3, tau=0.45, max_iterations=5, keep=True)
+    told = [labels(engine.process_batch(b)) for b in range(3)]
+    history = engine.history().collect()
+    for b in range(3):
+        assert {r.id: round(r.f, 6) for r in history if r.starts <= b and (r.ends is None or r.ends > b)} == told[b]
+    got = {r.batch_id: r.accuracy for r in E.accuracy_by_batch(engine.history(), engine.vertices, 3).collect()}
+    assert got == {m[0]: m[2] for m in engine.metrics}
+    active = Engine(g, tau_scope="active")
+    assert abs(active.batch_tau(1) - taus[1][1]) < 1e-12 and len(active.taus) == 16 and abs(active.batch_tau(20) - taus[3][1]) < 1e-9
+
+
 def test_config():
     c = parse(["--totalNodes", "10", "--gtFraction", "0.005", "--noValidate", "--quiet"])
     assert (c.total_nodes, c.ground_truth_fraction, c.validate, c.verbose) == (10, 0.005, False, False)

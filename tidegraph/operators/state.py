@@ -6,7 +6,7 @@ then filters on it, not joins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidegraph.schemas import Graph
 
@@ -102,6 +102,21 @@ def auto_tau(edges: DataFrame) -> float:
     return edges.agg(F.coalesce(F.avg("w"), F.lit(0.5)).alias("tau")).first()["tau"]
 
 
+def batch_taus(lines: DataFrame, batches: int) -> DataFrame:
+    """(batch_id, weight, edges, tau) of every batch: sums over its active edges and their mean weight, 0.5 without edges; one pass over ``lines``.
+
+    An edge adds its weight where it starts and takes it away where it ends; running sums over the batches, a row each, do the rest.
+    """
+    kind = lines.schema["w"].dataType
+    events = F.array(F.struct(F.col("starts").alias("batch_id"), F.col("w"), F.lit(1).alias("n")), F.struct(F.col("ends").alias("batch_id"), (-F.col("w")).alias("w"), F.lit(-1).alias("n")))
+    ever = lines.where("starts is not null and (ends is null or ends > starts)")
+    changes = ever.select(F.explode(events).alias("x")).select("x.*").groupBy("batch_id").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
+    every = lines.sparkSession.range(batches).select(F.col("id").cast("int").alias("batch_id")).join(changes, "batch_id", "left")
+    until = W.orderBy("batch_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = every.select("batch_id", F.sum(F.coalesce("w", F.lit(0))).over(until).cast(kind).alias("weight"), F.sum(F.coalesce("n", F.lit(0))).over(until).alias("edges"))
+    return sums.withColumn("tau", F.coalesce(F.try_divide(F.col("weight"), F.col("edges")), F.lit(0.5)))
+
+
 def open_vertices(vertices: DataFrame, batch: int) -> DataFrame:
     """(id): live vertices without a known class, the ones that propagation may change."""
     return vertices.where(live(batch) & F.col("gt_class").isNull()).select("id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tidegraph.functions.numeric import HASHES, LABEL
 from tidegraph.operators.propagate import MAX_SWEEPS
-from tidegraph.queries import BATCH, DEGREE, LAST, N, SWEEPS, TAU
+from tidegraph.queries import BATCH, DEGREE, LAST, SWEEPS, SWINGS, TAU
 from tidegraph.sources.fixtures import BATCHES, LEAST
 
 STEP, CAP = LABEL // 10_000, MAX_SWEEPS
@@ -110,7 +110,7 @@ def sweeps(p: str, labels: str, k: int, full: bool = False) -> str:
     return ",\n".join(out)
 
 
-def settled(p: str, labels: str, full: bool = False) -> str:
+def settled(p: str, labels: str, full: bool = False, cap: int = CAP) -> str:
     """CTEs {p}run (every sweep to the stop rule) and {p}end (the last: i, id, f, movers)."""
     hot = "k.gt_class IS NULL" if full else f"k.gt_class IS NULL AND l.id IN (FROM {p}seeds)"
     following = "gt_class IS NULL" if full else f"gt_class IS NULL AND (id IN (FROM moved_) OR id IN (SELECT a.id FROM {p}adj a WHERE a.nbr IN (FROM moved_)))"
@@ -123,7 +123,7 @@ def settled(p: str, labels: str, full: bool = False) -> str:
   WITH s AS MATERIALIZED (FROM {p}run),
   n AS MATERIALIZED (
     SELECT s.i + 1 AS i, s.id, s.f AS old, s.gt_class, CASE WHEN s.hot THEN coalesce(m.f, s.f) ELSE s.f END AS f
-    FROM s LEFT JOIN {averages(p + 'adj', 's')} m ON m.id = s.id WHERE s.i < {CAP} AND s.movers > 0
+    FROM s LEFT JOIN {averages(p + 'adj', 's')} m ON m.id = s.id WHERE s.i < {cap} AND s.movers > 0
   ), moved_ AS MATERIALIZED (SELECT id FROM n WHERE abs(f - old) > {STEP})
   SELECT i, id, f, gt_class, {following}, (SELECT count(*) FROM moved_) FROM n)
 ), "{p}end" AS MATERIALIZED (SELECT i, id, f, movers FROM {p}run WHERE i = (SELECT max(i) FROM {p}run))"""
@@ -160,7 +160,8 @@ def engine(settle: bool = False) -> tuple[list[str], list[str]]:
         if settle:
             ran = f"(SELECT max(i) FROM {p}end)"
         converged = f"(SELECT coalesce(max(movers), 0) = 0 FROM {p}end) AS converged, " if settle else ""
-        metrics.append(f"""SELECT CAST({b} AS INTEGER) AS batch_id,
+        metrics.append(f"""SELECT CAST({b} AS INTEGER) AS batch_id, (SELECT count(*) FROM {p}open) AS scored,
+          (SELECT count(*) FROM l{b} JOIN v USING (id) WHERE id IN (FROM {p}open) AND (f >= {LABEL // 2}) = (true_label = 1)) AS correct,
           round(coalesce((SELECT avg(CAST((f >= {LABEL // 2}) = (true_label = 1) AS INTEGER)) FROM l{b} JOIN v USING (id) WHERE id IN (FROM {p}open)), 1.0), 6) AS accuracy,
           CAST({ran} AS INTEGER) AS iterations, {converged}(SELECT count(DISTINCT root) FROM {p}comp) AS num_components, (SELECT count(*) FROM {p}strong) AS num_sub_edges""")
     return ctes, metrics
@@ -182,15 +183,18 @@ def hashed(*parts) -> str:
 
 
 SEED = 42
-MISSING = max(N * DEGREE // 2, N - 1) - (N - 1)
+N = "(SELECT n FROM size)"
+MISSING = "(SELECT missing FROM size)"
 
-#: The generated graph: one round of draws is enough for N and DEGREE.
+#: The generated graph, a vertex a customer: one round of draws is enough for DEGREE.
 MADE = f"""
-labels AS MATERIALIZED (SELECT id, CAST(row_number() OVER (ORDER BY {hashed('id', SEED)}, id) > {N // 2} AS INTEGER) AS true_label FROM (SELECT range AS id FROM range({N}))),
+size AS MATERIALIZED (SELECT n, greatest(n * {DEGREE} // 2, n - 1) - (n - 1) AS missing FROM (SELECT count(*) AS n FROM customer)),
+labels AS MATERIALIZED (SELECT id, CAST(row_number() OVER (ORDER BY {hashed('id', SEED)}, id) > {N} // 2 AS INTEGER) AS true_label FROM (SELECT row_number() OVER () - 1 AS id FROM customer)),
 backbone AS MATERIALIZED (
   SELECT least(id, other) AS src, greatest(id, other) AS dst FROM (SELECT id, lead(id) OVER (ORDER BY {hashed('id', SEED + 1)}, id) AS other FROM labels) WHERE other IS NOT NULL
 ), draws AS (
-  SELECT {hashed('range', SEED + 2, "'a'")} % {N} AS a, {hashed('range', SEED + 2, "'b'")} % {N} AS b FROM range({int(MISSING * 1.3) + 64})
+  SELECT {hashed('range', SEED + 2, "'a'")} % {N} AS a, {hashed('range', SEED + 2, "'b'")} % {N} AS b
+  FROM (SELECT unnest(range(CAST(floor({MISSING} * 1.3) AS BIGINT) + 64)) AS range)
 ), drawn AS (
   SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM draws WHERE a <> b
 ), fresh AS MATERIALIZED (
@@ -207,7 +211,7 @@ def batches() -> str:
     by = lambda what: f"{hashed('id', SEED + 12345, what)}, id"
     word = lambda what: by(f"'{what}'")
     ctes = [MADE, f"""
-first AS MATERIALIZED (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY true_label ORDER BY {word('start')}) AS place FROM labels) WHERE place <= {max(2, N // 100) // 2}),
+first AS MATERIALIZED (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY true_label ORDER BY {word('start')}) AS place FROM labels) WHERE place <= greatest(2, {N} // 100) // 2),
 placed AS MATERIALIZED (SELECT id, CAST(ntile({BATCHES - 1}) OVER (ORDER BY {word('batch')}) AS INTEGER) AS batch_id FROM labels WHERE id NOT IN (FROM first)),
 chosen AS (SELECT id, row_number() OVER (PARTITION BY batch_id ORDER BY {word('known')}) AS place, count(*) OVER (PARTITION BY batch_id) AS n FROM placed),
 vertices AS MATERIALIZED (
@@ -218,7 +222,7 @@ vertices AS MATERIALIZED (
     gone = "SELECT id, delete_batch FROM d0"
     for b in range(1, BATCHES):
         ctes.append(f"""d{b} AS MATERIALIZED (SELECT id, CAST({b} AS INTEGER) AS delete_batch FROM (
-          SELECT id, row_number() OVER (ORDER BY {by(b)}) AS place FROM vertices WHERE batch_id <= {b} AND gt_class IS NULL AND id NOT IN (SELECT id FROM ({gone})))
+          SELECT id, row_number() OVER (ORDER BY {word('gone')}) AS place FROM vertices WHERE batch_id <= {b} AND gt_class IS NULL AND id NOT IN (SELECT id FROM ({gone})))
           WHERE place <= (SELECT CAST(floor(count(*) * 0.09) AS BIGINT) FROM vertices WHERE batch_id = {b}))""")
         gone += f" UNION ALL SELECT id, delete_batch FROM d{b}"
     return "WITH " + ",\n".join(ctes) + f"""
@@ -296,15 +300,23 @@ ORACLES = {
     "accuracy": sql(f"""SELECT count(*) AS scored, CAST(coalesce(sum(CAST((f >= {LABEL // 2}) = (true_label = 1) AS INTEGER)), 0) AS BIGINT) AS correct,
       round(coalesce(avg(CAST((f >= {LABEL // 2}) = (true_label = 1) AS INTEGER)), 1.0), 6) AS accuracy
       FROM s{SWEEPS} JOIN v USING (id) WHERE id IN (FROM open)""", *FULL),
-    "propagate_converged": sql("SELECT id, f, movers = 0 AS converged FROM \"end\"", AT, START, settled("", "start")),
+    "propagate_converged": sql("SELECT id, f, movers = 0 AS converged FROM \"end\"", AT, START, settled("", "start", cap=SWINGS)),
     "settled_predictions": sql(f"SELECT id, CAST(f >= {LABEL // 2} AS INTEGER) AS predicted, movers = 0 AS converged FROM \"end\"", *REST),
     "settled_accuracy": sql(f"""SELECT count(*) AS scored, CAST(coalesce(sum(CAST((f >= {LABEL // 2}) = (true_label = 1) AS INTEGER)), 0) AS BIGINT) AS correct,
       round(coalesce(avg(CAST((f >= {LABEL // 2}) = (true_label = 1) AS INTEGER)), 1.0), 6) AS accuracy, CAST(max(i) AS INTEGER) AS iterations, max(movers) = 0 AS converged
       FROM "end" JOIN v USING (id) WHERE id IN (FROM open)""", *REST),
     "settled_label_propagation": sql(f"SELECT id, f FROM l{LAST}", *SETTLED),
-    "settled_engine_metrics": sql(" UNION ALL ".join(SETTLED_METRICS), *SETTLED),
+    "settled_engine_metrics": sql(f"SELECT * EXCLUDE (scored, correct) FROM ({' UNION ALL '.join(SETTLED_METRICS)})", *SETTLED),
     "dynamic_label_propagation": sql(f"SELECT id, f FROM l{LAST}", *ENGINE),
-    "engine_metrics": sql(" UNION ALL ".join(METRICS), *ENGINE),
+    "engine_metrics": sql(f"SELECT * EXCLUDE (scored, correct) FROM ({' UNION ALL '.join(METRICS)})", *ENGINE),
+    "batch_accuracy": sql(f"SELECT batch_id, scored, correct, accuracy FROM ({' UNION ALL '.join(METRICS)})", *ENGINE),
+    "batch_tau": sql(f"""SELECT CAST(b AS INTEGER) AS batch_id, CAST(coalesce(sum(w), 0) AS BIGINT) AS weight, count(w) AS edges, coalesce(round(avg(w), 3), 0.5) AS tau
+      FROM range({BATCHES}) t(b) LEFT JOIN lines ON starts <= b AND (ends IS NULL OR ends > b) GROUP BY b"""),
+    "export_run_predicted": sql(lines("id || ' ' || format('{:.6f}', CAST((f + 50) // 100 AS DOUBLE) / 1000000)", "id", f"SELECT id, coalesce(f, {LABEL // 2}) AS f FROM v LEFT JOIN l{LAST} USING (id)"), *ENGINE),
+    "export_run_metrics": sql(f"""SELECT 0 AS place, 'batch,time_ms,accuracy' AS value UNION ALL SELECT row_number() OVER (ORDER BY batch_id),
+      batch_id || ',' || format('{{:.2f}}', CAST((batch_id + 1) * 10 AS DOUBLE)) || ',' || format('{{:.6f}}', accuracy) FROM ({' UNION ALL '.join(METRICS)})""", *ENGINE),
+    "read_edges": sql("SELECT src, dst, w FROM e"),
+    "read_labels": sql("SELECT id, true_label FROM v"),
     "trade_edge_activation": sql("SELECT src, dst, w, starts AS batch_id FROM lines", graph=TRADE),
     "trade_propagate_step": sql("SELECT id, f FROM one", AT, START, ONE, graph=TRADE),
     "run_summary": sql(f"""SELECT count(*) AS batches, round(CAST(sum((batch_id + 1) * 10) AS DOUBLE), 6) AS total_ms, round(avg(accuracy), 6) AS mean_accuracy,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, Observation, Window as W, functions as F
 
 from tidegraph.functions.numeric import DOUBLE, Numeric
 from tidegraph.operators import state as S
@@ -38,12 +38,16 @@ class Engine:
     max_iterations: int = MAX_SWEEPS
     numeric: Numeric = DOUBLE
     freeze_gt_free: bool = False
+    #: Whether to keep labels over time, see ``history``.
+    keep: bool = False
     labels: DataFrame | None = None
     #: The directed edges with loops (id, nbr, w, starts, ends), if they are kept already.
     ways: Placed | None = None
+    changes: list[DataFrame] = field(default_factory=list)
     metrics: list[tuple] = field(default_factory=list)
 
     def __post_init__(self):
+        self.taus: dict[int, float] = {}
         self.vertices = self.graph.vertices
         if self.ways is not None:
             self.lines = self.ways.df.where("id < nbr").select(F.col("id").alias("src"), F.col("nbr").alias("dst"), "w", "starts", "ends")
@@ -59,7 +63,12 @@ class Engine:
 
     def batch_tau(self, batch: int):
         automatic = self.tau is None or self.tau < 0
-        return S.auto_tau(S.active_edges(self.lines, batch)) if automatic and self.tau_scope == "active" else self.full_tau
+        if not automatic or self.tau_scope != "active":
+            return self.full_tau
+        if batch not in self.taus:
+            # All batches in one pass; twice as many if there are more than thought.
+            self.taus = {r.batch_id: r.tau for r in S.batch_taus(self.lines, max(16, 2 * (batch + 1))).collect()}
+        return self.taus[batch]
 
     def process_batch(self, batch: int) -> DataFrame:
         """(id, f) of every vertex that has arrived by ``batch``, after its changes."""
@@ -86,13 +95,29 @@ class Engine:
         alive = labels.join(v.where(S.live(batch)).select("id"), "id", "left_semi")
         result = propagate(adj, alive, known, seeds, self.delta, self.max_iterations, n)
         rest = labels.join(result.labels.select("id"), "id", "left_anti")
-        self.labels = materialize(result.labels.unionByName(rest))
+        before, self.labels = self.labels, materialize(result.labels.unionByName(rest))
+        if self.keep:
+            self.remember(before, batch)
         one = lambda name, value: F.struct(F.lit(name).alias("name"), value.cast("double").alias("value"))
         sizes = components.agg(one("parts", F.countDistinct("root")).alias("x"))
         found = {r.x["name"]: r.x["value"] for r in sizes.union(accuracy(self.labels, v, batch, n).select(one("correct", F.col("accuracy")).alias("x"))).collect()}
         self.metrics.append((batch, (time.perf_counter() - began) * 1000, found["correct"], result.iterations, result.converged, int(found["parts"]), seen.get["n"]))
         return self.labels
 
+    def remember(self, before: DataFrame | None, batch: int) -> None:
+        """Adds the labels that ``batch`` set or changed."""
+        now = self.labels
+        if before is not None:
+            now = now.join(before.select("id", F.col("f").alias("old")), "id", "left").where(~F.col("f").eqNullSafe(F.col("old")))
+        self.changes.append(materialize(now.select("id", "f", F.lit(batch).cast("int").alias("starts"))))
+
+    def history(self) -> DataFrame:
+        """(id, f, starts, ends): each label with the batches from which and up to which (excluded; null: still) it held."""
+        every = self.changes[0]
+        for some in self.changes[1:]:
+            every = every.unionByName(some)
+        return every.withColumn("ends", F.lead("starts").over(W.partitionBy("id").orderBy("starts")))
+
     def run(self, batches: int) -> DataFrame:
         for b in range(batches):
             self.process_batch(b)

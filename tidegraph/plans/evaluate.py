@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidegraph.functions.numeric import DOUBLE, Numeric
 from tidegraph.operators import state as S
@@ -26,6 +26,22 @@ def accuracy(labels: DataFrame, vertices: DataFrame, batch: int, numeric: Numeri
     )
 
 
+def accuracy_by_batch(history: DataFrame, vertices: DataFrame, batches: int, numeric: Numeric = DOUBLE) -> DataFrame:
+    """(batch_id, scored, correct, accuracy) of every batch as ``accuracy`` has them, from labels over time (id, f, starts, ends); one join and one aggregation.
+
+    A label counts while its vertex lives: it adds to its first such batch and takes away where it ends; running sums over the batches, a row each, do the rest.
+    """
+    v = vertices.where("gt_class is null").select("id", "true_label", "batch_id", "delete_batch")
+    at = predictions(history.withColumn("id", F.struct("id", "starts", "ends")), numeric).select("id.*", "predicted").join(v, "id")
+    spans = at.select(F.greatest("starts", "batch_id").alias("a"), F.least("ends", "delete_batch").alias("b"), (F.col("predicted") == F.col("true_label")).cast("long").alias("right")).where("b is null or a < b")
+    events = F.array(F.struct(F.col("a").alias("batch_id"), F.lit(1).cast("long").alias("n"), F.col("right")), F.struct(F.col("b").alias("batch_id"), F.lit(-1).cast("long").alias("n"), (-F.col("right")).alias("right")))
+    changes = spans.select(F.explode(events).alias("x")).select("x.*").groupBy("batch_id").agg(F.sum("n").alias("n"), F.sum("right").alias("right"))
+    every = vertices.sparkSession.range(batches).select(F.col("id").cast("int").alias("batch_id")).join(changes, "batch_id", "left")
+    until = W.orderBy("batch_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = every.select("batch_id", *[F.sum(F.coalesce(c, F.lit(0).cast("long"))).over(until).alias(to) for c, to in (("n", "scored"), ("right", "correct"))])
+    return sums.withColumn("accuracy", F.when(F.col("scored") == 0, 1.0).otherwise(F.try_divide(F.col("correct"), F.col("scored"))))
+
+
 def final_status(vertices: DataFrame, last_batch: int) -> DataFrame:
     """(id, status, gt_class) after all batches."""
     return S.vertex_status(S.change_log(vertices), last_batch)

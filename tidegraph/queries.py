@@ -15,13 +15,15 @@ from tidegraph.sources import batches as B, fixtures as X, generate as G, text a
 from tidegraph.storage import materialize, shared_dir
 
 BATCH, LAST, TAU, DELTA, SWEEPS = 3, 4, 660_000, 1e-4, 5
+#: Cap of a query whose labels swing for ever: its SQL makes every sweep.
+SWINGS = 1_999
 
 
 class Case:
     """What the queries start from: the graph of a scale factor in fixed point and its state in batch ``at``."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, at: int = BATCH, graph=X.similarity_graph):
-        self.graph, self.at = graph(spark, sf_dir), at
+        self.graph, self.at, self.sf_dir = graph(spark, sf_dir), at, sf_dir
         self.v, self.e = self.graph.vertices, self.graph.edges
         self.lines = S.timeline(self.graph)
         self.adj = S.adjacency(S.active_edges(self.lines, at))
@@ -110,7 +112,7 @@ def settled_full(c: Case):
 
 
 def converged(c: Case):
-    out = R.propagate(c.adj, c.start(), c.known, seeds(c), DELTA, numeric=FIXED)
+    out = R.propagate(c.adj, c.start(), c.known, seeds(c), DELTA, SWINGS, FIXED)
     return out.labels.select("id", "f", F.lit(out.converged).alias("converged"))
 
 
@@ -177,11 +179,43 @@ def accuracy(c: Case):
     return E.accuracy(full(c, SWEEPS).labels, c.v, c.at, FIXED).select("scored", "correct", F.round("accuracy", 6).alias("accuracy"))
 
 
-N, DEGREE = 2_000, 5
+def batch_tau(c: Case):
+    return S.batch_taus(c.lines, X.BATCHES).withColumn("tau", F.round("tau", 3))
 
 
-def gen_batches(spark, _):
-    v = B.gen_batches(*G.gen_graph(spark, N, DEGREE), RunConfig(total_nodes=N, num_batches=X.BATCHES)).vertices
+def batch_accuracy(spark, sf_dir):
+    """Every batch's accuracy from the labels over time of an engine's run."""
+    made = Engine(X.similarity_graph(spark, sf_dir), DELTA, TAU, max_iterations=SWEEPS, numeric=FIXED, keep=True)
+    made.run(X.BATCHES)
+    return E.accuracy_by_batch(made.history(), made.vertices, X.BATCHES, FIXED).withColumn("accuracy", F.round("accuracy", 6))
+
+
+def export_run(c: Case, path: str) -> None:
+    """What a run predicts, and its metrics; times differ by run, so batch b counts as 10 (b + 1) ms."""
+    made = engine(c.v.sparkSession, c.sf_dir)
+    K.write_labels(made.all_labels().select("id", (F.col("f") / LABEL).alias("f")), f"{path}/predicted")
+    K.write_metrics(made.metrics_table().withColumn("time_ms", (F.col("batch_id") + 1) * 10.0), f"{path}/results")
+
+
+def read_back(c: Case, which: int) -> DataFrame:
+    """The graph's edges (0) or classes (1), written as text and read again."""
+    path = f"{shared_dir(c.v.sparkSession)}/export-{uuid.uuid4().hex}"
+    export_graph(c, path)
+    edges, labels = K.read_graph(c.v.sparkSession, path)
+    return labels if which else edges.withColumn("w", F.round(F.col("w") * WEIGHT).cast("long"))
+
+
+DEGREE = 5
+
+
+def size(spark, sf_dir) -> int:
+    """Generated graphs have a vertex a customer."""
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+
+
+def gen_batches(spark, sf_dir):
+    n = size(spark, sf_dir)
+    v = B.gen_batches(*G.gen_graph(spark, n, DEGREE), RunConfig(total_nodes=n, num_batches=X.BATCHES)).vertices
     return unknown_as_minus(v).withColumn("delete_batch", F.coalesce("delete_batch", F.lit(-1)))
 
 QUERIES = {
@@ -240,10 +274,16 @@ QUERIES = {
     "export_metrics": over(exported(export_metrics, "results")),
     "trade_edge_activation": lambda spark, sf_dir: S.edge_activation(X.trade_graph(spark, sf_dir)),
     "trade_propagate_step": lambda spark, sf_dir: swept(Case(spark, sf_dir, graph=X.trade_graph)),
-    "gen_labels": lambda spark, _: G.gen_labels(spark, N),
-    "gen_backbone": lambda spark, _: G.gen_backbone(spark, N),
-    "gen_edges": lambda spark, _: G.gen_edges(spark, N, DEGREE),
-    "gen_weights": lambda spark, _: G.gen_weights(G.gen_edges(spark, N, DEGREE), G.gen_labels(spark, N)),
-    "gen_graph": lambda spark, _: G.gen_graph(spark, N, DEGREE)[1],
+    "batch_tau": over(batch_tau),
+    "batch_accuracy": batch_accuracy,
+    "export_run_predicted": over(exported(export_run, "predicted")),
+    "export_run_metrics": over(exported(export_run, "results")),
+    "read_edges": over(lambda c: read_back(c, 0)),
+    "read_labels": over(lambda c: read_back(c, 1)),
+    "gen_labels": lambda spark, d: G.gen_labels(spark, size(spark, d)),
+    "gen_backbone": lambda spark, d: G.gen_backbone(spark, size(spark, d)),
+    "gen_edges": lambda spark, d: G.gen_edges(spark, size(spark, d), DEGREE),
+    "gen_weights": lambda spark, d: G.gen_weights(G.gen_edges(spark, size(spark, d), DEGREE), G.gen_labels(spark, size(spark, d))),
+    "gen_graph": lambda spark, d: G.gen_graph(spark, size(spark, d), DEGREE)[1],
     "gen_batches": gen_batches,
 }

@@ -34,23 +34,56 @@ def batch_gt(assigned: DataFrame, fraction: float, order: list) -> DataFrame:
     return ranked_within(assigned, "batch_id", order, "__rank").join(sizes, "batch_id").where("__rank < __k").select("id", "batch_id")
 
 
+#: Vertices of a block of ``deletions``.
+DELETION_BLOCK = 1 << 16
+
+
+def earliest(free: list[int], arrived: dict[int, int]) -> None:
+    """Takes the earliest free places from their arrival on for all who ``arrived`` (batch: how many); whose turn it is does not change which places are taken."""
+    for b, many in sorted(arrived.items()):
+        while many and b < len(free):
+            taken = min(many, free[b])
+            free[b], many, b = free[b] - taken, many - taken, b + 1
+
+
 def deletions(vertices: DataFrame, fraction: float, num_batches: int, order: list) -> DataFrame:
-    """(id, delete_batch): after each batch's arrivals floor(arrivals x fraction) living vertices without a known class go.
+    """(id, delete_batch): after each batch's arrivals floor(arrivals x fraction) living vertices without a known class go, the first in ``order``.
 
-    Batches depend on each other through who still lives, so this is a loop over batches.
+    Going through all vertices in ``order``, each takes the earliest place that is free from its arrival on. How many places a block of
+    them takes from each batch follows from its arrivals alone. So the places that are left for each block come from counts (a row a
+    block and batch, on the driver), and every block then deals its own in a task: the number of jobs does not depend on the batches.
     """
-    gone = None
-    for b in range(1, num_batches):
-        arrived = vertices.where(F.col("batch_id") == b).count()
-        k = int(arrived * fraction)
-        if not k:
-            continue
-        pool = vertices.where((F.col("batch_id") <= b) & F.col("gt_class").isNull()).select("id", F.lit(b).alias("__b"))
-        if gone is not None:
-            pool = pool.join(gone, "id", "left_anti")
-        now = ranked(pool, order, "__place").where(F.col("__place") < k).select("id", F.lit(b).cast("int").alias("delete_batch"))
-        gone = materialize(now if gone is None else gone.unionByName(now))
-    return gone if gone is not None else vertices.select("id", F.lit(0).alias("delete_batch")).limit(0)
+    places = [0] * num_batches
+    for r in vertices.where(F.col("batch_id").between(1, num_batches - 1)).groupBy("batch_id").count().collect():
+        places[r["batch_id"]] = int(r["count"] * fraction)
+    can = vertices.where((F.col("batch_id") < num_batches) & F.col("gt_class").isNull()).select("id", F.greatest("batch_id", F.lit(1)).cast("int").alias("__in"), *[F.struct(*order).alias("__order")])
+    placed = ranked(can, ["__order"], "__place").withColumn("block", F.floor(F.col("__place") / DELETION_BLOCK).cast("long"))
+    counts: dict[int, dict[int, int]] = {}
+    for r in placed.groupBy("block", "__in").count().collect():
+        counts.setdefault(r["block"], {})[r["__in"]] = r["count"]
+    left, free = [], places
+    for block in sorted(counts):
+        if not any(free):
+            break
+        left.append((block, list(free)))
+        earliest(free, counts[block])
+    spark = vertices.sparkSession
+    open_ = spark.createDataFrame(left, "block long, free array<int>")
+
+    def deal(rows):
+        import pandas as pd
+
+        rows = rows.sort_values("__place")
+        free, out = list(rows["free"].iloc[0]), []
+        for id_, b in zip(rows["id"], rows["__in"]):
+            while b < len(free) and not free[b]:
+                b += 1
+            if b < len(free):
+                free[b] -= 1
+                out.append((id_, b))
+        return pd.DataFrame(out, columns=["id", "delete_batch"])
+
+    return placed.join(F.broadcast(open_), "block").select("block", "id", "__in", "__place", "free").groupBy("block").applyInPandas(deal, "id long, delete_batch int")
 
 
 def gen_batches(labels: DataFrame, edges: DataFrame, config: RunConfig) -> Graph:
@@ -67,7 +100,7 @@ def gen_batches(labels: DataFrame, edges: DataFrame, config: RunConfig) -> Graph
     placed = assigned.join(known, "id", "left").join(labels, "id").select("id", "true_label", "batch_id", F.when(F.col("__known"), F.col("true_label")).alias("gt_class"))
     start = first.join(labels, "id").select("id", "true_label", F.lit(0).alias("batch_id"), "gt_class")
     vertices = materialize(start.unionByName(placed))
-    gone = deletions(vertices, config.deleted_fraction, config.num_batches, [hashed(F.col("id"), seed, F.col("__b")), F.col("id")])
+    gone = deletions(vertices, config.deleted_fraction, config.num_batches, by("gone"))
     out = vertices.join(gone, "id", "left").select("id", "true_label", F.col("batch_id").cast("int").alias("batch_id"), "delete_batch", "gt_class")
     return Graph(materialize(out), edges)
 

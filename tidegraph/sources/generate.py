@@ -41,24 +41,31 @@ def gen_backbone(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
     return order.join(following, "place").select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst"))
 
 
-def gen_edges(spark: SparkSession, n: int, degree: int, seed: int = 42, tries: int = 8) -> DataFrame:
-    """(src, dst): max(n degree div 2, n - 1) different edges without loops, the backbone among them.
+def all_pairs(spark: SparkSession, n: int) -> DataFrame:
+    """(src, dst): every pair of different vertices."""
+    return spark.range(n - 1).select(F.col("id").alias("src"), F.explode(F.sequence(F.col("id") + 1, F.lit(n - 1))).alias("dst"))
 
-    Candidates are hashed pairs; each round draws more than are missing, drops what is known and keeps the first by
-    hash. A graph too small for the degree ends below it, with every pair it has.
+
+def gen_edges(spark: SparkSession, n: int, degree: int, seed: int = 42) -> DataFrame:
+    """(src, dst): max(n degree div 2, n - 1) different edges without loops, the backbone among them; every pair there is if those are fewer.
+
+    Candidates are hashed pairs; each round draws more than are missing, drops what is known and keeps the first by hash. As long as
+    at least half of all pairs are free, half of the draws are new and the rounds end soon; for more edges than that, all pairs are the candidates.
     """
-    target = min(max(n * degree // 2, n - 1), n * (n - 1) // 2)
-    edges, have = materialize(gen_backbone(spark, n, seed)), n - 1
-    for round_ in range(tries):
-        if have >= target:
-            break
-        draws = spark.range(int((target - have) * 1.3) + 64 * (1 + round_))
-        a, b = (hashed(F.col("id"), seed + 2 + round_, end) % n for end in ("a", "b"))
-        fresh = draws.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")).where("src < dst").distinct()
+    pairs = n * (n - 1) // 2
+    target = min(max(n * degree // 2, n - 1), pairs)
+    edges, have, round_ = materialize(gen_backbone(spark, n, seed)), n - 1, 0
+    while have < target:
+        if 2 * target > pairs:
+            fresh = all_pairs(spark, n)
+        else:
+            draws = spark.range(int((target - have) * 1.3) + 64 * (1 + round_))
+            a, b = (hashed(F.col("id"), seed + 2 + round_, end) % n for end in ("a", "b"))
+            fresh = draws.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")).where("src < dst").distinct()
         fresh = fresh.join(edges, ["src", "dst"], "left_anti").withColumn("h", hashed(F.col("src"), F.col("dst"), seed))
         chosen = ranked(fresh, ["h", "src", "dst"], "place").where(F.col("place") < target - have)
         edges = materialize(edges.unionByName(chosen.select("src", "dst")))
-        have = edges.count()
+        have, round_ = edges.count(), round_ + 1
     return edges
 
 
