@@ -138,6 +138,21 @@ def test_components_match_union_find(spark):
     assert C.connected_components(df.limit(0)).count() == 0
 
 
+def test_components_are_maintained_over_batches(spark):
+    v, e = random_graph(11, n=80, m=90)
+    engine = Engine(graph(spark, v, e), tau=0.4)
+    for b in range(3):
+        got = {r.id: r.root for r in engine.regions_of(b).collect()}
+        alive = engine.vertices.where(S.live(b)).select("id")
+        assert got == {r.id: r.root for r in C.connected_components(S.active_edges(engine.lines, b), alive).collect()}
+    assert len(set(got.values())) < len(got)
+    # A batch that was not the next one is made anew; one without changes is passed on.
+    engine.regions = (0, engine.regions[1])
+    assert {r.id: r.root for r in engine.regions_of(2).collect()} == got
+    none = engine.lines.limit(0)
+    assert {r.id: r.root for r in C.maintained_components(engine.regions[1], S.active_edges(engine.lines, 2), none, none, alive).collect()} == got
+
+
 def test_sweep_cases(spark):
     adj = S.adjacency(spark.createDataFrame([(0, 1, 1.0), (2, 3, 0.0)], EDGES))
     start = spark.createDataFrame([(0, 0.0), (1, 1.0), (2, 0.3), (3, 0.9), (4, 0.4)], "id long, f double")

@@ -88,6 +88,29 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
     return everyone.join(found, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
+@settled
+def maintained_components(before: DataFrame, edges: DataFrame, added: DataFrame, removed: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(id, root) of ``vertices`` (id) under ``edges`` (src, dst), from that of the batch ``before``; as ``connected_components`` has it.
+
+    added, removed: the edges that came and went since; vertices that came and went follow from ``vertices``. Components that lost an edge or a vertex
+    are searched again, over their own vertices only. Added edges then join components: a graph of roots, as large as the edges that join two. Untouched
+    components are passed on.
+    """
+    gone = before.join(vertices, "id", "left_anti").select("id")
+    lost = removed.select(F.explode(F.array("src", "dst")).alias("id")).union(gone).distinct()
+    torn = Table(before.join(lost, "id", "left_semi").select("root").distinct()).df
+    inside = Table(before.join(torn, "root", "left_semi").select("id").join(vertices, "id", "left_semi")).df
+    end = lambda c: inside.withColumnRenamed("id", c)
+    found = connected_components(edges.select("src", "dst").join(end("src"), "src", "left_semi").join(end("dst"), "dst", "left_semi"), inside)
+    new = vertices.select("id").join(before, "id", "left_anti").select("id", F.col("id").alias("root"))
+    apart = Table(before.join(torn, "root", "left_anti").select("id", "root").unionByName(found).unionByName(new)).df
+    of = lambda c, r: apart.select(F.col("id").alias(c), F.col("root").alias(r))
+    bridges = added.select("src", "dst").join(of("src", "a"), "src").join(of("dst", "b"), "dst").where("a != b")
+    joined = connected_components(bridges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    up = joined.select(F.col("id").alias("root"), F.col("root").alias("up"))
+    return apart.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root"))
+
+
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, root) of the ends of all edges of a task, by union-find."""
     up: dict[int, int] = {}

@@ -282,6 +282,7 @@ ORACLES = {
     "insertion_affected": sql("SELECT id FROM near", AT),
     "insertion_affected_all": sql("SELECT id FROM open WHERE id IN (SELECT src FROM fresh UNION SELECT dst FROM fresh UNION SELECT id FROM newv)", AT),
     "connected_components": sql("SELECT id, root FROM comp", comps("", "v", "e")),
+    "maintained_components": sql("SELECT id, root FROM comp", AT, comps("", "alive", "act")),
     "component_ids": sql("SELECT id, root, dense_rank() OVER (ORDER BY root) - 1 AS component_id FROM comp", comps("", "v", "e")),
     "singleton_components": sql("SELECT id, id AS root FROM v WHERE id NOT IN (SELECT id FROM both_ways)"),
     "supernode_weights": sql("SELECT root, w0, w1 FROM sides", AT, comps("", "newv", "strong"), weights("")),

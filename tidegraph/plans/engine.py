@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation, Window as W, functions as F
 
 from tidegraph.functions.numeric import DOUBLE, Numeric
 from tidegraph.operators import state as S
-from tidegraph.operators.components import components_of_few, connected_components
+from tidegraph.operators.components import components_of_few, connected_components, maintained_components
 from tidegraph.operators.initialize import label_init, supernode_weights
 from tidegraph.operators.propagate import MAX_SWEEPS, ROWS_PER_TASK, Placed, loops, place, propagate
 from tidegraph.operators.sparsify import insertion_affected, new_vertices, strong_new_edges
@@ -48,6 +48,7 @@ class Engine:
 
     def __post_init__(self):
         self.taus: dict[int, float] = {}
+        self.regions: tuple[int, DataFrame] | None = None
         self.vertices = self.graph.vertices
         if self.ways is not None:
             self.lines = self.ways.df.where("id < nbr").select(F.col("id").alias("src"), F.col("nbr").alias("dst"), "w", "starts", "ends")
@@ -89,7 +90,7 @@ class Engine:
         labels = materialize(arrived if self.labels is None else self.labels.unionByName(arrived))
         seeds = insertion_affected(self.lines, v, batch, tau, self.seed_mode).union(S.deletion_affected(self.lines, v, batch)).distinct()
         if self.freeze_gt_free:
-            regions = connected_components(S.active_edges(self.lines, batch))
+            regions = self.regions_of(batch)
             with_known = regions.join(known, "id").select("root").distinct()
             seeds = seeds.join(regions.join(with_known, "root", "left_semi"), "id", "left_semi")
         alive = labels.join(v.where(S.live(batch)).select("id"), "id", "left_semi")
@@ -104,6 +105,16 @@ class Engine:
         self.metrics.append((batch, (time.perf_counter() - began) * 1000, found["correct"], result.iterations, result.converged, int(found["parts"]), seen.get["n"]))
         return self.labels
 
+    def regions_of(self, batch: int) -> DataFrame:
+        """(id, root) over all active edges: carried on from the batch before, made anew where that one was not processed."""
+        edges, alive = S.active_edges(self.lines, batch), self.vertices.where(S.live(batch)).select("id")
+        if self.regions and self.regions[0] == batch - 1:
+            made = maintained_components(self.regions[1], edges, S.new_edges(self.lines, batch), S.cut_edges(self.lines, batch), alive)
+        else:
+            made = connected_components(edges, alive)
+        self.regions = batch, made
+        return made
+
     def remember(self, before: DataFrame | None, batch: int) -> None:
         """Adds the labels that ``batch`` set or changed."""
         now = self.labels

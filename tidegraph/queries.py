@@ -179,6 +179,14 @@ def accuracy(c: Case):
     return E.accuracy(full(c, SWEEPS).labels, c.v, c.at, FIXED).select("scored", "correct", F.round("accuracy", 6).alias("accuracy"))
 
 
+def maintained(c: Case):
+    """Components of a batch, carried on from the first one."""
+    made = Engine(c.graph, tau=TAU, numeric=FIXED)
+    for b in range(c.at):
+        made.regions_of(b)
+    return made.regions_of(c.at)
+
+
 def batch_tau(c: Case):
     return S.batch_taus(c.lines, X.BATCHES).withColumn("tau", F.round("tau", 3))
 
@@ -274,6 +282,7 @@ QUERIES = {
     "export_metrics": over(exported(export_metrics, "results")),
     "trade_edge_activation": lambda spark, sf_dir: S.edge_activation(X.trade_graph(spark, sf_dir)),
     "trade_propagate_step": lambda spark, sf_dir: swept(Case(spark, sf_dir, graph=X.trade_graph)),
+    "maintained_components": over(maintained),
     "batch_tau": over(batch_tau),
     "batch_accuracy": batch_accuracy,
     "export_run_predicted": over(exported(export_run, "predicted")),
