@@ -66,15 +66,15 @@ def test_seats_are_sainte_lague(spark):
 def plain_perspectives(rows, size=512):
     out = []
     by = defaultdict(list)
-    for c, turn, role, text in rows:
-        by[c].append((turn, role, text))
-    order = lambda t: (t[0] or 0, t[1] is not None, t[1] or "", t[2] is not None, t[2] or "")
+    for i, (c, turn, role, text) in enumerate(rows):
+        by[c if c is not None else f"lone {i}"].append((turn, role, text))
+    order = lambda t: (t[0] is None, t[0] or 0, t[1] is not None, t[1] or "", t[2] is not None, t[2] or "")
     for c, turns in by.items():
-        numbered, loose = (sorted((t for t in turns if (t[0] is None) == none), key=order) for none in (False, True))
-        parts = {k // size: numbered[k : k + size] for k in range(0, len(numbered), size)} | {-1 - k // size: loose[k : k + size] for k in range(0, len(loose), size)}
+        turns = sorted(turns, key=order)
         for who in {r for _, r, _ in turns if r not in (None, "system")}:
-            for part, some in parts.items():
-                text, mask, n = "", [], 0
+            offset = 0
+            for part in range(0, len(turns), size):
+                some, text, mask, n = turns[part : part + size], "", [], 0
                 for _, role, said in some:
                     name = "assistant" if role == who else "system" if role == "system" else "user" + ("" if role is None else f" name={role}")
                     text += f"<|im_start|>{name}\n"
@@ -83,18 +83,19 @@ def plain_perspectives(rows, size=512):
                     if role == who:
                         mask.append(f"{a}:{len(text)}")
                         n += 1
-                out.append((c or -1, who, part, len(some), n, text, ",".join(mask)))
+                out.append((-1 if isinstance(c, str) else c, who, part // size, len(some), n, text, ",".join(mask), offset))
+                offset += len(text)
     return sorted(out)
 
 
 def perspectives(df, **options):
-    return sorted((r.conv_id or -1, r.perspective, r.part, r.n_turns, r.n_masked, r.text, r["mask"]) for r in chat.rotate_perspectives(df, **options).collect())
+    return sorted((-1 if r.conv_id is None else r.conv_id, r.perspective, r.part, r.n_turns, r.n_masked, r.text, r["mask"], r.offset) for r in chat.rotate_perspectives(df, **options).collect())
 
 
 def test_perspectives(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hé"), (1, 2, "bob", None), (1, 2, "bob", "later"), (1, 2, None, "who"), (1, 600, "ann", "far"), (1, 1, "ann", "hé"), (2, 0, "system", "alone"), (None, 5, "", "x"), (3, -1, "user", "neg"), (3, 0, "assistant", "ok"), (4, None, "a", "x")]
     rows += [(4, None, "a", "x")] * 2 + [(4, None, "b", "y"), (4, 7, "b", "long " * 50_000)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'z' as perspective", "1 as part", "2 as n", "true as loose", "3 as at")
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'z' as perspective", "1 as part", "2 as n", "true as loose", "3 as at", "9 as offset")
     assert perspectives(df) == plain_perspectives(rows)
     assert chat.rotate_perspectives(df.limit(0)).count() == 0
 
@@ -108,12 +109,22 @@ def test_large_conversations_are_cut_by_rows_and_keep_copies(spark):
         assert perspectives(d, turns_per_part=7) == plain_perspectives(rows, 7)
 
 
-def test_turns_without_a_number_stay_together_in_bounded_parts(spark):
-    rows = [(1, None, "ab"[i % 2], f"turn {i}") for i in range(8)] + [(2, None, "a", f"t{i}") for i in range(1300)] + [(None, None, "c", "x"), (None, None, None, None), (1, 3, "a", "numbered")]
+def test_parts_are_slices_of_the_whole_dialogue(spark):
+    rows = [(1, i if i < 1000 else None, "ab"[i % 2], f"turn {i}") for i in range(1300)] + [(2, None, "ab"[i % 2], f"t{i}") for i in range(8)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = chat.rotate_perspectives(df).collect()
-    ours = {r.perspective: r for r in got if r.conv_id == 1 and r.part == -1}
-    assert {k: (r.n_turns, r.n_masked) for k, r in ours.items()} == {"a": (8, 4), "b": (8, 4)}
-    assert re.findall(r"turn \d", ours["a"].text) == [f"turn {i}" for i in (0, 2, 4, 6, 1, 3, 5, 7)]
-    assert sorted((r.part, r.n_turns) for r in got if r.conv_id == 2) == [(-3, 276), (-2, 512), (-1, 512)]
-    assert [(r.part, r.n_turns) for r in got if r.conv_id is None] == [(-1, 2)] and len(got) == 8
+    for who in "ab":
+        parts = sorted((r for r in got if r.conv_id == 1 and r.perspective == who), key=lambda r: r.part)
+        assert [r.n_turns for r in parts] == [512, 512, 276]
+        (whole,) = [x for x in plain_perspectives(rows, 10_000) if x[:2] == (1, who)]
+        assert "".join(r.text for r in parts) == whole[5]
+        spans = [f"{int(a) + r.offset}:{int(b) + r.offset}" for r in parts for a, b in (m.split(":") for m in r["mask"].split(","))]
+        assert ",".join(spans) == whole[6]
+    (ours,) = [r for r in got if r.conv_id == 2 and r.perspective == "a"]
+    assert re.findall(r"t\d", ours.text) == [f"t{i}" for i in (0, 2, 4, 6, 1, 3, 5, 7)]  # by role, as no number orders them
+
+
+def test_rows_without_an_id_stay_linear(spark):
+    made = lambda n: spark.range(n).selectExpr("cast(null as long) as conv_id", "id as turn", f"concat('role ', id % {n // 10}) as role", "'some words' as text")
+    size = [sum(len(r.text) for r in chat.rotate_perspectives(made(n)).collect()) for n in (1500, 3000)]
+    assert abs(size[1] - 2 * size[0]) < 0.01 * size[0]
