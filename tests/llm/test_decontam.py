@@ -67,8 +67,18 @@ def test_edge_rows_and_blocks(spark):
     docs = spark.createDataFrame([(1, None, "q"), (2, "", "q"), (3, "Says: One  two\nthree four five six seven eight nine TEN!", "q"), (3, passage, "q"), (None, "short one", "q"), (9, "clean " * 50, "q")], "doc_id long, text string, items string")
     bench = spark.createDataFrame([(1, passage), (1, passage), (2, passage), (2, passage[:-4]), (3, ""), (4, None), (5, "short"), (None, "clean clean clean")], "item_id long, text string")
     for chars in (1 << 20, 60):
-        got = sorted((r.doc_id or 0, r.n_items, ",".join(sorted(r["items"].split(",")))) for r in d.scan(docs, bench, ["doc_id"], block_chars=chars).collect())
+        got = sorted((r.doc_id or 0, r.n_items, r["items"]) for r in d.scan(docs, bench, ["doc_id"], block_chars=chars).collect())
         assert got == [(0, 1, "5"), (1, 0, ""), (2, 0, ""), (3, 2, "1,2"), (3, 2, "1,2"), (9, 0, "")]
+    # Items and spans come in numerical order, whatever the blocks.
+    many = spark.createDataFrame([(i, passage) for i in (10, 9, 100, 2)], "item_id long, text string")
+    twice = spark.createDataFrame([(7, f"{passage} and then {passage}")], "doc_id long, text string")
+    for chars in (1 << 20, 60):
+        (row,) = d.scan(twice, many, ["doc_id"], block_chars=chars).collect()
+        assert (row.n_items, row["items"]) == (4, "2,9,10,100")
+        spans = [tuple(map(int, s.split(":"))) for s in row.spans.split(",")]
+        assert spans == sorted(spans) and {s[0] for s in spans} == {2, 9, 10, 100} and all(s[3] == 0 for s in spans)
+        text = d.normal(f"{passage} and then {passage}")
+        assert all(text[a:b] == d.normal(passage) for _, a, b, _ in spans)
     assert d.scan(docs.limit(0), bench, ["doc_id"]).count() == 0
     assert {r.n_items for r in d.scan(docs, bench.limit(0), ["doc_id"]).collect()} == {0}
     assert np.array_equal(d.codes_of("aé"), [97, 233])

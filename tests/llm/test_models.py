@@ -253,3 +253,10 @@ def test_rows_of_one_or_no_id_do_not_pile_up(spark, monkeypatch):
     labels = spark.createDataFrame([(77, 1), (78, 0), (79, 0)], "doc_id long, quality int")
     ids = [i for i in (77, 78) if zlib.crc32(str(i).encode()) % 1000]
     assert len(labelled_sample(docs, labels, "quality", 1000, folds=1000).collect()) == len(ids) > 0
+
+
+def test_exceptions_hold_across_long_words_and_gaps():
+    lexicon = toxicity.Lexicon({"bad": 1.0}, frozenset({"x" * 90 + " bad", "so bad"}))
+    for text, clean in (("x" * 90 + " bad", True), ("so" + " " * 90 + "bad", True), ("x" * 91 + " bad", False), ("bad", False), ("_so_bad", True)):
+        assert (lexicon.measure([text])[0, 0] == 0) == clean, text
+    assert toxicity.word_before("  ", 2) == "" and toxicity.word_before("ab cd", 3) == "ab"

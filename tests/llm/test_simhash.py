@@ -1,5 +1,7 @@
+import os
 import random
 
+import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
 
@@ -138,3 +140,26 @@ def test_jaccard_test_in_both_forms(monkeypatch):
         monkeypatch.setattr(s, "MATRIX_BYTES", most)
         test = s.jaccard_test(sets, 0.6)
         assert [[bool(x) for x in test(i, list(range(40)))] for i in range(40)] == want
+
+
+def test_clashing_columns_and_long_texts(spark):
+    long = " ".join(f"w{i % 977} x{i}" for i in range(60_000))
+    rows = [(1, long), (2, long + " end"), (3, "short text"), (4, None), (4, "short text")]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    extra = plain.selectExpr("*", *[f"'z' as {c}" for c in ("fp", "key", "i", "j", "id", "root", "row_id", "component_id", "fingerprint", "class", "group", "shingles", "n")])
+    for work, columns in ((s.simhash_groups, ("doc_id", "fingerprint", "component_id")), (s.near_duplicates, ("doc_id",))):
+        one, two = (sorted(tuple(r[c] for c in columns) for r in work(df).collect()) for df in (plain, extra))
+        assert one == two and len(one) == 5
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in s.simhash_groups(extra).collect()}
+    assert got[1, f"{plain_print(long):016x}"] == 1
+    groups = {r.doc_id: r.group for r in s.near_duplicates(extra).where("doc_id < 4").collect()}
+    assert groups[1] == groups[2] != groups[3]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_near_copies_of_the_tables_are_all_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    groups = {r.doc_id: r.group for r in s.near_duplicates(docs).collect()}
+    sets = {r.doc_id: set(s.shingle_hashes(r.text or "", 5).tolist()) for r in docs.collect()}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(pairs) > 5 and all(groups[a] == groups[b] for a, b in pairs)

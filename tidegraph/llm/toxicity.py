@@ -50,6 +50,17 @@ def fold(text: str) -> str:
     return text.lower().translate(FOLD)
 
 
+def word_before(text: str, at: int) -> str:
+    """The last word that ends before ``at``, whole; empty if there is none."""
+    end = at
+    while end and not text[end - 1].isalnum():
+        end -= 1
+    start = end
+    while start and text[start - 1].isalnum():
+        start -= 1
+    return text[start:end]
+
+
 def patterns_of(text: str) -> set[str]:
     """Whole words as ``word$`` and word beginnings as themselves."""
     words = set(WORDS.findall(fold(text)))
@@ -97,8 +108,8 @@ class Lexicon:
         out = []
         for start, weight in found.items():
             word = WORDS.match(folded, start)
-            before, after = WORDS.findall(folded, max(0, start - 40), start)[-1:], WORDS.search(folded, word.end())
-            out.append((weight, tuple([f"{w} {word[0]}" for w in before] + ([f"{word[0]} {after[0]}"] if after else []))))
+            before, after = word_before(folded, start), WORDS.search(folded, word.end())
+            out.append((weight, tuple(([f"{before} {word[0]}"] if before else []) + ([f"{word[0]} {after[0]}"] if after else []))))
         return out
 
     def measure(self, texts: list[str]) -> np.ndarray:
