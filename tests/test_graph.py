@@ -394,6 +394,23 @@ def test_slow_swings_that_die_are_followed_to_their_end(spark, r):
     assert all(abs(x.f - want[x.id]) < 1e-9 for x in out.labels.collect())
 
 
+def test_small_components_are_swept_on_their_own(spark, monkeypatch):
+    """A graph over several tasks: slow and lasting swings in small components, and one component larger than a task's share."""
+    monkeypatch.setattr(R, "ROWS_PER_TASK", 20)
+    monkeypatch.setattr(R, "bucket_count", lambda rows, most: 3)
+    monkeypatch.setattr(R, "SPLIT", 8)
+    monkeypatch.setattr(R, "SPARSE", 2.0)
+    rng = random.Random(6)
+    edges = [(0, 1, 1.0), (0, 50, 0.01), (1, 51, 0.01), (2, 3, 1.0), (4, 5, 0.5), (5, 6, 0.7), (6, 7, 0.2), (7, 52, 0.3)]
+    edges += [(100 + i, 101 + i, round(rng.uniform(0.2, 1), 2)) for i in range(11)] + [(100, 50, 0.4), (111, 51, 0.4)]
+    start = {i: rng.random() for i in [*range(8), *range(50, 53), *range(100, 112)]}
+    known = {50: 0, 51: 1, 52: 1}
+    out = swept(spark, edges, start, known, 1e-2, 2_001)
+    want, done, settled = plain_sweeps(edges, start, known, 1e-2, 2_001)
+    assert (out.iterations, out.converged) == (done, settled) and out.swept < 200
+    assert all(abs(x.f - want[x.id]) < 1e-9 for x in out.labels.collect())
+
+
 def test_distributed_sweeps_follow_swings_that_die(spark, monkeypatch):
     monkeypatch.setattr(R, "ROWS_PER_TASK", 1)
     monkeypatch.setattr(R, "bucket_count", lambda rows, most: 2)

@@ -12,6 +12,9 @@ each sweep, so the run is cut back to the exact sweep that it stops at. A graph
 On a large graph of which few vertices move, a sweep reads the neighbourhood of the movers only and writes nothing but the rows that it changed, as a run
 of a ``LabelLog``: a base with runs on top, read as the newest row of each id and merged every ``MERGE`` runs.
 
+Known vertices never change, so the components that the others form without them do not touch. Once few vertices move and still do after ``SPLIT`` sweeps, those components that move and are
+at most one task's share are dealt to tasks, which sweep them to the end (``settle_parts``); sweeps over the whole graph go on for larger ones only.
+
 A component without a known class may swing between states for ever. Each sweep's labels and movers have a digest (xor and sum of a hash a vertex,
 whatever the order). When one comes up again after p sweeps, the state is held and compared row by row with the one p sweeps later: if both are equal,
 what follows repeats with period p, and the run goes on for only as many sweeps as bring it to the state at the cap. Its labels, ``iterations`` and
@@ -25,7 +28,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from tidegraph.functions.numeric import DOUBLE, Numeric
-from tidegraph.operators.settle import settle
+from tidegraph.operators.components import connected_components
+from tidegraph.operators.settle import settle, settle_parts
 from tidegraph.storage import Buckets, Table
 
 BROADCAST_ROWS = 1_000_000
@@ -41,6 +45,8 @@ SPARSE = 0.05
 MERGE = 8
 #: Sweeps of a job.
 UNROLL = 4
+#: Sweeps after which components that still move are swept on their own.
+SPLIT = 16
 #: Cap of sweeps, the fixed default of the command line.
 MAX_SWEEPS = 100_000
 
@@ -231,6 +237,38 @@ class Run:
         self.last: tuple[int, int] = (0, 0)
         self.written: list[int] = []
         self.period: int | None = None
+        #: Iterations and convergence of the components that were split off.
+        self.apart: tuple[int, bool] | None = None
+
+    def split(self, most: int) -> None:
+        """Sweeps all small components that still move to the end, each in a task; the others go on."""
+        now = self.log.current()
+        open_ = now.where("open").select("id")
+        end = lambda c: open_.withColumnRenamed("id", c)
+        inner = self.adj.df.where("id < nbr").select(F.col("id").alias("src"), F.col("nbr").alias("dst")).join(end("src"), "src", "left_semi").join(end("dst"), "dst", "left_semi")
+        roots = connected_components(inner, open_)
+        moving = roots.join(self.log.movers(), "id", "left_semi").select("root").distinct()
+        members = roots.join(moving, "root", "left_semi")
+        rows = self.adj.df.select("id", "nbr", "w").join(members, "id")
+        seen = Observation()
+        # A row a component that moves.
+        small = rows.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= ROWS_PER_TASK)
+        small = Table(small.observe(seen, F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))).df
+        if not seen.get["rows"]:
+            self.apart = 0, True
+            return
+        parts = -(-2 * seen.get["rows"] // ROWS_PER_TASK)
+        near = now.select(F.col("id").alias("nbr"), "f", "open", "moved")
+        dealt = rows.join(small.select("root", F.pmod(F.xxhash64("root"), F.lit(parts)).alias("part")), "root").join(near, "nbr")
+        done, iterations, settled = settle_parts(dealt.select("part", "id", "nbr", "w", "f", "open", "moved"), self.step, self.numeric, most, self.swept)
+        ended = done.df.select("id", F.col("f").alias("end"))
+        seen, still = Observation(), F.col("moved") & F.col("end").isNull()
+        state = now.join(ended, "id", "left").select("id", "open", F.coalesce("end", "f").alias("f"), still.alias("moved"))
+        table = Table(state.observe(seen, F.count_if("moved").alias("movers")))
+        self.log.drop()
+        self.log, self.movers, self.apart = LabelLog(table, table.df, self.log.rows), seen.get["movers"], (iterations, settled)
+        self.digests, self.period = {}, None
+        self.written.append(self.log.rows)
 
     def remember(self, at: int, digest: tuple[int, int]) -> None:
         if (before := self.digests.get(digest)) is not None:
@@ -333,6 +371,8 @@ def propagate(adj: DataFrame | Placed, labels: DataFrame, known: DataFrame, seed
                     while run.swept < until:
                         run.forward(until - run.swept)
                     break
+        elif run.apart is None and not full and run.swept >= SPLIT and run.movers < SPARSE * rows:
+            run.split(max_iterations)
         else:
             run.forward(left)
             if run.period and run.movers and run.swept + run.period < max_iterations:
@@ -341,7 +381,8 @@ def propagate(adj: DataFrame | Placed, labels: DataFrame, known: DataFrame, seed
     if held:
         held[2].drop()
     adj.df.unpersist()
-    return Propagated(run.log.current().select("id", "f"), iterations or run.swept, not run.movers, run.swept, run.written)
+    apart, settled = run.apart or (0, True)
+    return Propagated(run.log.current().select("id", "f"), max(iterations or run.swept, apart), settled and not run.movers, run.swept, run.written)
 
 
 def full_propagate_step(adj: DataFrame, labels: DataFrame, known: DataFrame, numeric: Numeric = DOUBLE) -> DataFrame:

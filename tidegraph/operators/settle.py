@@ -1,7 +1,7 @@
-"""All sweeps of a graph whose adjacency is no more than one task's share.
+"""All sweeps of a graph, or of parts of one that do not touch, whose adjacency is no more than one task's share.
 
 Such a graph lies in one bucket, so that every sweep is one task anyway; that task then makes them all, on arrays sorted by the pulling vertex, instead of a job for
-each few. Its rows are bounded by ``propagate.ROWS_PER_TASK``, edges and vertices together twice that. Rules and results are those of the distributed sweeps.
+each few. So does a task for the small components that a large graph falls into where known vertices, which never change, are taken out. Its rows are bounded by ``propagate.ROWS_PER_TASK``, edges and vertices together twice that. Rules and results are those of the distributed sweeps.
 """
 
 from __future__ import annotations
@@ -49,9 +49,9 @@ class Local:
         return np.where(active, mean, f)
 
 
-def iterate(graph: Local, f: np.ndarray, moved: np.ndarray, step, most: int, full: bool) -> tuple[np.ndarray, int, bool, int]:
-    """Labels, iterations, whether nothing moves any more, and sweeps made; see ``propagate``."""
-    seen, done, held = {}, 0, None
+def iterate(graph: Local, f: np.ndarray, moved: np.ndarray, step, most: int, full: bool, done: int = 0) -> tuple[np.ndarray, int, bool, int]:
+    """Labels, iterations, whether nothing moves any more, and sweeps made; see ``propagate``. ``done`` sweeps were made before."""
+    seen, held = {}, None
     while moved.any() and done < most:
         new = graph.sweep(f, moved, full, done == 0)
         f, moved, done = new, np.abs(new - f) > step, done + 1
@@ -72,6 +72,36 @@ def iterate(graph: Local, f: np.ndarray, moved: np.ndarray, step, most: int, ful
     return f, done, not moved.any(), done
 
 
+def arranged(ids: np.ndarray, src: np.ndarray, nbr: np.ndarray, w: np.ndarray, open_: np.ndarray, fixed: bool) -> Local:
+    """The graph of sorted ``ids`` from rows of edges, a loop of no weight added for each vertex."""
+    src, nbr, w = (np.concatenate(x) for x in ((src, ids), (nbr, ids), (w, np.zeros(len(ids), w.dtype))))
+    at, to = np.searchsorted(ids, src), np.searchsorted(ids, nbr)
+    by = np.lexsort((to, at))
+    return Local(to[by], w[by], np.searchsorted(at[by], np.arange(len(ids))), open_, fixed)
+
+
+def settle_parts(rows: DataFrame, step, numeric: Numeric, most: int, done: int) -> tuple[Table, int, bool]:
+    """A table (id, f) of the pulling vertices of ``rows`` (part, id, nbr, w, and f, open and moved of nbr), iterations and converged.
+
+    A part holds whole components with their loops and the known vertices beside them, and is swept in a task of its own.
+    """
+    kind, fixed = rows.schema["f"].dataType, numeric.fixed
+
+    def run(table: pa.Table) -> pa.Table:
+        src, nbr, w, f, open_, moved = (table.column(c).to_numpy() for c in ("id", "nbr", "w", "f", "open", "moved"))
+        ids, first = np.unique(nbr, return_index=True)
+        mine = np.isin(ids, src)
+        graph = arranged(ids, src, nbr, w, open_[first].astype(bool), fixed)
+        f, iterations, settled, _ = iterate(graph, f[first], moved[first].astype(bool), step, most, False, done)
+        n = int(mine.sum())
+        return pa.table({"id": ids[mine], "f": f[mine], "iterations": np.full(n, iterations), "settled": np.full(n, settled)})
+
+    made = rows.groupBy("part").applyInArrow(run, f"id long, f {kind.simpleString()}, iterations long, settled boolean")
+    seen = Observation()
+    out = Table(made.observe(seen, F.max("iterations").alias("iterations"), F.min("settled").alias("settled")).select("id", "f"))
+    return out, seen.get["iterations"], seen.get["settled"]
+
+
 def settle(adj: DataFrame, state: DataFrame, step, numeric: Numeric, most: int, full: bool) -> tuple[Table, int, bool, int]:
     """A table (id, f), iterations, converged and sweeps made, from the edges with loops (id, nbr, w) and the state (id, open, f, moved)."""
     kind, fixed = state.schema["f"].dataType, numeric.fixed
@@ -89,11 +119,7 @@ def settle(adj: DataFrame, state: DataFrame, step, numeric: Numeric, most: int,
         ids, f, open_, moved = ids[order], f[order], open_[order].astype(bool), moved[order].astype(bool)
         src, nbr, w = of(edge, "id", "nbr", "w")
         both = np.isin(src, ids) & np.isin(nbr, ids)
-        # A loop of no weight for every vertex, if the edges bring none.
-        src, nbr, w = (np.concatenate([a[both], b]) for a, b in ((src, ids), (nbr, ids), (w, np.zeros(len(ids), w.dtype))))
-        at, to = np.searchsorted(ids, src), np.searchsorted(ids, nbr)
-        by = np.lexsort((to, at))
-        graph = Local(to[by], w[by], np.searchsorted(at[by], np.arange(len(ids))), open_, fixed)
+        graph = arranged(ids, src[both], nbr[both], w[both], open_, fixed)
         f, iterations, settled, swept = iterate(graph, f, moved, step, most, full)
         same = lambda x: pa.array(np.full(len(ids), x))
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(f), same(iterations), same(settled), same(swept)], names=["id", "f", "iterations", "settled", "swept"])
