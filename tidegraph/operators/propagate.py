@@ -12,7 +12,7 @@ each sweep, so the run is cut back to the exact sweep that it stops at. A graph
 On a large graph of which few vertices move, a sweep reads the neighbourhood of the movers only and writes nothing but the rows that it changed, as a run
 of a ``LabelLog``: a base with runs on top, read as the newest row of each id and merged every ``MERGE`` runs.
 
-Known vertices never change, so the components that the others form without them do not touch. Once few vertices move and still do after ``SPLIT`` sweeps, those components that move and are
+Known vertices never change, so the components that the others form without them do not touch. After ``SPLIT`` sweeps, those components that move and are
 at most one task's share are dealt to tasks, which sweep them to the end (``settle_parts``); sweeps over the whole graph go on for larger ones only.
 
 A component without a known class may swing between states for ever. Each sweep's labels and movers have a digest (xor and sum of a hash a vertex,
@@ -371,7 +371,7 @@ def propagate(adj: DataFrame | Placed, labels: DataFrame, known: DataFrame, seed
                     while run.swept < until:
                         run.forward(until - run.swept)
                     break
-        elif run.apart is None and not full and run.swept >= SPLIT and run.movers < SPARSE * rows:
+        elif run.apart is None and not full and run.swept >= SPLIT:
             run.split(max_iterations)
         else:
             run.forward(left)
