@@ -1,11 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidegraph.config import RunConfig, parse
 from tidegraph.functions.numeric import DOUBLE, FIXED, LABEL, WEIGHT
 from tidegraph.operators import components as C, propagate as R, sparsify as P, state as S
+from tidegraph.operators.settle import arranged, iterate
 from tidegraph import queries as Q
 from tidegraph.plans.engine import Engine
 from tidegraph.plans.evaluate import recompute
@@ -373,6 +375,7 @@ def test_small_pieces_write_few_rows(spark, tmp_path):
 @pytest.mark.parametrize("share", [R.ROWS_PER_TASK, 0])
 def test_swings_end_with_the_labels_of_the_cap(spark, monkeypatch, share):
     monkeypatch.setattr(R, "ROWS_PER_TASK", share or 1)
+    monkeypatch.setattr(R, "SETTLE_ROWS", share or 1)
     monkeypatch.setattr(R, "bucket_count", lambda rows, most: 2)
     edges, start, known = [(0, 1, 1.0), (2, 3, 0.4), (3, 4, 0.6)], {0: 0.0, 1: 1.0, 2: 0.0, 3: 0.9, 4: 0.4}, {2: 0}
     for cap in (10_000, 10_001):
@@ -397,6 +400,7 @@ def test_slow_swings_that_die_are_followed_to_their_end(spark, r):
 def test_small_components_are_swept_on_their_own(spark, monkeypatch):
     """A graph over several tasks: slow and lasting swings in small components, and one component larger than a task's share."""
     monkeypatch.setattr(R, "ROWS_PER_TASK", 20)
+    monkeypatch.setattr(R, "SETTLE_ROWS", 20)
     monkeypatch.setattr(R, "bucket_count", lambda rows, most: 3)
     monkeypatch.setattr(R, "SPLIT", 8)
     monkeypatch.setattr(R, "SPARSE", 2.0)
@@ -411,8 +415,27 @@ def test_small_components_are_swept_on_their_own(spark, monkeypatch):
     assert all(abs(x.f - want[x.id]) < 1e-9 for x in out.labels.collect())
 
 
+@pytest.mark.parametrize("fixed", [False, True])
+def test_few_movers_are_swept_as_all(monkeypatch, fixed):
+    """Sweeps of a task over the movers' neighbourhood give the bits of sweeps over every row."""
+    rng, n = np.random.default_rng(4), 400
+    pairs = np.unique(np.sort(rng.integers(0, n, (900, 2)), axis=1), axis=0)
+    a, b = pairs[pairs[:, 0] < pairs[:, 1]].T
+    w = rng.integers(1, 1_000_000, len(a)) if fixed else rng.random(len(a))
+    open_, moved = rng.random(n) > 0.1, np.zeros(n, bool)
+    moved[:5] = open_[:5]
+    f = rng.integers(0, LABEL + 1, n) if fixed else rng.random(n)
+    graph = arranged(np.arange(n), np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((w, w)), open_, fixed)
+    runs = []
+    for few in (0, 1e9):
+        monkeypatch.setattr("tidegraph.operators.settle.FEW", few)
+        runs.append(iterate(graph, f, moved, 100 if fixed else 1e-6, 5_000, False))
+    assert (runs[0][0] == runs[1][0]).all() and runs[0][1:] == runs[1][1:] and runs[0][2] and runs[0][1] > 20
+
+
 def test_distributed_sweeps_follow_swings_that_die(spark, monkeypatch):
     monkeypatch.setattr(R, "ROWS_PER_TASK", 1)
+    monkeypatch.setattr(R, "SETTLE_ROWS", 1)
     monkeypatch.setattr(R, "bucket_count", lambda rows, most: 2)
     r, delta = 0.02, 0.5
     edges, start, known = [(0, 1, 1.0), (0, 2, r), (1, 3, r)], {0: 0.0, 1: 1.0, 2: 0.0, 3: 1.0}, {2: 0, 3: 1}

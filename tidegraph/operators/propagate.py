@@ -12,8 +12,8 @@ each sweep, so the run is cut back to the exact sweep that it stops at. A graph
 On a large graph of which few vertices move, a sweep reads the neighbourhood of the movers only and writes nothing but the rows that it changed, as a run
 of a ``LabelLog``: a base with runs on top, read as the newest row of each id and merged every ``MERGE`` runs.
 
-Known vertices never change, so the components that the others form without them do not touch. After ``SPLIT`` sweeps, those components that move and are
-at most one task's share are dealt to tasks, which sweep them to the end (``settle_parts``); sweeps over the whole graph go on for larger ones only.
+Known vertices never change, so the components that the others form without them do not touch. After ``SPLIT`` sweeps, those components that move and have
+at most ``SETTLE_ROWS`` rows are dealt to tasks, which sweep them to the end (``settle_parts``); sweeps over the whole graph go on for larger ones only.
 
 A component without a known class may swing between states for ever. Each sweep's labels and movers have a digest (xor and sum of a hash a vertex,
 whatever the order). When one comes up again after p sweeps, the state is held and compared row by row with the one p sweeps later: if both are equal,
@@ -47,6 +47,8 @@ MERGE = 8
 UNROLL = 4
 #: Sweeps after which components that still move are swept on their own.
 SPLIT = 16
+#: Directed edges and loops of a component that one task sweeps to the end: some tens of bytes each, and a sweep in memory that is shorter than a job's start.
+SETTLE_ROWS = 1 << 22
 #: Cap of sweeps, the fixed default of the command line.
 MAX_SWEEPS = 100_000
 
@@ -241,7 +243,7 @@ class Run:
         self.apart: tuple[int, bool] | None = None
 
     def split(self, most: int) -> None:
-        """Sweeps all small components that still move to the end, each in a task; the others go on."""
+        """Sweeps all components of at most SETTLE_ROWS rows that still move to the end, each in a task; the others go on."""
         now = self.log.current()
         open_ = now.where("open").select("id")
         end = lambda c: open_.withColumnRenamed("id", c)
@@ -252,7 +254,7 @@ class Run:
         rows = self.adj.df.select("id", "nbr", "w").join(members, "id")
         seen = Observation()
         # A row a component that moves.
-        small = rows.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= ROWS_PER_TASK)
+        small = rows.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= SETTLE_ROWS)
         small = Table(small.observe(seen, F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))).df
         if not seen.get["rows"]:
             self.apart = 0, True

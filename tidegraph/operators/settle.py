@@ -1,7 +1,8 @@
 """All sweeps of a graph, or of parts of one that do not touch, whose adjacency is no more than one task's share.
 
 Such a graph lies in one bucket, so that every sweep is one task anyway; that task then makes them all, on arrays sorted by the pulling vertex, instead of a job for
-each few. So does a task for the small components that a large graph falls into where known vertices, which never change, are taken out. Its rows are bounded by ``propagate.ROWS_PER_TASK``, edges and vertices together twice that. Rules and results are those of the distributed sweeps.
+each few. So does a task for the components that a large graph falls into where known vertices, which never change, are taken out. A whole graph is bounded by ``propagate.ROWS_PER_TASK`` rows, edges and vertices
+together twice that; a component by ``propagate.SETTLE_ROWS``. Rules and results are those of the distributed sweeps.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from pyspark.sql import DataFrame, Observation, functions as F
 from tidegraph.functions.numeric import LABEL, Numeric
 from tidegraph.storage import Table
 
+#: A sweep pulls the rows of the movers' neighbours alone if theirs are at most a FEW-th of all rows.
+FEW = 16
+
 
 @dataclass
 class Local:
@@ -29,24 +33,45 @@ class Local:
     fixed: bool
 
     def __post_init__(self):
-        if self.fixed and sum(self.w.tolist()) * LABEL >= 1 << 62:
+        # Sums of a vertex must fit 64 bits.
+        if self.fixed and len(self.w) and np.add.reduceat(self.w.astype(float), self.starts).max() * LABEL >= 1 << 62:
             self.w = self.w.astype(object)
+        self.sizes = np.diff(self.starts, append=len(self.w))
         self.whole = np.add.reduceat(self.w, self.starts)
         self.pulls = (self.whole > (0 if self.fixed else 1e-10)).astype(bool)
         self.divide = np.where(self.pulls, self.whole, 1)
 
+    def rows_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of the vertices ``at``, and where those of each begin among them."""
+        n = self.sizes[at]
+        begins = np.cumsum(n) - n
+        return np.repeat(self.starts[at] - begins, n) + np.arange(n.sum()), begins
+
+    def mean(self, part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        if not self.fixed:
+            return np.clip(part / whole, 0.0, 1.0)
+        q, r = part // whole, part % whole
+        return np.clip((q + (2 * r >= whole)).astype(np.int64), 0, LABEL)
+
     def sweep(self, f: np.ndarray, moved: np.ndarray, everyone: bool, alone: bool) -> np.ndarray:
         """Labels after one sweep of the open vertices: of all, of the ``moved`` alone, or of those and their neighbours."""
-        part = np.add.reduceat(self.w * f[self.nbr], self.starts)
-        if self.fixed:
-            q, r = part // self.divide, part % self.divide
-            mean = np.clip((q + (2 * r >= self.divide)).astype(np.int64), 0, LABEL)
-        else:
-            mean = np.clip(part / self.divide, 0.0, 1.0)
-        active = self.open & self.pulls
-        if not everyone:
-            active &= moved if alone else np.logical_or.reduceat(moved[self.nbr], self.starts)
-        return np.where(active, mean, f)
+        able = self.open & self.pulls
+        if everyone or FEW * self.sizes[moved].sum() > len(self.nbr):
+            mean = self.mean(np.add.reduceat(self.w * f[self.nbr], self.starts), self.divide)
+            if not everyone:
+                able &= moved if alone else np.logical_or.reduceat(moved[self.nbr], self.starts)
+            return np.where(able, mean, f)
+        # Whoever moves is open and has all its rows here, its loop among them, so its neighbours are those that it moves.
+        touched = moved
+        if not alone:
+            touched = np.zeros(len(f), bool)
+            touched[self.nbr[self.rows_of(np.flatnonzero(moved))[0]]] = True
+        at = np.flatnonzero(touched & able)
+        new = f.copy()
+        if len(at):
+            rows, begins = self.rows_of(at)
+            new[at] = self.mean(np.add.reduceat(self.w[rows] * f[self.nbr[rows]], begins), self.divide[at])
+        return new
 
 
 def iterate(graph: Local, f: np.ndarray, moved: np.ndarray, step, most: int, full: bool, done: int = 0) -> tuple[np.ndarray, int, bool, int]:
