@@ -11,7 +11,7 @@ from tidegraph.operators.settle import arranged, iterate
 from tidegraph import queries as Q
 from tidegraph.plans.engine import Engine
 from tidegraph.plans.evaluate import recompute
-from tidegraph.schemas import EDGES, VERTICES, Graph, violations
+from tidegraph.schemas import EDGES, VERTICES, Graph, check, violations
 from tidegraph.sources import batches as B, generate as G, text as K
 
 GOLD_V = [(0, 0, 0, None, 0), (1, 1, 0, None, 1), (2, 1, 1, None, None), (3, 1, 1, 2, None), (4, 0, 1, None, None), (5, 1, 1, None, 1), (6, 1, 2, None, None), (7, 0, 2, 2, None)]
@@ -113,6 +113,19 @@ def random_graph(seed, n=60, m=110):
     return v, [(a, b, round(rng.uniform(0.05, 1), 3)) for a, b in sorted(pairs)]
 
 
+def test_unsound_graphs_are_refused(spark, gold):
+    """Nulls, loops, repeats, missing ends and impossible lives are counted, and the engine refuses them when asked to look."""
+    v = [*GOLD_V, (7, 0, 2, 2, None), (8, 1, 3, 1, None), (9, 0, 1, 2, 0)]
+    e = [*GOLD_E, (0, 2, 0.5), (5, 5, 0.5), (7, 6, 0.5), (8, 40, 0.0), (8, 9, None), (None, 1, 0.5)]
+    bad = graph(spark, v, e)
+    want = {"self_loop_or_order": 3, "repeated_edge": 1, "weight_not_positive": 2, "repeated_vertex": 1, "known_vertex_deleted": 1, "deleted_before_arrival": 1, "unknown_endpoint": 2}
+    assert {r.rule: r.n for r in violations(bad).collect()} == want
+    with pytest.raises(ValueError, match="unknown_endpoint"):
+        Engine(bad, check=True)
+    empty = graph(spark, [], [])
+    assert check(gold) is gold and check(empty) is empty
+
+
 def test_engine_is_the_plain_one(spark):
     v, e = random_graph(3)
     engine = Engine(graph(spark, v, e), delta=1e-3, tau=0.45, max_iterations=5)

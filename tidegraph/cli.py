@@ -26,7 +26,7 @@ def run(spark: SparkSession, config: RunConfig) -> dict:
     graph = gen_batches(labels, edges, config)
     if config.verbose:
         batch_summary(graph).orderBy("batch_id").show()
-    engine = Engine(graph, config.delta, config.tau, max_iterations=config.max_iterations)
+    engine = Engine(graph, config.delta, config.tau, max_iterations=config.max_iterations, check=True)
     for b in range(config.num_batches):
         engine.process_batch(b)
         say("batch %d: %.0f ms, accuracy %.6f, %d sweeps, converged %s, %d components, %d strong edges" % engine.metrics[-1])

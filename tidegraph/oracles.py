@@ -243,6 +243,26 @@ ENGINE, METRICS = engine()
 SETTLED, SETTLED_METRICS = engine(settle=True)
 REST = (AT, HALF, settled("", "half", full=True))
 
+#: A row of counts for each graph that ``graph_violations`` looks at.
+BROKEN = """
+turned AS (SELECT dst AS src, src AS dst, -w AS w FROM e WHERE (src + dst) % 5 = 0),
+bad_v AS (SELECT * FROM v WHERE id % 7 > 0 UNION ALL SELECT * FROM v WHERE id % 9 = 1),
+bad_e AS (SELECT * FROM e UNION ALL SELECT * FROM turned UNION ALL SELECT * FROM turned)"""
+
+
+def rules(name: str, v: str, e: str) -> str:
+    counted = {
+        "self_loop_or_order": f"FROM {e} WHERE src >= dst",
+        "repeated_edge": f"FROM (SELECT src, dst FROM {e} GROUP BY ALL HAVING count(*) > 1)",
+        "weight_not_positive": f"FROM {e} WHERE w <= 0",
+        "repeated_vertex": f"FROM (SELECT id FROM {v} GROUP BY id HAVING count(*) > 1)",
+        "unknown_endpoint": f"FROM (SELECT src FROM {e} UNION SELECT dst FROM {e}) WHERE src NOT IN (SELECT id FROM {v})",
+        "known_vertex_deleted": f"FROM {v} WHERE gt_class IS NOT NULL AND delete_batch IS NOT NULL",
+        "deleted_before_arrival": f"FROM {v} WHERE delete_batch < batch_id",
+    }
+    return " UNION ALL ".join(f"SELECT '{rule}' AS rule, '{name}' AS graph, count(*) AS n {rows}" for rule, rows in counted.items())
+
+
 ORACLES = {
     "adjacency": sql("SELECT id, nbr, w FROM both_ways"),
     "degrees": sql("SELECT id, count(*) AS degree FROM both_ways GROUP BY id"),
@@ -320,6 +340,11 @@ ORACLES = {
     "read_labels": sql("SELECT id, true_label FROM v"),
     "trade_edge_activation": sql("SELECT src, dst, w, starts AS batch_id FROM lines", graph=TRADE),
     "trade_propagate_step": sql("SELECT id, f FROM one", AT, START, ONE, graph=TRADE),
+    "engine_beside_recompute": sql(f"""SELECT count(*) AS scored, round(coalesce(avg(CAST((l.f >= {LABEL // 2}) = (true_label = 1) AS INTEGER)), 1.0), 6) AS accuracy,
+      round(coalesce(avg(CAST((r.f >= {LABEL // 2}) = (true_label = 1) AS INTEGER)), 1.0), 6) AS full_accuracy, count(*) FILTER ((l.f >= {LABEL // 2}) = (r.f >= {LABEL // 2})) AS same
+      FROM v JOIN l{LAST} l USING (id) JOIN rs{SWEEPS} r USING (id) WHERE id IN (FROM ropen)""",
+      *ENGINE, state(LAST, "r"), f"rhalf AS MATERIALIZED (SELECT id, CAST({LABEL // 2} AS BIGINT) AS f FROM ralive)", sweeps("r", "rhalf", SWEEPS, full=True)),
+    "graph_violations": sql(f"{rules('given', 'v', 'e')} UNION ALL {rules('broken', 'bad_v', 'bad_e')}", BROKEN),
     "run_summary": sql(f"""SELECT count(*) AS batches, round(CAST(sum((batch_id + 1) * 10) AS DOUBLE), 6) AS total_ms, round(avg(accuracy), 6) AS mean_accuracy,
       round(max_by(accuracy, batch_id), 6) AS final_accuracy, round(600.0::DOUBLE / sum((batch_id + 1) * 10), 6) AS speedup FROM ({" UNION ALL ".join(METRICS)})""", *ENGINE),
 }

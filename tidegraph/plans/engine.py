@@ -14,7 +14,7 @@ from tidegraph.operators.initialize import label_init, supernode_weights
 from tidegraph.operators.propagate import MAX_SWEEPS, ROWS_PER_TASK, Placed, loops, place, propagate
 from tidegraph.operators.sparsify import insertion_affected, new_vertices, strong_new_edges
 from tidegraph.plans.evaluate import accuracy
-from tidegraph.schemas import Graph
+from tidegraph.schemas import Graph, check
 from tidegraph.storage import Table, materialize
 
 METRICS = "batch_id int, time_ms double, accuracy double, iterations int, converged boolean, num_components long, num_sub_edges long"
@@ -38,6 +38,8 @@ class Engine:
     max_iterations: int = MAX_SWEEPS
     numeric: Numeric = DOUBLE
     freeze_gt_free: bool = False
+    #: Whether to look for rows that break the graph's rules before anything else (one job over its tables).
+    check: bool = False
     #: Whether to keep labels over time, see ``history``.
     keep: bool = False
     labels: DataFrame | None = None
@@ -47,6 +49,8 @@ class Engine:
     metrics: list[tuple] = field(default_factory=list)
 
     def __post_init__(self):
+        if self.check:
+            check(self.graph)
         self.taus: dict[int, float] = {}
         self.regions: tuple[int, DataFrame] | None = None
         self.vertices = self.graph.vertices

@@ -11,6 +11,7 @@ from tidegraph.functions.numeric import FIXED, LABEL, WEIGHT
 from tidegraph.operators import components as C, initialize as I, propagate as R, sparsify as P, state as S
 from tidegraph.plans import evaluate as E
 from tidegraph.plans.engine import Engine
+from tidegraph.schemas import Graph, violations
 from tidegraph.sources import batches as B, fixtures as X, generate as G, text as K
 from tidegraph.storage import materialize, shared_dir
 
@@ -213,6 +214,23 @@ def read_back(c: Case, which: int) -> DataFrame:
     return labels if which else edges.withColumn("w", F.round(F.col("w") * WEIGHT).cast("long"))
 
 
+def beside_recompute(c: Case):
+    """The last batch's accuracy by an engine's run and by a full recompute, each to as many sweeps, and on how many vertices they agree."""
+    made, (full_run, _) = engine(c.v.sparkSession, c.sf_dir), E.recompute(c.graph, c.at, DELTA, SWEEPS, FIXED)
+    one = lambda labels, name: E.accuracy(labels, c.v, c.at, FIXED).select("scored", F.round("accuracy", 6).alias(name))
+    other = E.predictions(full_run.labels, FIXED).withColumnRenamed("predicted", "other")
+    same = E.predictions(made.labels, FIXED).join(other, "id").join(S.open_vertices(c.v, c.at), "id").agg(F.count_if(F.col("predicted") == F.col("other")).alias("same"))
+    return one(made.labels, "accuracy").join(one(full_run.labels, "full_accuracy"), "scored").crossJoin(same)
+
+
+def broken(c: Case):
+    """Rules that the graph breaks, and that it breaks without its vertices of an id divisible by seven and with edges turned round."""
+    turned = c.e.where("(src + dst) % 5 = 0").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (-F.col("w")).alias("w"))
+    other = Graph(c.v.where("id % 7 > 0").unionByName(c.v.where("id % 9 = 1")), c.e.unionByName(turned).unionByName(turned))
+    marked = lambda g, name: violations(g).select("rule", F.lit(name).alias("graph"), "n")
+    return marked(c.graph, "given").unionByName(marked(other, "broken"))
+
+
 DEGREE = 5
 
 
@@ -274,6 +292,8 @@ QUERIES = {
     "settled_label_propagation": lambda spark, sf_dir: settled_engine(spark, sf_dir).all_labels(),
     "settled_engine_metrics": settled_metrics,
     "run_summary": run_summary,
+    "engine_beside_recompute": lambda spark, sf_dir: beside_recompute(Case(spark, sf_dir, LAST)),
+    "graph_violations": over(broken),
     "export_row_pointers": over(exported(export_graph, "RowPtr")),
     "export_columns": over(exported(export_graph, "ColInd")),
     "export_values": over(exported(export_graph, "Values")),
