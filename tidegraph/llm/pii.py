@@ -9,10 +9,13 @@ share a consistency potential. Loopy sum-product over that graph lets "+44 20 79
 label a bare "020 7946 0958" pages later, and a card number that stands by itself label its repeat that
 runs into another number. Look-alikes that end up with a probability over one half are added to the base spans.
 
-Unary potentials are a softmax regression fitted (in milliseconds, seeded) on generated numbers and
-addresses; no corpus text is learned from. Link strengths are set so that one clamped repeat outweighs the
-doubt of the unary model and a mere resemblance does only where the number could well be of that kind. Work is
-linear in the text: each pattern is scanned once, and links grow with candidates, not with their pairs.
+Unary potentials and link strengths are fitted on the documents themselves by pseudo-likelihood: each base span is hidden in turn, written in each
+of some weaker forms (``forms``: without its plus sign or separators; a short one where the document has the value in full elsewhere too), and is to be
+told from its features and the kinds of what it is linked to; look-alikes count as no personal data. The prior, which decides where a corpus shows little, is a
+softmax regression on generated numbers and addresses, with strengths by which one clamped repeat outweighs the doubt of
+the unary model and a mere resemblance does only where the number could well be of that kind. The fit takes up to
+``FIT_CANDIDATES`` candidates of about ``FIT_DOCS`` documents, both chosen by a hash; it is the same however the table is cut. Detection goes over every whole text. Work is
+linear in the text but for the sorting of candidates: each pattern is scanned once, and links grow with candidates, not with their pairs.
 
 Defined cases. A null text is empty: no spans, the digest of the empty string. Repeated rows are done
 each. Spans of one kind do not overlap; spans of different kinds may. Extra columns are ignored.
@@ -23,12 +26,16 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from tidegraph.llm.common import with_results
+from tidegraph.llm.common import pieces, with_results
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -44,9 +51,18 @@ DIGIT = re.compile(r"[^0-9]+")
 WORD_END = re.compile(r"[\s@]")
 SOME = re.compile(r"[0-9@]")
 CUES = (("tel", "phone", "call", "fax", "mobile"), ("card", "visa", "credit"), ("ip", "host", "server", "address"), ("mail", "contact", "write"))
-#: Link strengths of a repeat, a resemblance and a neighbour; the clamp of base spans; message sweeps.
-REPEAT, COUPLING, CHAIN, CLAMP, SWEEPS = 6.0, 2.2, 0.15, 12.0, 15
+#: Kinds of links, and the prior strength of each.
+REPEAT, COUPLING, CHAIN = range(3)
+STRENGTHS = (6.0, 2.2, 0.15)
+#: The clamp of base spans; message sweeps; how near neighbours of the chain are.
+CLAMP, SWEEPS, NEAR = 12.0, 15, 80
 LONGEST = 19
+FIT_DOCS, FIT_CANDIDATES = 100_000, 20_000
+
+
+class Potentials(NamedTuple):
+    unary: np.ndarray  #: (features, labels)
+    links: np.ndarray  #: a strength a kind of link
 
 
 def luhn(digits: str) -> bool:
@@ -187,8 +203,8 @@ def generated(rows: int = 1500, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     return np.array(x, float), np.array(y)
 
 
-def fit_unary(steps: int = 300, ridge: float = 1e-3) -> np.ndarray:
-    """(features, labels) weights of a softmax regression on generated candidates."""
+def prior(steps: int = 300, ridge: float = 1e-3) -> Potentials:
+    """A softmax regression on generated candidates, and the prior strengths of links."""
     x, y = generated()
     w, hot = np.zeros((x.shape[1], 1 + len(KINDS))), np.eye(1 + len(KINDS))[y]
     for _ in range(steps):
@@ -196,11 +212,11 @@ def fit_unary(steps: int = 300, ridge: float = 1e-3) -> np.ndarray:
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         w -= 1.0 * (x.T @ (p - hot) / len(x) + ridge * w)
-    return w
+    return Potentials(w, np.array(STRENGTHS))
 
 
-def keys(s: str) -> list[tuple[str, float]]:
-    """What a candidate shares with those it is linked to, and how strong the link is."""
+def keys(s: str) -> list[tuple[str, int]]:
+    """What a candidate shares with those it is linked to, and the kind of link."""
     if "@" in s:
         name, _, host = s.lower().rstrip(".,;:!?").partition("@")
         return [(f"n{name}", COUPLING)] * bool(name) + [(f"h{name}@{host}", REPEAT)]
@@ -230,7 +246,7 @@ def beliefs(unary: np.ndarray, edges: np.ndarray, strength: np.ndarray) -> np.nd
     return p / p.sum(axis=1, keepdims=True)
 
 
-def find(text: str, weights: np.ndarray) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
+def find(text: str, potentials: Potentials) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
     """(base spans, all spans) of one text, by kind and start."""
     empty: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     if not SOME.search(text):
@@ -239,7 +255,7 @@ def find(text: str, weights: np.ndarray) -> tuple[dict[str, list[tuple[int, int]
     weak = weak_spans(text, base)
     if not weak:
         return base, base
-    nodes, unary, edges, strength = field(text, base, weak, weights)
+    nodes, unary, edges, strength = field(text, base, weak, potentials)
     p = beliefs(unary, edges, strength)
     every = {k: list(v) for k, v in base.items()}
     for (a, b, label), q in zip(nodes, p):
@@ -248,25 +264,130 @@ def find(text: str, weights: np.ndarray) -> tuple[dict[str, list[tuple[int, int]
     return base, {k: sorted(v) for k, v in every.items()}
 
 
-def field(text: str, base: dict[str, list[tuple[int, int]]], weak: list[tuple[int, int]], weights: np.ndarray):
-    """The random field of a text: nodes (start, end, label or 0 if open), unary potentials, edges and their strengths."""
-    nodes = sorted([(a, b, 1 + k) for k, kind in enumerate(KINDS) for a, b in base[kind]] + [(a, b, 0) for a, b in weak])
-    unary = np.array([features(text, a, b) for a, b, _ in nodes]) @ weights
+def field(text: str, base: dict[str, list[tuple[int, int]]], weak: list[tuple[int, int]], potentials: Potentials, hidden: dict[tuple[int, int, int], str] | None = None):
+    """The random field of a text: nodes (start, end, label or 0 if open), unary potentials, edges and their strengths.
+
+    Nodes of ``hidden`` are open and written in the form given there.
+    """
+    nodes, hidden = listed(base, weak), hidden or {}
+    forms = [hidden.get(node, text[node[0] : node[1]]) for node in nodes]
+    unary = np.array([features(*rewritten(text, a, b, form)) for (a, b, _), form in zip(nodes, forms)]) @ potentials.unary
+    nodes = [(a, b, 0 if (a, b, label) in hidden else label) for a, b, label in nodes]
     for i, (_, _, label) in enumerate(nodes):
         if label:
             unary[i] = 0
             unary[i, label] = CLAMP
-    edges, strength, last = [], [], {}
-    for i, (a, b, _) in enumerate(nodes):
-        if i and a - nodes[i - 1][1] < 80:
+    edges, kinds, last = [], [], {}
+    for i, (a, _, _) in enumerate(nodes):
+        if i and a - nodes[i - 1][1] < NEAR:
             edges.append((i - 1, i))
-            strength.append(CHAIN)
-        for k, strong in keys(text[a:b]):
+            kinds.append(CHAIN)
+        for k, kind in keys(forms[i]):
             if k in last:
                 edges.append((last[k], i))
-                strength.append(strong)
+                kinds.append(kind)
             last[k] = i
-    return nodes, unary, np.array(edges, np.int64).reshape(-1, 2), np.array(strength, float)
+    return nodes, unary, np.array(edges, np.int64).reshape(-1, 2), potentials.links[np.array(kinds, np.int64)]
+
+
+def listed(base: dict[str, list[tuple[int, int]]], weak: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """All candidates of a text in order: start, end, label (0 for look-alikes)."""
+    return sorted([(a, b, 1 + k) for k, kind in enumerate(KINDS) for a, b in base[kind]] + [(a, b, 0) for a, b in weak])
+
+
+def rewritten(text: str, a: int, b: int, form: str) -> tuple[str, int, int]:
+    """What ``features`` sees around a span, with ``form`` in its place."""
+    before = text[max(0, a - 24) : a]
+    return before + form + text[b : b + 1], len(before), len(before) + len(form)
+
+
+def forms(s: str, label: int, elsewhere: bool) -> list[str]:
+    """Ways to write a base span that is hidden; short ones only if the text has it in full ``elsewhere`` too."""
+    digits = DIGIT.sub("", s)
+    kind = KINDS[label - 1]
+    if kind == "email":
+        return [s, s.partition(".")[0] if "@" in s.partition(".")[0] else s.rpartition(".")[0]] if elsewhere else [s]
+    if kind == "ip":
+        return [s]
+    if kind == "card":
+        return [s, digits]
+    return [s, s.lstrip("+"), digits, *([digits[-7:]] if elsewhere else [])]
+
+
+def examples(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """(start, features, counts of linked labels, label) of each look-alike and of each form of each base span, hidden alone; see ``packed``."""
+    base = base_spans(text)
+    nodes = listed(base, weak_spans(text, base))
+    written_as = [text[a:b] for a, b, _ in nodes]
+    held, times = defaultdict(list), defaultdict(int)
+    for i, s in enumerate(written_as):
+        times[s] += 1
+        for k, _ in keys(s):
+            held[k].append(i)
+    for i, (a, b, label) in enumerate(nodes):
+        whole = written_as[i]
+        chain = np.zeros((len(STRENGTHS), 1 + len(KINDS)), np.int64)
+        if i and a - nodes[i - 1][1] < NEAR:
+            chain[CHAIN, nodes[i - 1][2]] += 1
+        if i + 1 < len(nodes) and nodes[i + 1][0] - b < NEAR:
+            chain[CHAIN, nodes[i + 1][2]] += 1
+        for s in dict.fromkeys(forms(whole, label, times[whole] > 1)) if label else [whole]:
+            linked = chain.copy()
+            for k, kind in keys(s):
+                others = held.get(k, [])
+                before, after = bisect_left(others, i) - 1, bisect_right(others, i)
+                if before >= 0:
+                    linked[kind, nodes[others[before]][2]] += 1
+                if after < len(others):
+                    linked[kind, nodes[others[after]][2]] += 1
+            yield a, packed(3 * np.array(features(*rewritten(text, a, b, s)), float)), packed(linked.ravel()), label
+
+
+def packed(values: np.ndarray) -> int:
+    """Whole numbers from 0 to 3 in two bits each."""
+    return sum(int(round(v)) << 2 * i for i, v in enumerate(values))
+
+
+def unpacked(numbers: np.ndarray, n: int) -> np.ndarray:
+    return (numbers[:, None] >> 2 * np.arange(n)) & 3
+
+
+def fitted(x: np.ndarray, linked: np.ndarray, y: np.ndarray, before: Potentials, steps: int = 600, rate: float = 0.3) -> Potentials:
+    """The potentials of greatest pseudo-likelihood times a Gaussian prior of variance one around ``before``; links stay non-negative."""
+    unary, links, hot = before.unary.copy(), before.links.copy(), np.eye(1 + len(KINDS))[y]
+    for _ in range(steps if len(y) else 0):
+        z = x @ unary + np.einsum("ntl,t->nl", linked, links)
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        d = p / p.sum(axis=1, keepdims=True) - hot
+        unary -= rate * (x.T @ d + unary - before.unary) / len(y)
+        links -= rate * (np.einsum("nl,ntl->t", d, linked) + links - before.links) / len(y)
+        links = np.maximum(links, 0)
+    return Potentials(unary, links)
+
+
+def learned(rows: list[tuple[int, int, int]]) -> Potentials:
+    """Potentials from rows of packed features, packed links and labels."""
+    start = prior()
+    table = np.array(rows, np.int64).reshape(-1, 3)
+    x = unpacked(table[:, 0], len(start.unary)) / 3
+    linked = unpacked(table[:, 1], len(STRENGTHS) * (1 + len(KINDS))).reshape(-1, len(STRENGTHS), 1 + len(KINDS))
+    return fitted(x, linked.astype(float), table[:, 2], start)
+
+
+def fit(docs: DataFrame, keep: list[str]) -> Potentials:
+    """Potentials fitted on a sample of ``docs`` by a hash of the text and the columns ``keep``."""
+    key = F.xxhash64(*dict.fromkeys(["text", *keep]))
+    share = min(1.0, FIT_DOCS / max(1, docs.count()))
+    some = docs.select(key.alias("key"), F.col("text").alias("__text")).where(F.pmod("key", F.lit(1 << 40)) < int(share * (1 << 40)))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "__text"):
+                rows = [(k, *e) for k, t in zip(part.column("key").to_pylist(), part.column("__text").to_pylist()) if t and SOME.search(t) for e in examples(t)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=["key", "start", "x", "linked", "label"])
+
+    found = some.mapInArrow(work, "key long, start long, x long, linked long, label long").withColumn("place", F.xxhash64("key", "start"))
+    return learned([(r.x, r.linked, r.label) for r in found.orderBy("place", "x", "linked", "label").limit(FIT_CANDIDATES).collect()])
 
 
 def written(spans: dict[str, list[tuple[int, int]]]) -> str:
@@ -285,10 +406,10 @@ def redact(text: str, spans: dict[str, list[tuple[int, int]]]) -> str:
 
 def detect(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` with n_email, n_ip, n_card, n_phone, base_sha256, spans and the redacted text as ``clean``."""
-    weights = fit_unary()
+    potentials = fit(docs, keep)
 
     def work(texts):
-        made = [find(t, weights) for t in texts]
+        made = [find(t, potentials) for t in texts]
         out = {f"n_{k}": pa.array([len(b[k]) for b, _ in made], pa.int64()) for k in KINDS}
         out["base_sha256"] = pa.array([hashlib.sha256(written(b).encode()).hexdigest() for b, _ in made], pa.string())
         out["spans"] = pa.array([written(e) for _, e in made], pa.string())
@@ -299,8 +420,8 @@ def detect(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 def redacted(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` with the text without its personal data as ``clean`` (null stays null only if the caller keeps it so)."""
-    weights = fit_unary()
-    return with_results(docs, keep, lambda texts: {"clean": pa.array([redact(t, find(t, weights)[1]) for t in texts], pa.string())}, "clean string")
+    potentials = fit(docs, keep)
+    return with_results(docs, keep, lambda texts: {"clean": pa.array([redact(t, find(t, potentials)[1]) for t in texts], pa.string())}, "clean string")
 
 
 def op2_pii(spark, sf_dir):
