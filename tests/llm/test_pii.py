@@ -208,5 +208,4 @@ def test_links_find_hidden_spans_of_the_table_that_their_features_do_not():
     found, hidden, alike = hidden_recall(texts[1::2] * 4, made)
     without, _, alike_without = hidden_recall(texts[1::2] * 4, pii.Potentials(made.unary, np.zeros(3)))
     assert without < found and found > 0.97 * hidden > 500
-    assert alike <= alike_without + 4
-    print(found, without, hidden, alike)
+    assert alike <= alike_without <= 8

@@ -57,7 +57,8 @@ STRENGTHS = (6.0, 2.2, 0.15)
 #: The clamp of base spans; message sweeps; how near neighbours of the chain are.
 CLAMP, SWEEPS, NEAR = 12.0, 15, 80
 LONGEST = 19
-FIT_DOCS, FIT_CANDIDATES = 100_000, 20_000
+#: Bounds of the sample that is fitted on, and the prior's precision.
+FIT_DOCS, FIT_CANDIDATES, TRUST = 100_000, 20_000, 0.3
 
 
 class Potentials(NamedTuple):
@@ -352,15 +353,15 @@ def unpacked(numbers: np.ndarray, n: int) -> np.ndarray:
     return (numbers[:, None] >> 2 * np.arange(n)) & 3
 
 
-def fitted(x: np.ndarray, linked: np.ndarray, y: np.ndarray, before: Potentials, steps: int = 600, rate: float = 0.3) -> Potentials:
-    """The potentials of greatest pseudo-likelihood times a Gaussian prior of variance one around ``before``; links stay non-negative."""
+def fitted(x: np.ndarray, linked: np.ndarray, y: np.ndarray, before: Potentials, steps: int = 1500, rate: float = 0.3) -> Potentials:
+    """The potentials of greatest pseudo-likelihood times a Gaussian prior of precision ``TRUST`` around ``before``; links stay non-negative."""
     unary, links, hot = before.unary.copy(), before.links.copy(), np.eye(1 + len(KINDS))[y]
     for _ in range(steps if len(y) else 0):
         z = x @ unary + np.einsum("ntl,t->nl", linked, links)
         p = np.exp(z - z.max(axis=1, keepdims=True))
         d = p / p.sum(axis=1, keepdims=True) - hot
-        unary -= rate * (x.T @ d + unary - before.unary) / len(y)
-        links -= rate * (np.einsum("nl,ntl->t", d, linked) + links - before.links) / len(y)
+        unary -= rate * (x.T @ d + TRUST * (unary - before.unary)) / len(y)
+        links -= rate * (np.einsum("nl,ntl->t", d, linked) + TRUST * (links - before.links)) / len(y)
         links = np.maximum(links, 0)
     return Potentials(unary, links)
 
