@@ -279,6 +279,13 @@ ORACLES = {
     "gen_weights": f"WITH {MADE} SELECT src, dst, w FROM e",
     "gen_graph": f"WITH {MADE} SELECT src, dst, w FROM e",
     "gen_batches": batches(),
+    "command_line": f"""WITH {MADE}, n AS (SELECT {N} AS n), ids AS (SELECT n AS lines, CAST(n * (n - 1) // 2 AS BIGINT) AS total FROM n)
+      SELECT 'RowPtr' AS file, {N} + 1 AS lines, CAST(2 * count(*) AS BIGINT) AS total FROM e
+      UNION ALL SELECT 'ColInd', 2 * count(*), CAST(sum(src + dst) AS BIGINT) FROM e
+      UNION ALL SELECT 'Values', 2 * count(*), CAST(2000000 * sum(CAST(format('{{:.6f}}', w) AS DECIMAL(18, 6))) AS BIGINT) FROM e
+      UNION ALL SELECT 'TrueLabels', count(*), CAST(sum(true_label) AS BIGINT) FROM labels
+      UNION ALL SELECT 'predicted', lines, total FROM ids UNION ALL SELECT 'baseline', lines, total FROM ids
+      UNION ALL SELECT 'results', {BATCHES}, {BATCHES} * ({BATCHES} - 1) // 2""",
     "new_vertices": sql("SELECT id FROM newv", AT),
     "vertex_batches": sql("SELECT id, batch_id FROM v"),
     "initial_gt": sql("SELECT id, true_label AS gt_class FROM (SELECT *, row_number() OVER (PARTITION BY true_label ORDER BY id % 97, id) AS place FROM v) WHERE place <= greatest(2, (SELECT count(*) FROM v) // 50) // 2"),

@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegraph.config import RunConfig
+from tidegraph import cli
+from tidegraph.config import RunConfig, parse
 from tidegraph.functions.numeric import FIXED, LABEL, WEIGHT
 from tidegraph.operators import components as C, initialize as I, propagate as R, sparsify as P, state as S
 from tidegraph.plans import evaluate as E
@@ -244,6 +245,27 @@ def gen_batches(spark, sf_dir):
     v = B.gen_batches(*G.gen_graph(spark, n, DEGREE), RunConfig(total_nodes=n, num_batches=X.BATCHES)).vertices
     return unknown_as_minus(v).withColumn("delete_batch", F.coalesce("delete_batch", F.lit(-1)))
 
+
+def command_line(spark, sf_dir):
+    """Lines and totals of the files that a run of the command line writes into a folder it creates, for a graph with a vertex a customer.
+
+    Totals: the last pointer, ids of neighbours, weights in millionths, classes, ids of the predicted and of the recomputed, and the batches that took time.
+    """
+    out = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}/deep"
+    options = {"--totalNodes": size(spark, sf_dir), "--avgDegree": DEGREE, "--numBatches": X.BATCHES, "--maxIter": SWEEPS, "--output": out}
+    cli.run(spark, parse([*(str(x) for pair in options.items() for x in pair), "--quiet"]))
+    text = lambda name: spark.read.text(f"{out}/{name}")
+    word = lambda n: F.split("value", " ")[n].cast("long")
+    row = lambda df, name, total: df.agg(F.lit(name).alias("file"), F.count(F.lit(1)).alias("lines"), total.cast("long").alias("total"))
+    timed = spark.read.csv(f"{out}/results", header=True, schema="batch int, time_ms double, accuracy double")
+    made = row(text("graph/RowPtr"), "RowPtr", F.max(F.col("value").cast("long")))
+    made = made.unionByName(row(text("graph/ColInd"), "ColInd", F.sum(F.col("value").cast("long"))))
+    made = made.unionByName(row(text("graph/Values"), "Values", F.sum(F.col("value").cast("decimal(18,6)") * 1_000_000)))
+    made = made.unionByName(row(text("graph/TrueLabels"), "TrueLabels", F.sum(word(1))))
+    made = made.unionByName(row(text("predicted"), "predicted", F.sum(word(0)))).unionByName(row(text("baseline"), "baseline", F.sum(word(0))))
+    return made.unionByName(row(timed.where("accuracy between 0 and 1"), "results", F.sum(F.when(F.col("time_ms") > 0, F.col("batch")))))
+
+
 QUERIES = {
     "adjacency": over(lambda c: S.adjacency(c.e)),
     "degrees": over(lambda c: S.degrees(c.e)),
@@ -315,4 +337,5 @@ QUERIES = {
     "gen_weights": lambda spark, d: G.gen_weights(G.gen_edges(spark, size(spark, d), DEGREE), G.gen_labels(spark, size(spark, d))),
     "gen_graph": lambda spark, d: G.gen_graph(spark, size(spark, d), DEGREE)[1],
     "gen_batches": gen_batches,
+    "command_line": command_line,
 }
