@@ -188,3 +188,10 @@ def test_inner_probabilities_sum_to_one_in_every_block_size():
     # Untrained, the second level is the share by count.
     m.inner_q[:] = 0
     assert np.allclose(np.exp(m.inner_log(slots, one, one, v.starts)), v.slot_mass[slots] / v.slot_mass[slots].sum(), rtol=1e-4)
+
+
+def test_frequent_words_where_very_many_have_one_count(spark):
+    counts = spark.createDataFrame([(f"w{i:03}", 4) for i in range(50)], "token string, c long")
+    assert lm.frequent(counts.repartition(5), 20) == [(b"w%03d" % i, 4) for i in range(20)]
+    assert lm.frequent(counts.limit(0), 20) == []
+    assert len(lm.frequent(counts, 60)) == 50

@@ -77,6 +77,7 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
 
     Counts are tallied by eighths of a doubling (some five hundred at most), so that no task sends more than
     its share of the words that are kept; a global top list would have every task send ``most`` candidates.
+    It is taken only where the highest level alone has more words than that.
     """
     step = F.floor(F.log2("c") * 8).cast("int")
     tally = sorted(((r["k"], r["n"]) for r in counts.groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
@@ -86,9 +87,8 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
         if total > most:
             break
         lowest = k
-    if lowest is None:
-        return []
-    rows = counts.where(step >= lowest).collect()
+    # Where even the highest level holds too many, the words of highest counts, ties to the smaller word.
+    rows = (counts.orderBy(F.desc("c"), "token").limit(most) if lowest is None else counts.where(step >= lowest)).collect()
     return sorted(((r["token"].encode(), r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
