@@ -533,6 +533,28 @@ def test_sweeps_have_the_tasks_of_the_adjacency(spark):
     assert "hashpartitioning" not in plan and "SelectedBucketsCount: 31 out of 31" in plan
 
 
+def test_labels_of_many_vertices_do_not_pass_the_driver(spark, monkeypatch):
+    """A dense graph: sums and labels are all that is shuffled, nothing is broadcast, and buckets are few."""
+    n = 5_000
+    edges = spark.range(n * 40).select((F.col("id") % n).alias("src"), ((F.col("id") % n + 1 + F.floor(F.col("id") / n)) % n).alias("dst"), F.lit(3).cast("long").alias("w"))
+    adj, vertices = S.adjacency(edges), spark.range(n).select("id")
+    start = vertices.select("id", (F.col("id") * 7919 % 100_000_000).alias("f"))
+    none = spark.createDataFrame([], "id long, gt_class int")
+    monkeypatch.setattr(R, "SETTLE_ROWS", 1)
+    go = lambda: labels(R.propagate(adj, start, none, vertices, 1e-6, 5, FIXED).labels)
+    got = go()
+    monkeypatch.setattr(R, "ROWS_PER_TASK", 1 << 12)
+    placed = R.place(adj.unionByName(R.loops(vertices, adj)))
+    assert placed.buckets == max(R.FEW_BUCKETS, spark.sparkContext.defaultParallelism)
+    state = start.select("id", F.lit(True).alias("open"), F.col("f").alias("f0"), F.lit(True).alias("m0"))
+    for i in (1, 2):
+        state = R.sweep(placed, state, i, 1, FIXED, False, i == 1, n <= R.BROADCAST_ROWS)
+    plan = state._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("hashpartitioning") == 4
+    monkeypatch.setattr(R, "BROADCAST_ROWS", n)
+    assert got == go()
+
+
 def test_adjacency_of_the_engine_is_not_shuffled(spark, gold):
     engine = Engine(gold, delta=1e-4, tau=0.5)
     state = spark.createDataFrame([(0, True, 0.0, True)], "id long, open boolean, f0 double, m0 boolean")

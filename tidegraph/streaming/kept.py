@@ -98,7 +98,7 @@ class Kept:
         path = self.manifest["tables"]["ways"][0][0]
         rows = sum(n for _, n in self.manifest["tables"]["ways"])
         pieces = self.spark.read.schema("id long, pieces int").parquet(f"{path}/pieces") if len(self.manifest["buckets"][1]) > 1 else None
-        return Placed(self.current("ways").withColumn("salt", F.coalesce("salt", F.lit(0))), rows, pieces)
+        return Placed(self.current("ways").withColumn("salt", F.coalesce("salt", F.lit(0))), rows, pieces, self.manifest["buckets"][0])
 
     def vertices(self) -> DataFrame:
         return self.current("spans").where("batch_id is not null").select(*SPANS)
