@@ -533,6 +533,20 @@ def test_sweeps_have_the_tasks_of_the_adjacency(spark):
     assert "hashpartitioning" not in plan and "SelectedBucketsCount: 31 out of 31" in plan
 
 
+def test_components_keep_a_row_a_vertex_of_a_task(monkeypatch):
+    """Edges are joined where they lie, before any shuffle; in pieces of few vertices too, and with ends that are missing."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(3_000)] + [(100, None), (None, 101), (None, None), (102, 102)]
+    batches = lambda rows: (pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + 100]], pa.int64()) for k in (0, 1)], names=["src", "dst"]) for i in range(0, len(rows), 100))
+    out = [r for b in C._forest(batches(pairs)) for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert len(out) == 63 and {r for r in out if r[0] >= 100} == {(x, x) for x in (100, 101, 102)}
+    monkeypatch.setattr(C, "AT_ONCE", 20)
+    cut = [r for b in C._forest(batches([(i, i + 1) for i in range(1_000)])) for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert len(cut) > 1_001 and set(next(C._joined(batches(cut))).column(1).to_pylist()) == {0}
+
+
 def test_labels_of_many_vertices_do_not_pass_the_driver(spark, monkeypatch):
     """A dense graph: sums and labels are all that is shuffled, nothing is broadcast, and buckets are few."""
     n = 5_000
