@@ -2,6 +2,12 @@
 
 import pytest
 
+from tidegraph import queries as Q
+from tidegraph.functions.numeric import FIXED
+from tidegraph.operators import components as C, propagate as R, sparsify as P, state as S
+from tidegraph.plans import engine as N
+from tidegraph.plans.evaluate import recompute
+from tidegraph.schemas import Graph
 from tidegraph.sources import fixtures as X
 
 SF = "/root/testdata/sf0.001"
@@ -18,3 +24,37 @@ def test_strips_make_the_pairs_of_one_product(spark, monkeypatch):
     want = rows()
     monkeypatch.setattr(X, "BLOCK", 100)
     assert len(want) > 100 and rows() == want
+
+
+def test_lines_are_those_that_joins_make(spark):
+    g = X.similarity_graph(spark, SF)
+    joined = S.timeline(Graph(g.vertices, X.similarity_edges(spark, SF)))
+    rows = lambda df: sorted((r.src, r.dst, r.w, r.starts, -1 if r.ends is None else r.ends) for r in df.collect())
+    assert rows(g.lines) == rows(joined)
+    for batch in range(X.BATCHES):
+        strong = [{(r.src, r.dst, r.w) for r in P.strong_new_edges(lines, g.vertices, batch, 700_000).collect()} for lines in (g.lines, joined)]
+        assert strong[0] == strong[1]
+    known = {r.id for r in g.vertices.where("gt_class is not null").collect()}
+    assert all(r.free == (not known & {r.src, r.dst}) for r in g.lines.collect())
+
+
+def test_an_engine_over_many_vertices_broadcasts_nothing(spark, monkeypatch):
+    """Neither edges nor tables of a row a vertex, sweeps that split components and the recompute beside them included."""
+
+    def run():
+        g = X.similarity_graph(spark, SF)
+        made, other = N.Engine(g, Q.DELTA, Q.TAU, max_iterations=3, numeric=FIXED), recompute(g, 1, Q.DELTA, 1, FIXED)[0]
+        made.run(2)
+        return [sorted(map(tuple, df.collect())) for df in (made.all_labels(), made.metrics_table().drop("time_ms"), other.labels)]
+
+    want = run()
+    for module, name, value in ((R, "BROADCAST_ROWS", 0), (N, "BROADCAST_ROWS", 0), (R, "ROWS_PER_TASK", 1000), (N, "ROWS_PER_TASK", 0), (C, "FEW", 0), (R, "SPLIT", 2)):
+        monkeypatch.setattr(module, name, value)
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    done = store.executionsCount()
+    assert run() == want
+    bus.waitUntilEmpty()
+    plans = store.executionsList()
+    plans = [plans.apply(i).physicalPlanDescription() for i in range(plans.size())][done - store.executionsCount() :]
+    assert len(plans) > 20 and not [p for p in plans if "BroadcastExchange" in p]
