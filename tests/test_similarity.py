@@ -58,3 +58,31 @@ def test_an_engine_over_many_vertices_broadcasts_nothing(spark, monkeypatch):
     plans = store.executionsList()
     plans = [plans.apply(i).physicalPlanDescription() for i in range(plans.size())][done - store.executionsCount() :]
     assert len(plans) > 20 and not [p for p in plans if "BroadcastExchange" in p]
+
+
+def broadcast_rows(spark, done: int) -> list[int]:
+    """Rows of every broadcast of the queries after the first ``done``."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    of, ran, out = lambda seq: [seq.apply(i) for i in range(seq.size())], store.executionsList(), []
+    for run in of(ran)[done - store.executionsCount() :]:
+        values = store.executionMetrics(run.executionId())
+        for node in of(store.planGraph(run.executionId()).allNodes()):
+            if node.name() == "BroadcastExchange":
+                rows = [values.get(m.accumulatorId()) for m in of(node.metrics()) if m.name() == "number of output rows"]
+                out += [int(r.get().replace(",", "")) if r.isDefined() else 0 for r in rows]
+    return out
+
+
+@pytest.mark.parametrize("name", ["dynamic_label_propagation"])
+def test_a_whole_query_over_many_vertices_broadcasts_a_row_a_batch_at_most(spark, monkeypatch, name):
+    monkeypatch.setattr(X, "BATCHES", 2)
+    monkeypatch.setattr(Q, "LAST", 1)
+    rows = lambda: sorted(map(tuple, Q.QUERIES[name](spark, SF).collect()))
+    want = rows()
+    for module, key, value in ((R, "BROADCAST_ROWS", 0), (N, "BROADCAST_ROWS", 0), (R, "ROWS_PER_TASK", 1000)):
+        monkeypatch.setattr(module, key, value)
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    done = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    assert rows() == want
+    assert max(broadcast_rows(spark, done), default=0) <= X.BATCHES
