@@ -74,7 +74,7 @@ def broadcast_rows(spark, done: int) -> list[int]:
     return out
 
 
-@pytest.mark.parametrize("name", ["dynamic_label_propagation", "engine_metrics", "run_summary", "engine_beside_recompute"])
+@pytest.mark.parametrize("name", ["dynamic_label_propagation", "engine_metrics", "run_summary", "engine_beside_recompute", "batch_accuracy"])
 def test_a_whole_query_over_many_vertices_broadcasts_a_row_a_batch_at_most(spark, monkeypatch, name):
     monkeypatch.setattr(X, "BATCHES", 2)
     monkeypatch.setattr(Q, "LAST", 1)
