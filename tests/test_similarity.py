@@ -86,3 +86,11 @@ def test_a_whole_query_over_many_vertices_broadcasts_a_row_a_batch_at_most(spark
     done = spark._jsparkSession.sharedState().statusStore().executionsCount()
     assert rows() == want
     assert max(broadcast_rows(spark, done), default=0) <= X.BATCHES
+
+
+def test_engine_metrics_are_of_a_run_to_the_stop_rule(spark):
+    got = Q.QUERIES["engine_metrics"](spark, SF)
+    rows = {r.batch_id: r for r in got.collect()}
+    settled = Q.QUERIES["settled_engine_metrics"](spark, SF)
+    assert max(r.iterations for r in rows.values()) > Q.SWEEPS
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, settled.where("converged").drop("converged").collect()))
