@@ -6,10 +6,13 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tidegraph.llm import divergence, lexical, urlfilter
 from tidegraph.llm.terms import LETTERS, WORDS, term_counts
+from tidegraph.storage import materialize, scratch
 
 LETTER, TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"), re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -209,3 +212,24 @@ def test_markov_is_a_distribution_and_follows_its_definition(spark):
         assert abs(model.score(text) - sum(math.log10(share(whole[max(0, i + 1 - urlfilter.ORDER) : i], whole[i : i + 1])) for i in range(1, len(whole)))) < 1e-9
     for context in (b"", b"ab", b"\xfea", b"b/ab"):
         assert abs(sum(share(context, bytes([c])) for c in range(256) if c != 254) + share(context, b"?" * 2) * 2 - 1) < 1e-9
+
+
+def test_the_index_lies_in_row_groups_of_a_few_segments(spark, monkeypatch):
+    """Writers and readers hold a row group, however many segments a task makes."""
+    groups = []
+
+    def kept(df, *more):
+        table = materialize(df, *more)
+        found = [pq.read_metadata(f.removeprefix("file://")) for f in table.inputFiles()]
+        groups.append([meta.row_group(i).num_rows for meta in found for i in range(meta.num_row_groups)])
+        return table
+
+    monkeypatch.setattr(lexical, "materialize", kept)
+    text = F.expr("concat_ws(' ', transform(sequence(0L, 450000L), i -> concat('w', i * 7 + id)))")
+    docs = spark.range(0, 6, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    items = spark.createDataFrame([(1, "w7 w8 w14")], "item_id long, text string")
+    with scratch():
+        found = lexical.search(docs, items).collect()
+    assert [r.doc_id for r in sorted(found, key=lambda r: r["rank"])][:2] == [0, 1]
+    # Two texts a segment.
+    assert groups[0] == [1, 1, 1]

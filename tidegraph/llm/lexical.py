@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidegraph.llm.common import Shared, pieces
 from tidegraph.llm.terms import WORDS, term_counts
-from tidegraph.storage import materialize, settled
+from tidegraph.storage import LARGE_ROWS, materialize, settled
 
 #: A posting's impact is under a million; 255 steps cover that.
 STEP = 3922
@@ -204,8 +204,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, block_chars: int = 4
     """(item_id, rank, doc_id, score): the k best documents (doc_id, text) of each item (item_id, text)."""
     n_docs, n_terms = corpus_size(docs)
     out, schema = None, "item long, doc long, score long"
-    # Small rows: a segment each, so that a batch never holds many.
-    index = materialize(build_index(docs, n_docs, n_terms)) if n_docs else None
+    # A row a segment, in row groups of a few, so that no batch holds many.
+    index = materialize(build_index(docs, n_docs, n_terms), LARGE_ROWS) if n_docs else None
     for block in item_blocks(items, block_chars) if n_docs else ():
         spark, names = docs.sparkSession, [i for i, _ in block]
         asked = [t for _, t in block]
